@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from siftwork.llm.bpe import op3_bpe
+from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.mixing import op2_mixing
 from siftwork.llm.sharding import op6_sharding
+from siftwork.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_bpe": op3_bpe,
     "op6_sharding": op6_sharding,
+    "op8_licences": op8_licences,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_licences": OP8_SQL,
+}

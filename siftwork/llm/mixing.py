@@ -97,8 +97,9 @@ def cycle_templates(plan: DataFrame) -> DataFrame:
             "st -> st.out)"
         ),
     )
+    # outer: the filter that a plain explode implies would be pushed below and repeat the fold inside it
     return folded.select(
-        "cycle", "start", "total", "rel", "due", "src", F.posexplode("slots").alias("at", "pick")
+        "cycle", "start", "total", "rel", "due", "src", F.posexplode_outer("slots").alias("at", "pick")
     ).select(
         "cycle",
         "start",

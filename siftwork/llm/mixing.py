@@ -75,41 +75,58 @@ def cycle_templates(plan: DataFrame) -> DataFrame:
         F.expr("aggregate(transform(n, (x, s) -> least(x, cycle * q[s])), 0L, (a, x) -> a + x)").alias("start"),
     )
     cycles = cycles.withColumn("total", F.expr("aggregate(cap, 0L, (a, x) -> a + x)")).where("total > 0")
+    # One row per block and its window. The groupings below also keep Catalyst from inlining the windows
+    # into the fold, which would compute them anew in every slot.
     fluid = "aggregate(transform(cap, (c, j) -> least(c * q[s], q[j] * {i})), 0L, (a, x) -> a + x)"
-    due = "transform(cap, (k, s) -> if(k = 0, array(), transform(sequence(1L, k), i -> {})))"
-    windows = cycles.select(
-        "*",
-        F.expr(due.format(f"{fluid.format(i='(i - 1)')} div q[s]")).alias("rel"),
-        F.expr(due.format(f"({fluid.format(i='i')} + q[s] - 1) div q[s]")).alias("due"),
+    blocks = (
+        cycles.select("*", F.expr("posexplode(cap) as (s, k)"))
+        .where("k > 0")
+        .select("*", F.expr("explode(sequence(1L, k)) as i"))
+        .select(
+            "cycle",
+            "s",
+            F.struct(
+                "i",
+                F.expr(f"{fluid.format(i='(i - 1)')} div q[s]").alias("release"),
+                F.expr(f"({fluid.format(i='i')} + q[s] - 1) div q[s]").alias("deadline"),
+            ).alias("block"),
+        )
     )
+    per_source = blocks.groupBy("cycle", "s").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    per_cycle = per_source.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("s", "blocks"))).alias("of"))
     pick = (
-        "array_min(filter(transform(st.head, (h, s) -> if(h < cap[s] and rel[s][h] <= t, "
-        "named_struct('d', due[s][h], 's', s), null)), x -> x is not null))"
+        "array_min(filter(transform(st.head, (h, x) -> if(h < size(of[x].blocks) and of[x].blocks[h].release <= t, "
+        "named_struct('d', of[x].blocks[h].deadline, 'x', x), null)), y -> y is not null))"
     )
-    folded = windows.withColumn(
-        "slots",
+    folded = per_cycle.select(
+        "cycle",
+        "of",
         F.expr(
-            "aggregate(sequence(0, cast(total - 1 as int)), "
-            "named_struct('head', transform(cap, c -> 0), 'out', cast(array() as array<struct<s:int,h:int>>)), "
-            f"(st, t) -> transform(array({pick}), p -> named_struct("
-            "'head', transform(st.head, (h, s) -> if(s = p.s, h + 1, h)), "
-            "'out', concat(st.out, array(named_struct('s', p.s, 'h', st.head[p.s])))))[0], "
+            "aggregate(sequence(1, aggregate(of, 0, (a, o) -> a + size(o.blocks))), "
+            "named_struct('head', transform(of, o -> 0), 'out', cast(array() as array<struct<x:int,h:int>>)), "
+            f"(st, slot) -> transform(array(slot - 1), t -> transform(array({pick}), p -> named_struct("
+            "'head', transform(st.head, (h, x) -> if(x = p.x, h + 1, h)), "
+            "'out', concat(st.out, array(named_struct('x', p.x, 'h', st.head[p.x]))))))[0][0], "
             "st -> st.out)"
-        ),
+        ).alias("slots"),
     )
     # outer: the filter that a plain explode implies would be pushed below and repeat the fold inside it
-    return folded.select(
-        "cycle", "start", "total", "rel", "due", "src", F.posexplode_outer("slots").alias("at", "pick")
-    ).select(
+    slots = folded.select("cycle", "of", F.posexplode_outer("slots").alias("at", "pick")).select(
+        F.col("cycle").alias("in_cycle"),
+        F.expr("of[pick.x].s").alias("s"),
+        F.expr("of[pick.x].blocks[pick.h]").alias("block"),
+        F.col("at").cast("long").alias("at"),
+    )
+    heads = cycles.select("cycle", "start", "total", "src")
+    return slots.join(heads, F.col("in_cycle") == F.col("cycle")).select(
         "cycle",
         "start",
         "total",
-        F.expr("src[pick.s].source_key").alias("of_source"),
-        F.expr("src[pick.s].quota").alias("of_quota"),
-        F.col("pick.h").cast("long").alias("of_block"),
-        F.expr("rel[pick.s][pick.h]").alias("release"),
-        F.expr("due[pick.s][pick.h]").alias("deadline"),
-        F.col("at").cast("long").alias("at"),
+        F.expr("src[s].source_key").alias("of_source"),
+        (F.col("block.i") - 1).alias("of_block"),
+        F.col("block.release").alias("release"),
+        F.col("block.deadline").alias("deadline"),
+        "at",
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from siftwork.llm.bpe import op3_bpe
+from siftwork.llm.language import op1_language
 from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.mixing import op2_mixing
 from siftwork.llm.sharding import op6_sharding
 from siftwork.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op6_sharding": op6_sharding,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwork.llm.bpe import op3_bpe
+from siftwork.llm.jaccard import op9_jaccard
 from siftwork.llm.language import op1_language
 from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.mixing import op2_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_sharding": op6_sharding,
     "op8_licences": op8_licences,
+    "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 

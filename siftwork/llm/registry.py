@@ -7,6 +7,7 @@ from siftwork.llm.jaccard import op9_jaccard
 from siftwork.llm.language import op1_language
 from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.mixing import op2_mixing
+from siftwork.llm.near_vectors import op4_near_vectors
 from siftwork.llm.sharding import op6_sharding
 from siftwork.llm.token_counts import op10_token_counts
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_near_vectors": op4_near_vectors,
     "op6_sharding": op6_sharding,
     "op8_licences": op8_licences,
     "op9_jaccard": op9_jaccard,

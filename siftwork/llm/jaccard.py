@@ -25,6 +25,8 @@ BUCKET_DOCS = 1024
 #: Sets of one group that one task opens.
 GROUP_CHUNK = 1024
 CHUNK_CHARS = 2_000_000
+#: One more index token for so many tokens of a set; linked sets share as many of them.
+EVIDENCE = 10
 _HALF = np.uint64(1 << 63)
 
 
@@ -125,9 +127,11 @@ def _ordered(flat: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.nda
 def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
     """Per row: id, set size, set digest, group (first token in order), and the index tokens.
 
-    Sets that can reach the threshold share a token among their first n - ceil(percent n / 100) + 1 in any
-    one order of tokens; these are the index tokens. Those that the map knows to be in one document
-    alone are left out, as they join nothing.
+    The index tokens of a set of n are its first n - ceil(percent n / 100) + e in one order of all tokens,
+    with e = 1 + n // EVIDENCE. Of the tokens that two linked sets share, fewer than percent n / 100 - e + 1
+    stand behind these, so the first e shared tokens are index tokens of the set; linked sets share the
+    smaller e of the two. Tokens that the map knows to be in one document alone are left out, as they
+    join nothing.
     """
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -136,7 +140,7 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
         for batch in batches:
             for lo, hi, flat, counts in _token_sets(batch, words):
                 rank = _ordered(flat, counts, common)
-                most = counts - -(-counts * percent // 100) + 1
+                most = counts - -(-counts * percent // 100) + 1 + counts // EVIDENCE
                 chosen = rank < np.repeat(most, counts)
                 chosen &= (flat >= _HALF) | _bit(repeated, _place(flat))
                 per_doc = np.bincount(np.repeat(np.arange(hi - lo), counts)[chosen], minlength=hi - lo)
@@ -233,8 +237,8 @@ def jaccard_components(
     """Connect the documents whose shingle sets have 100 |A n B| >= percent |A u B|; no link is missed.
 
     Documents with the same first index token form a group of a token-group matrix. The index holds, for
-    each group, the union of its members' index tokens; two groups that share none cannot hold a link. Of
-    two groups that do, the smaller one's documents go as queries to the larger one. There a task stores
+    each group, the union of its members' index tokens; two groups that share too few cannot hold a link. Of
+    two groups that can, the smaller one's documents go as queries to the larger one. There a task stores
     the union of the members' tokens and bounds a query's overlap with every member by its overlap
     with the union; only if that reaches the threshold does it open the group and count exactly. A
     large group is cut into chunks, so no task holds more than ``GROUP_CHUNK`` sets and the queries of a
@@ -265,11 +269,12 @@ def jaccard_components(
     pairs = (
         index.alias("x")
         .join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")))
-        .select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
-        .distinct()
+        .groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
+        .agg(F.count("*").alias("shared"))
     )
-    # one size filter, then the larger group opens
-    fits = (F.col("gs.most") * 100 >= F.col("hs.least") * percent) & (F.col("hs.most") * 100 >= F.col("gs.least") * percent)
+    # enough shared index tokens, one size filter, then the larger group opens
+    enough = F.col("shared") > F.expr(f"least(gs.least, hs.least) div {EVIDENCE}")
+    fits = enough & (F.col("gs.most") * 100 >= F.col("hs.least") * percent) & (F.col("hs.most") * 100 >= F.col("gs.least") * percent)
     opens = F.struct(F.col("gs.size"), F.col("g")) > F.struct(F.col("hs.size"), F.col("h"))
     chunks = lambda size: F.ceil(size / GROUP_CHUNK).cast("int")
     pairs = checkpointed(

@@ -9,6 +9,7 @@ from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.mixing import op2_mixing
 from siftwork.llm.near_vectors import op4_near_vectors
 from siftwork.llm.sharding import op6_sharding
+from siftwork.llm.topk import OP5_SQL, op5_topk
 from siftwork.llm.token_counts import op10_token_counts
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_near_vectors": op4_near_vectors,
+    "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
     "op8_licences": op8_licences,
     "op9_jaccard": op9_jaccard,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_topk": OP5_SQL,
     "op8_licences": OP8_SQL,
 }

@@ -27,7 +27,6 @@ GROUP_CHUNK = 1024
 CHUNK_CHARS = 2_000_000
 #: One more index token for so many tokens of a set; linked sets share as many of them.
 EVIDENCE = 10
-_HALF = np.uint64(1 << 63)
 
 
 def _token_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -37,14 +36,21 @@ def _token_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, n
         yield lo, hi, *shingle_sets(raw, words)
 
 
+def _widened(raw: bytes, width: int) -> np.ndarray:
+    """Little-endian integers of ``width`` bytes."""
+    eight = np.zeros((len(raw) // width, 8), np.uint8)
+    eight[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return eight.view("<u8").ravel()
+
+
 def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit maps over the lower half of all token hashes: in two documents or more, and common.
+    """Two bit maps over all token hashes: in two documents or more, and common.
 
-    Every token of that half is counted over all documents, by 48 bits of its hash, in buckets of a
+    Every token is counted over all documents, by 48 bits of its hash, in buckets of a
     bounded number of documents. The maps have a fixed size; where tokens share a bit the bit is set if
     it is for either. Both maps only order and thin the index: any maps give the same links.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 4, MAP_BITS - 3))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 8, MAP_BITS - 3))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -54,15 +60,16 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, n
             prints = np.sort(np.concatenate(held))
             held.clear()
             cuts = np.searchsorted(prints, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
-            six = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            # the bucket says the highest bits
+            five = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
             full = np.flatnonzero(np.diff(cuts))
-            blobs = [six[6 * cuts[b] : 6 * cuts[b + 1]] for b in full]
+            blobs = [five[5 * cuts[b] : 5 * cuts[b + 1]] for b in full]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "prints"])
 
         n = 0
         for batch in batches:
             for _, _, flat, _ in _token_sets(batch, words):
-                held.append(flat[flat < _HALF] >> np.uint64(15))
+                held.append(flat >> np.uint64(16))
                 n += len(held[-1])
                 if n > 4_000_000:
                     yield packed()
@@ -74,9 +81,9 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, n
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b"".join(x for b in batches for x in b.column("prints").to_pylist())
-        eight = np.zeros((len(raw) // 6, 8), np.uint8)
-        eight[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        prints = np.sort(eight.view("<u8").ravel())
+        prints = _widened(raw, 5) & np.uint64((1 << (48 - bits)) - 1)
+        prints |= np.uint64(key[0].as_py()) << np.uint64(48 - bits)
+        prints.sort()
         first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
         df = np.diff(np.append(first, len(prints)))
         place = (prints[first] >> np.uint64(48 - MAP_BITS)).astype(np.int64) - key[0].as_py() * span
@@ -108,13 +115,13 @@ def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _place(flat: np.ndarray) -> np.ndarray:
-    """A token's bit in the maps; it says something for tokens of the lower half alone."""
-    return (flat & (_HALF - np.uint64(1))) >> np.uint64(63 - MAP_BITS)
+    """A token's bit in the maps."""
+    return flat >> np.uint64(64 - MAP_BITS)
 
 
 def _ordered(flat: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Each token's rank in its own document: tokens known to be common last, then by hash."""
-    last = (flat < _HALF) & _bit(common, _place(flat))
+    """Each token's rank in its own document: common tokens last, then by hash."""
+    last = _bit(common, _place(flat))
     ends = np.cumsum(counts)
     starts = ends - counts
     n_last = np.concatenate([[0], np.cumsum(last)])
@@ -124,8 +131,23 @@ def _ordered(flat: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.nda
     return np.where(last, usual + before_last, place - before_last)
 
 
+def _groups(flat: np.ndarray, counts: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """The group of each set that is not empty: its smallest token, which similar sets often have in common.
+
+    Of a set that shares most of its tokens with other documents it is the smallest shared one, so an edit
+    to one of many near copies does not make a group of its own.
+    """
+    own = _bit(repeated, _place(flat))
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    if not len(starts):
+        return flat[:0]
+    first = np.minimum.reduceat(np.where(own, flat, np.uint64(2**64 - 1)), starts)
+    shared = np.add.reduceat(own.astype(np.int64), starts)
+    return np.where(10 * shared >= 6 * counts[counts > 0], first, flat[starts])
+
+
 def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
-    """Per row: id, set size, set digest, group (first token in order), and the index tokens.
+    """Per row: id, set size, set digest, group, and the index tokens.
 
     The index tokens of a set of n are its first n - ceil(percent n / 100) + e in one order of all tokens,
     with e = 1 + n // EVIDENCE. Of the tokens that two linked sets share, fewer than percent n / 100 - e + 1
@@ -142,11 +164,12 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
                 rank = _ordered(flat, counts, common)
                 most = counts - -(-counts * percent // 100) + 1 + counts // EVIDENCE
                 chosen = rank < np.repeat(most, counts)
-                chosen &= (flat >= _HALF) | _bit(repeated, _place(flat))
+                # what one document alone has joins nothing
+                chosen &= _bit(repeated, _place(flat))
                 per_doc = np.bincount(np.repeat(np.arange(hi - lo), counts)[chosen], minlength=hi - lo)
                 ends = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
                 group = np.zeros(hi - lo, np.int64)
-                group[counts > 0] = flat[rank == 0].view(np.int64)
+                group[counts > 0] = _groups(flat, counts, repeated).view(np.int64)
                 digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
                 index = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[chosen].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -158,7 +181,11 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
 
 
 def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
-    """(id, digest, tokens) of the rows whose id is in the map of opened documents."""
+    """(id, digest, tokens) of the rows whose id is in the map of opened documents.
+
+    A token travels as 48 bits of its hash. In a set two tokens then rarely fall together; where they do,
+    the set would seem smaller than it is, so both are kept and a shared one counts once.
+    """
     id_type = texts.schema["id"].dataType.simpleString()
     marked = texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << OPEN_BITS)))
 
@@ -168,8 +195,9 @@ def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
             at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.uint64)
             batch = batch.filter(pa.array(_bit(bitmap, at)))
             for lo, hi, flat, counts in _token_sets(batch, words):
-                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 8]).astype(np.int32))
-                tokens = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(flat)])
+                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 6]).astype(np.int32))
+                six = (flat >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                tokens = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(six)])
                 digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, hi - lo), digest, tokens], ["id", "digest", "tokens"]
@@ -209,7 +237,7 @@ def _open_group(batches: Iterator[pa.RecordBatch], percent: int) -> list[tuple[b
     queries: dict[bytes, np.ndarray] = {}
     for batch in batches:
         for d, t, m in zip(*(batch.column(c).to_pylist() for c in ("digest", "tokens", "member")), strict=True):
-            (members if m else queries)[d] = np.frombuffer(t, np.uint64)
+            (members if m else queries)[d] = _widened(t, 6)
     if not members:
         return []
     names = sorted(members)
@@ -236,7 +264,7 @@ def jaccard_components(
 ) -> DataFrame:
     """Connect the documents whose shingle sets have 100 |A n B| >= percent |A u B|; no link is missed.
 
-    Documents with the same first index token form a group of a token-group matrix. The index holds, for
+    Documents with the same smallest token (see ``_groups``) form a group of a token-group matrix. The index holds, for
     each group, the union of its members' index tokens; two groups that share too few cannot hold a link. Of
     two groups that can, the smaller one's documents go as queries to the larger one. There a task stores
     the union of the members' tokens and bounds a query's overlap with every member by its overlap
@@ -265,16 +293,31 @@ def jaccard_components(
     groups = classes.groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    index = signed.where("n > 0 and size(index) > 0").select("grp", F.explode("index").alias("token")).distinct()
+    index = (
+        signed.where("n > 0 and size(index) > 0")
+        .select("grp", F.explode("index").alias("token"), F.col("n").cast("int").alias("n"))
+        .groupBy("grp", "token")
+        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    )
     pairs = (
         index.alias("x")
-        .join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")))
+        .join(
+            index.alias("y"),
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.grp") < F.col("y.grp"))
+            & (F.col("x.most") * 100 >= F.col("y.least") * percent)
+            & (F.col("y.most") * 100 >= F.col("x.least") * percent),
+        )
         .groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
         .agg(F.count("*").alias("shared"))
     )
     # enough shared index tokens, one size filter, then the larger group opens
     enough = F.col("shared") > F.expr(f"least(gs.least, hs.least) div {EVIDENCE}")
-    fits = enough & (F.col("gs.most") * 100 >= F.col("hs.least") * percent) & (F.col("hs.most") * 100 >= F.col("gs.least") * percent)
+    fits = (
+        enough
+        & (F.col("gs.most") * 100 >= F.col("hs.least") * percent)
+        & (F.col("hs.most") * 100 >= F.col("gs.least") * percent)
+    )
     opens = F.struct(F.col("gs.size"), F.col("g")) > F.struct(F.col("hs.size"), F.col("h"))
     chunks = lambda size: F.ceil(size / GROUP_CHUNK).cast("int")
     pairs = checkpointed(

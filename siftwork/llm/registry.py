@@ -6,6 +6,7 @@ from siftwork.llm.bpe import op3_bpe
 from siftwork.llm.jaccard import op9_jaccard
 from siftwork.llm.language import op1_language
 from siftwork.llm.licences import OP8_SQL, op8_licences
+from siftwork.llm.lm_scoring import op7_lm_scoring
 from siftwork.llm.mixing import op2_mixing
 from siftwork.llm.near_vectors import op4_near_vectors
 from siftwork.llm.sharding import op6_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_near_vectors": op4_near_vectors,
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_licences": op8_licences,
     "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared folder that the session names and read them again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/siftwork-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def train_split(doc_id: Column, folds: int) -> Column:
     """True where the row may be learnt from: crc32 of the decimal id modulo ``folds`` is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0

@@ -137,6 +137,7 @@ def mix_sources(
     block_rows: int = BLOCK_ROWS,
     id_col: str = "doc_id",
     source_col: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
     """A global order of all rows in which every prefix has the target mix to within one block.
 
@@ -149,7 +150,7 @@ def mix_sources(
 
     Returns id, source, ``block`` (of the source, from 0), ``release`` and ``deadline`` (global slots),
     ``slot`` (the block's place in the mix, from 0 without gaps) and ``seq`` (the row's place in its
-    block). Templates are broadcast: 2,000 rows and fewer for each source.
+    block); with ``carry`` also ``row``, a struct of all the input's columns. Templates are broadcast: 2,000 rows and fewer for each source.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     if weights is not None:
@@ -162,7 +163,9 @@ def mix_sources(
         key.alias("source_key"),
         digest.alias("digest"),
         F.substring(digest, 1, RANK_DIGITS).alias("digits"),
+        *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []),
     )
+    carried = ["row"] if carry else []
     # The buckets of one source are few, so their offsets need one task a source.
     cells = rows.groupBy("source_key", "digits").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_key").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,6 +189,7 @@ def mix_sources(
         ranked.join(F.broadcast(quotas), F.col("source_key") == F.col("plan_source"))
         .join(F.broadcast(kinds))
         .select(
+            *carried,
             "id",
             "source",
             "source_key",
@@ -217,33 +221,23 @@ def mix_sources(
         (base + F.col("deadline")).alias("deadline"),
         (base + F.col("at")).alias("slot"),
         "seq",
+        *carried,
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows themselves, with all their columns, laid out in the mixed order.
 
-    Output files follow the order of the mix: rows are range-partitioned by slot and sorted inside each
-    partition. Rows that share an id share no place: each is matched to its own by its number among them.
+    Output files follow the order of the mix: equal runs of slots make the partitions, each sorted by slot
+    and place in the block.
     """
-    id_col = options.get("id_col", "doc_id")
-    places = mix_sources(docs, **options)
-    if docs.isEmpty():
-        return docs
-    order = places.select(
-        F.col(id_col).alias("__id"),
-        F.col("slot").alias("__slot"),
-        F.col("seq").alias("__seq"),
-    )
-    per_id = Window.partitionBy("__id").orderBy("__slot", "__seq")
-    order = order.withColumn("__copy", F.row_number().over(per_id))
-    own = docs.withColumn("__copy", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0))))
-    joined = own.join(order, own[id_col].eqNullSafe(order["__id"]) & (own["__copy"] == order["__copy"]))
-    return (
-        joined.repartitionByRange("__slot", "__seq")
-        .sortWithinPartitions("__slot", "__seq")
-        .select(*[own[c] for c in docs.columns])
-    )
+    places = mix_sources(docs, carry=True, **options)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_rows = options.get("block_rows", BLOCK_ROWS)
+    source = F.col(options.get("source_col", "source"))
+    n_slots = docs.groupBy(source).count().agg(F.sum(F.ceil(F.col("count") / block_rows))).first()[0] or 1
+    part = F.least(F.expr(f"cast(slot * {parts} div {n_slots} as int)"), F.lit(parts - 1))
+    return places.repartitionById(parts, part).sortWithinPartitions("slot", "seq").select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,26 +166,27 @@ class Vocabulary:
     def encode_matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the matches, end to end, and how many each has."""
         pieces = [m.encode("utf-8", "surrogatepass") for m in matches]
-        counts, found = np.ones(len(pieces), np.int64), [None] * len(pieces)
-        groups: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            whole = self.ranks.get(p)
-            if whole is not None:
-                found[i] = (whole,)
-            elif len(p) > SHORT:
-                found[i] = self.encode_long(p)
-                counts[i] = len(found[i])
-            else:
-                groups.setdefault((len(p) - 1).bit_length(), []).append(i)
-        for members in groups.values():
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = np.ones(len(pieces), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        for i in np.flatnonzero((whole < 0) & (sizes > SHORT)).tolist():
+            ids = np.array(self.encode_long(pieces[i]), np.int32)
+            counts[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        depth = np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)
+        for d in range(1, SHORT.bit_length()):
+            members = np.flatnonzero((whole < 0) & (sizes <= SHORT) & (depth == d))
             for lo in range(0, len(members), 20_000):
                 part = members[lo : lo + 20_000]
-                ids, n = self.encode_short([pieces[i] for i in part])
-                counts[part] = n
-                ends = np.cumsum(n)
-                for i, a, b in zip(part, (ends - n).tolist(), ends.tolist(), strict=True):
-                    found[i] = ids[a:b]
-        flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.empty(0, np.int32)
+                ids, counts[part] = self.encode_short([pieces[i] for i in part.tolist()])
+                parts.append((part, ids))
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for members, ids in parts:
+            n = counts[members]
+            ends = np.cumsum(n)
+            flat[np.arange(len(ids)) + np.repeat(starts[members] - (ends - n), n)] = ids
         return flat, counts
 
     def decode(self, ids: np.ndarray) -> bytes:

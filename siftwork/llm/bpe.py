@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import table
+from siftwork.llm.common import small_batches, table
 
 #: A rank that no pair has.
 NONE = np.int32(2**31 - 1)
@@ -301,6 +301,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     as empty and gives no ids and no bytes. Rows are independent: repeated ids stay repeated, an empty
     table gives an empty result, and other columns are ignored. No special tokens are recognised.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 

@@ -22,6 +22,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwork-checkpoint-"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let the session's Arrow batches of texts hold fewer rows, so workers with long texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

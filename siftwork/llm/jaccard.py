@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import in_chunks, ragged
-from siftwork.llm.common import checkpointed, table
+from siftwork.llm.common import checkpointed, small_batches, table
 from siftwork.llm.components import connected_components
 from siftwork.llm.shingles import set_digests, shingle_sets
 
@@ -24,7 +24,7 @@ OPEN_BITS = 26
 BUCKET_DOCS = 1024
 #: Sets of one group that one task opens.
 GROUP_CHUNK = 1024
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 600_000
 #: One more index token for so many tokens of a set; linked sets share as many of them.
 EVIDENCE = 10
 
@@ -71,7 +71,7 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, n
             for _, _, flat, _ in _token_sets(batch, words):
                 held.append(flat >> np.uint64(16))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 1_500_000:
                     yield packed()
                     n = 0
         if n:
@@ -281,6 +281,7 @@ def jaccard_components(
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     context = spark.sparkContext
     maps = context.broadcast(token_maps(texts, words, texts.count()))

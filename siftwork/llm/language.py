@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import in_chunks
-from siftwork.llm.common import table, train_split
+from siftwork.llm.common import small_batches, table, train_split
 
 #: Contexts reach back so many bytes.
 ORDER = 3
@@ -22,7 +22,7 @@ LEAST_SEEN = 4
 #: Nodes of one order, over all languages: with the bytes and the languages this bounds what is broadcast.
 CONTEXTS = 60_000
 #: Characters that are scored at once.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 #: Before the first order a byte is one of so many, all alike.
 ALPHABET = 256
 _LETTER = regex.compile(r"\p{L}")
@@ -49,7 +49,7 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for lo, hi in in_chunks(texts):
+            for lo, hi in in_chunks(texts, CHUNK_CHARS):
                 for lang in set(langs[lo:hi]):
                     own = [t.encode("utf-8", "surrogatepass") for t, l in zip(texts[lo:hi], langs[lo:hi]) if l == lang]
                     pad = bytes(ORDER)
@@ -245,6 +245,7 @@ def identify_languages(
     held out. Repeated rows stay repeated, an empty table gives an empty result, other columns are
     ignored. Labels, ids and sources are not looked at in a prediction.
     """
+    small_batches(docs.sparkSession)
     trees = fit(docs, id_col, text_col, lang_col, folds, fit_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     kept = [c for c in (keep or []) if c != text_col]

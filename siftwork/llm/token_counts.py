@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import encoder
-from siftwork.llm.common import table
+from siftwork.llm.common import small_batches, table
 
 #: Lengths of one band are summed together; bands of a corpus are few, as texts are finite.
 BAND = 1024
@@ -17,6 +17,7 @@ BAND = 1024
 
 def encoded_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and ``n_tokens`` of every row; a null text has none."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 

@@ -41,7 +41,8 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold
     )
     sizes = rows.groupBy(F.col("lang").alias("of_lang")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     dice = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000))
-    fitted = rows.join(sizes, F.col("lang") == F.col("of_lang")).where(
+    # one row a language, and each language has a tree in every task anyway
+    fitted = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang")).where(
         dice * F.col("bytes") <= F.lit(fit_bytes).cast("double") * 1_000_000
     )
 

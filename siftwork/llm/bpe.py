@@ -165,7 +165,9 @@ class Vocabulary:
 
     def encode_matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the matches, end to end, and how many each has."""
-        pieces = [m.encode("utf-8", "surrogatepass") for m in matches]
+        return self.encode_pieces([m.encode("utf-8", "surrogatepass") for m in matches])
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         counts = np.ones(len(pieces), np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,6 +181,19 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
     return texts.mapInArrow(sign, f"id {id_type}, n long, digest binary, grp long, index array<long>")
 
 
+def id_map(ids: DataFrame) -> np.ndarray:
+    """A map of a fixed size with the bit of every id of the one column set."""
+    bits = (
+        ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).alias("id")), F.lit(1 << OPEN_BITS)).alias("at"))
+        .groupBy(F.expr("at div 32").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+        .toArrow()
+    )
+    bitmap = np.zeros(1 << (OPEN_BITS - 5), np.uint32)
+    bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    return bitmap.view(np.uint8)
+
+
 def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
     """(id, digest, tokens) of the rows whose id is in the map of opened documents.
 
@@ -297,6 +311,8 @@ def jaccard_components(
     index = (
         signed.where("n > 0 and size(index) > 0")
         .select("grp", F.explode("index").alias("token"), F.col("n").cast("int").alias("n"))
+        # dealt by token once: the grouping and the join below need no other shuffle
+        .repartition("token")
         .groupBy("grp", "token")
         .agg(F.min("n").alias("least"), F.max("n").alias("most"))
     )
@@ -351,15 +367,7 @@ def jaccard_components(
     sent = checkpointed(
         members.drop("n_chunks").union(queries.union(across).withColumn("member", F.lit(False)))
     )
-    bits = (
-        sent.select(F.pmod(F.xxhash64(F.col("rep").alias("id")), F.lit(1 << OPEN_BITS)).alias("at"))
-        .groupBy(F.expr("at div 32").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-        .toArrow()  # a map of a fixed size: 2^26 bits
-    )
-    bitmap = np.zeros(1 << (OPEN_BITS - 5), np.uint32)
-    bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
-    opened = context.broadcast(bitmap.view(np.uint8))
+    opened = context.broadcast(id_map(sent.select("rep")))
     sets = opened_sets(texts, words, opened)
     placed = sent.join(
         sets, (F.col("rep") == F.col("id")) & (sent["digest"] == sets["digest"])
@@ -390,13 +398,27 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that stand for their group of near duplicates, with all their columns.
 
-    A group keeps the row with its smallest id; of rows that repeat that id one stays. Rows with a null
-    id stay.
+    A group keeps the row with its smallest id; of rows that repeat an id one stays. Rows with a null id
+    stay. Ids whose rows may have to go are marked in a map of a fixed size; only rows with a marked id
+    are joined to the ids that go, so most texts are not shuffled.
     """
-    parts = jaccard_components(docs, id_col=id_col, **options)
-    kept = parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    stays = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-    return stays.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    parts = jaccard_components(docs, id_col=id_col, **options).select(F.col(id_col).alias("id"), "component_id")
+    seen = parts.where("id is not null").groupBy("id").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("id") == F.col("component_id"), 0).otherwise(1)).alias("goes")
+    )
+    touched = checkpointed(seen.where("n > 1 or goes = 1").select(F.col("id").alias("__id"), "goes"))
+    marked = docs.sparkSession.sparkContext.broadcast(id_map(touched.select("__id")))
+
+    @F.pandas_udf("boolean")
+    def is_marked(at: pd.Series) -> pd.Series:
+        return pd.Series(_bit(marked.value, at.to_numpy().astype(np.uint64)))
+
+    may_go = F.col(id_col).isNotNull() & is_marked(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << OPEN_BITS)))
+    flagged = docs.withColumn("__may_go", may_go)
+    stays = flagged.where(~F.col("__may_go")).drop("__may_go")
+    asked = flagged.where("__may_go").drop("__may_go")
+    kept = asked.join(touched, F.col(id_col) == F.col("__id"), "left").where("goes is null or goes = 0")
+    return stays.union(kept.drop("__id", "goes").dropDuplicates([id_col]))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

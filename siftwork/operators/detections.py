@@ -70,7 +70,7 @@ def bucket_scores(detections: Column) -> dict[str, Column]:
 def prompt_best(prompts: Column, terms: tuple[str, ...]) -> Column:
     """Highest score of the prompts that hold a term as a substring."""
     held = F.map_filter(prompts, lambda k, _: F.exists(words_array(normal_labels(terms)), lambda t: F.contains(label_norm(k), t)))
-    return F.coalesce(clamp(F.array_max(F.map_values(held))), F.lit(0.0))
+    return clamp(F.array_max(F.map_values(held)))
 
 
 def prompt_buckets(prompts: Column) -> dict[str, Column]:

@@ -225,38 +225,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     )
 
 
-def identify_languages(
+def identify_rows(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     folds: int = 5,
     fit_bytes: int = FIT_BYTES,
-    keep: list[str] | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Predict the language of every whole text by prediction by partial matching.
-
-    The trees are learnt from the text and the non-null label of rows whose crc32 of the id modulo
-    ``folds`` is not 0. They code a text byte by byte; the language with the shortest code wins (ties:
-    first by name) and ``score`` is its share of the posterior under equal priors.
-
-    Returns one row per input row: id, the columns named in ``keep``, ``held_out``, ``lang_pred`` and
-    ``score`` (0 to 1). A text that is null
-    or has no letter is ``und`` with score 0, and so is every text if nothing could be learnt. A null id is
-    held out. Repeated rows stay repeated, an empty table gives an empty result, other columns are
-    ignored. Labels, ids and sources are not looked at in a prediction.
-    """
+    """As ``identify_languages``, with the input's columns (all, or those named) in a struct ``row``."""
     small_batches(docs.sparkSession)
     trees = fit(docs, id_col, text_col, lang_col, folds, fit_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    kept = [c for c in (keep or []) if c != text_col]
     source = docs.select(
         F.col(text_col).alias("__text"),
         F.coalesce(~train_split(F.col(id_col), folds), F.lit(True)).alias("held_out"),
-        F.struct(*[F.col(c) for c in [id_col, *[c for c in kept if c != id_col]]]).alias("row"),
+        F.struct(*[F.col(c) for c in columns or docs.columns]).alias("row"),
     )
-    if text_col in (keep or []):
-        source = source.withColumn("row", F.struct("row.*", F.col("__text").alias(text_col)))
     row_type = source.schema["row"].dataType.simpleString()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +254,23 @@ def identify_languages(
                 ["row", "held_out", "lang_pred", "score"],
             )
 
-    out = source.mapInArrow(label, f"row {row_type}, held_out boolean, lang_pred string, score double")
-    return out.select("row.*", "held_out", "lang_pred", "score")
+    return source.mapInArrow(label, f"row {row_type}, held_out boolean, lang_pred string, score double")
+
+
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Predict the language of every whole text by prediction by partial matching.
+
+    The trees are learnt from the text and the non-null label of rows whose crc32 of the id modulo
+    ``folds`` is not 0. They code a text byte by byte; the language with the shortest code wins (ties:
+    first by name) and ``score`` is its share of the posterior under equal priors.
+
+    Returns one row per input row: id, ``held_out``, ``lang_pred`` and ``score`` (0 to 1). A text that is
+    null or has no letter is ``und`` with score 0, and so is every text if nothing could be learnt. A null
+    id is held out. Repeated rows stay repeated, an empty table gives an empty result, other columns are
+    ignored. Labels, ids and sources are not looked at in a prediction.
+    """
+    found = identify_rows(docs, id_col, columns=[id_col], **options)
+    return found.select(F.col(f"row.{id_col}").alias(id_col), "held_out", "lang_pred", "score")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftwork.llm.bpe import encode_texts
 from siftwork.llm.common import table, written
 from siftwork.llm.jaccard import one_of_each
-from siftwork.llm.language import identify_languages
+from siftwork.llm.language import identify_rows
 from siftwork.llm.mixing import mixed_documents
 
 
@@ -21,8 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Every other text is code-length scored; it stays whatever its language, and keeps its label.
     """
-    labelled = identify_languages(docs, keep=docs.columns)
-    return labelled.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return identify_rows(docs).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,22 @@ CHUNK_CHARS = 600_000
 EVIDENCE = 10
 
 
+class BitMap:
+    """Bits of a fixed number; it travels compressed, as most are alike."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.raw.tobytes(), 1)
+
+    def __setstate__(self, packed: bytes) -> None:
+        self.raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _token_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     texts = batch.column("text").to_pylist()
     for lo, hi in in_chunks(texts, CHUNK_CHARS):
@@ -44,7 +61,7 @@ def _widened(raw: bytes, width: int) -> np.ndarray:
     return eight.view("<u8").ravel()
 
 
-def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMap]:
     """Two bit maps over all token hashes: in two documents or more, and common.
 
     Every token is counted over all documents, by 48 bits of its hash, in buckets of a
@@ -108,11 +125,7 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, n
         at = b * span // 8
         repeated[at : at + span // 8] = np.frombuffer(r, np.uint8)
         common[at : at + span // 8] = np.frombuffer(c, np.uint8)
-    return repeated, common
-
-
-def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return BitMap(repeated), BitMap(common)
 
 
 def _place(flat: np.ndarray) -> np.ndarray:
@@ -120,9 +133,9 @@ def _place(flat: np.ndarray) -> np.ndarray:
     return flat >> np.uint64(64 - MAP_BITS)
 
 
-def _ordered(flat: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
+def _ordered(flat: np.ndarray, counts: np.ndarray, common: BitMap) -> np.ndarray:
     """Each token's rank in its own document: common tokens last, then by hash."""
-    last = _bit(common, _place(flat))
+    last = common.has(_place(flat))
     ends = np.cumsum(counts)
     starts = ends - counts
     n_last = np.concatenate([[0], np.cumsum(last)])
@@ -132,13 +145,13 @@ def _ordered(flat: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.nda
     return np.where(last, usual + before_last, place - before_last)
 
 
-def _groups(flat: np.ndarray, counts: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+def _groups(flat: np.ndarray, counts: np.ndarray, repeated: BitMap) -> np.ndarray:
     """The group of each set that is not empty: its smallest token, which similar sets often have in common.
 
     Of a set that shares most of its tokens with other documents it is the smallest shared one, so an edit
     to one of many near copies does not make a group of its own.
     """
-    own = _bit(repeated, _place(flat))
+    own = repeated.has(_place(flat))
     starts = (np.cumsum(counts) - counts)[counts > 0]
     if not len(starts):
         return flat[:0]
@@ -166,7 +179,7 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
                 most = counts - -(-counts * percent // 100) + 1 + counts // EVIDENCE
                 chosen = rank < np.repeat(most, counts)
                 # what one document alone has joins nothing
-                chosen &= _bit(repeated, _place(flat))
+                chosen &= repeated.has(_place(flat))
                 per_doc = np.bincount(np.repeat(np.arange(hi - lo), counts)[chosen], minlength=hi - lo)
                 ends = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
                 group = np.zeros(hi - lo, np.int64)
@@ -181,7 +194,7 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
     return texts.mapInArrow(sign, f"id {id_type}, n long, digest binary, grp long, index array<long>")
 
 
-def id_map(ids: DataFrame) -> np.ndarray:
+def id_map(ids: DataFrame) -> BitMap:
     """A map of a fixed size with the bit of every id of the one column set."""
     bits = (
         ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).alias("id")), F.lit(1 << OPEN_BITS)).alias("at"))
@@ -191,7 +204,7 @@ def id_map(ids: DataFrame) -> np.ndarray:
     )
     bitmap = np.zeros(1 << (OPEN_BITS - 5), np.uint32)
     bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
-    return bitmap.view(np.uint8)
+    return BitMap(bitmap.view(np.uint8))
 
 
 def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
@@ -207,7 +220,7 @@ def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
         bitmap = opened.value
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.uint64)
-            batch = batch.filter(pa.array(_bit(bitmap, at)))
+            batch = batch.filter(pa.array(bitmap.has(at)))
             for lo, hi, flat, counts in _token_sets(batch, words):
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 6]).astype(np.int32))
                 six = (flat >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -411,7 +424,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
 
     @F.pandas_udf("boolean")
     def is_marked(at: pd.Series) -> pd.Series:
-        return pd.Series(_bit(marked.value, at.to_numpy().astype(np.uint64)))
+        return pd.Series(marked.value.has(at.to_numpy().astype(np.uint64)))
 
     may_go = F.col(id_col).isNotNull() & is_marked(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << OPEN_BITS)))
     flagged = docs.withColumn("__may_go", may_go)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.functions.text import clamp
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
@@ -36,6 +38,6 @@ def parse_verdict(answer: Column) -> dict[str, Column]:
     return {
         "decision": F.when(known, kind).otherwise("UNDER_REVIEW"),
         "reason": F.substring(F.coalesce(body["reason"], F.lit("")), 1, 500),
-        "confidence": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), body["confidence"])), F.lit(0.5)),
+        "confidence": clamp(F.coalesce(body["confidence"], F.lit(0.5))),
         "category": F.substring(F.coalesce(body["category"], F.lit("")), 1, 120),
     }

@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +18,16 @@ from siftwork.llm.shingles import set_digests, shingle_sets
 SHINGLE_WORDS = 5
 #: A token in so many documents or more is common: it stands last in the order of tokens.
 COMMON = 32
-#: Bits of each of the two maps that every task gets (16 MB each), and of the map of opened documents.
+#: Bits of the maps that every task gets: tokens of two documents or more (16 MB), common tokens (2 MB), opened documents.
 MAP_BITS = 27
+COMMON_BITS = 24
 OPEN_BITS = 26
 #: Documents whose tokens are counted in one bucket, about.
 BUCKET_DOCS = 1024
 #: Sets of one group that one task opens.
 GROUP_CHUNK = 1024
+#: Queries that meet a chunk in one place, about.
+CHUNK_QUERIES = 2048
 CHUNK_CHARS = 600_000
 #: One more index token for so many tokens of a set; linked sets share as many of them.
 EVIDENCE = 10
@@ -68,7 +70,7 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
     bounded number of documents. The maps have a fixed size; where tokens share a bit the bit is set if
     it is for either. Both maps only order and thin the index: any maps give the same links.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 8, MAP_BITS - 3))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 8, COMMON_BITS - 3))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -89,13 +91,12 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
             for _, _, flat, _ in _token_sets(batch, words):
                 held.append(flat >> np.uint64(16))
                 n += len(held[-1])
-                if n > 1_500_000:
+                if n > 800_000:
                     yield packed()
                     n = 0
         if n:
             yield packed()
-
-    span = 1 << (MAP_BITS - bits)
+        pa.default_memory_pool().release_unused()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b"".join(x for b in batches for x in b.column("prints").to_pylist())
@@ -104,11 +105,10 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
         prints.sort()
         first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
         df = np.diff(np.append(first, len(prints)))
-        place = (prints[first] >> np.uint64(48 - MAP_BITS)).astype(np.int64) - key[0].as_py() * span
         maps = []
-        for least in (2, COMMON):
-            on = np.zeros(span, bool)
-            on[place[df >= least]] = True
+        for least, size in ((2, MAP_BITS), (COMMON, COMMON_BITS)):
+            on = np.zeros(1 << (size - bits), bool)
+            on[(prints[first[df >= least]] >> np.uint64(48 - size)).astype(np.int64) - key[0].as_py() * len(on)] = True
             maps.append(pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *maps], ["bucket", "repeated", "common"])
 
@@ -118,24 +118,17 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
         .groupBy("bucket")
         .applyInArrow(count, "bucket int, repeated binary, common binary")
     )
-    repeated = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    common = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    whole = {"repeated": np.zeros(1 << (MAP_BITS - 3), np.uint8), "common": np.zeros(1 << (COMMON_BITS - 3), np.uint8)}
     found = counted.toArrow()  # two maps of a fixed size, cut into slices
-    for b, r, c in zip(*(found.column(x).to_pylist() for x in ("bucket", "repeated", "common")), strict=True):
-        at = b * span // 8
-        repeated[at : at + span // 8] = np.frombuffer(r, np.uint8)
-        common[at : at + span // 8] = np.frombuffer(c, np.uint8)
-    return BitMap(repeated), BitMap(common)
-
-
-def _place(flat: np.ndarray) -> np.ndarray:
-    """A token's bit in the maps."""
-    return flat >> np.uint64(64 - MAP_BITS)
+    for name, bitmap in whole.items():
+        for b, part in zip(found.column("bucket").to_pylist(), found.column(name).to_pylist(), strict=True):
+            bitmap[b * len(part) : (b + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    return BitMap(whole["repeated"]), BitMap(whole["common"])
 
 
 def _ordered(flat: np.ndarray, counts: np.ndarray, common: BitMap) -> np.ndarray:
     """Each token's rank in its own document: common tokens last, then by hash."""
-    last = common.has(_place(flat))
+    last = common.has(flat >> np.uint64(64 - COMMON_BITS))
     ends = np.cumsum(counts)
     starts = ends - counts
     n_last = np.concatenate([[0], np.cumsum(last)])
@@ -151,7 +144,7 @@ def _groups(flat: np.ndarray, counts: np.ndarray, repeated: BitMap) -> np.ndarra
     Of a set that shares most of its tokens with other documents it is the smallest shared one, so an edit
     to one of many near copies does not make a group of its own.
     """
-    own = repeated.has(_place(flat))
+    own = repeated.has(flat >> np.uint64(64 - MAP_BITS))
     starts = (np.cumsum(counts) - counts)[counts > 0]
     if not len(starts):
         return flat[:0]
@@ -179,7 +172,7 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
                 most = counts - -(-counts * percent // 100) + 1 + counts // EVIDENCE
                 chosen = rank < np.repeat(most, counts)
                 # what one document alone has joins nothing
-                chosen &= repeated.has(_place(flat))
+                chosen &= repeated.has(flat >> np.uint64(64 - MAP_BITS))
                 per_doc = np.bincount(np.repeat(np.arange(hi - lo), counts)[chosen], minlength=hi - lo)
                 ends = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
                 group = np.zeros(hi - lo, np.int64)
@@ -190,6 +183,7 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
                     [batch.column("id").slice(lo, hi - lo), pa.array(counts), digest, pa.array(group), index],
                     ["id", "n", "digest", "grp", "index"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(sign, f"id {id_type}, n long, digest binary, grp long, index array<long>")
 
@@ -296,8 +290,8 @@ def jaccard_components(
     two groups that can, the smaller one's documents go as queries to the larger one. There a task stores
     the union of the members' tokens and bounds a query's overlap with every member by its overlap
     with the union; only if that reaches the threshold does it open the group and count exactly. A
-    large group is cut into chunks, so no task holds more than ``GROUP_CHUNK`` sets and the queries of a
-    chunk; equal sets count as one, and inside a group only links that join two parts are kept.
+    large group is cut into chunks, so no task holds more than about ``GROUP_CHUNK`` sets and
+    ``CHUNK_QUERIES`` queries; equal sets count as one, and inside a group only links that join two parts are kept.
 
     What every task receives has a fixed size (``token_maps`` and the map of opened documents); what is
     joined is ids and groups, and token sets of documents in groups that can hold a link.
@@ -367,7 +361,7 @@ def jaccard_components(
         groups.where("size > 1").select("grp", chunks(F.col("size")))
     )
     members = classes.join(candidates.distinct(), F.col("grp") == F.col("opened")).select(
-        "opened", own_chunk.cast("int").alias("chunk"), "rep", "digest", F.lit(True).alias("member"), "n_chunks"
+        "opened", own_chunk.cast("int").alias("chunk"), "rep", "digest", "n_chunks"
     )
     queries = (
         pairs.join(classes, F.col("asks") == F.col("grp"))
@@ -377,14 +371,26 @@ def jaccard_components(
     across = members.where("chunk + 1 < n_chunks").select(
         "opened", F.explode(F.expr("sequence(chunk + 1, n_chunks - 1)")).alias("chunk"), "rep", "digest"
     )
-    sent = checkpointed(
-        members.drop("n_chunks").union(queries.union(across).withColumn("member", F.lit(False)))
+    # a chunk with many queries is opened in several places, each with its share of them
+    asking = checkpointed(queries.union(across))
+    places = asking.groupBy(F.col("opened").alias("o"), F.col("chunk").alias("c")).agg(
+        F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("n_places")
     )
+    at_place = (F.col("opened") == F.col("o")) & (F.col("chunk") == F.col("c"))
+    spread = members.join(places, at_place, "left").select(
+        "opened", "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("n_places", F.lit(1)) - 1)).alias("place"), "rep", "digest",
+        F.lit(True).alias("member"),
+    )
+    dealt = asking.join(places, at_place).select(
+        "opened", "chunk", F.pmod(F.xxhash64("digest", F.lit("place")), F.col("n_places")).cast("int").alias("place"), "rep", "digest",
+        F.lit(False).alias("member"),
+    )
+    sent = checkpointed(spread.union(dealt))
     opened = context.broadcast(id_map(sent.select("rep")))
     sets = opened_sets(texts, words, opened)
     placed = sent.join(
         sets, (F.col("rep") == F.col("id")) & (sent["digest"] == sets["digest"])
-    ).select("opened", "chunk", "member", sent["digest"].alias("digest"), "tokens")
+    ).select("opened", "chunk", "place", "member", sent["digest"].alias("digest"), "tokens")
 
     def link(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _open_group(batches, percent)
@@ -392,7 +398,7 @@ def jaccard_components(
             [pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["x", "y"]
         )
 
-    links = checkpointed(placed.groupBy("opened", "chunk").applyInArrow(link, "x binary, y binary").distinct())
+    links = checkpointed(placed.groupBy("opened", "chunk", "place").applyInArrow(link, "x binary, y binary").distinct())
     reps = classes.select("digest", "rep")
     by_rep = links.join(reps.select(F.col("digest").alias("x"), F.col("rep").alias("a")), "x").join(
         reps.select(F.col("digest").alias("y"), F.col("rep").alias("b")), "y"
@@ -411,27 +417,13 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that stand for their group of near duplicates, with all their columns.
 
-    A group keeps the row with its smallest id; of rows that repeat an id one stays. Rows with a null id
-    stay. Ids whose rows may have to go are marked in a map of a fixed size; only rows with a marked id
-    are joined to the ids that go, so most texts are not shuffled.
+    A group keeps the row with its smallest id; of rows that repeat that id one stays. Rows with a null id
+    stay.
     """
-    parts = jaccard_components(docs, id_col=id_col, **options).select(F.col(id_col).alias("id"), "component_id")
-    seen = parts.where("id is not null").groupBy("id").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("id") == F.col("component_id"), 0).otherwise(1)).alias("goes")
-    )
-    touched = checkpointed(seen.where("n > 1 or goes = 1").select(F.col("id").alias("__id"), "goes"))
-    marked = docs.sparkSession.sparkContext.broadcast(id_map(touched.select("__id")))
-
-    @F.pandas_udf("boolean")
-    def is_marked(at: pd.Series) -> pd.Series:
-        return pd.Series(marked.value.has(at.to_numpy().astype(np.uint64)))
-
-    may_go = F.col(id_col).isNotNull() & is_marked(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << OPEN_BITS)))
-    flagged = docs.withColumn("__may_go", may_go)
-    stays = flagged.where(~F.col("__may_go")).drop("__may_go")
-    asked = flagged.where("__may_go").drop("__may_go")
-    kept = asked.join(touched, F.col(id_col) == F.col("__id"), "left").where("goes is null or goes = 0")
-    return stays.union(kept.drop("__id", "goes").dropDuplicates([id_col]))
+    parts = jaccard_components(docs, id_col=id_col, **options)
+    kept = checkpointed(parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct())
+    stays = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    return stays.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

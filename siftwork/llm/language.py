@@ -253,6 +253,7 @@ def identify_rows(
                 [batch.column("row"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["row", "held_out", "lang_pred", "score"],
             )
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(label, f"row {row_type}, held_out boolean, lang_pred string, score double")
 

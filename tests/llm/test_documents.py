@@ -238,6 +238,7 @@ def test_jaccard_near_the_threshold(spark, monkeypatch):
     want = brute_components(texts)
     for chunk, common in ((1024, 32), (3, 4)):
         monkeypatch.setattr(jaccard, "GROUP_CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "CHUNK_QUERIES", 2 * chunk)
         monkeypatch.setattr(jaccard, "COMMON", common)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.jaccard_components(df))} == want
 

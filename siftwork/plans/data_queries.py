@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
-from siftwork.operators import evaluation, frames, monitor, similarity
+from siftwork.operators import decision, evaluation, frames, monitor, similarity
+from siftwork.plans import moderation
 from siftwork.plans.score_queries import PROMPTS
 from siftwork.plans.text_queries import count_sql
 from siftwork.plans.views import CLASSES, FRAMES_SQL, NORM_SQL, listed, posts, table
 from siftwork.plans.views import frames as frame_view
+from siftwork.sources import sinks
 from siftwork.streaming import streams
 
 QUERIES: dict = {}
@@ -311,3 +313,26 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+_MERGED = (
+    f"{_RUNS}, zero as (select video as v_id, adult_score as nsfw_score, adult_score, violence_self_harm_score, weapon_score, blood_score, child_safety_score, "
+    "least(1.0::double, unsafe_ratio * 1.5::double) as ensemble_risk_score, unsafe_ratio as video_unsafe_frame_ratio, longest_run::double as video_consecutive_unsafe_frames from videos)"
+)
+_READ = ("nsfw_score", "adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score", "ensemble_risk_score", "video_unsafe_frame_ratio", "video_consecutive_unsafe_frames")
+_ALL = ", ".join(k if k in _READ else f"0.0::double as {k}" for k in decision.CASCADE_KEYS)
+
+
+@query(f"with {_MERGED}, scored as (select v_id, {_ALL} from zero) select v_id as video, {decision.cascade_sql('rule')} as rule, {decision.cascade_sql('decision')} as decision, {decision.cascade_sql('code')} as code from scored")
+def video_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "video long, adult_score double, ensemble_risk_score double")
+    return moderation.moderate_videos(frame_view(spark, sf_dir), none).select("video", "rule", "decision", "code")
+
+
+@query(f"with {_LOG}, n as (select count(*)::double as requests, count(*) filter (event_type = 'error')::double as failed, max(value)::double as slowest from log) unpivot n on requests, failed, slowest into name metric value value")
+def mon_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the log as (metric, value) rows, as they are exported."""
+    totals = log(spark, sf_dir).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("value").alias("slowest")
+    )
+    return sinks.as_metrics(totals)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import detectors
 from siftwork.functions.text import joined, normalise
-from siftwork.operators import decision, fusion
+from siftwork.operators import decision, frames, fusion
+from siftwork.operators import detections as det
 
 #: Columns that a toxicity provider may add; those missing read as 0.
 TOXICITY = ("toxicity", "severe_toxicity", "obscene", "identity_attack", "insult", "threat", "sexual_explicit")
@@ -66,6 +67,49 @@ def moderate_documents(docs: DataFrame, text_col: str = "text", images_col: str
     return decision.report(scored, keys, F.col("norm") == "", more)
 
 
-def post_text(ocr, caption):
-    """Text read from an image and its caption as one post."""
-    return joined(ocr, caption)
+def moderate_images(images: DataFrame) -> DataFrame:
+    """Score, report and decide images from what models saw and read.
+
+    Columns: ``detections`` (array of class and confidence), ``prompts`` (map of prompt scores),
+    ``adult_score``, ``heritage_score``, ``ocr_text``, ``caption``, ``code_text`` (of machine-readable codes).
+    """
+    text = joined(F.col("ocr_text"), F.col("caption"))
+    df = images.withColumn("norm", normalise(text)).withColumn("seen", det.remapped(F.col("detections")))
+    harm = det.safety_scores(F.col("seen"), F.col("prompts")) | det.child_scores(F.col("seen"), F.col("prompts"))
+    df = df.withColumns(harm)
+    df = df.withColumns(fusion.protected({k: F.col(k) for k in harm}, F.col("heritage_score"), text))
+    promo = detectors.promo_scores(F.col("norm"))
+    promo["advertising_score"] = det.noisy_or(promo["advertising_score"], det.promotion_support(F.col("seen")))
+    with_codes = normalise(joined(F.col("ocr_text"), F.col("caption"), F.col("code_text")))
+    contact = detectors.contact_signals(text, with_codes)
+    contact |= {"marketing_keyword_count": contact.pop("marketing_words"), "course_promotion_score": contact.pop("course_score")}
+    df = df.withColumns(promo | contact | fusion.safety_text_scores(F.col("norm")))
+    df = df.withColumns(
+        {
+            "promotion_score": F.greatest("advertising_score", "affiliate_score", "social_media_score"),
+            "pii_score": detectors.pii_score(detectors.pii_flags(F.col("norm"))),
+            "content_quality_score": detectors.quality_score(F.col("norm")),
+            "qr_code_score": detectors.code_class(F.col("code_text"))["qr_code_score"],
+            "nsfw_score": F.col("adult_score"),
+        }
+    )
+    parts = [F.col(k) for k in ("adult_score", "child_safety_score", "violence_self_harm_score", "fraud_score", "weapon_score")]
+    df = df.withColumns(
+        {
+            "ensemble_risk_score": fusion.weighted_risk(fusion.IMAGE_WEIGHTS, *parts, F.col("heritage_score")),
+            "uncertainty_score": fusion.uncertainty(
+                [*parts, F.col("terrorism_score")], F.lit(0.5), F.lit(None).cast("string"), F.lit(None).cast("double")
+            ),
+        }
+    )
+    keys = [c for c in df.columns if c.endswith("_score")]
+    reported = decision.report(df, keys).withColumnRenamed("decision", "report_decision")
+    return decision.decide_cascade(reported).drop("norm", "seen")
+
+
+def moderate_videos(shots: DataFrame, transcripts: DataFrame, key: str = "video") -> DataFrame:
+    """Report and decide videos from the scores of their frames and of what is said."""
+    merged = frames.merge_transcript(frames.summarise(shots, key), transcripts, key)
+    keys = [c for c in merged.columns if c.endswith("_score")]
+    reported = decision.report(merged, keys).withColumnRenamed("decision", "report_decision")
+    return decision.decide_cascade(reported)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
-from siftwork.operators import decision, fusion
+from siftwork.operators import decision, fusion, prompts
 from siftwork.operators import detections as det
+from siftwork.plans import moderation
 from siftwork.plans.text_queries import clamp_sql
-from siftwork.plans.views import DETECTIONS_SQL, GRID_SQL, detections, quoted, score_grid, table
+from siftwork.plans.views import DETECTIONS_SQL, GRID_SQL, SPACE_SQL, detections, quoted, score_grid, table
 from siftwork.sources.uploads import batch_size, frame_rate, upload_status
 
 QUERIES: dict = {}
@@ -353,3 +354,90 @@ def rate_and_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     seconds = F.when(i % 9 != 0, (i % 2000).cast("double"))
     return table(spark, sf_dir, "orders").select(i.alias("item"), frame_rate(seconds).alias("fps"), batch_size(i % 70).alias("batch"))
+
+
+_NAMED = ("arts", "history", "stories")
+_LOGIT = lambda j, a: f"(((item * {a} + {j}) % 101)::double / 25.0::double - 2.0::double)"
+_SIG = lambda j, a: f"(1.0::double / (1.0::double + exp(-{_LOGIT(j, a)})))"
+_FUSED = {n: clamp_sql(f"{_SIG(j, 7)} * 0.50::double + {_SIG(j, 11)} * 0.25::double + {_SIG(j, 13) if n != 'stories' else '0.0::double'} * 0.25::double") for j, n in enumerate(_NAMED)}
+
+
+@query(
+    f"with {GRID_SQL}, f as (select item, {', '.join(f'{v} as {n}' for n, v in _FUSED.items())} from grid) select item, round(arts, 9) as arts, round(history, 9) as history, round(stories, 9) as stories, "
+    "round(greatest(arts, history, stories), 9) as best, case when arts >= history and arts >= stories then 'arts' when history >= stories then 'history' else 'stories' end as top_name from f"
+)
+def category_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category scores of image, read text and caption from logits; the caption lacks a category."""
+    i = F.col("item")
+
+    def logits(a: int, names=_NAMED):
+        return F.map_from_entries(F.array(*[F.struct(F.lit(n), ((i * a + j) % 101) / 25.0 - 2.0) for j, n in enumerate(names)]))
+
+    fused = prompts.fuse_categories(
+        prompts.sigmoid_map(logits(7)), prompts.sigmoid_map(logits(11)), prompts.sigmoid_map(logits(13, _NAMED[:2]))
+    )
+    df = score_grid(spark, sf_dir).select("item", fused.alias("c"))
+    return df.select(
+        "item", *[F.round(F.col("c")[n], 9).alias(n) for n in _NAMED], F.round(prompts.best_score(F.col("c")), 9).alias("best"),
+        prompts.top_entry(F.col("c"))["name"].alias("top_name"),
+    )
+
+
+@query(
+    f"with {GRID_SQL} select item, round(exp({_LOGIT(1, 3)}) / (exp({_LOGIT(0, 2)}) + exp({_LOGIT(1, 3)})), 9) as share, "
+    "round(case when item % 2 = 0 then weapon_score else 1.0::double - weapon_score end, 4) as abuse from grid"
+)
+def class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("item")
+    logits = F.array((i * 2 % 101) / 25.0 - 2.0, ((i * 3 + 1) % 101) / 25.0 - 2.0)
+    label = F.when(i % 2 == 0, "Abusive").otherwise("clean")
+    return score_grid(spark, sf_dir).select(
+        "item", F.round(prompts.softmax_share(logits, 1), 9).alias("share"),
+        prompts.abuse_score(label, F.col("weapon_score")).alias("abuse"),
+    )
+
+
+_STATES = ("loaded", "failed", "disabled", "not_loaded")
+
+
+@query(
+    f"with {GRID_SQL}, s as (select item, [{', '.join(quoted(x) for x in _STATES)}][item % 4 + 1] as live, [{', '.join(quoted(x) for x in _STATES)}][(item // 4) % 4 + 1] as tracked, item % 3 > 0 as warm, item % 101 as pct from grid) "
+    "select item, case when live = 'loaded' then 'loaded' when tracked = 'failed' or live = 'failed' then 'failed' when live = 'disabled' or tracked = 'disabled' then 'disabled' when not warm then 'lazy' else tracked end as state, "
+    "case when pct < 80 then 'healthy' when pct < 95 then 'warning' else 'offline' end as disk from s"
+)
+def component_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, names = F.col("item"), F.array(*[F.lit(x) for x in _STATES])
+    live = F.element_at(names, (i % 4 + 1).cast("int"))
+    tracked = F.element_at(names, (F.floor(i / 4) % 4 + 1).cast("int"))
+    return score_grid(spark, sf_dir).select(
+        "item", prompts.model_state(live, tracked, i % 3 > 0).alias("state"), prompts.resource_status(i % 101).alias("disk")
+    )
+
+
+@query(
+    "with b as (select page_id, case when page_id % 4 = 0 then 0.2 else 0.9 end as c, page_id % 9 = 0 as skip, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) as t from pages) "
+    f"select page_id, trim(regexp_replace(case when skip or c < 0.25 or t = '' then '' else t end || ' Extra', '{SPACE_SQL}', ' ', 'g')) as merged from b"
+)
+def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of recognised blocks: unsure and skipped ones go, and what repeats another in another case."""
+    i = F.col("page_id")
+    block = lambda html, c, skip: F.struct(html.alias("html"), c.alias("confidence"), skip.alias("skipped"))
+    blocks = F.array(
+        block(F.col("html"), F.when(i % 4 == 0, 0.2).otherwise(0.9), i % 9 == 0),
+        block(F.lit("<b>Extra</b>"), F.lit(0.5), F.lit(False)),
+        block(F.lit("EXTRA"), F.lit(0.5), F.lit(None).cast("boolean")),
+        block(F.lit("<i> </i>"), F.lit(0.9), F.lit(False)),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", prompts.merge_fragments(prompts.read_blocks(blocks)).alias("merged"))
+
+
+@query()
+def image_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole image path; its parts have SQL of their own."""
+    i = F.col("image")
+    df = _with_prompts(detections(spark, sf_dir)).select(
+        "image", "detections", "prompts", (((i * 29) % 101) / 100.0).alias("adult_score"), (((i * 31) % 101) / 100.0).alias("heritage_score"),
+        F.when(i % 3 == 0, "buy now at www.example.com").alias("ocr_text"), F.when(i % 5 == 0, "a temple at dawn").alias("caption"),
+        F.when(i % 7 == 0, "https://t.me/some").alias("code_text"),
+    )
+    return moderation.moderate_images(df).select("image", "overall_score", "risk_level", "report_decision", "rule", "decision", "code")

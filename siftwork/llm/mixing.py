@@ -242,3 +242,62 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _emitted(s: str, i: str, of: str = "") -> str:
+    """SQL of q[s] times the blocks that the fluid schedule has emitted at block i of source s."""
+    return f"list_sum(list_transform(range(1, len({of}q) + 1), lambda j: least({of}cap[j] * {of}q[{s}], {of}q[j] * ({i}))))::bigint"
+
+
+def _release_sql(s: str, i: str, of: str = "") -> str:
+    return f"({_emitted(s, f'{i} - 1', of)} // {of}q[{s}])"
+
+
+def _deadline_sql(s: str, i: str, of: str = "") -> str:
+    return f"(({_emitted(s, i, of)} + {of}q[{s}] - 1) // {of}q[{s}])"
+
+
+OP2_SQL = f"""
+with recursive keyed as (
+  select doc_id, source, case when source is null then '' else '=' || source end as k, md5(coalesce(doc_id::varchar, '')) as d from documents
+), counts as (
+  select k, count(*) as n_rows from keyed group by k
+), plan as (
+  select k, ((n_rows + {BLOCK_ROWS - 1}) // {BLOCK_ROWS})::bigint as nb,
+         greatest(1, round(pow(n_rows, 0.5) / (select sum(pow(n_rows, 0.5)) from counts) * {CYCLE_BLOCKS}))::bigint as q
+  from counts
+), src as (
+  select list(k order by k) as ks, list(nb order by k) as n, list(q order by k) as q from plan
+), kinds as (
+  select distinct unnest(list_concat([0::bigint], list_concat(list_transform(range(1, len(n) + 1), lambda i: n[i] // q[i]),
+         list_transform(range(1, len(n) + 1), lambda i: n[i] // q[i] + 1)))) as cyc from src
+), cycles as (
+  select *, list_sum(cap)::bigint as total from (
+    select cyc, ks, q, list_transform(range(1, len(n) + 1), lambda i: least(q[i], greatest(0, n[i] - cyc * q[i]))) as cap,
+           list_sum(list_transform(range(1, len(n) + 1), lambda i: least(n[i], cyc * q[i])))::bigint as start
+    from src, kinds)
+  where list_sum(cap) > 0
+), slots as (
+  select cyc, 0::bigint as t, list_transform(cap, lambda c: 0::bigint) as heads, 0::bigint as s, 0::bigint as h, cap, q, total from cycles
+  union all
+  select cyc, t + 1, list_transform(range(1, len(heads) + 1), lambda j: heads[j] + (j = p)::bigint), p, heads[p] + 1, cap, q, total
+  from (select *, list_min(list_transform(list_filter(range(1, len(q) + 1), lambda x: heads[x] < cap[x] and {_release_sql('x', 'heads[x] + 1')} <= t),
+                                          lambda x: {_deadline_sql('x', 'heads[x] + 1')} * 1000000 + x)) % 1000000 as p
+        from slots where t < total)
+), templates as (
+  select c.cyc, c.start, c.total, c.ks[x.s] as k, x.h - 1 as block_in_cycle, x.t - 1 as at_slot,
+         {_release_sql('x.s', 'x.h', 'c.')} as rel,
+         {_deadline_sql('x.s', 'x.h', 'c.')} as due
+  from slots x join cycles c on x.cyc = c.cyc where x.s > 0
+), ranked as (
+  select *, row_number() over (partition by k order by d, doc_id) - 1 as r from keyed
+), blocks as (
+  select doc_id, source, k, r // {BLOCK_ROWS} as block, (r % {BLOCK_ROWS})::int as seq, (r // {BLOCK_ROWS}) // q as cycle_no, (r // {BLOCK_ROWS}) % q as in_cycle
+  from ranked join plan using (k)
+), kinded as (
+  select *, (select max(cyc) from kinds where cyc <= cycle_no) as kind from blocks
+)
+select doc_id, source, block, start + (cycle_no - kind) * total + rel as release, start + (cycle_no - kind) * total + due as deadline,
+       start + (cycle_no - kind) * total + at_slot as slot, seq
+from kinded b join templates t on b.k = t.k and b.kind = t.cyc and b.in_cycle = t.block_in_cycle
+"""

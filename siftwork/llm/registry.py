@@ -7,7 +7,7 @@ from siftwork.llm.jaccard import op9_jaccard
 from siftwork.llm.language import op1_language
 from siftwork.llm.licences import OP8_SQL, op8_licences
 from siftwork.llm.lm_scoring import op7_lm_scoring
-from siftwork.llm.mixing import op2_mixing
+from siftwork.llm.mixing import OP2_SQL, op2_mixing
 from siftwork.llm.near_vectors import op4_near_vectors
 from siftwork.llm.sharding import op6_sharding
 from siftwork.llm.topk import OP5_SQL, op5_topk
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_mixing": OP2_SQL,
     "op5_topk": OP5_SQL,
     "op8_licences": OP8_SQL,
 }

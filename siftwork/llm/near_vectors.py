@@ -131,12 +131,10 @@ def _unit(column) -> np.ndarray:
 
 def _choose_pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """A bounded sample of the distinct vectors, by a hash of their ids, for each label and length."""
-    sizes = classes.groupBy("space").agg(F.count("*").alias("of"))
     total = classes.count()
     rate = min(1.0 / SHARD, PIVOTS / 2 / max(1, total))
     dice = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1_000_000_007)) / 1_000_000_007
     sample = classes.where(dice < rate).select("space", "embedding").limit(PIVOTS).toArrow()
-    del sizes
     pivots: dict[tuple[str, int], list] = {}
     spaces = sample.column("space").to_pylist()
     for i, space in enumerate(spaces):

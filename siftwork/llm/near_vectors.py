@@ -27,8 +27,13 @@ ALPHA = 1.2
 GREEDY_STEPS = 12
 #: The range search walks through vectors this far below the threshold.
 SLACK = 0.02
+#: Vectors that the first audit asks; it asks four times as many while they have fewer than ``AUDITED_LINKS``.
 AUDITED = 256
+AUDITED_LINKS = 1000
+AUDITED_MOST = 16_384
 RECALL = 0.9
+#: Overlap beyond which shards are given up and all vectors of a label are compared.
+OVERLAP_MOST = 24
 
 
 def robust_graph(vectors: np.ndarray) -> np.ndarray:
@@ -122,6 +127,30 @@ def range_search(
     return np.concatenate(found_q), np.concatenate(found_v)
 
 
+def all_pairs(vectors: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query, member) with inner product of at least ``least``, compared in blocks."""
+    found_q, found_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, len(queries), 256):
+        q, v = np.nonzero(queries[lo : lo + 256] @ vectors.T >= least)
+        found_q.append(q + lo)
+        found_v.append(v)
+    return np.concatenate(found_q), np.concatenate(found_v)
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes a node that the edges (a, b) connect it with, the same for all of a part."""
+    part = np.arange(n)
+    while len(a):
+        before = part.copy()
+        low = np.minimum(part[a], part[b])
+        np.minimum.at(part, a, low)
+        np.minimum.at(part, b, low)
+        part = part[part]
+        if (part == before).all():
+            break
+    return part
+
+
 def _unit(column) -> np.ndarray:
     x = matrix(column)
     # scaled first, so that squares neither overflow nor vanish
@@ -235,22 +264,19 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
             return empty
         asking = asks.column("rep").to_pylist()
         own_node = np.array([place.get(r, -1) for r in asking])
-        q, v = range_search(_unit(held.column("embedding")), graph, _unit(asks.column("embedding")), own_node, least)
+        vectors, queries = _unit(held.column("embedding")), _unit(asks.column("embedding"))
+        # a vector of another part has no node to enter at, so it is compared with all members
+        at_home, abroad = np.flatnonzero(own_node >= 0), np.flatnonzero(own_node < 0)
+        q, v = range_search(vectors, graph, queries[at_home], own_node[at_home], least)
+        far_q, far_v = all_pairs(vectors, queries[abroad], least)
+        q, v = np.concatenate([at_home[q], abroad[far_q]]), np.concatenate([v, far_v])
         other = own_node[q] != v
         q, v = q[other], v[other]
         weight = held.column("weight").to_numpy()
         counts = np.bincount(q, weight[v], len(asking)).astype(np.int64)
         # parts of what is connected here: a query stands at its node, or at a node of its own
         nodes = np.where(own_node >= 0, own_node, len(lists) + np.arange(len(asking)))
-        part = np.arange(len(lists) + len(asking))
-        while len(q):
-            before = part.copy()
-            low = np.minimum(part[nodes[q]], part[v])
-            np.minimum.at(part, nodes[q], low)
-            np.minimum.at(part, v, low)
-            part = part[part]
-            if (part == before).all():
-                break
+        part = _components(len(lists) + len(asking), nodes[q], v)
         ids = reps.to_pylist() + asking
         linked = np.unique(np.concatenate([nodes[q], v])) if len(q) else np.empty(0, np.int64)
         tied = linked[part[linked] != linked]
@@ -263,25 +289,88 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
     return own.union(others).groupBy(*keys).applyInArrow(search, f"rep {rep_type}, n_links long, root {rep_type}")
 
 
+def _exact_links(classes: DataFrame, least: float) -> DataFrame:
+    """As ``_links``, from all pairs of a space: its vectors are cut into blocks, and each pair of blocks meets in one group."""
+    rep_type = classes.schema["rep"].dataType.simpleString()
+    sizes = classes.groupBy(F.col("space").alias("of_space")).agg(F.ceil(F.count("*") / PART).cast("int").alias("n_blocks"))
+    placed = classes.join(sizes, F.col("space") == F.col("of_space")).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
+    )
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "space",
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        (F.col("block") <= F.col("other")).alias("first"),
+        "rep",
+        "weight",
+        "embedding",
+    )
+
+    def compare(key: tuple, data: pa.Table) -> pa.Table:
+        first = data.column("first").to_numpy(zero_copy_only=False)
+        units, weight = _unit(data.column("embedding")), data.column("weight").to_numpy()
+        asks = np.flatnonzero(first)
+        same = key[1].as_py() == key[2].as_py()
+        held = asks if same else np.flatnonzero(~first)
+        q, v = all_pairs(units[held], units[asks], least)
+        q, v = asks[q], held[v]
+        if same:
+            q, v = q[q < v], v[q < v]
+        n = len(data)
+        counts = (np.bincount(q, weight[v], n) + np.bincount(v, weight[q], n)).astype(np.int64)
+        part = _components(n, q, v)
+        some, tied = np.flatnonzero(counts), np.flatnonzero(part != np.arange(n))
+        reps = data.column("rep").combine_chunks()
+        return pa.table(
+            {
+                "rep": pa.concat_arrays([reps.take(pa.array(some)), reps.take(pa.array(tied))]),
+                "n_links": pa.array(np.concatenate([counts[some], np.zeros(len(tied), np.int64)])),
+                "root": pa.concat_arrays([pa.nulls(len(some), reps.type), reps.take(pa.array(part[tied]))]),
+            }
+        )
+
+    return dealt.groupBy("space", "low", "high").applyInArrow(compare, f"rep {rep_type}, n_links long, root {rep_type}")
+
+
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share of the links of a bounded sample of vectors that was found, against all vectors."""
-    sample = classes.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(AUDITED).toArrow()
-    if not len(sample):
+    """Share found of the links of a bounded sample of vectors, against all vectors: over all its links, or the mean
+    of its linked vectors' shares where that is lower."""
+    asked = AUDITED
+    while True:
+        true, got = _audited(classes, counted, least, asked)
+        total = sum(true.values())
+        if total >= AUDITED_LINKS or len(true) < asked or asked >= AUDITED_MOST:
+            break
+        asked = min(4 * asked, AUDITED_MOST)
+    if not total:
         return 1.0
+    shares = [min(got.get(r, 0), n) / n for r, n in true.items() if n]
+    return min(sum(min(got.get(r, 0), n) for r, n in true.items()) / total, sum(shares) / len(shares))
+
+
+def _audited(classes: DataFrame, counted: DataFrame, least: float, asked: int) -> tuple[dict, dict]:
+    """Links of each of ``asked`` vectors at most, by comparing them with all vectors, and the links found."""
+    sample = classes.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(asked).toArrow()
+    if not len(sample):
+        return {}, {}
     spaces, reps = np.array(sample.column("space").to_pylist(), object), sample.column("rep").to_pylist()
     rows = sample.column("embedding").combine_chunks()
     units = {s: (np.flatnonzero(spaces == s), _unit(rows.take(pa.array(np.flatnonzero(spaces == s))))) for s in dict.fromkeys(spaces.tolist())}
+    shared = classes.sparkSession.sparkContext.broadcast(units)
+    n_reps = len(reps)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(reps), np.int64)
+        total = np.zeros(n_reps, np.int64)
         for batch in batches:
             own = np.array(batch.column("space").to_pylist(), object)
-            for space in set(own.tolist()) & set(units):
+            for space in set(own.tolist()) & set(shared.value):
                 part = batch.filter(pa.array(own == space))
-                at, asked = units[space]
-                near = asked @ _unit(part.column("embedding")).T >= least
-                total[at] += near @ part.column("weight").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(reps))), pa.array(total)], ["at", "n"])
+                at, vectors = shared.value[space]
+                members, weight = _unit(part.column("embedding")), part.column("weight").to_numpy()
+                for lo in range(0, len(members), 256):
+                    near = vectors @ members[lo : lo + 256].T >= least
+                    total[at] += near @ weight[lo : lo + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_reps)), pa.array(total)], ["at", "n"])
 
     rep_type = classes.schema["rep"].dataType
     spark = classes.sparkSession
@@ -290,10 +379,9 @@ def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
     )
     own = {r: w for r, w in zip(reps, sample.column("weight").to_pylist(), strict=True)}
     true = {reps[r["at"]]: r["n"] - own[reps[r["at"]]] for r in truth.collect()}
-    asked = spark.createDataFrame([(r,) for r in reps], f"asked {rep_type.simpleString()}")
-    got = {r["rep"]: r["n_links"] for r in counted.join(asked, F.col("rep") == F.col("asked")).collect()}
-    total = sum(true.values())
-    return sum(min(got.get(r, 0), n) for r, n in true.items()) / total if total else 1.0
+    wanted = spark.createDataFrame([(r,) for r in reps], f"asked {rep_type.simpleString()}")
+    got = {r["rep"]: r["n_links"] for r in counted.join(wanted, F.col("rep") == F.col("asked")).collect()}
+    return true, got
 
 
 def near_vectors(
@@ -305,9 +393,10 @@ def near_vectors(
     each vector belongs to the shards of its ``OVERLAP`` nearest pivots, and a large shard is cut into
     parts. Each part builds a robust-pruned graph; a vector's neighbour lists from all its shards are
     united. In the part of its nearest pivot (and all parts of that shard) a vector runs a greedy search
-    from the medoid that expands through the range. What is returned was verified in double precision,
-    so no link is false. The recall is audited against all vectors for a sample; below ``RECALL`` the
-    overlap doubles and the search is run again.
+    from the medoid that expands through the range; with other parts of its shard it is compared member by
+    member. What is returned was verified in double precision, so no link is false. The recall is audited
+    against all vectors for a sample, by link and by vector; below ``RECALL`` the overlap doubles and the
+    search is run again. Where ``OVERLAP_MOST`` misses it too, all vectors of a label are compared in blocks.
 
     Returns one row per input row: id, ``n_links`` (other rows linked directly), ``component_id`` (smallest
     id reached, its own included), ``kept`` (id = component_id). A vector that is null, zero or empty or
@@ -336,9 +425,10 @@ def near_vectors(
     pivots = context.broadcast(_choose_pivots(named))
     overlap = OVERLAP
     while True:
-        found = checkpointed(_links(named, pivots, overlap, least))
+        exact = overlap > OVERLAP_MOST
+        found = checkpointed(_exact_links(named, least) if exact else _links(named, pivots, overlap, least))
         counted = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-        if overlap > 16 or _audit(named, counted, least) >= RECALL:
+        if exact or _audit(named, counted, least) >= RECALL:
             break
         overlap *= 2
     parts = connected_components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -100,6 +100,33 @@ def brute_top(data, k=5, every=50):
     return {(q, n + 1, i, -s) for q, scored in out.items() for n, (s, i) in enumerate(sorted(scored)[:k])}
 
 
+def test_all_vectors_are_compared_where_the_last_overlap_misses(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 8))
+    data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    # so many shards that 24 of them hold a part of a vector's links only, and several blocks
+    monkeypatch.setattr(near_vectors, "SHARD", 4)
+    monkeypatch.setattr(near_vectors, "PART", 200)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    links, root = brute_links(data, 0.3)
+    found = rows(near_vectors.near_vectors(df, 0.3))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(i, links[i], root(i)) for i in range(len(data))]
+
+
+def test_parts_of_a_shard_find_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    # islands: clusters of 60 in their part, none near its medoid
+    x = np.repeat(rng.normal(size=(20, 16)), 120, 0) + rng.normal(scale=0.01, size=(2400, 16))
+    data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    monkeypatch.setattr(near_vectors, "SHARD", 10_000_000)
+    monkeypatch.setattr(near_vectors, "PART", 1200)
+    monkeypatch.setattr(near_vectors, "RECALL", 0.0)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    links, root = brute_links(data)
+    found = rows(near_vectors.near_vectors(df))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(i, links[i], root(i)) for i in range(len(data))]
+
+
 def test_topk_traps(traps):
     good = [(r["vec_id"], r["embedding"]) for r in rows(traps) if r["vec_id"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
     found = rows(topk.top_k(traps.where("vec_id is null or vec_id <> 50")))

@@ -11,6 +11,8 @@ WIDTH = 16
 #: Classes of subwords that the model predicts, and frequent subwords with an input row of their own.
 CLASSES = 96
 OWN_ROWS = 1024
+#: The most frequent subwords, which count as neighbours of their own.
+COMMON = 512
 LEARNING_RATE = 0.01
 WINDOWS_A_STEP = 256
 CAP = 60.0
@@ -190,30 +192,25 @@ class Attention:
         return np.bincount(of, totals, len(lengths))
 
 
-def subword_classes(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, classes: int, seed: int = 3) -> np.ndarray:
-    """A class for each id: ids whose neighbours are alike share one (k-means on spectral coordinates).
+def neighbours(ids: np.ndarray, lengths: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, side) for the neighbours of each id in its sequence: the column of the one before, that of the one after + 513.
 
-    Neighbours are the 512 most frequent ids (others count together). Ids that the sample lacks form a
-    class of their own.
+    ``column`` numbers the ``COMMON`` most frequent ids; others count together as ``COMMON``.
     """
-    size = len(counts)
-    common = np.argsort(-counts, kind="stable")[:512]
-    column = np.full(size, 512)
-    column[common] = np.arange(512)
     inner = np.ones(len(ids), bool)
     inner[np.cumsum(lengths)[:-1]] = False  # first of a sequence, but for the very first
     left, right = ids[:-1][inner[1:]], ids[1:][inner[1:]]
-    present = np.flatnonzero(np.bincount(ids, minlength=size) > 0)
-    place = np.full(size, -1)
-    place[present] = np.arange(len(present))
-    table = np.zeros((len(present), 2 * 513), np.float32)
-    np.add.at(table, (place[right], column[left]), 1)
-    np.add.at(table, (place[left], 513 + column[right]), 1)
-    weight = np.bincount(place[ids], minlength=len(present)).astype(np.float32)
-    table = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
-    table -= (table * weight[:, None]).sum(0) / weight.sum()
-    _, vectors = np.linalg.eigh((table * weight[:, None]).T @ table)
-    points = table @ vectors[:, -24:]
+    return np.concatenate([right, left]), np.concatenate([column[left], COMMON + 1 + column[right]])
+
+
+def subword_classes(points: np.ndarray, counts: np.ndarray, classes: int, seed: int = 3) -> np.ndarray:
+    """A class for each id: ids whose neighbours are alike share one (k-means on spectral coordinates).
+
+    Ids that the texts lack form a class of their own.
+    """
+    size = len(counts)
+    present = np.flatnonzero(counts > 0)
+    points, weight = points[present], counts[present].astype(float)
     k = min(classes - 1, len(present))
     rng = np.random.default_rng(seed)
     centres = points[rng.choice(len(points), k, replace=False, p=weight / weight.sum())]

@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.attention import CLASSES, OWN_ROWS, Attention, subword_classes
+from siftwork.llm.attention import CLASSES, COMMON, OWN_ROWS, Attention, neighbours, subword_classes
 from siftwork.llm.bpe import encoder, in_chunks, ragged
 from siftwork.llm.common import checkpointed, small_batches, table, train_split
 from siftwork.llm.shingles import mix, word_hashes
 
-#: Bytes of training text that the driver's first fit sees, about.
+#: Bytes of training text from which the driver takes the weights that training starts with, about.
 FIT_BYTES = 4_000_000
-#: Share of the training texts, by a hash of the id, on which every task goes on training.
-TRAINED_SHARE = 1 / 48
+#: Subwords whose neighbourhood is summed in one group.
+BUCKETS = 16
 #: Word counts that every task gets: those of the most frequent words, this many at most (16 MB).
 SHARED_WORDS = 1 << 20
 REMEMBERED = 2_000_000
@@ -144,16 +144,102 @@ def corpus_counts(train: DataFrame, of: np.ndarray, path: str, pattern: str) ->
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _summed(texts: DataFrame, keys_of, path: str, pattern: str) -> DataFrame:
+    """(key, n) over all texts: how often ``keys_of(ids, lengths)`` names each key."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = words_of(path, pattern), [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+        def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+        for batch in batches:
+            some = batch.column("text").to_pylist()
+            for lo, hi in in_chunks(some, CHUNK_CHARS):
+                *_, ids, lengths = words.split(some[lo:hi])
+                held.append(np.unique(keys_of(ids, lengths).astype(np.int64), return_counts=True))
+                size += len(held[-1][0])
+                if size > 3_000_000:
+                    held[:] = [added()]
+                    if len(held[0][0]) > 1_500_000:
+                        yield packed(*held.pop())
+                    size = sum(len(k) for k, _ in held)
+        if held:
+            yield packed(*added())
+
+    return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def subword_counts(train: DataFrame, path: str, pattern: str) -> np.ndarray:
+    """How often each id stands in the training texts, starts and ends included."""
+    found = _summed(train, lambda ids, lengths: ids, path, pattern).toArrow()  # bounded by the vocabulary
+    counts = np.zeros(words_of(path, pattern).end + 1, np.int64)
+    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
+    """Coordinates of each id, from its neighbours in all training texts: zeros where it has none.
+
+    The driver gets one matrix of neighbours by neighbours from each bucket of ids, and the coordinates.
+    """
+    column = np.full(len(counts), COMMON)
+    common = np.argsort(-counts, kind="stable")[:COMMON]
+    column[common] = np.arange(len(common))
+    wide, context = 2 * (COMMON + 1), train.sparkSession.sparkContext
+    shared = context.broadcast((column, counts))
+
+    def keys_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        at, side = neighbours(ids, lengths, shared.value[0])
+        return at.astype(np.int64) * wide + side
+
+    near = checkpointed(
+        _summed(train, keys_of, path, pattern).select(F.expr(f"cast(key div {wide} as int)").alias("id"), F.expr(f"cast(key % {wide} as int)").alias("side"), "n")
+    )
+
+    def table_of(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, place = np.unique(data.column("id").to_numpy(), return_inverse=True)
+        out = np.zeros((len(ids), wide))
+        out[place, data.column("side").to_numpy()] = data.column("n").to_numpy()
+        return ids, np.sqrt(out / out.sum(1, keepdims=True))
+
+    def gram(key: tuple, data: pa.Table) -> pa.Table:
+        ids, table = table_of(data)
+        weight = shared.value[1][ids][:, None]
+        return pa.table({"gram": [((table * weight).T @ table).tobytes()], "sums": [(table * weight).sum(0).tobytes()]})
+
+    bucket = F.expr(f"id % {BUCKETS}")
+    total, sums = np.zeros((wide, wide)), np.zeros(wide)
+    for r in near.groupBy(bucket).applyInArrow(gram, "gram binary, sums binary").toLocalIterator():
+        total += np.frombuffer(r["gram"]).reshape(wide, wide)
+        sums += np.frombuffer(r["sums"])
+    mean = sums / max(1, counts.sum())
+    _, vectors = np.linalg.eigh(total - counts.sum() * np.outer(mean, mean))
+    axes = context.broadcast((mean, vectors[:, -24:]))
+
+    def project(key: tuple, data: pa.Table) -> pa.Table:
+        ids, table = table_of(data)
+        points = (table - axes.value[0]) @ axes.value[1]
+        return pa.table({"id": pa.array(ids, pa.int32()), "point": [p.tobytes() for p in points]})
+
+    found = near.groupBy(bucket).applyInArrow(project, "id int, point binary").orderBy("id").toArrow()
+    points = np.zeros((len(counts), 24))
+    if len(found):
+        points[found.column("id").to_numpy()] = np.frombuffer(b"".join(found.column("point").to_pylist())).reshape(-1, 24)
+    return points
+
+
 def first_fit(train: DataFrame, path: str, pattern: str) -> Attention:
-    """Classes of subwords and first weights, from a bounded sample of the training texts."""
-    total = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dice = F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(1_000_000)) / 1_000_000
-    sample = train.where(dice < FIT_BYTES / max(1, total)).select("id", "text").orderBy("id").toArrow()
-    texts = sample.column("text").to_pylist() or [""]
+    """Classes and rows of subwords from all training texts; the weights to start with from a bounded sample of them."""
     words = words_of(path, pattern)
-    *_, ids, lengths = words.split(texts)
-    counts = np.bincount(ids, minlength=words.end + 1)
-    of = subword_classes(ids, lengths, counts, CLASSES)
+    counts = subword_counts(train, path, pattern)
+    if not counts.any():
+        counts[words.end] = 2
+    of = subword_classes(spectral_points(train, counts, path, pattern), counts, CLASSES)
     row = of.copy()  # an id without a row of its own uses its class's
     often = np.argsort(-counts, kind="stable")[:OWN_ROWS]
     often = often[counts[often] > 0]
@@ -162,6 +248,10 @@ def first_fit(train: DataFrame, path: str, pattern: str) -> Attention:
     # start at the classes' frequencies
     share = np.bincount(of, counts + 0.1, int(of.max()) + 1)
     model.skip += np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
+    total = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dice = F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(1_000_000)) / 1_000_000
+    sample = train.where(dice < FIT_BYTES / max(1, total)).select("id", "text").orderBy("id").toArrow()
+    *_, ids, lengths = words.split(sample.column("text").to_pylist() or [""])
     model.train(ids, lengths, passes=4)
     return model
 
@@ -182,10 +272,9 @@ def emissions(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def trained(train: DataFrame, model: Attention, path: str, pattern: str) -> Attention:
-    """Go on training in every task on its share of the texts, then average the weights by tokens."""
+    """Go on training in every task on all its texts, then average the weights by tokens."""
     context = train.sparkSession.sparkContext
     shared = context.broadcast(model)
-    dice = F.pmod(F.xxhash64("id", F.lit("more")), F.lit(1_000_000)) / 1_000_000
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path, pattern)
@@ -215,8 +304,7 @@ def trained(train: DataFrame, model: Attention, path: str, pattern: str) -> Atte
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["part", "weights"])
 
     rows = (
-        train.where(dice < TRAINED_SHARE)
-        .select("text")
+        train.select("text")
         .mapInArrow(go_on, "part int, weights binary, tokens long")
         .groupBy("part")
         .applyInArrow(average, "part int, weights binary")
@@ -237,9 +325,9 @@ def score_texts(
     The model reads the subword ids of each lower-cased word in turn. It predicts the class of the next id
     by one layer of causal attention over a window and multiplies by the id's share of its class after the
     class before. The shares are counted over all training texts. Windows overlap: each scores ``SCORED`` ids and sees
-    ``BEFORE`` more, so every id is scored once. Classes and first weights come from a bounded sample
-    (``FIT_BYTES``); then every task trains on ``TRAINED_SHARE`` of its training texts and the weights
-    are averaged.
+    ``BEFORE`` more, so every id is scored once. Classes come from the neighbours of each id in all training
+    texts. Training starts at weights fitted on ``FIT_BYTES``; then every task trains on all its training
+    texts and the weights are averaged.
 
     The base is a unigram over words and one end: log10((c + 0.1) / (N + 0.1 (V + 1))). Words are compared
     by a 64-bit hash. The counts of the most frequent words go to all tasks; rarer words of a text are

@@ -314,6 +314,21 @@ def test_language_model(docs, spark, sf_dir):
     assert lm_scoring.score_texts(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_language_model_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FIT_BYTES", 0)
+    texts = [(i, f"{a} was {b} when {a} met {b}") for i, (a, b) in enumerate([("winter", "lonely"), ("sommer", "einsam"), ("verano", "solitario")])]
+    train = spark.createDataFrame(texts, "id long, text string")
+    model = lm_scoring.first_fit(train, VOCABULARY, public_tokenizers.PATTERN)
+    *_, ids, _ = lm_scoring.words_of(VOCABULARY, public_tokenizers.PATTERN).split([t for _, t in texts])
+    assert (model.of[ids] < model.classes - 1).all()
+    assert len(set(model.of[ids])) > 2
+    before = [w.copy() for w in model.weights()]
+    for i, _ in texts:
+        model.set_weights([w.copy() for w in before])
+        after = lm_scoring.trained(train.where(F.col("id") == i), model, VOCABULARY, public_tokenizers.PATTERN).weights()
+        assert any((a != b).any() for a, b in zip(before, after, strict=True))
+
+
 def test_windows_score_each_token_once_and_see_no_later_one():
     lengths = np.array([1, 2, 17, 40, 33])
     seen, scored, of, inside = windows(lengths)

@@ -32,6 +32,9 @@ AUDITED = 256
 AUDITED_LINKS = 1000
 AUDITED_MOST = 16_384
 RECALL = 0.9
+#: Either links of ``rep`` within a group; or a node ``root`` that it is connected with; or a pair, which may repeat,
+#: of ``rep`` and the larger ``pair``, with the links that it gives each.
+LINK_COLUMNS = "rep {0}, n_links long, root {0}, pair {0}, pair_links long"
 #: Overlap beyond which shards are given up and all vectors of a label are compared.
 OVERLAP_MOST = 24
 
@@ -209,7 +212,11 @@ def _assign(classes: DataFrame, pivots, overlap: int) -> DataFrame:
 
 
 def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
-    """(rep, n_links, root): links of each distinct vector and a node that its part connects it with."""
+    """Rows (rep, n_links, root, pair, pair_links), see ``LINK_COLUMNS``, from the shards of the nearest pivots.
+
+    Vectors of one primary shard meet in one group, which credits both ends of their pairs. A pair of two
+    primary shards may be found from one end or from both, so it is a row of its own.
+    """
     rep_type = classes.schema["rep"].dataType.simpleString()
     shards = checkpointed(_assign(classes, pivots, overlap))
     parts = shards.groupBy("space", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("n_parts"))
@@ -235,20 +242,20 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
     members = placed.join(graph, F.col("rep") == F.col("node")).select(
         *keys, "n_parts", "primary", "rep", "weight", "embedding", "near"
     )
-    own = members.select(*keys, "primary", F.lit(True).alias("member"), "rep", "weight", "embedding", "near")
+    own = members.select(*keys, "primary", F.lit(True).alias("member"), F.col("part").alias("home"), "rep", "weight", "embedding", "near")
     # where a shard has several parts, its vectors ask the other parts too
     others = (
         members.where("primary and n_parts > 1")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
         .where("other <> part")
         .select(
-            "space", "cell", F.col("other").alias("part"), "primary", F.lit(False).alias("member"),
+            "space", "cell", F.col("other").alias("part"), "primary", F.lit(False).alias("member"), F.col("part").alias("home"),
             "rep", "weight", "embedding", F.expr(f"cast(array() as array<{rep_type}>)").alias("near"),
         )
     )
 
     def search(key: tuple, data: pa.Table) -> pa.Table:
-        empty = pa.table({"rep": data.column("rep")[:0], "n_links": pa.array([], pa.int64()), "root": data.column("rep")[:0]})
+        empty = _link_rows(data.column("rep").type)
         is_member = data.column("member").to_numpy(zero_copy_only=False)
         if not is_member.any():
             return empty
@@ -272,21 +279,52 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
         q, v = np.concatenate([at_home[q], abroad[far_q]]), np.concatenate([v, far_v])
         other = own_node[q] != v
         q, v = q[other], v[other]
-        weight = held.column("weight").to_numpy()
-        counts = np.bincount(q, weight[v], len(asking)).astype(np.int64)
         # parts of what is connected here: a query stands at its node, or at a node of its own
         nodes = np.where(own_node >= 0, own_node, len(lists) + np.arange(len(asking)))
-        part = _components(len(lists) + len(asking), nodes[q], v)
+        n = len(lists) + len(asking)
         ids = reps.to_pylist() + asking
-        linked = np.unique(np.concatenate([nodes[q], v])) if len(q) else np.empty(0, np.int64)
-        tied = linked[part[linked] != linked]
-        rows_rep = asking + [ids[i] for i in tied]
-        rows_n = counts.tolist() + [0] * len(tied)
-        rows_root = [None] * len(asking) + [ids[part[i]] for i in tied]
-        kind = reps.type
-        return pa.table({"rep": pa.array(rows_rep, kind), "n_links": pa.array(rows_n, pa.int64()), "root": pa.array(rows_root, kind)})
+        weight = np.concatenate([held.column("weight").to_numpy(), asks.column("weight").to_numpy()])
+        a, b = nodes[q], v
+        part = _components(n, a, b)
+        tied = np.flatnonzero(part != np.arange(n))
+        # pairs of one primary shard: once here, and of two parts only where the lower one asks
+        both = held.column("primary").to_numpy(zero_copy_only=False)[v]
+        lower = (own_node[q] >= 0) | (asks.column("home").to_numpy()[q] < key[2].as_py())
+        inner = np.unique(np.minimum(a, b)[both & lower] * n + np.maximum(a, b)[both & lower])
+        low, high = inner // n, inner % n
+        counts = (np.bincount(low, weight[high], n) + np.bincount(high, weight[low], n)).astype(np.int64)
+        return _link_rows(
+            reps.type,
+            [(ids[i], counts[i]) for i in np.flatnonzero(counts)],
+            [(ids[i], ids[part[i]]) for i in tied],
+            [
+                (ids[i], weight[j], ids[j], weight[i]) if ids[i] < ids[j] else (ids[j], weight[i], ids[i], weight[j])
+                for i, j in zip(a[~both].tolist(), b[~both].tolist(), strict=True)
+            ],
+        )
+
+    return own.union(others).groupBy(*keys).applyInArrow(search, LINK_COLUMNS.format(rep_type))
+
 
-    return own.union(others).groupBy(*keys).applyInArrow(search, f"rep {rep_type}, n_links long, root {rep_type}")
+def _link_rows(kind: pa.DataType, links: list[tuple] = (), tied: list[tuple] = (), pairs: list[tuple] = ()) -> pa.Table:
+    """The rows of ``LINK_COLUMNS``: (rep, links), (rep, root) and (rep, links, pair, links)."""
+    rows = [(r, n, None, None, None) for r, n in links] + [(r, 0, t, None, None) for r, t in tied]
+    rows += [(r, n, None, p, m) for r, n, p, m in pairs]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [kind, pa.int64(), kind, kind, pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rep", "n_links", "root", "pair", "pair_links"])
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """(rep, n_links): links within groups, and of each pair of two primary shards once, at both ends."""
+    pairs = found.where("pair is not null").groupBy("rep", "pair").agg(F.max("n_links").alias("n"), F.max("pair_links").alias("m"))
+    ends = pairs.select(F.explode(F.array(F.struct("rep", "n"), F.struct(F.col("pair").alias("rep"), F.col("m").alias("n")))).alias("end"))
+    return (
+        found.where("pair is null").select("rep", "n_links")
+        .union(ends.select("end.rep", "end.n"))
+        .groupBy("rep")
+        .agg(F.sum("n_links").alias("n_links"))
+    )
 
 
 def _exact_links(classes: DataFrame, least: float) -> DataFrame:
@@ -319,17 +357,15 @@ def _exact_links(classes: DataFrame, least: float) -> DataFrame:
         n = len(data)
         counts = (np.bincount(q, weight[v], n) + np.bincount(v, weight[q], n)).astype(np.int64)
         part = _components(n, q, v)
-        some, tied = np.flatnonzero(counts), np.flatnonzero(part != np.arange(n))
-        reps = data.column("rep").combine_chunks()
-        return pa.table(
-            {
-                "rep": pa.concat_arrays([reps.take(pa.array(some)), reps.take(pa.array(tied))]),
-                "n_links": pa.array(np.concatenate([counts[some], np.zeros(len(tied), np.int64)])),
-                "root": pa.concat_arrays([pa.nulls(len(some), reps.type), reps.take(pa.array(part[tied]))]),
-            }
+        tied = np.flatnonzero(part != np.arange(n))
+        reps = data.column("rep").to_pylist()
+        return _link_rows(
+            data.column("rep").type,
+            [(reps[i], counts[i]) for i in np.flatnonzero(counts)],
+            [(reps[i], reps[part[i]]) for i in tied],
         )
 
-    return dealt.groupBy("space", "low", "high").applyInArrow(compare, f"rep {rep_type}, n_links long, root {rep_type}")
+    return dealt.groupBy("space", "low", "high").applyInArrow(compare, LINK_COLUMNS.format(rep_type))
 
 
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
@@ -427,7 +463,7 @@ def near_vectors(
     while True:
         exact = overlap > OVERLAP_MOST
         found = checkpointed(_exact_links(named, least) if exact else _links(named, pivots, overlap, least))
-        counted = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+        counted = _counted(found)
         if exact or _audit(named, counted, least) >= RECALL:
             break
         overlap *= 2

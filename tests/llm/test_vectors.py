@@ -127,6 +127,23 @@ def test_parts_of_a_shard_find_each_other(spark, monkeypatch):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(i, links[i], root(i)) for i in range(len(data))]
 
 
+def test_a_found_pair_counts_at_both_ends(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    monkeypatch.setattr(near_vectors, "SHARD", 4)
+    monkeypatch.setattr(near_vectors, "RECALL", 0.0)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    links, _ = brute_links(data, 0.8)
+    found = rows(near_vectors.near_vectors(df, 0.8))
+    sizes = defaultdict(int)
+    for r in found:
+        sizes[r["component_id"]] += 1
+        assert r["n_links"] <= links[r["vec_id"]]
+    assert max(sizes.values()) > 1
+    assert all((r["n_links"] > 0) == (sizes[r["component_id"]] > 1) for r in found)
+    assert sum(r["n_links"] for r in found) % 2 == 0
+
+
 def test_topk_traps(traps):
     good = [(r["vec_id"], r["embedding"]) for r in rows(traps) if r["vec_id"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
     found = rows(topk.top_k(traps.where("vec_id is null or vec_id <> 50")))

@@ -17,7 +17,7 @@ from siftwork.llm.shingles import mix, word_hashes
 #: Bytes of training text from which the driver takes the weights that training starts with, about.
 FIT_BYTES = 4_000_000
 #: Subwords whose neighbourhood is summed in one group.
-BUCKETS = 16
+BUCKETS = 8
 #: Word counts that every task gets: those of the most frequent words, this many at most (16 MB).
 SHARED_WORDS = 1 << 20
 REMEMBERED = 2_000_000
@@ -185,7 +185,7 @@ def subword_counts(train: DataFrame, path: str, pattern: str) -> np.ndarray:
 def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
     """Coordinates of each id, from its neighbours in all training texts: zeros where it has none.
 
-    The driver gets one matrix of neighbours by neighbours from each bucket of ids, and the coordinates.
+    The driver gets one matrix of neighbours by neighbours (8 MB), summed over buckets of ids, and the coordinates.
     """
     column = np.full(len(counts), COMMON)
     common = np.argsort(-counts, kind="stable")[:COMMON]
@@ -210,13 +210,19 @@ def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: st
     def gram(key: tuple, data: pa.Table) -> pa.Table:
         ids, table = table_of(data)
         weight = shared.value[1][ids][:, None]
-        return pa.table({"gram": [((table * weight).T @ table).tobytes()], "sums": [(table * weight).sum(0).tobytes()]})
+        whole = np.vstack([(table * weight).T @ table, (table * weight).sum(0)])
+        return pa.table({"line": pa.array(range(wide + 1), pa.int32()), "gram": [x.tobytes() for x in whole]})
+
+    def add(key: tuple, data: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(x) for x in data.column("gram").to_pylist()], axis=0)
+        return pa.table({"line": pa.array([key[0].as_py()], pa.int32()), "gram": [whole.tobytes()]})
 
     bucket = F.expr(f"id % {BUCKETS}")
-    total, sums = np.zeros((wide, wide)), np.zeros(wide)
-    for r in near.groupBy(bucket).applyInArrow(gram, "gram binary, sums binary").toLocalIterator():
-        total += np.frombuffer(r["gram"]).reshape(wide, wide)
-        sums += np.frombuffer(r["sums"])
+    total = np.zeros((wide + 1, wide))
+    lines = near.groupBy(bucket).applyInArrow(gram, "line int, gram binary").groupBy("line").applyInArrow(add, "line int, gram binary")
+    for r in lines.collect():
+        total[r["line"]] = np.frombuffer(r["gram"])
+    total, sums = total[:-1], total[-1]
     mean = sums / max(1, counts.sum())
     _, vectors = np.linalg.eigh(total - counts.sum() * np.outer(mean, mean))
     axes = context.broadcast((mean, vectors[:, -24:]))

@@ -19,9 +19,10 @@ from siftwork.llm.mixing import mixed_documents
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language can't be told: null, empty, or without a letter.
 
-    Every other text is code-length scored; it stays whatever its language, and keeps its label.
+    Every other text is code-length scored; it stays whatever its language, and keeps its label. Where no
+    row is labelled no language can be learnt, and every text with a letter stays.
     """
-    return identify_rows(docs).where(F.col("lang_pred") != "und").select("row.*")
+    return identify_rows(docs).where("letter").select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

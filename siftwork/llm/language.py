@@ -234,7 +234,10 @@ def identify_rows(
     fit_bytes: int = FIT_BYTES,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """As ``identify_languages``, with the input's columns (all, or those named) in a struct ``row``."""
+    """As ``identify_languages``, with the input's columns (all, or those named) in a struct ``row``.
+
+    ``letter`` tells whether the text holds one: where nothing could be learnt, such a text is ``und`` too.
+    """
     small_batches(docs.sparkSession)
     trees = fit(docs, id_col, text_col, lang_col, folds, fit_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
@@ -248,14 +251,16 @@ def identify_rows(
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores = model.predict(batch.column("__text").to_pylist())
+            texts = batch.column("__text").to_pylist()
+            names, scores = model.predict(texts)
+            letters = [bool(t and _LETTER.search(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["row", "held_out", "lang_pred", "score"],
+                [batch.column("row"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+                ["row", "held_out", "lang_pred", "score", "letter"],
             )
         pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(label, f"row {row_type}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(label, f"row {row_type}, held_out boolean, lang_pred string, score double, letter boolean")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

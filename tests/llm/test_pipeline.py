@@ -38,6 +38,13 @@ def test_stages_keep_the_columns_on_traps_and_on_nothing(spark, docs, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() == df.count()
 
 
+def test_texts_without_labels_stay(spark, docs, sf_dir):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = rows(corpus_pipeline.known_language(spark, bare, sf_dir).select("doc_id", "text"))
+    want = [(r["doc_id"], r["text"]) for r in rows(bare) if r["text"] and any(c.isalpha() for c in r["text"])]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+
+
 def test_files_hold_the_mix_in_order(spark, docs):
     laid = written(mixing.mixed_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"])))
     placed = laid.select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k")).collect()

@@ -12,6 +12,7 @@ from siftwork.functions.text import capped_score, clamp, has_any, normalise, phr
 EMAIL = r"(?i)(^|[^\p{L}\p{N}_])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}($|[^\p{L}\p{N}_])"
 PHONE = r"(^|[^0-9])(\+?91[\s-]?)?[6-9][0-9]{4}[\s-]?[0-9]{5}($|[^0-9])"
 AADHAAR = r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}"
+AADHAAR_ALONE = r"(?<![0-9])" + AADHAAR + r"(?![0-9])"
 PAN = r"(?i)(^|[^\p{L}\p{N}_])[a-z]{5}[0-9]{4}[a-z]($|[^\p{L}\p{N}_])"
 PASSPORT = r"(?i)(^|[^\p{L}\p{N}_])[a-z][0-9]{7}($|[^\p{L}\p{N}_])"
 UPI = r"(?i)(^|[^\p{L}\p{N}_])[a-z0-9._-]{2,}@[a-z]{2,}($|[^\p{L}\p{N}_])"
@@ -62,9 +63,7 @@ def _aadhaar_digits(candidate: Column) -> Column:
 
 def pii_flags(text: Column) -> dict[str, Column]:
     """Which kinds of personal data a collapsed text holds."""
-    # runs of digits and their separators are maximal, so a twelve-digit one stands alone
-    runs = F.regexp_extract_all(text, F.lit(r"[0-9][0-9 \t-]*[0-9]"), F.lit(0))
-    grouped = F.exists(runs, lambda r: r.rlike("^" + AADHAAR + "$") & _aadhaar_digits(r))
+    grouped = F.exists(F.regexp_extract_all(text, F.lit(AADHAAR_ALONE), F.lit(0)), _aadhaar_digits)
     account = F.exists(
         F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)),
         lambda d: F.length(d).between(9, 18) & ~_aadhaar_digits(d),

@@ -88,6 +88,21 @@ def test_personal_data(spark, value, kind, expected):
     assert one(spark, lambda c: detectors.pii_flags(c)[kind], value) is expected
 
 
+@pytest.mark.parametrize(
+    "value, expected",
+    [
+        ("2345 6789 0123 9876543210", True),
+        ("call 9876543210 2345-6789-0123 now", True),
+        ("rows 12 2345 6789 0123 7", True),
+        ("12345 6789 0123", False),
+        ("2345 6789 01234", False),
+        ("1345 6789 0123 2", False),
+    ],
+)
+def test_aadhaar_beside_other_numbers(spark, value, expected):
+    assert one(spark, lambda c: detectors.pii_flags(c)["aadhaar"], value) is expected
+
+
 @pytest.mark.parametrize("gap, expected", [(4, True), (5, False)])
 def test_proximity(spark, gap, expected):
     value = "boycott " + "x " * (gap - 1) + "muslim"

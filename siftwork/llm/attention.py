@@ -6,62 +6,77 @@ import numpy as np
 
 #: Tokens that one window scores, and tokens before them that it also sees.
 SCORED = 16
-BEFORE = 16
+BEFORE = 12
 WIDTH = 16
-#: Classes of subwords that the model predicts, and frequent subwords with an input row of their own.
-CLASSES = 96
-OWN_ROWS = 1024
+#: Coordinates that describe a subword; the model sees these and a constant.
+FEATURES = 24
+#: Subwords fall into so many classes, and each class into so many parts; the model predicts both in turn.
+CLASSES = 24
+PARTS = 24
+#: Frequent subwords with an input row of their own; the others use their part's.
+OWN_ROWS = 2048
 #: The most frequent subwords, which count as neighbours of their own.
-COMMON = 512
+COMMON = 128
 LEARNING_RATE = 0.01
 WINDOWS_A_STEP = 256
-CAP = 60.0
+CAP = np.float32(40.0)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over sequences that stand end to end: what they see, where, what they score, and whose.
+    """Windows over sequences that stand end to end: (place of the first scored token less one, tokens scored,
+    whether nothing of the sequence stands before, sequence).
 
-    A sequence of n tokens (the first is its start) has n - 1 to score. Window w scores the ``SCORED``
-    tokens after w * SCORED, so windows overlap in what they see and score each token once. Returns the
-    positions seen (-1 before the sequence), the positions scored (-1 beyond its end) and the sequence of
-    each window.
+    A sequence of n tokens (the first is its start) has n - 1 to score. Window w scores the ``SCORED`` tokens
+    after place w * SCORED and sees those and ``BEFORE`` more, so windows overlap in what they see and score each
+    token once.
     """
     counts = -(-np.maximum(lengths - 1, 0) // SCORED)
     of = np.repeat(np.arange(len(lengths)), counts)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.cumsum(lengths) - lengths
-    first = number * SCORED
-    seen = first[:, None] + np.arange(-BEFORE, SCORED)
-    scored = first[:, None] + np.arange(1, SCORED + 1)
-    inside = (seen >= 0) & (seen < lengths[of][:, None] - 1)
-    seen = np.where(inside, seen + starts[of][:, None], -1)
-    scored = np.where(scored < lengths[of][:, None], scored + starts[of][:, None], -1)
-    return seen, scored, of, inside
+    first = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * SCORED
+    starts = (np.cumsum(lengths) - lengths)[of]
+    return starts + first, np.minimum(lengths[of] - 1 - first, SCORED), first == 0, of
+
+
+class Subwords:
+    """What is known of each id before training: input row, class, part, and each input row's coordinates.
+
+    ``first`` (rows x classes) and ``second`` (rows * classes x parts) are log probabilities of what follows a
+    row, from the counts of all training texts; training adds what the window says to them. ``emit`` (classes x
+    ids) is the log probability of an id given its part and the class before.
+    """
+
+    def __init__(self, row: np.ndarray, of: np.ndarray, part: np.ndarray, points: np.ndarray):
+        self.row, self.of, self.part = row.astype(np.int32), of.astype(np.int16), part.astype(np.int16)
+        self.points = np.ascontiguousarray(points, np.float32)
+        self.rows = len(points)
+        self.first = np.full((self.rows, CLASSES), -np.log(CLASSES), np.float32)
+        self.second = np.full((self.rows * CLASSES, PARTS), -np.log(PARTS), np.float32)
+        self.emit = np.zeros((CLASSES, len(row)), np.float32)
+
+    def emitted(self, ids: np.ndarray) -> np.ndarray:
+        """``emit`` of each id after the one before it."""
+        at = self.of[ids[:-1]].astype(np.int64) * self.emit.shape[1] + ids[1:]
+        return np.concatenate([np.zeros(1, np.float32), np.take(self.emit.ravel(), at)])
 
 
 class Attention:
-    """One layer: class logits = row of the last token + attention over the window's rows.
+    """One layer: attention over the window's rows, added to what the last row alone says of the next token.
 
-    ``row`` maps an id to its input row, ``of`` to its class. Weights: ``embed`` (rows x width), ``wq``,
-    ``wk``, ``wv`` (width x width), ``wo`` (width x classes), ``skip`` (rows x classes), ``near`` (a bias
-    for each distance).
+    Weights: ``q`` (features x width), ``kv`` (features x 2 width), ``near`` (a bias for each distance),
+    ``first`` (width x classes) and ``second`` (classes x width x parts).
     """
 
-    NAMES = ("embed", "wq", "wk", "wv", "wo", "skip", "near")
+    NAMES = ("q", "kv", "near", "first", "second")
 
-    def __init__(self, row: np.ndarray, of: np.ndarray, seed: int = 7):
-        self.row, self.of = row.astype(np.int32), of.astype(np.int32)
-        rows, rng = int(row.max()) + 1, np.random.default_rng(seed)
-        self.classes = int(of.max()) + 1
-        make = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
-        self.embed, self.wq, self.wk, self.wv = make(rows, WIDTH), make(WIDTH, WIDTH), make(WIDTH, WIDTH), make(WIDTH, WIDTH)
-        self.wo = make(WIDTH, self.classes) * np.float32(0.1)
-        self.skip = np.zeros((rows, self.classes), np.float32)
+    def __init__(self, subwords: Subwords, seed: int = 7):
+        self.subwords, rng = subwords, np.random.default_rng(seed)
+        make = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+        features = subwords.points.shape[1]
+        self.q, self.kv = make(0.3, features, WIDTH), make(0.3, features, 2 * WIDTH)
         self.near = np.zeros(BEFORE + SCORED, np.float32)
+        self.first, self.second = make(0.03, WIDTH, CLASSES), make(0.03, CLASSES, WIDTH, PARTS)
         distance = (np.arange(SCORED)[:, None] + BEFORE) - np.arange(BEFORE + SCORED)[None, :]
-        self.distance = np.maximum(distance, 0)
-        self.hidden = distance < 0
-        self._tables = None
+        self.distance, self.hidden = np.maximum(distance, 0), distance < 0
         self._adam = None
 
     def weights(self) -> list[np.ndarray]:
@@ -69,81 +84,86 @@ class Attention:
 
     def set_weights(self, weights: list[np.ndarray]) -> None:
         for n, w in zip(self.NAMES, weights, strict=True):
-            setattr(self, n, np.ascontiguousarray(w, np.float32))
-        self._tables = self._adam = None
-
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys and values of each input row: inputs are rows alone, so they are looked up."""
-        if self._tables is None:
-            scale = np.float32(1 / np.sqrt(WIDTH))
-            self._tables = (self.embed @ self.wq * scale, self.embed @ self.wk, self.embed @ self.wv)
-        return self._tables
-
-    def _attend(self, rows: np.ndarray, inside: np.ndarray):
-        q, k, v = self.tables()
-        last = rows[:, BEFORE:]
-        q, k, v = q[last], k[rows], v[rows]
-        score = np.matmul(q, k.transpose(0, 2, 1))
-        score += np.where(self.hidden, np.float32(-1e9), self.near[self.distance])
-        score += np.where(inside, np.float32(0), np.float32(-1e9))[:, None, :]
-        score -= score.max(2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(2, keepdims=True)
-        return q, k, v, last, score, np.matmul(score, v)
+            setattr(self, n, np.array(w, np.float32))
+        self._adam = None
 
-    def log_probs(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target class; ``first`` marks windows with nothing before them.
+    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Attention of each scored place to all it may see, and the mean of the values.
 
-        What lies beyond the end of a sequence is seen by no token that counts. Exponents are capped, not
-        shifted: those of a trained model are small.
+        Exponents are capped, not shifted: those of a trained model are small. What lies beyond the end of a
+        sequence is seen by no token that counts.
         """
-        q, k, v = self.tables()
-        last = rows[:, BEFORE:]
-        score = np.matmul(q[last], k[rows].transpose(0, 2, 1))
-        score += np.where(self.hidden, np.float32(-1e9), self.near[self.distance])
+        score = np.matmul(q, k.transpose(0, 2, 1))
+        score += np.where(self.hidden, np.float32(-1e9), np.take(self.near, self.distance))
         score[first, :, :BEFORE] = -1e9
-        np.minimum(score, np.float32(CAP), out=score)
+        np.minimum(score, CAP, out=score)
         np.exp(score, out=score)
-        out = np.matmul(score, v[rows])
-        out /= score.sum(2, keepdims=True)
-        logits = self.skip[last].reshape(-1, self.classes)
-        logits += out.reshape(-1, WIDTH) @ self.wo
-        np.minimum(logits, np.float32(CAP), out=logits)
-        chosen = logits[np.arange(len(logits)), target.ravel()]
-        np.exp(logits, out=logits)
-        return (chosen - np.log(logits.sum(1))).reshape(target.shape)
-
-    def step(self, rows: np.ndarray, inside: np.ndarray, target: np.ndarray, valid: np.ndarray, rate: float) -> float:
+        score /= np.einsum("bij->bi", score)[:, :, None]
+        return score, np.matmul(score, v).reshape(-1, WIDTH)
+
+    def _head(self, u: np.ndarray, last: np.ndarray, of: np.ndarray, part: np.ndarray, weight: np.ndarray | None = None):
+        """Natural log probability of each target; with ``weight`` also the slopes of the weighted loss."""
+        n, w = len(u), self.subwords
+        at = np.arange(n)
+        one = np.take(w.first, last, 0)
+        one += u @ self.first
+        np.minimum(one, CAP, out=one)
+        chosen = np.take(one.ravel(), at * CLASSES + of)
+        np.exp(one, out=one)
+        total = one @ np.ones(CLASSES, np.float32)
+        log_prob = chosen - np.log(total)
+        # targets of one class stand together, so each class is one product
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(np.take(of, order), np.arange(CLASSES + 1))
+        parts_of, u_of = np.take(part, order), np.take(u, order, 0)
+        two = np.take(w.second, np.take(last * CLASSES + of, order), 0)
+        runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < b]
+        for c, run in runs:
+            two[run] += u_of[run] @ self.second[c]
+        np.minimum(two, CAP, out=two)
+        chosen = np.take(two.ravel(), at * PARTS + parts_of)
+        np.exp(two, out=two)
+        total_two = two @ np.ones(PARTS, np.float32)
+        log_prob[order] += chosen - np.log(total_two)
+        if weight is None:
+            return log_prob
+        one *= (weight / total)[:, None]
+        one.ravel()[at * CLASSES + of] -= weight
+        of_order = np.take(weight, order)
+        two *= (of_order / total_two)[:, None]
+        two.ravel()[at * PARTS + parts_of] -= of_order
+        d_second, d_two = np.zeros_like(self.second), np.empty_like(u)
+        for c, run in runs:
+            d_second[c] = u_of[run].T @ two[run]
+            d_two[run] = two[run] @ self.second[c].T
+        d_u = one @ np.ascontiguousarray(self.first.T)
+        back = np.empty(n, np.int64)
+        back[order] = at
+        d_u += np.take(d_two, back, 0)
+        return log_prob, d_u, u.T @ one, d_second
+
+    def step(self, rows: np.ndarray, first: np.ndarray, of: np.ndarray, part: np.ndarray, valid: np.ndarray, rate: float) -> float:
         """One Adam step on a batch of windows; returns the mean loss."""
-        q, k, v, last, a, out = self._attend(rows, inside)
-        b, flat = len(rows), out.reshape(-1, WIDTH)
-        logits = self.skip[last] + (flat @ self.wo).reshape(b, SCORED, -1)
-        logits -= logits.max(2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(2, keepdims=True)
-        n = np.float32(max(1, valid.sum()))
-        picked = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
-        loss = -float((np.log(np.maximum(picked, 1e-20)) * valid).sum() / n)
-        np.put_along_axis(p, target[:, :, None], (picked - 1)[:, :, None], 2)
-        p *= (valid / n)[:, :, None]
-        d_flat = p.reshape(-1, self.classes)
-        d_wo = flat.T @ d_flat
-        d_out = (d_flat @ self.wo.T).reshape(out.shape)
-        d_skip = np.zeros_like(self.skip)
-        np.add.at(d_skip, last.ravel(), d_flat)
-        d_a = np.matmul(d_out, v.transpose(0, 2, 1))
-        d_v = np.matmul(a.transpose(0, 2, 1), d_out)
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
-        d_near = np.bincount(self.distance.ravel(), d_s.sum(0).ravel(), len(self.near)).astype(np.float32)
-        d_q, d_k = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        x, xl = self.embed[rows].reshape(-1, WIDTH), self.embed[last].reshape(-1, WIDTH)
-        d_q, d_k, d_v = d_q.reshape(-1, WIDTH) * scale, d_k.reshape(-1, WIDTH), d_v.reshape(-1, WIDTH)
-        d_embed = np.zeros_like(self.embed)
-        np.add.at(d_embed, last.ravel(), d_q @ self.wq.T)
-        np.add.at(d_embed, rows.ravel(), d_k @ self.wk.T + d_v @ self.wv.T)
-        self._update([d_embed, xl.T @ d_q, x.T @ d_k, x.T @ d_v, d_wo, d_skip, d_near], rate)
-        return loss
+        b, seen = rows.shape
+        x = np.take(self.subwords.points, rows.ravel(), 0)
+        xl = x.reshape(b, seen, -1)[:, BEFORE:].reshape(b * SCORED, -1)
+        q, kv = (xl @ self.q).reshape(b, SCORED, WIDTH), (x @ self.kv).reshape(b, seen, 2 * WIDTH)
+        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
+        a, u = self._attend(q, k, v, first)
+        weight = valid.ravel() / np.float32(max(1, valid.sum()))
+        log_prob, d_u, d_first, d_second = self._head(u, rows[:, BEFORE:].ravel(), of.ravel(), part.ravel(), weight)
+        mean = np.einsum("nw,nw->n", d_u, u).reshape(b, SCORED, 1)
+        d_u = d_u.reshape(b, SCORED, WIDTH)
+        d_kv = np.empty_like(kv)
+        d_kv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), d_u)
+        d_s = np.matmul(d_u, v.transpose(0, 2, 1))
+        d_s -= mean
+        d_s *= a
+        d_kv[:, :, :WIDTH] = np.matmul(d_s.transpose(0, 2, 1), q)
+        d_near = np.bincount(self.distance.ravel(), np.einsum("bij->ij", d_s).ravel(), len(self.near)).astype(np.float32)
+        d_q = np.matmul(d_s, k).reshape(-1, WIDTH)
+        self._update([xl.T @ d_q, x.T @ d_kv.reshape(-1, 2 * WIDTH), d_near, d_first, d_second], rate)
+        return -float(log_prob @ weight)
 
     def _update(self, slopes: list[np.ndarray], rate: float) -> None:
         if self._adam is None:
@@ -154,71 +174,122 @@ class Attention:
             m += np.float32(0.1) * (g - m)
             s += np.float32(0.01) * (g * g - s)
             w -= np.float32(rate) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(s / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-        self._tables = None
 
-    def train(self, ids: np.ndarray, lengths: np.ndarray, rate: float = LEARNING_RATE, passes: int = 1, seed: int = 1) -> float:
+    def _batches(self, ids: np.ndarray, starts: np.ndarray, at_once: int):
+        """(run of windows, rows seen, classes and parts of what they score) of windows that start at ``starts``."""
+        padded = lambda x, before=0: np.concatenate([np.zeros(before, x.dtype), x, np.zeros(SCORED + 1, x.dtype)])
+        w = self.subwords
+        rows, of, part = padded(np.take(w.row, ids), BEFORE), padded(np.take(w.of, ids)), padded(np.take(w.part, ids))
+        seen, scored = np.arange(BEFORE + SCORED), np.arange(1, SCORED + 1)
+        for lo in range(0, len(starts), at_once):
+            at = starts[lo : lo + at_once, None]
+            target = at + scored
+            yield slice(lo, lo + at_once), np.take(rows, at + seen), np.take(of, target), np.take(part, target)
+
+    def train(self, ids: np.ndarray, lengths: np.ndarray, rate: float = LEARNING_RATE, passes: int = 1, seed: int = 1, falling: bool = True) -> float:
         """Passes over sequences in a shuffled order of windows; returns the last loss."""
-        seen, scored, _, inside = windows(lengths)
-        rng, loss = np.random.default_rng(seed), 0.0
-        total = max(1, passes * -(-len(seen) // WINDOWS_A_STEP))
-        done = 0
+        starts, sizes, first, _ = windows(lengths)
+        rng, loss, done = np.random.default_rng(seed), 0.0, 0
+        total = max(1, passes * -(-len(starts) // WINDOWS_A_STEP))
         for _ in range(passes):
-            order = rng.permutation(len(seen))
-            for lo in range(0, len(order), WINDOWS_A_STEP):
-                pick = order[lo : lo + WINDOWS_A_STEP]
-                rows = self.row[ids[np.maximum(seen[pick], 0)]]
-                target = self.of[ids[np.maximum(scored[pick], 0)]]
-                falling = rate * (1 - 0.9 * done / total)
-                loss = self.step(rows, inside[pick], target, (scored[pick] >= 0).astype(np.float32), falling)
+            order = rng.permutation(len(starts))
+            for run, rows, of, part in self._batches(ids, starts[order], WINDOWS_A_STEP):
+                pick = order[run]
+                valid = (np.arange(SCORED) < sizes[pick][:, None]).astype(np.float32)
+                loss = self.step(rows, first[pick], of, part, valid, rate * (1 - 0.9 * done / total) if falling else rate)
                 done += 1
         return loss
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, emit: np.ndarray, at_once: int = 1024) -> np.ndarray:
-        """Natural log probability of each sequence after its start.
+    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 512) -> np.ndarray:
+        """Natural log probability of each sequence after its start."""
+        starts, sizes, first, of_window = windows(lengths)
+        points, totals = self.subwords.points, np.zeros(len(starts))
+        kv = points @ self.kv
+        q, k, v = points @ self.q, np.ascontiguousarray(kv[:, :WIDTH]), np.ascontiguousarray(kv[:, WIDTH:])
+        emitted = np.concatenate([self.subwords.emitted(ids), np.zeros(SCORED + 1, np.float32)])
+        scored = np.arange(1, SCORED + 1)
+        for run, rows, of, part in self._batches(ids, starts, at_once):
+            last = rows[:, BEFORE:]
+            _, u = self._attend(np.take(q, last, 0), np.take(k, rows, 0), np.take(v, rows, 0), first[run])
+            found = self._head(u, last.ravel(), of.ravel(), part.ravel()).reshape(-1, SCORED)
+            found += np.take(emitted, starts[run, None] + scored)
+            totals[run] = np.einsum("ij,ij->i", found, (np.arange(SCORED) < sizes[run][:, None]).astype(np.float32))
+        return np.bincount(of_window, totals, len(lengths))
 
-        ``emit[class of the id before, id]`` is that of an id given its class and the class before.
-        """
-        seen, scored, of, _ = windows(lengths)
-        totals = np.zeros(len(of))
-        rows_of, class_of = self.row[ids], self.of[ids]
-        emitted = np.zeros(len(ids), np.float32)
-        emitted[1:] = emit.ravel()[class_of[:-1].astype(np.int64) * emit.shape[1] + ids[1:]]
-        for lo in range(0, len(of), at_once):
-            part = slice(lo, lo + at_once)
-            at = np.maximum(scored[part], 0)
-            first = seen[part, BEFORE - 1] < 0
-            found = self.log_probs(rows_of[np.maximum(seen[part], 0)], first, class_of[at]) + emitted[at]
-            totals[part] = np.where(scored[part] >= 0, found, 0).sum(1)
-        return np.bincount(of, totals, len(lengths))
-
-
-def neighbours(ids: np.ndarray, lengths: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, side) for the neighbours of each id in its sequence: the column of the one before, that of the one after + 513.
+
+def neighbour_keys(ids: np.ndarray, lengths: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """id * 2 (COMMON + 1) + side for the neighbours of each id in its sequence: the column of the one before, and
+    that of the one after + COMMON + 1.
 
     ``column`` numbers the ``COMMON`` most frequent ids; others count together as ``COMMON``.
     """
     inner = np.ones(len(ids), bool)
     inner[np.cumsum(lengths)[:-1]] = False  # first of a sequence, but for the very first
-    left, right = ids[:-1][inner[1:]], ids[1:][inner[1:]]
-    return np.concatenate([right, left]), np.concatenate([column[left], COMMON + 1 + column[right]])
+    left, right = ids[:-1][inner[1:]].astype(np.int64), ids[1:][inner[1:]].astype(np.int64)
+    wide = 2 * (COMMON + 1)
+    return np.concatenate([right * wide + np.take(column, left), left * wide + COMMON + 1 + np.take(column, right)])
 
 
-def subword_classes(points: np.ndarray, counts: np.ndarray, classes: int, seed: int = 3) -> np.ndarray:
-    """A class for each id: ids whose neighbours are alike share one (k-means on spectral coordinates).
-
-    Ids that the texts lack form a class of their own.
-    """
-    size = len(counts)
-    present = np.flatnonzero(counts > 0)
-    points, weight = points[present], counts[present].astype(float)
-    k = min(classes - 1, len(present))
-    rng = np.random.default_rng(seed)
+def _clusters(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means, with weights."""
+    k, rng = min(k, len(points)), np.random.default_rng(seed)
     centres = points[rng.choice(len(points), k, replace=False, p=weight / weight.sum())]
-    for _ in range(25):
+    near = np.zeros(len(points), np.int64)
+    for _ in range(15):
         near = np.argmin((centres**2).sum(1)[None] - 2 * points @ centres.T, 1)
         total = np.bincount(near, weight, k)
         sums = np.stack([np.bincount(near, weight * points[:, j], k) for j in range(points.shape[1])], 1)
         centres = np.where(total[:, None] > 0, sums / np.maximum(total[:, None], 1e-9), centres)
-    of = np.full(size, k)
-    of[present] = near
-    return of
+    return near
+
+
+def describe_subwords(points: np.ndarray, counts: np.ndarray) -> Subwords:
+    """Classes and parts of all ids (ids whose neighbours are alike share them), and their input rows.
+
+    Ids that the texts lack form a part of their own. A row's coordinates are the mean of its ids', scaled, and a
+    constant.
+    """
+    present = np.flatnonzero(counts > 0)
+    weight = counts.astype(float)
+    of, part = np.full(len(counts), CLASSES - 1), np.full(len(counts), PARTS - 1)
+    of[present] = _clusters(points[present], weight[present], CLASSES - 1, 3)
+    for c in range(CLASSES - 1):
+        own = present[of[present] == c]
+        if len(own):
+            part[own] = _clusters(points[own], weight[own], PARTS, 4)
+    row = of * PARTS + part
+    often = present[np.argsort(-counts[present], kind="stable")[:OWN_ROWS]]
+    row[often] = CLASSES * PARTS + np.arange(len(often))
+    rows = CLASSES * PARTS + OWN_ROWS
+    total = np.bincount(row, weight, rows)
+    mean = np.stack([np.bincount(row, weight * p, rows) for p in points.T], 1) / np.maximum(total, 1)[:, None]
+    scale = np.sqrt((mean**2 * total[:, None]).sum(0) / max(1.0, total.sum()))
+    described = np.concatenate([mean / np.maximum(scale, 1e-9), np.ones((rows, 1))], 1)
+    return Subwords(row, of, part, described)
+
+
+def following(subwords: Subwords, followed: np.ndarray, emissions: np.ndarray, prior: float = 20.0, emit_prior: float = 5.0) -> None:
+    """Set the log probabilities of ``subwords`` from the counts of all training texts.
+
+    ``followed`` counts (row, part that follows), ``emissions`` (class before, id). A row's share counts for
+    ``prior`` tokens beside that of its part, and a part's beside that of all; an id's share in its part for
+    ``emit_prior`` beside the counts after one class. So nothing is impossible.
+    """
+    parts = CLASSES * PARTS
+    part_of = subwords.of.astype(np.int64) * PARTS + subwords.part
+    of_row = np.minimum(np.arange(subwords.rows), parts - 1)  # rows that no id uses say nothing
+    of_row[subwords.row] = part_of
+    by_part = np.zeros((parts, parts))
+    np.add.at(by_part, of_row, followed)
+    everywhere = by_part.sum(0) + 0.5
+    by_part = (by_part + prior * everywhere / everywhere.sum()) / (by_part.sum(1, keepdims=True) + prior)
+    share = (followed + prior * by_part[of_row]) / (followed.sum(1, keepdims=True) + prior)
+    share = share.reshape(subwords.rows, CLASSES, PARTS)
+    of_class = share.sum(2)
+    subwords.first = np.log(of_class).astype(np.float32)
+    subwords.second = np.log(share / of_class[:, :, None]).astype(np.float32).reshape(-1, PARTS)
+    alone = emissions.sum(0) + 0.1
+    in_part = alone / np.bincount(part_of, alone, parts)[part_of]
+    for c in range(CLASSES):
+        whole = np.bincount(part_of, emissions[c], parts)[part_of]
+        subwords.emit[c] = np.log((emissions[c] + emit_prior * in_part) / (whole + emit_prior))

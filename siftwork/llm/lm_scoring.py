@@ -9,21 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.attention import CLASSES, COMMON, OWN_ROWS, Attention, neighbours, subword_classes
+from siftwork.llm.attention import (
+    CLASSES, COMMON, FEATURES, LEARNING_RATE, PARTS, Attention, Subwords, describe_subwords, following, neighbour_keys,
+)
 from siftwork.llm.bpe import encoder, in_chunks, ragged
-from siftwork.llm.common import checkpointed, small_batches, table, train_split
+from siftwork.llm.common import checkpointed, small_batches, table, train_split, written
 from siftwork.llm.shingles import mix, word_hashes
 
-#: Bytes of training text from which the driver takes the weights that training starts with, about.
-FIT_BYTES = 4_000_000
+#: Tokens of the training texts from which one trainer takes the weights that all trainers start with, about.
+FIT_TOKENS = 1_000_000
+#: Tokens that one trainer learns from, about; trainers grow with the corpus, tasks up to a bound.
+TRAINER_TOKENS = 4_000_000
+TASKS = 20_000
+TRAINED_AT_ONCE = 200_000
+RATE = 0.002
 #: Subwords whose neighbourhood is summed in one group.
 BUCKETS = 8
 #: Word counts that every task gets: those of the most frequent words, this many at most (16 MB).
 SHARED_WORDS = 1 << 20
 REMEMBERED = 2_000_000
 CHUNK_CHARS = 800_000
-#: Tokens that an id's share in its class counts for beside the counts after one class.
-PRIOR = 5.0
 END_HASH = int(mix(np.array([0x454E44], np.uint64)).view(np.int64)[0])
 LOG10 = float(np.log(10))
 
@@ -100,105 +105,155 @@ def words_of(path: str, pattern: str) -> Words:
     return _words[path, pattern]
 
 
-def corpus_counts(train: DataFrame, of: np.ndarray, path: str, pattern: str) -> DataFrame:
-    """(kind, key, n) over all training texts: kind 'word' by hash, kind 'pair' by class before and id."""
-    shared = train.sparkSession.sparkContext.broadcast(of)
+def _id_type(words: Words) -> type:
+    return np.uint16 if words.end < 1 << 16 else np.int32
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, class_of = words_of(path, pattern), shared.value.astype(np.int64)
-        size = len(class_of)
-        pairs = np.zeros((int(class_of.max()) + 1) * size, np.int32)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        docs = 0
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+class Counter:
+    """Sums counts of 64-bit keys and gives them up in parts when they are many."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, most
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.held.append((key, n))
+        self.size += len(key)
+        if self.size <= 2 * self.most:
+            return None
+        self.held = [self.total()]
+        self.size = len(self.held[0][0])
+        if self.size <= self.most:
+            return None
+        self.size = 0
+        return self.held.pop()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        key, place = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        return key, np.bincount(place, np.concatenate([n for _, n in self.held]), len(key)).astype(np.int64)
+
 
-        def packed(kind: str, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def tokenised(train: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Everything that is learnt from, after one pass over the training texts, written and read again.
+
+    Rows of kind 0 are texts: ``at`` (a hash of the id), ``ids`` (packed subword ids, start and end included) and
+    ``n`` of them. Rows of kind 1 count a word in a part of the texts: ``at`` (its hash) and ``n``.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counter, docs = words_of(path, pattern), Counter(), 0
+
+        def packed(kind: int, at, n, ids=None) -> pa.RecordBatch:
+            ids = pa.nulls(len(at), pa.binary()) if ids is None else ids
             return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(key)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"]
+                [pa.array(np.full(len(at), kind, np.int8)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), ids], ["kind", "at", "n", "ids"]
             )
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, at = batch.column("text").to_pylist(), batch.column("at").to_numpy()
             for lo, hi in in_chunks(texts, CHUNK_CHARS):
                 distinct, place, _, ids, lengths = words.split(texts[lo:hi])
-                inner = np.ones(len(ids), bool)
-                inner[np.cumsum(lengths) - lengths] = False  # starts are not predicted
-                np.add.at(pairs, (class_of[ids[:-1]] * size + ids[1:])[inner[1:]], 1)
+                raw = ids.astype(_id_type(words))
+                ends = np.concatenate([[0], np.cumsum(lengths)]) * raw.itemsize
+                blobs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                yield packed(0, at[lo:hi], lengths, blobs)
                 docs += hi - lo
-                held.append((distinct, np.bincount(place, minlength=len(distinct))))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    held[:] = [added()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield packed("word", *held.pop())
-        if held:
-            yield packed("word", *added())
+                full = counter.add(distinct.view(np.int64), np.bincount(place, minlength=len(distinct)))
+                if full is not None:
+                    yield packed(1, *full)
+        yield packed(1, *counter.total())
         if docs:
-            some = np.flatnonzero(pairs)
-            yield packed("pair", some, pairs[some])
-            yield packed("word", np.array([END_HASH]), np.array([docs]))
+            yield packed(1, [END_HASH], [docs])
 
-    counted = train.select("text").mapInArrow(count, "kind string, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    at = F.xxhash64("id", F.lit("lm"))
+    return written(train.select(at.alias("at"), "text").mapInArrow(split, "kind byte, at long, n long, ids binary"))
 
 
-def _summed(texts: DataFrame, keys_of, path: str, pattern: str) -> DataFrame:
-    """(key, n) over all texts: how often ``keys_of(ids, lengths)`` names each key."""
+def _runs(batches: Iterator[pa.RecordBatch], dtype: type, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed ids unpacked, in runs of about ``most`` tokens whatever the batches are."""
+    held, size = [], 0
+    for batch in batches:
+        for blob in batch.column("ids").to_pylist():
+            held.append(np.frombuffer(blob, dtype))
+            size += len(held[-1])
+            if size >= most:
+                yield np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held))
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held))
+
+
+def _counted(texts: DataFrame, keys_of, size: int, dtype: type, most: int = 400_000) -> DataFrame:
+    """(key, n) over all texts: how often ``keys_of(ids, lengths)`` names each key below ``size``.
+
+    A task adds up its texts in one array of that size, so what it emits is bounded by the size.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = words_of(path, pattern), [], 0
+        total = None
+        for ids, lengths in _runs(batches, dtype, most):
+            found = np.bincount(keys_of(ids, lengths), minlength=size)
+            total = found.astype(np.int32) if total is None else np.add(total, found, out=total, casting="unsafe")
+        if total is not None:
+            some = np.flatnonzero(total)
+            for lo in range(0, len(some), 100_000):
+                key = some[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key].astype(np.int64))], ["key", "n"])
+
+    return texts.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _dense(counted: DataFrame, size: int) -> np.ndarray:
+    """Counts as an array; the caller bounds the size."""
+    found, out = counted.toArrow(), np.zeros(size)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
 
-        def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+def _following_keys(ids: np.ndarray, lengths: np.ndarray, subwords: Subwords) -> np.ndarray:
+    """Keys of (row, part that follows), and behind them of (class before, id)."""
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(lengths) - lengths] = False  # starts are not predicted
+    left, right = ids[:-1][inner[1:]], ids[1:][inner[1:]]
+    part = np.take(subwords.of, right).astype(np.int64) * PARTS + np.take(subwords.part, right)
+    pairs = np.take(subwords.row, left).astype(np.int64) * (CLASSES * PARTS) + part
+    behind = subwords.rows * CLASSES * PARTS
+    return np.concatenate([pairs, behind + np.take(subwords.of, left).astype(np.int64) * len(subwords.row) + right])
 
-        for batch in batches:
-            some = batch.column("text").to_pylist()
-            for lo, hi in in_chunks(some, CHUNK_CHARS):
-                *_, ids, lengths = words.split(some[lo:hi])
-                held.append(np.unique(keys_of(ids, lengths).astype(np.int64), return_counts=True))
-                size += len(held[-1][0])
-                if size > 3_000_000:
-                    held[:] = [added()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield packed(*held.pop())
-                    size = sum(len(k) for k, _ in held)
-        if held:
-            yield packed(*added())
-
-    return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def subword_counts(train: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """How often each id stands in the training texts, starts and ends included."""
-    found = _summed(train, lambda ids, lengths: ids, path, pattern).toArrow()  # bounded by the vocabulary
-    counts = np.zeros(words_of(path, pattern).end + 1, np.int64)
-    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
-    """Coordinates of each id, from its neighbours in all training texts: zeros where it has none.
-
-    The driver gets one matrix of neighbours by neighbours (8 MB), summed over buckets of ids, and the coordinates.
+
+def learnt_subwords(texts: DataFrame, end: int, dtype: type) -> Subwords:
+    """Classes, parts, rows and what follows them, from the neighbours of each id in all training texts.
+
+    The driver gets one matrix of neighbours by neighbours (a few 100 KB) summed over buckets of ids, the
+    coordinates, and the counts of what follows a row: all bounded by the vocabulary and the model.
     """
+    context, size = texts.sparkSession.sparkContext, end + 1
+    counts = _dense(_counted(texts, lambda ids, lengths: ids, size, dtype), size)
+    if not counts.any():
+        counts[end] = 2
+    points = spectral_points(texts, counts, dtype)
+    subwords = describe_subwords(points, counts)
+    shared = context.broadcast(subwords)
+    behind = subwords.rows * CLASSES * PARTS
+    found = _dense(_counted(texts, lambda i, n: _following_keys(i, n, shared.value), behind + CLASSES * size, dtype), behind + CLASSES * size)
+    following(subwords, found[:behind].reshape(subwords.rows, -1), found[behind:].reshape(CLASSES, size))
+    return subwords
+
+
+def spectral_points(texts: DataFrame, counts: np.ndarray, dtype: type) -> np.ndarray:
+    """Coordinates of each id, from its neighbours in all training texts: zeros where it has none."""
     column = np.full(len(counts), COMMON)
     common = np.argsort(-counts, kind="stable")[:COMMON]
     column[common] = np.arange(len(common))
-    wide, context = 2 * (COMMON + 1), train.sparkSession.sparkContext
+    wide, context = 2 * (COMMON + 1), texts.sparkSession.sparkContext
     shared = context.broadcast((column, counts))
-
-    def keys_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        at, side = neighbours(ids, lengths, shared.value[0])
-        return at.astype(np.int64) * wide + side
-
+    keys_of = lambda ids, lengths: neighbour_keys(ids, lengths, shared.value[0])
     near = checkpointed(
-        _summed(train, keys_of, path, pattern).select(F.expr(f"cast(key div {wide} as int)").alias("id"), F.expr(f"cast(key % {wide} as int)").alias("side"), "n")
+        _counted(texts, keys_of, len(counts) * wide, dtype, 1_200_000).select(
+            F.expr(f"cast(key div {wide} as int)").alias("id"), F.expr(f"cast(key % {wide} as int)").alias("side"), "n"
+        )
     )
 
     def table_of(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -211,21 +266,15 @@ def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: st
         ids, table = table_of(data)
         weight = shared.value[1][ids][:, None]
         whole = np.vstack([(table * weight).T @ table, (table * weight).sum(0)])
-        return pa.table({"line": pa.array(range(wide + 1), pa.int32()), "gram": [x.tobytes() for x in whole]})
-
-    def add(key: tuple, data: pa.Table) -> pa.Table:
-        whole = np.sum([np.frombuffer(x) for x in data.column("gram").to_pylist()], axis=0)
-        return pa.table({"line": pa.array([key[0].as_py()], pa.int32()), "gram": [whole.tobytes()]})
-
-    bucket = F.expr(f"id % {BUCKETS}")
-    total = np.zeros((wide + 1, wide))
-    lines = near.groupBy(bucket).applyInArrow(gram, "line int, gram binary").groupBy("line").applyInArrow(add, "line int, gram binary")
-    for r in lines.collect():
-        total[r["line"]] = np.frombuffer(r["gram"])
-    total, sums = total[:-1], total[-1]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "gram": [whole.tobytes()]})
+
+    bucket = F.expr(f"cast(id % {BUCKETS} as long)")
+    grams = near.groupBy(bucket.alias("bucket")).applyInArrow(gram, "bucket long, gram binary").orderBy("bucket").collect()
+    whole = sum((np.frombuffer(r["gram"]).reshape(wide + 1, wide) for r in grams), np.zeros((wide + 1, wide)))
+    total, sums = whole[:-1], whole[-1]
     mean = sums / max(1, counts.sum())
     _, vectors = np.linalg.eigh(total - counts.sum() * np.outer(mean, mean))
-    axes = context.broadcast((mean, vectors[:, -24:]))
+    axes = context.broadcast((mean, vectors[:, -FEATURES:]))
 
     def project(key: tuple, data: pa.Table) -> pa.Table:
         ids, table = table_of(data)
@@ -233,93 +282,87 @@ def spectral_points(train: DataFrame, counts: np.ndarray, path: str, pattern: st
         return pa.table({"id": pa.array(ids, pa.int32()), "point": [p.tobytes() for p in points]})
 
     found = near.groupBy(bucket).applyInArrow(project, "id int, point binary").orderBy("id").toArrow()
-    points = np.zeros((len(counts), 24))
+    points = np.zeros((len(counts), FEATURES))
     if len(found):
-        points[found.column("id").to_numpy()] = np.frombuffer(b"".join(found.column("point").to_pylist())).reshape(-1, 24)
+        points[found.column("id").to_numpy()] = np.frombuffer(b"".join(found.column("point").to_pylist())).reshape(-1, FEATURES)
     return points
 
 
-def first_fit(train: DataFrame, path: str, pattern: str) -> Attention:
-    """Classes and rows of subwords from all training texts; the weights to start with from a bounded sample of them."""
-    words = words_of(path, pattern)
-    counts = subword_counts(train, path, pattern)
-    if not counts.any():
-        counts[words.end] = 2
-    of = subword_classes(spectral_points(train, counts, path, pattern), counts, CLASSES)
-    row = of.copy()  # an id without a row of its own uses its class's
-    often = np.argsort(-counts, kind="stable")[:OWN_ROWS]
-    often = often[counts[often] > 0]
-    row[often] = int(of.max()) + 1 + np.arange(len(often))
-    model = Attention(row, of)
-    # start at the classes' frequencies
-    share = np.bincount(of, counts + 0.1, int(of.max()) + 1)
-    model.skip += np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
-    total = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dice = F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(1_000_000)) / 1_000_000
-    sample = train.where(dice < FIT_BYTES / max(1, total)).select("id", "text").orderBy("id").toArrow()
-    *_, ids, lengths = words.split(sample.column("text").to_pylist() or [""])
-    model.train(ids, lengths, passes=4)
-    return model
-
-
-def emissions(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Log probability of each id given its class and the class before, from the counts of all texts.
+def _trainers(texts: DataFrame, trainers: int, model: Attention, dtype: type, rate: float, passes: int, falling: bool) -> list[np.ndarray] | None:
+    """Train from the model's weights in ``trainers`` trainers and average their weights by tokens; None without texts.
 
-    The share in its class alone stands for ``PRIOR`` more tokens, so that no id is impossible.
+    A text's trainer and its place there follow from a hash of its id, so the result does not depend on how the
+    rows are dealt to partitions. A task adds up the weights of its trainers; sums of parts meet in two steps.
     """
-    classes = pairs.shape[0]
-    alone = pairs.sum(0) + 0.1
-    share = alone / np.bincount(of, alone, classes)[of]
-    out = np.empty(pairs.shape, np.float32)
-    for p in range(classes):
-        whole = np.bincount(of, pairs[p], classes)[of]
-        out[p] = np.log((pairs[p] + PRIOR * share) / (whole + PRIOR))
-    return out
-
-
-def trained(train: DataFrame, model: Attention, path: str, pattern: str) -> Attention:
-    """Go on training in every task on all its texts, then average the weights by tokens."""
-    context = train.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    context, tasks = texts.sparkSession.sparkContext, min(trainers, TASKS)
+    shared = context.broadcast((model.subwords, model.weights()))
+    cuts = np.cumsum([0, *(w.size for w in model.weights())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, start = shared.value
+        total, tokens, own, now, held, size, seen = np.zeros(cuts[-1]), 0, None, None, [], 0, 0
+
+        def some() -> None:
+            nonlocal held, size, seen
+            if held:
+                own.train(np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held)), rate, passes, falling=falling)
+                seen, held, size = seen + size, [], 0
+
+        def close() -> None:
+            nonlocal total, tokens, seen
+            if own is not None:
+                some()
+                total += seen * np.concatenate([w.ravel() for w in own.weights()]).astype(np.float64)
+                tokens, seen = tokens + seen, 0
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path, pattern)
-        own = Attention(shared.value.row, shared.value.of)
-        own.set_weights([w.copy() for w in shared.value.weights()])
-        seen = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in in_chunks(texts, CHUNK_CHARS):
-                *_, ids, lengths = words.split(texts[lo:hi])
-                own.train(ids, lengths, rate=0.002)
-                seen += int(lengths.sum())
-        if seen:
-            weights = own.weights()
+            for trainer, blob in zip(batch.column("trainer").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if trainer != now:
+                    close()
+                    own, now = Attention(subwords), trainer
+                    own.set_weights(start)
+                held.append(np.frombuffer(blob, dtype))
+                size += len(held[-1])
+                if size >= TRAINED_AT_ONCE:
+                    some()
+        close()
+        if tokens:
+            part = [total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            salt = np.full(len(part), (now or 0) % 64, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(weights)), pa.int32()), pa.array([w.astype(np.float32).tobytes() for w in weights], pa.binary()), pa.array([seen] * len(weights), pa.int64())],
-                ["part", "weights", "tokens"],
+                [pa.array(salt), pa.array(range(len(part)), pa.int32()), pa.array(part, pa.binary()), pa.array([tokens] * len(part), pa.int64())],
+                ["salt", "part", "sums", "tokens"],
             )
 
-    def average(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, tokens = None, 0
         for batch in batches:
-            for w, n in zip(batch.column("weights").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                part = np.frombuffer(w, np.float32).astype(np.float64) * n
-                total, tokens = part if total is None else total + part, tokens + n
-        mean = (total / tokens).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["part", "weights"])
-
-    rows = (
-        train.select("text")
-        .mapInArrow(go_on, "part int, weights binary, tokens long")
-        .groupBy("part")
-        .applyInArrow(average, "part int, weights binary")
-        .collect()
-    )
-    if rows:
-        shapes = [w.shape for w in model.weights()]
-        found = {r["part"]: np.frombuffer(r["weights"], np.float32) for r in rows}
-        model.set_weights([found[i].reshape(s) for i, s in enumerate(shapes)])
+            for w, n in zip(batch.column("sums").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                total, tokens = np.frombuffer(w) if total is None else total + np.frombuffer(w), tokens + n
+        salt = key[0].as_py() if len(key) == 2 else 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([salt], pa.int32()), pa.array([key[-1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())],
+            ["salt", "part", "sums", "tokens"],
+        )
+
+    schema = "salt int, part int, sums binary, tokens long"
+    dealt = texts.select(F.pmod("at", F.lit(trainers)).alias("trainer"), "at", "ids").repartitionById(tasks, F.expr(f"cast(trainer % {tasks} as int)"))
+    sums = dealt.sortWithinPartitions("trainer", "at", "ids").select("trainer", "ids").mapInArrow(learn, schema)
+    if tasks > 64:
+        sums = sums.groupBy("salt", "part").applyInArrow(add, schema)
+    found = {r["part"]: np.frombuffer(r["sums"]) / r["tokens"] for r in sums.groupBy("part").applyInArrow(add, schema).collect()}
+    return [found[i].reshape(w.shape) for i, w in enumerate(model.weights())] if found else None
+
+
+def trained(texts: DataFrame, subwords: Subwords, dtype: type) -> Attention:
+    """The model after one pass over all training texts, from weights fitted on a part of them by one trainer."""
+    model = Attention(subwords)
+    tokens = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    start = F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < F.lit(1_000_000 * FIT_TOKENS / max(1, tokens))
+    for part, trainers, rate, passes in ((texts.where(start), 1, LEARNING_RATE, 2), (texts, -(-tokens // TRAINER_TOKENS), RATE, 1)):
+        weights = _trainers(part, max(1, trainers), model, dtype, rate, passes, falling=passes > 1)
+        if weights is not None:
+            model.set_weights(weights)
     return model
 
 
@@ -328,12 +371,13 @@ def score_texts(
 ) -> DataFrame:
     """Log10 probability of every whole text under a causal self-attention model, and under word counts.
 
-    The model reads the subword ids of each lower-cased word in turn. It predicts the class of the next id
-    by one layer of causal attention over a window and multiplies by the id's share of its class after the
-    class before. The shares are counted over all training texts. Windows overlap: each scores ``SCORED`` ids and sees
-    ``BEFORE`` more, so every id is scored once. Classes come from the neighbours of each id in all training
-    texts. Training starts at weights fitted on ``FIT_BYTES``; then every task trains on all its training
-    texts and the weights are averaged.
+    The model reads the subword ids of each lower-cased word in turn. It predicts the class of the next id, its
+    part of the class, and the id: class and part by what follows the last id (counted over all training texts)
+    and one layer of causal attention over a window, the id by its share of its part after the class before.
+    Windows overlap: each scores ``SCORED`` ids and sees ``BEFORE`` more, so every id is scored once. Classes and
+    coordinates of ids come from their neighbours in all training texts. One trainer fits the weights that all
+    start with; then trainers of about ``TRAINER_TOKENS`` train on all training texts and the weights are
+    averaged. A text's trainer and place follow from its id, so scores do not depend on partitions.
 
     The base is a unigram over words and one end: log10((c + 0.1) / (N + 0.1 (V + 1))). Words are compared
     by a 64-bit hash. The counts of the most frequent words go to all tasks; rarer words of a text are
@@ -352,15 +396,11 @@ def score_texts(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(train_split(F.col(id_col), folds), F.lit(False)).alias("train"),
     )
-    train = rows.where("train")
-    model = trained(train, first_fit(train, path, pattern), path, pattern)
-    counts = checkpointed(corpus_counts(train, model.of, path, pattern))
-    pairs = np.zeros((model.classes, len(model.of)), np.int64)
-    found = counts.where("kind = 'pair'").select("key", "n").toArrow()  # bounded by classes and vocabulary
-    pairs.ravel()[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    emit = emissions(pairs, model.of)
-    del pairs, found
-    word_counts = counts.where("kind = 'word'")
+    words = words_of(path, pattern)
+    parts = tokenised(rows.where("train"), path, pattern)
+    texts = parts.where("kind = 0").select("at", "n", "ids")
+    model = trained(texts, learnt_subwords(texts, words.end, _id_type(words)), _id_type(words))
+    word_counts = checkpointed(parts.where("kind = 1").groupBy(F.col("at").alias("key")).agg(F.sum("n").alias("n")))
     n_words, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ladder = word_counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()
     power, held = max((r["power"] for r in ladder), default=0), 0
@@ -373,19 +413,19 @@ def score_texts(
 
     floor = float(n_words + 0.1 * (distinct + 1))
     shared = spark.sparkContext.broadcast(
-        (model, emit, frequent.column("key").to_numpy().astype(np.int64), frequent.column("n").to_numpy().astype(np.float64))
+        (model, frequent.column("key").to_numpy().astype(np.int64), frequent.column("n").to_numpy().astype(np.float64))
     )
     id_type = rows.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, emitted, keys, n = shared.value
+        net, keys, n = shared.value
         logs = np.append(np.log10((n + 0.1) / floor), 0.0)
         splitter = words_of(path, pattern)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in in_chunks(texts, CHUNK_CHARS):
                 some, place, per_text, ids, lengths = splitter.split(texts[lo:hi])
-                scores = net.score(ids, lengths, emitted) / LOG10
+                scores = net.score(ids, lengths) / LOG10
                 some = some.view(np.int64)
                 at = np.searchsorted(keys, some)
                 at[at == len(keys)] = 0

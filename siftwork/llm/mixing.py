@@ -7,126 +7,106 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import table, with_offsets
 
-#: Blocks that one cycle of the schedule hands out, summed over all sources.
-CYCLE_BLOCKS = 1000
+#: Weights are kept in so many parts of their sum.
+WEIGHT_UNITS = 1 << 30
+#: Slots whose blocks one row folds out; the states between such pieces are found first.
+PIECE = 2048
 BLOCK_ROWS = 16
 #: Rows of a source are ranked in so many buckets, so a hot source is not one task.
 RANK_DIGITS = 3
 
 
 def source_plan(docs: DataFrame, source: Column, weights: dict[str, float] | None, temperature: float, block_rows: int) -> DataFrame:
-    """One row per source: rows, blocks, and its quota of each cycle's blocks.
+    """One row per source: rows, blocks, tier and integer weight.
 
-    The quota is the target weight in thousandths of a cycle, 1 at least. Without ``weights`` a source
-    weighs its row count to the power ``temperature``.
+    Without ``weights`` a source weighs its row count to the power ``temperature``. A source without a weight, or
+    with weight 0, is in tier 1, which comes after all others; there it weighs its number of blocks. A weight is
+    rounded to 1 / ``WEIGHT_UNITS`` of its tier's sum, which is less than a block for up to 2 * 10^9 blocks.
     """
     counts = docs.groupBy(source.alias("source_key")).agg(F.count("*").alias("n_rows"))
     if weights is None:
-        weight = F.pow(F.col("n_rows").cast("double"), F.lit(float(temperature)))
+        weighed = counts.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(float(temperature))))
     else:
-        if any(w < 0 for w in weights.values()):
-            raise ValueError("target weights must not be negative")
-        if not weights:
-            weight = F.lit(0.0)
-        else:
-            known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-            weight = F.coalesce(known[F.col("source_key")], F.lit(0.0))
-    weighed = counts.withColumn("weight", weight)
-    total = weighed.agg(F.sum("weight").alias("total_weight"))
-    share = F.when(F.col("total_weight") > 0, F.col("weight") / F.col("total_weight")).otherwise(0.0)
-    return weighed.join(F.broadcast(total)).select(
-        "source_key",
-        "n_rows",
-        F.ceil(F.col("n_rows") / block_rows).cast("long").alias("n_blocks"),
-        F.greatest(F.lit(1), F.round(share * CYCLE_BLOCKS).cast("int")).cast("long").alias("quota"),
+        if any(not 0 <= w < float("inf") for w in weights.values()):
+            raise ValueError("target weights must be finite and not negative")
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "of_key string, weight double")
+        # as many rows as the caller names
+        weighed = counts.join(F.broadcast(given), F.col("source_key") == F.col("of_key"), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    blocks = F.ceil(F.col("n_rows") / block_rows).cast("long")
+    tiered = weighed.select(
+        "source_key", "n_rows", blocks.alias("n_blocks"), F.when(F.col("weight") > 0, 0).otherwise(1).alias("tier"),
+        F.when(F.col("weight") > 0, F.col("weight")).otherwise(blocks.cast("double")).alias("weight"),
     )
+    total = tiered.groupBy(F.col("tier").alias("of_tier")).agg(F.sum("weight").alias("total"))  # two rows
+    units = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("total") * WEIGHT_UNITS).cast("long"))
+    return tiered.join(F.broadcast(total), F.col("tier") == F.col("of_tier")).select("source_key", "n_rows", "n_blocks", "tier", units.alias("units"))
 
 
-def cycle_templates(plan: DataFrame) -> DataFrame:
-    """The schedule of every kind of cycle, one row per block in it.
+_SUM = "aggregate({}, 0L, (sum_so_far, term) -> sum_so_far + term)"
+_NEVER = "9223372036854775807L"
 
-    In cycle c each source emits min(quota, what it has left) blocks, so cycles differ only where a
-    source runs out; there are two kinds for each source at most. Let T(v) be the number of blocks a
-    fluid schedule has emitted when every source has emitted the share v of its quota or run out. Block
-    i of a source with quota q is released at floor(T((i-1)/q)) and due at ceil(T(i/q)). A fold over
-    the slots of the cycle picks, among the released blocks, the one with the earliest deadline (ties:
-    first source in order). The fluid schedule proves the windows feasible, so each block gets a slot
-    in its window and no source is ever a whole block away from its share.
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and calls it ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fluid(s: str, i: str) -> str:
+    """SQL of units[s] times the slots that the fluid schedule needs until source s has emitted i blocks."""
+    return _SUM.format(f"transform(n, (n_j, j) -> least(n_j * u[{s}], ({i}) * u[j]))")
+
+
+def _head(s: str, i: str) -> str:
+    """SQL of block i of source s: released when the fluid schedule starts it, due when that ends it; never where there is none."""
+    window = f"named_struct('i', {i}, 'release', {_fluid(s, f'{i} - 1')} div u[{s}], 'deadline', ({_fluid(s, i)} + u[{s}] - 1) div u[{s}])"
+    return f"if({i} > n[{s}], named_struct('i', {i}, 'release', {_NEVER}, 'deadline', {_NEVER}), {window})"
+
+
+#: SQL of the source whose head takes slot ``t``: the earliest deadline among the released heads, ties to the first source.
+_PICK = "array_min(filter(transform(heads, (h, x) -> if(h.release <= t, named_struct('d', h.deadline, 'x', x), null)), y -> y is not null)).x"
+_AFTER = f"transform(heads, (h, x) -> if(x = p, {_head('x', 'h.i + 1')}, h))"
+
+
+def schedule(plan: DataFrame) -> DataFrame:
+    """One row per block: (of_source, of_block, release, deadline, slot).
+
+    The fluid schedule gives every source its weight's share of each slot until it runs out; then the others
+    keep their ratio. Block i of a source is released in the slot in which the fluid schedule starts it and due
+    when it ends it. Earliest deadline first among released blocks (ties: first source in order) gives each
+    block a slot in its window, so no source is ever a whole block away from its share. All is exact in 64-bit integers.
+
+    A slot depends on those before it, so one task folds over the slots of all blocks and keeps the next block of
+    each source after every ``PIECE`` slots; the pieces are then folded out beside one another. The first fold
+    takes some microseconds a block for twenty sources: beyond 10^8 blocks take more rows a block.
     """
-    one = plan.agg(
-        F.array_sort(F.collect_list(F.struct("source_key", "n_blocks", "quota"))).alias("src")
-    ).where(F.size("src") > 0)
-    first = one.select(
-        "src",
-        F.transform("src", lambda s: s["n_blocks"]).alias("n"),
-        F.transform("src", lambda s: s["quota"]).alias("q"),
-    )
-    kinds = first.withColumn(
-        "kinds",
-        F.expr(
-            "array_sort(array_distinct(concat(array(0L), transform(src, s -> s.n_blocks div s.quota), "
-            "transform(src, s -> s.n_blocks div s.quota + 1L))))"
-        ),
-    )
-    cycles = kinds.select("src", "n", "q", F.explode("kinds").alias("cycle")).select(
-        "*",
-        F.expr("transform(n, (x, s) -> least(q[s], greatest(0L, x - cycle * q[s])))").alias("cap"),
-        F.expr("aggregate(n, 0L, (a, x) -> a + x)").alias("all_blocks"),
-        F.expr("aggregate(transform(n, (x, s) -> least(x, cycle * q[s])), 0L, (a, x) -> a + x)").alias("start"),
-    )
-    cycles = cycles.withColumn("total", F.expr("aggregate(cap, 0L, (a, x) -> a + x)")).where("total > 0")
-    # One row per block and its window. The groupings below also keep Catalyst from inlining the windows
-    # into the fold, which would compute them anew in every slot.
-    fluid = "aggregate(transform(cap, (c, j) -> least(c * q[s], q[j] * {i})), 0L, (a, x) -> a + x)"
-    blocks = (
-        cycles.select("*", F.expr("posexplode(cap) as (s, k)"))
-        .where("k > 0")
-        .select("*", F.expr("explode(sequence(1L, k)) as i"))
-        .select(
-            "cycle",
-            "s",
-            F.struct(
-                "i",
-                F.expr(f"{fluid.format(i='(i - 1)')} div q[s]").alias("release"),
-                F.expr(f"({fluid.format(i='i')} + q[s] - 1) div q[s]").alias("deadline"),
-            ).alias("block"),
-        )
-    )
-    per_source = blocks.groupBy("cycle", "s").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
-    per_cycle = per_source.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("s", "blocks"))).alias("of"))
-    pick = (
-        "array_min(filter(transform(st.head, (h, x) -> if(h < size(of[x].blocks) and of[x].blocks[h].release <= t, "
-        "named_struct('d', of[x].blocks[h].deadline, 'x', x), null)), y -> y is not null))"
-    )
-    folded = per_cycle.select(
-        "cycle",
-        "of",
-        F.expr(
-            "aggregate(sequence(1, aggregate(of, 0, (a, o) -> a + size(o.blocks))), "
-            "named_struct('head', transform(of, o -> 0), 'out', cast(array() as array<struct<x:int,h:int>>)), "
-            f"(st, slot) -> transform(array(slot - 1), t -> transform(array({pick}), p -> named_struct("
-            "'head', transform(st.head, (h, x) -> if(x = p.x, h + 1, h)), "
-            "'out', concat(st.out, array(named_struct('x', p.x, 'h', st.head[p.x]))))))[0][0], "
-            "st -> st.out)"
-        ).alias("slots"),
-    )
+    tiers = plan.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("source_key", "n_blocks", "units"))).alias("src"))
+    # two rows at most, with one entry for each source
+    tiers = tiers.select(
+        "tier", F.transform("src", lambda x: x["source_key"]).alias("keys"), F.transform("src", lambda x: x["n_blocks"]).alias("n"),
+        F.transform("src", lambda x: x["units"]).alias("u"),
+    )
+    before = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
+    tiers = tiers.withColumn("stop", F.expr(_SUM.format("n"))).withColumn("base", F.coalesce(F.sum("stop").over(before), F.lit(0)).cast("long"))
+    slot = _let("heads", "st", _let("p", _PICK, _AFTER))
+    states = (
+        f"aggregate(sequence(1L, greatest(1L, (stop - 1) div {PIECE}L)), array(transform(n, (n_s, s) -> {_head('s', '1L')})), (all, k) -> concat(all, array("
+        f"aggregate(sequence((k - 1) * {PIECE}L, least(stop, k * {PIECE}L) - 1), element_at(all, -1), (st, t) -> {slot}))))"
+    )
+    pieces = tiers.select("base", "keys", "n", "u", "stop", F.posexplode_outer(F.expr(states)).alias("k", "heads")).where(f"k * {PIECE}L < stop")
+    taken = _let(
+        "heads", "st.heads",
+        _let("p", _PICK, f"named_struct('heads', {_AFTER}, 'out', concat(st.out, array(named_struct('x', p, 'h', heads[p]))))"),
+    )
+    out = "cast(array() as array<struct<x:int,h:struct<i:bigint,release:bigint,deadline:bigint>>>)"
+    fold = (
+        f"aggregate(sequence(k * {PIECE}L, least(stop, (k + 1) * {PIECE}L) - 1), named_struct('heads', heads, 'out', {out}), (st, t) -> {taken}, st -> st.out)"
+    )
+    folded = pieces.repartition("k").select("base", "keys", "k", F.expr(fold).alias("slots"))
     # outer: the filter that a plain explode implies would be pushed below and repeat the fold inside it
-    slots = folded.select("cycle", "of", F.posexplode_outer("slots").alias("at", "pick")).select(
-        F.col("cycle").alias("in_cycle"),
-        F.expr("of[pick.x].s").alias("s"),
-        F.expr("of[pick.x].blocks[pick.h]").alias("block"),
-        F.col("at").cast("long").alias("at"),
-    )
-    heads = cycles.select("cycle", "start", "total", "src")
-    return slots.join(heads, F.col("in_cycle") == F.col("cycle")).select(
-        "cycle",
-        "start",
-        "total",
-        F.expr("src[s].source_key").alias("of_source"),
-        (F.col("block.i") - 1).alias("of_block"),
-        F.col("block.release").alias("release"),
-        F.col("block.deadline").alias("deadline"),
-        "at",
+    slots = folded.select("base", "keys", "k", F.posexplode_outer("slots").alias("at", "block"))
+    return slots.select(
+        F.expr("keys[block.x]").alias("of_source"), (F.col("block.h.i") - 1).alias("of_block"), (F.col("base") + F.col("block.h.release")).alias("release"),
+        (F.col("base") + F.col("block.h.deadline")).alias("deadline"), (F.col("base") + F.col("k") * PIECE + F.col("at")).alias("slot"),
     )
 
 
@@ -142,15 +122,15 @@ def mix_sources(
     """A global order of all rows in which every prefix has the target mix to within one block.
 
     Within its source a row's place is its rank by md5 of the id (then the id); ``block_rows`` rows in a
-    row make a block, the last block of a source may be short. Blocks are interleaved by
-    ``cycle_templates``; when a source runs out the others keep their ratio, so every row is placed once
-    and none is dropped or repeated. Rows with a null source form a source of their own; a source
-    without a target weight, or with weight 0, gets the smallest quota. Repeated ids take places of
-    their own; text is not looked at. An empty table gives an empty result; other columns are ignored.
+    row make a block, the last block of a source may be short. Blocks are interleaved by ``schedule``; when a
+    source runs out the others keep their ratio, so every row is placed once and none is dropped or repeated.
+    Rows with a null source form a source of their own; sources without a target weight, or with weight 0, come
+    after all others. Repeated ids take places of their own; text is not looked at. An empty table gives an empty
+    result; other columns are ignored.
 
     Returns id, source, ``block`` (of the source, from 0), ``release`` and ``deadline`` (global slots),
     ``slot`` (the block's place in the mix, from 0 without gaps) and ``seq`` (the row's place in its
-    block); with ``carry`` also ``row``, a struct of all the input's columns. Templates are broadcast: 2,000 rows and fewer for each source.
+    block); with ``carry`` also ``row``, a struct of all the input's columns. What is broadcast has one entry for each source.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     if weights is not None:
@@ -165,63 +145,28 @@ def mix_sources(
         F.substring(digest, 1, RANK_DIGITS).alias("digits"),
         *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []),
     )
-    carried = ["row"] if carry else []
     # The buckets of one source are few, so their offsets need one task a source.
     cells = rows.groupBy("source_key", "digits").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_key").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        F.col("source_key").alias("cell_source"),
-        F.col("digits").alias("cell_digits"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_start"),
+    cells = cells.select("source_key", "digits", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_start"))
+    # the slots of a cell's blocks, in order: the rows themselves are not shuffled by block
+    held = cells.select("*", F.expr(f"explode(sequence(cell_start div {block_rows}L, (cell_start + n - 1) div {block_rows}L)) as block"))
+    slots = (
+        held.join(schedule(plan), (F.col("source_key") == F.col("of_source")) & (F.col("block") == F.col("of_block")))
+        .groupBy(F.col("source_key").alias("cell_source"), F.col("digits").alias("cell_digits"))
+        .agg(F.first("cell_start").alias("cell_start"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("slots"))
     )
     rank = F.row_number().over(Window.partitionBy("source_key", "digits").orderBy("digest", "id")) - 1
     ranked = rows.withColumn("in_cell", rank).join(
-        cells, (F.col("source_key") == F.col("cell_source")) & (F.col("digits") == F.col("cell_digits"))
-    )
-    quotas = plan.select(F.col("source_key").alias("plan_source"), "n_blocks", "quota")
-    kinds = plan.agg(
-        F.expr(
-            "array_sort(array_distinct(concat(array(0L), collect_set(n_blocks div quota), "
-            "transform(collect_set(n_blocks div quota), x -> x + 1L))))"
-        ).alias("kinds")
-    )
-    blocks = (
-        ranked.join(F.broadcast(quotas), F.col("source_key") == F.col("plan_source"))
-        .join(F.broadcast(kinds))
-        .select(
-            *carried,
-            "id",
-            "source",
-            "source_key",
-            "kinds",
-            "quota",
-            F.expr(f"(cell_start + in_cell) div {block_rows}L").alias("block"),
-            F.expr(f"cast((cell_start + in_cell) % {block_rows}L as int)").alias("seq"),
-        )
-        .select(
-            "*",
-            F.expr("block div quota").alias("cycle_no"),
-            F.expr("array_max(filter(kinds, k -> k <= block div quota))").alias("kind"),
-            F.expr("block % quota").alias("in_cycle"),
-        )
+        slots, (F.col("source_key") == F.col("cell_source")) & (F.col("digits") == F.col("cell_digits"))
     )
-    templates = F.broadcast(cycle_templates(plan))
-    placed = blocks.join(
-        templates,
-        (F.col("source_key") == F.col("of_source"))
-        & (F.col("kind") == F.col("cycle"))
-        & (F.col("in_cycle") == F.col("of_block")),
+    carried = ["row"] if carry else []
+    placed = ranked.select(
+        *carried, "id", "source", F.expr(f"slots[cast((cell_start + in_cell) div {block_rows}L - cell_start div {block_rows}L as int)]").alias("at"),
+        F.expr(f"cast((cell_start + in_cell) % {block_rows}L as int)").alias("seq"),
     )
-    base = F.col("start") + (F.col("cycle_no") - F.col("kind")) * F.col("total")
     return placed.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "block",
-        (base + F.col("release")).alias("release"),
-        (base + F.col("deadline")).alias("deadline"),
-        (base + F.col("at")).alias("slot"),
-        "seq",
-        *carried,
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "at.block", "at.release", "at.deadline", "at.slot", "seq", *carried
     )
 
 
@@ -244,17 +189,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-def _emitted(s: str, i: str, of: str = "") -> str:
-    """SQL of q[s] times the blocks that the fluid schedule has emitted at block i of source s."""
-    return f"list_sum(list_transform(range(1, len({of}q) + 1), lambda j: least({of}cap[j] * {of}q[{s}], {of}q[j] * ({i}))))::bigint"
-
-
-def _release_sql(s: str, i: str, of: str = "") -> str:
-    return f"({_emitted(s, f'{i} - 1', of)} // {of}q[{s}])"
-
-
-def _deadline_sql(s: str, i: str, of: str = "") -> str:
-    return f"(({_emitted(s, i, of)} + {of}q[{s}] - 1) // {of}q[{s}])"
+def _emitted_sql(i: str) -> str:
+    """SQL of u[x] times the slots that the fluid schedule needs for i blocks of source x."""
+    return f"list_sum(list_transform(range(1, len(n) + 1), lambda j: least(n[j] * u[x], ({i}) * u[j])))::bigint"
 
 
 OP2_SQL = f"""
@@ -264,40 +201,29 @@ with recursive keyed as (
   select k, count(*) as n_rows from keyed group by k
 ), plan as (
   select k, ((n_rows + {BLOCK_ROWS - 1}) // {BLOCK_ROWS})::bigint as nb,
-         greatest(1, round(pow(n_rows, 0.5) / (select sum(pow(n_rows, 0.5)) from counts) * {CYCLE_BLOCKS}))::bigint as q
+         greatest(1, round(pow(n_rows, 0.5) / (select sum(pow(n_rows, 0.5)) from counts) * {WEIGHT_UNITS}))::bigint as units
   from counts
 ), src as (
-  select list(k order by k) as ks, list(nb order by k) as n, list(q order by k) as q from plan
-), kinds as (
-  select distinct unnest(list_concat([0::bigint], list_concat(list_transform(range(1, len(n) + 1), lambda i: n[i] // q[i]),
-         list_transform(range(1, len(n) + 1), lambda i: n[i] // q[i] + 1)))) as cyc from src
-), cycles as (
-  select *, list_sum(cap)::bigint as total from (
-    select cyc, ks, q, list_transform(range(1, len(n) + 1), lambda i: least(q[i], greatest(0, n[i] - cyc * q[i]))) as cap,
-           list_sum(list_transform(range(1, len(n) + 1), lambda i: least(n[i], cyc * q[i])))::bigint as start
-    from src, kinds)
-  where list_sum(cap) > 0
+  select list(k order by k) as ks, list(nb order by k) as n, list(units order by k) as u from plan
+), blocks as (
+  select k, x, i, {_emitted_sql('i - 1')} // u[x] as rel, ({_emitted_sql('i')} + u[x] - 1) // u[x] as due
+  from (select *, unnest(range(1, n[x] + 1)) as i from (select *, unnest(range(1, len(ks) + 1)) as x, unnest(ks) as k from src))
+), windows as (
+  select list(rel) as rels, list(due) as dues, x from (select * from blocks order by x, i) group by x
+), all_windows as (
+  select list(rels order by x) as rel, list(dues order by x) as due, sum(len(rels))::bigint as total from windows
 ), slots as (
-  select cyc, 0::bigint as t, list_transform(cap, lambda c: 0::bigint) as heads, 0::bigint as s, 0::bigint as h, cap, q, total from cycles
+  select 0::bigint as t, list_transform(rel, lambda r: 0::bigint) as heads, 0::bigint as x from all_windows
   union all
-  select cyc, t + 1, list_transform(range(1, len(heads) + 1), lambda j: heads[j] + (j = p)::bigint), p, heads[p] + 1, cap, q, total
-  from (select *, list_min(list_transform(list_filter(range(1, len(q) + 1), lambda x: heads[x] < cap[x] and {_release_sql('x', 'heads[x] + 1')} <= t),
-                                          lambda x: {_deadline_sql('x', 'heads[x] + 1')} * 1000000 + x)) % 1000000 as p
-        from slots where t < total)
-), templates as (
-  select c.cyc, c.start, c.total, c.ks[x.s] as k, x.h - 1 as block_in_cycle, x.t - 1 as at_slot,
-         {_release_sql('x.s', 'x.h', 'c.')} as rel,
-         {_deadline_sql('x.s', 'x.h', 'c.')} as due
-  from slots x join cycles c on x.cyc = c.cyc where x.s > 0
+  select t + 1, list_transform(range(1, len(heads) + 1), lambda j: heads[j] + (j = p)::bigint), p
+  from (select t, heads, list_min(list_transform(list_filter(range(1, len(heads) + 1), lambda x: heads[x] < len(rel[x]) and rel[x][heads[x] + 1] <= t),
+                                                 lambda x: due[x][heads[x] + 1] * 1000000 + x)) % 1000000 as p
+        from slots, all_windows where t < total)
+), placed as (
+  select ks[x] as k, heads[x] - 1 as block, t - 1 as slot from slots, src where x > 0
 ), ranked as (
   select *, row_number() over (partition by k order by d, doc_id) - 1 as r from keyed
-), blocks as (
-  select doc_id, source, k, r // {BLOCK_ROWS} as block, (r % {BLOCK_ROWS})::int as seq, (r // {BLOCK_ROWS}) // q as cycle_no, (r // {BLOCK_ROWS}) % q as in_cycle
-  from ranked join plan using (k)
-), kinded as (
-  select *, (select max(cyc) from kinds where cyc <= cycle_no) as kind from blocks
 )
-select doc_id, source, block, start + (cycle_no - kind) * total + rel as release, start + (cycle_no - kind) * total + due as deadline,
-       start + (cycle_no - kind) * total + at_slot as slot, seq
-from kinded b join templates t on b.k = t.k and b.kind = t.cyc and b.in_cycle = t.block_in_cycle
+select doc_id, source, r // {BLOCK_ROWS} as block, rel as release, due as deadline, slot, (r % {BLOCK_ROWS})::int as seq
+from ranked q join placed p on q.k = p.k and r // {BLOCK_ROWS} = p.block join blocks b on b.k = q.k and b.i = p.block + 1
 """

@@ -18,6 +18,10 @@ LISTS = 4
 #: Queries and candidates meet in blocks of at most so many rows.
 QUERY_BLOCK = 512
 ROW_BLOCK = 4096
+#: Blocks of rows that meet a block of queries in one task, about.
+SPREAD = 32
+#: Once so few of a block's entries are left, their scores are resolved one by one.
+SPARSE = 0.1
 
 
 def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
@@ -34,13 +38,18 @@ def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
         ints = data.column("ints").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         return pa.table({
             "dim": pa.array([key[0].as_py()], pa.int32()), name: pa.array([key[1].as_py()], pa.int32()),
-            f"{name}_ids": pa.array([ids.tobytes()], pa.binary()), f"{name}_ints": pa.array([ints.astype(np.int64).tobytes()], pa.binary()),
+            f"{name}_ids": pa.array([ids.tobytes()], pa.binary()), f"{name}_ints": pa.array([_narrow(ints).tobytes()], pa.binary()),
         })
 
     schema = f"dim int, {name} int, {name}_ids binary, {name}_ints binary"
     return dealt.groupBy("dim", name).applyInArrow(pack, schema)
 
 
+def _narrow(ints: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes."""
+    return ints.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= ints.min(initial=0) and ints.max(initial=0) <= np.iinfo(t).max))
+
+
 def _slices(dim: int) -> list[slice]:
     edges = np.linspace(0, dim, min(LISTS, dim) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
@@ -54,23 +63,75 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k highest scores, ties to the smaller id; none below ``least``."""
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k highest scores, ties to the smaller id, best first."""
     k = min(k, score.shape[1])
-    if not k:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    low = np.iinfo(np.int64).min
     kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-    keep = score >= (kth if least is None else np.maximum(kth, least))[:, None]
-    keep &= score > np.iinfo(np.int64).min
-    row, col = np.nonzero(keep)
+    row, col = np.nonzero((score >= kth[:, None]) & (score > low))
     order = np.lexsort((ids[col], -score[row, col], row))
     row, col = row[order], col[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], col[place < k]
+    out = np.full((len(score), k), -1, np.int64)
+    out[row[place < k], place[place < k]] = col[place < k]
+    return out
 
 
 def _unpack(ids: bytes, ints: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(ints, np.int64).reshape(-1, dim)
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(ints, f"i{len(ints) // (len(ids) * dim)}").reshape(-1, dim).astype(np.int64)
+
+
+def gather(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Phase 1 in one block: for each query the rows that some list scores among its k highest, with their sums (the k
+    best of them are enough), and the k-th highest score of each list: no other row scores more there."""
+    low = np.iinfo(np.int64).min
+    lists = [np.where(q_ids[:, None] == c_ids[None, :], low, _product(q[:, s], c[:, s])) for s in _slices(q.shape[1])]
+    seen = np.zeros(lists[0].shape, bool)
+    tops = np.full((len(q), len(lists)), low)
+    rows = np.arange(len(q))
+    for j, one in enumerate(lists):
+        best = _best(one, c_ids, k)
+        for col in best.T:
+            seen[rows[col >= 0], col[col >= 0]] = True
+        if best.shape[1] == k:
+            tops[:, j] = np.where(best[:, -1] >= 0, one[rows, best[:, -1]], low)
+    total = np.where(seen, sum(np.where(x == low, 0, x) for x in lists), low)
+    best = _best(total, c_ids, k)
+    found = [b[b >= 0] for b in best]
+    return found, np.where(best >= 0, total[rows[:, None], best], low), tops
+
+
+def resolve(
+    q: np.ndarray, c: np.ndarray, cutoff: np.ndarray, tops: np.ndarray, taken: list[list[int]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3 in one block: (query, row, score) of all rows that reach the query's cutoff, but for those
+    ``taken`` in phase 1, and how many products of phase 3 it took. No other row scores more than ``tops`` in a list.
+
+    List by list the rows are dropped whose known scores and the tops of the lists left do not reach the cutoff.
+    Lists are multiplied whole while many rows are left, then entry by entry.
+    """
+    slices = _slices(q.shape[1])
+    left = tops.sum(1)[:, None] - np.cumsum(tops, 1)
+    known = _product(q[:, slices[0]], c[:, slices[0]])
+    at = 1
+    open_ = known + left[:, 0, None] >= cutoff[:, None]
+    for i, some in enumerate(taken):
+        open_[i, some] = False
+    while at < len(slices) and open_.mean() > SPARSE:
+        known += _product(q[:, slices[at]], c[:, slices[at]])
+        open_ &= known + left[:, at, None] >= cutoff[:, None]
+        at += 1
+    row, col = np.nonzero(open_)
+    score, products = known[row, col], 0
+    for j in range(at, len(slices)):
+        products += len(row)
+        for lo in range(0, len(row), 100_000):
+            part = slice(lo, lo + 100_000)
+            score[part] += np.einsum("ij,ij->i", q[row[part], slices[j]], c[col[part], slices[j]])
+        keep = score + left[row, j] >= cutoff[row]
+        row, col, score = row[keep], col[keep], score[keep]
+    return row, col, score, products
 
 
 def top_k(
@@ -81,15 +142,15 @@ def top_k(
     A component x counts as floor(SCALE x). Queries are the rows whose id is divisible by ``every``;
     candidates are all rows with another id. Rows are packed into blocks; a query block meets every
     candidate block, which is the set of queries against all rows and never all pairs of rows. The
-    components are dealt to ``LISTS`` lists.
+    components are dealt to ``LISTS`` lists, so a row's score is the sum of its list scores.
 
     1. Every block gathers, from each list, the k rows that the list scores highest, with their sums. The
        k-th highest sum of a query over all blocks is a safe cutoff: no row below it is in the answer.
-    2. The cutoff is joined to the query's block. A row that reaches it must score at least its uniform
-       share, the cutoff divided by the number of lists, in some list; only such entries are collected,
-       and what a row may still score is bounded by the list's highest possible score.
-    3. For the entries whose bound reaches the cutoff the remaining scores are resolved; the k best of
-       each block go to the final ranking.
+    2. The cutoff is joined to the blocks' reports. A row that was not gathered scores at most the k-th
+       highest of its block in each list. Where these together miss the cutoff (or none reaches the uniform share,
+       the cutoff divided by the number of lists), the block has nothing more for the query. The others are
+       opened: rows are collected list by list while what they scored and may still score reaches the cutoff.
+    3. The remaining scores of the collected entries are resolved one by one.
 
     Returns ``query_id``, ``rank`` (from 1), id, ``score``; ties go to the smaller id. A repeated id is
     a candidate for each of its rows, and the entries of all rows of a repeated query are ranked together.
@@ -103,79 +164,95 @@ def top_k(
     )
     packed = checkpointed(_blocks(rows, "c", ROW_BLOCK))
     asked = checkpointed(_blocks(rows.where(F.col("id") % every == 0), "q", QUERY_BLOCK))
-    n_asked = asked.groupBy("dim").agg(F.max("q").alias("last")).withColumnRenamed("dim", "of_dim")
-    grid = packed.join(n_asked, F.col("dim") == F.col("of_dim")).select(
-        "dim", "c", "c_ids", "c_ints", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at")
-    )
+    copies = _copies(packed, asked)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
                 c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
-                lists = [_product(q[:, s], c[:, s]) for s in _slices(r["dim"])]
-                own = q_ids[:, None] == c_ids[None, :]
-                seen = np.zeros(own.shape, bool)
-                for one in lists:
-                    row, col = _best(np.where(own, np.iinfo(np.int64).min, one), c_ids, k)
-                    seen[row, col] = True
-                total = np.where(seen, sum(lists), np.iinfo(np.int64).min)
-                row, col = _best(total, c_ids, k)
+                found, totals, tops = gather(q_ids, q, c_ids, c, k)
+                n = len(q_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), r["dim"], np.int32)), pa.array(np.full(len(row), r["q"], np.int32)), pa.array(row), pa.array(total[row, col])],
-                    ["dim", "q", "row", "score"],
+                    [
+                        pa.array(np.full(n, r["dim"], np.int32)), pa.array(np.full(n, r["c"], np.int32)), pa.array(np.full(n, r["q"], np.int32)),
+                        pa.array(range(n), pa.int32()), pa.array(q_ids), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
+                        pa.array([c_ids[f].tolist() for f in found], pa.list_(pa.int64())),
+                        pa.array([t[: len(f)].tolist() for f, t in zip(found, totals, strict=True)], pa.list_(pa.int64())),
+                        pa.array(tops.tolist(), pa.list_(pa.int64())),
+                    ],
+                    ["dim", "c", "q", "row", "query_id", "taken", "ids", "scores", "tops"],
                 )
 
-    met = grid.join(asked.withColumnRenamed("dim", "q_dim"), (F.col("dim") == F.col("q_dim")) & (F.col("at") == F.col("q"))).select(
-        "dim", "c", "c_ids", "c_ints", "q", "q_ids", "q_ints"
+    report = checkpointed(
+        _met(packed, asked, copies).mapInArrow(first, "dim int, c int, q int, row int, query_id long, taken array<int>, ids array<long>, scores array<long>, tops array<long>")
     )
-    gathered = met.mapInArrow(first, "dim int, q int, row long, score long")
     order = Window.partitionBy("dim", "q", "row").orderBy(F.desc("score"))
-    kth = gathered.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("dim", "q", "row", "score")
-    # one row for each query block: its cutoffs, at most QUERY_BLOCK or a little more
-    cutoffs = kth.groupBy(F.col("dim").alias("t_dim"), F.col("q").alias("t_q")).agg(
-        F.collect_list(F.struct("row", "score")).alias("cutoffs")
+    kth = report.select("dim", "q", "row", F.explode("scores").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(
+        F.col("dim").alias("t_dim"), F.col("q").alias("t_q"), F.col("row").alias("t_row"), F.col("score").alias("cutoff")
+    )
+    reported = report.join(kth, (F.col("dim") == F.col("t_dim")) & (F.col("q") == F.col("t_q")) & (F.col("row") == F.col("t_row")), "left")
+    # a block in which no list has a k-th row was gathered whole
+    low = F.lit(np.iinfo(np.int64).min)
+    partly = F.array_min("tops") > low
+    together = F.aggregate("tops", F.lit(0).cast("long"), lambda s, x: s + x)
+    share = F.ceil(F.col("cutoff") / F.size("tops"))
+    more = reported.where(partly & F.col("cutoff").isNotNull() & (together >= F.col("cutoff")) & F.exists("tops", lambda x: x >= share))
+    # the open queries of a block of queries with a block of rows: at most as many as the first holds
+    opened = more.groupBy("dim", "c", "q").agg(F.collect_list(F.struct("row", "cutoff", "tops", "taken")).alias("open")).withColumnsRenamed(
+        {"dim": "o_dim", "c": "o_c", "q": "o_q"}
     )
-    with_cutoffs = asked.join(cutoffs, (F.col("dim") == F.col("t_dim")) & (F.col("q") == F.col("t_q")), "left").select(
-        F.col("dim").alias("q_dim"), "q", "q_ids", "q_ints", "cutoffs"
+    with_rows = opened.join(packed, (F.col("o_dim") == F.col("dim")) & (F.col("o_c") == F.col("c"))).drop("o_dim", "o_c")
+    pairs = with_rows.join(copies, _beside("o_q")).select(
+        "dim", "q_ids", "q_ints", "c_ids", "c_ints", "open"
     )
 
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.iinfo(np.int64).min
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
                 c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
-                cutoff = np.full(len(q_ids), low)
-                for x in r["cutoffs"] or []:
-                    cutoff[x["row"]] = x["score"]
-                slices = _slices(r["dim"])
-                lists = [_product(q[:, s], c[:, s]) for s in slices]
-                # no row of the block scores more than this in a list
-                tops = [one.max(1, initial=low) for one in lists]
-                known = cutoff > low
-                share = np.where(known, -(-cutoff // len(lists)), low)
-                bound = np.zeros(lists[0].shape, np.int64)
-                collected = np.zeros(lists[0].shape, bool)
-                for one, top in zip(lists, tops):
-                    sent = one >= share[:, None]
-                    collected |= sent
-                    bound += np.where(sent, one, np.minimum(top, share - 1)[:, None] if known.any() else one)
-                open_ = collected & ((bound >= cutoff[:, None]) | ~known[:, None]) & (q_ids[:, None] != c_ids[None, :])
-                total = np.where(open_, sum(lists), low)
-                row, col = _best(total, c_ids, k, cutoff)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[row]), pa.array(c_ids[col]), pa.array(total[row, col])], ["query_id", "id", "score"]
-                )
+                some = np.array([x["row"] for x in r["open"]])
+                cutoff, tops = np.array([x["cutoff"] for x in r["open"]]), np.array([x["tops"] for x in r["open"]])
+                row, col, score, _ = resolve(q[some], c, cutoff, tops, [x["taken"] for x in r["open"]])
+                other = q_ids[some[row]] != c_ids[col]
+                row, col, score = row[other], col[other], score[other]
+                # the k best of the block are enough
+                best = np.lexsort((c_ids[col], -score, row))
+                row, col, score = row[best], col[best], score[best]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[some[row[top]]]), pa.array(c_ids[col[top]]), pa.array(score[top])], ["query_id", "id", "score"])
 
-    resolved = grid.join(with_cutoffs, (F.col("dim") == F.col("q_dim")) & (F.col("at") == F.col("q"))).select(
-        "dim", "c", "c_ids", "c_ints", "q", "q_ids", "q_ints", "cutoffs"
-    ).mapInArrow(third, "query_id long, id long, score long")
+    resolved = pairs.mapInArrow(rest, "query_id long, id long, score long")
+    entries = report.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e"))
+    gathered = entries.select("query_id", F.col("e.ids").alias("id"), F.col("e.scores").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = resolved.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    ranked = gathered.union(resolved).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
+def _copies(packed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of queries, once for each run of ``SPREAD`` blocks of rows, so no task gets all rows for one block of queries."""
+    runs = packed.groupBy("dim").agg(F.max(F.expr(f"c div {SPREAD}")).alias("runs")).withColumnRenamed("dim", "of_dim")
+    # one row for each length of vectors
+    return asked.join(F.broadcast(runs), F.col("dim") == F.col("of_dim")).select(
+        F.col("dim").alias("q_dim"), "q", "q_ids", "q_ints", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long"))).alias("run")
+    )
+
+
+def _met(packed: DataFrame, asked: DataFrame, copies: DataFrame) -> DataFrame:
+    """Every block of queries beside every block of rows of its length."""
+    n_asked = asked.groupBy("dim").agg(F.max("q").alias("last")).withColumnRenamed("dim", "of_dim")
+    grid = packed.join(F.broadcast(n_asked), F.col("dim") == F.col("of_dim")).select(
+        "dim", "c", "c_ids", "c_ints", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at")
+    )
+    return grid.join(copies, _beside("at")).select("dim", "c", "c_ids", "c_ints", "q", "q_ids", "q_ints")
+
+
+def _beside(at: str):
+    return (F.col("dim") == F.col("q_dim")) & (F.col(at) == F.col("q")) & (F.expr(f"c div {SPREAD}") == F.col("run"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 

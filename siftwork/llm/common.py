@@ -19,6 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwork-checkpoint-"))
 
 
@@ -50,6 +52,23 @@ def train_split(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0
 
 
+_HALF = "9223372036854775808"
+
+
+def sortable(key: Column, kind: str) -> Column:
+    """A string for each id that sorts as the ids do: digits for integers, otherwise the id as a string and an end."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.lpad((key.cast("decimal(20,0)") + F.lit(_HALF).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(key.cast("string"), F.lit("\0"))
+
+
+def unsorted(name: Column, kind: str) -> Column:
+    """The id that ``sortable`` made the string from."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return (name.cast("decimal(20,0)") - F.lit(_HALF).cast("decimal(20,0)")).cast(kind)
+    return F.substring_index(name, "\0", 1).cast(kind)
+
+
 def with_offsets(cells: DataFrame, bucket: str, order: list[str], totals: dict[str, str]) -> DataFrame:
     """Exclusive global prefix sums of cell totals.
 

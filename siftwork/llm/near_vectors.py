@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import checkpointed, table
+from siftwork.llm.common import checkpointed, sortable, table, unsorted
 from siftwork.llm.components import connected_components
 from siftwork.llm.vectors import finite, matrix
 
@@ -242,15 +242,20 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
     members = placed.join(graph, F.col("rep") == F.col("node")).select(
         *keys, "n_parts", "primary", "rep", "weight", "embedding", "near"
     )
-    own = members.select(*keys, "primary", F.lit(True).alias("member"), F.col("part").alias("home"), "rep", "weight", "embedding", "near")
-    # where a shard has several parts, its vectors ask the other parts too
+    # a group holds the members of a part and the vectors that ask them from one part (home), their own or another
+    keys = [*keys, "home"]
+    no_list = F.expr(f"cast(array() as array<{rep_type}>)")
+    every = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))
+    own = members.withColumn("home", every).select(
+        *keys, "primary", F.lit(True).alias("member"), "rep", "weight", "embedding", F.when(F.col("home") == F.col("part"), F.col("near")).otherwise(no_list).alias("near")
+    )
     others = (
         members.where("primary and n_parts > 1")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+        .withColumn("other", every)
         .where("other <> part")
         .select(
-            "space", "cell", F.col("other").alias("part"), "primary", F.lit(False).alias("member"), F.col("part").alias("home"),
-            "rep", "weight", "embedding", F.expr(f"cast(array() as array<{rep_type}>)").alias("near"),
+            "space", "cell", F.col("other").alias("part"), F.col("part").alias("home"), "primary", F.lit(False).alias("member"),
+            "rep", "weight", "embedding", no_list.alias("near"),
         )
     )
 
@@ -266,7 +271,8 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
         graph = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int32)
         for i, near in enumerate(lists):
             graph[i, : len(near)] = near
-        asks = data.filter(data.column("primary"))
+        at_home_here = key[3].as_py() == key[2].as_py()
+        asks = data.filter(data.column("primary")) if at_home_here else data.filter(pa.array(~is_member))
         if not len(asks):
             return empty
         asking = asks.column("rep").to_pylist()
@@ -289,7 +295,7 @@ def _links(classes: DataFrame, pivots, overlap: int, least: float) -> DataFrame:
         tied = np.flatnonzero(part != np.arange(n))
         # pairs of one primary shard: once here, and of two parts only where the lower one asks
         both = held.column("primary").to_numpy(zero_copy_only=False)[v]
-        lower = (own_node[q] >= 0) | (asks.column("home").to_numpy()[q] < key[2].as_py())
+        lower = (own_node[q] >= 0) | (key[3].as_py() < key[2].as_py())
         inner = np.unique(np.minimum(a, b)[both & lower] * n + np.maximum(a, b)[both & lower])
         low, high = inner // n, inner % n
         counts = (np.bincount(low, weight[high], n) + np.bincount(high, weight[low], n)).astype(np.int64)
@@ -369,8 +375,13 @@ def _exact_links(classes: DataFrame, least: float) -> DataFrame:
 
 
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share found of the links of a bounded sample of vectors, against all vectors: over all its links, or the mean
-    of its linked vectors' shares where that is lower."""
+    """Share found of the links, against all vectors for two bounded samples: any vectors, and vectors with links found.
+
+    The first grows until ``AUDITED_LINKS`` true links are in it or ``AUDITED_MOST`` vectors are asked; its linked vectors
+    also give the mean of their shares. Where links are sparse it may hold few or none, so the second says how many
+    links a vector with some has, and the true links are estimated over both kinds of vectors. The lowest of these
+    counts. Only if no link was found anywhere and none is in the first sample is the recall taken to be 1.
+    """
     asked = AUDITED
     while True:
         true, got = _audited(classes, counted, least, asked)
@@ -378,15 +389,29 @@ def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
         if total >= AUDITED_LINKS or len(true) < asked or asked >= AUDITED_MOST:
             break
         asked = min(4 * asked, AUDITED_MOST)
-    if not total:
-        return 1.0
-    shares = [min(got.get(r, 0), n) / n for r, n in true.items() if n]
-    return min(sum(min(got.get(r, 0), n) for r, n in true.items()) / total, sum(shares) / len(shares))
-
-
-def _audited(classes: DataFrame, counted: DataFrame, least: float, asked: int) -> tuple[dict, dict]:
-    """Links of each of ``asked`` vectors at most, by comparing them with all vectors, and the links found."""
-    sample = classes.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(asked).toArrow()
+    found = 1.0
+    if total:
+        shares = [min(got.get(r, 0), n) / n for r, n in true.items() if n]
+        found = min(sum(min(got.get(r, 0), n) for r, n in true.items()) / total, sum(shares) / len(shares))
+    if total >= AUDITED_LINKS:
+        return found
+    linked = counted.where("n_links > 0").select(F.col("rep").alias("l_rep"))
+    n_linked, n_all = linked.count(), classes.count()
+    if n_linked:
+        some, got_some = _audited(classes.join(linked, F.col("rep") == F.col("l_rep"), "left_semi"), counted, least, 4 * AUDITED, classes)
+        without = [n for r, n in true.items() if not got.get(r, 0)]
+        missed = (n_all - n_linked) * (sum(without) / len(without) if without else 0.0)
+        true_a_linked = sum(some.values()) / len(some)
+        got_a_linked = sum(min(got_some.get(r, 0), n) for r, n in some.items()) / len(some)
+        if true_a_linked or missed:
+            found = min(found, n_linked * got_a_linked / (n_linked * true_a_linked + missed))
+    return found
+
+
+def _audited(of: DataFrame, counted: DataFrame, least: float, asked: int, classes: DataFrame | None = None) -> tuple[dict, dict]:
+    """Links of each of ``asked`` vectors of ``of`` at most, by comparing them with all vectors, and the links found."""
+    classes = of if classes is None else classes
+    sample = of.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(asked).toArrow()
     if not len(sample):
         return {}, {}
     spaces, reps = np.array(sample.column("space").to_pylist(), object), sample.column("rep").to_pylist()
@@ -425,9 +450,9 @@ def near_vectors(
 ) -> DataFrame:
     """Links between vectors of one label whose cosine is at least ``least``, and their components.
 
-    Equal vectors count as one with a weight. The pivots of a label are a bounded sample of its vectors;
+    Equal vectors (by 128 bits of hash) count as one with a weight. The pivots of a label are a bounded sample of its vectors;
     each vector belongs to the shards of its ``OVERLAP`` nearest pivots, and a large shard is cut into
-    parts. Each part builds a robust-pruned graph; a vector's neighbour lists from all its shards are
+    parts, which meet two by two. Each part builds a robust-pruned graph; a vector's neighbour lists from all its shards are
     united. In the part of its nearest pivot (and all parts of that shard) a vector runs a greedy search
     from the medoid that expands through the range; with other parts of its shard it is compared member by
     member. What is returned was verified in double precision, so no link is false. The recall is audited
@@ -445,18 +470,19 @@ def near_vectors(
     )
     whole = finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(whole, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    # adding 0.0 makes the two zeros one
+    plain = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     good = rows.where("ok").select(
         "id", "embedding", F.concat_ws("|", F.size("embedding").cast("string"), "label").alias("space")
+    ).withColumns({"k1": F.xxhash64("space", plain), "k2": F.xxhash64(F.lit("again"), "space", plain)})
+    # names sort as the ids do, so a component's smallest name begins with its smallest id; two classes can share
+    # their smallest id where ids repeat, and the hash tells them apart
+    id_kind = vectors.schema[id_col].dataType.simpleString()
+    classes = good.groupBy("k1", "k2").agg(
+        F.min("id").alias("least_id"), F.count("*").alias("weight"), F.first("space").alias("space"), F.first("embedding").alias("embedding")
     )
-    classes = checkpointed(
-        good.groupBy("space", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    )
-    # two classes can share their smallest id where ids repeat: the class number tells them apart
-    twin = Window.partitionBy("rep").orderBy(F.xxhash64("space", "embedding"))
-    named = checkpointed(
-        classes.withColumn("least_id", F.col("rep"))
-        .withColumn("rep", F.concat_ws("#", F.col("rep").cast("string"), F.row_number().over(twin).cast("string")))
-    )
+    name = F.concat(sortable(F.col("least_id"), id_kind), F.hex("k1"), F.lit("-"), F.hex("k2"))
+    named = checkpointed(classes.select(name.alias("rep"), "k1", "k2", "weight", "space", "embedding"))
     context = vectors.sparkSession.sparkContext
     pivots = context.broadcast(_choose_pivots(named))
     overlap = OVERLAP
@@ -468,17 +494,17 @@ def near_vectors(
             break
         overlap *= 2
     parts = connected_components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    labelled = (
-        named.join(counted.withColumnRenamed("rep", "c_rep"), F.col("rep") == F.col("c_rep"), "left")
-        .join(parts, F.col("rep") == F.col("node"), "left")
-        .select("space", "embedding", "rep", "least_id", "weight", F.coalesce("n_links", F.lit(0)).alias("n"),
-                F.coalesce("component", "rep").alias("component"))
+    # what is joined from here on has no vectors
+    joined = named.select("rep", "weight", "k1", "k2").join(counted.withColumnRenamed("rep", "c_rep"), F.col("rep") == F.col("c_rep"), "left").join(
+        parts, F.col("rep") == F.col("node"), "left"
     )
-    smallest = labelled.groupBy(F.col("component").alias("of")).agg(F.min("least_id").alias("component_id"))
-    classes_out = labelled.join(smallest, F.col("component") == F.col("of")).select(
-        F.col("space").alias("s"), F.col("embedding").alias("e"), (F.col("n") + F.col("weight") - 1).alias("links"), "component_id"
+    first_name = F.coalesce("component", "rep")
+    first_id = first_name if id_kind == "string" else F.substring(first_name, 1, 20)
+    classes_out = joined.select(
+        F.col("k1").alias("o1"), F.col("k2").alias("o2"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("links"),
+        unsorted(first_id, id_kind).alias("component_id"),
     )
-    linked = good.join(classes_out, (F.col("space") == F.col("s")) & (F.col("embedding") == F.col("e"))).select(
+    linked = good.select("id", "k1", "k2").join(classes_out, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))).select(
         F.col("id").alias(id_col), F.col("links").alias("n_links"), "component_id"
     )
     alone = rows.where("not ok").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import in_chunks, ragged
-from siftwork.llm.common import checkpointed, small_batches, table
+from siftwork.llm.common import checkpointed, small_batches, sortable, table, unsorted
 from siftwork.llm.components import connected_components
 from siftwork.llm.shingles import set_digests, shingle_sets
 
@@ -26,7 +26,9 @@ OPEN_BITS = 26
 BUCKET_DOCS = 1024
 #: Sets of one group that one task opens.
 GROUP_CHUNK = 1024
-#: Queries that meet a chunk in one place, about.
+#: Tokens of the sets that one task opens, about (12 MB).
+CHUNK_TOKENS = 2_000_000
+#: Queries that meet a chunk in one place, about, and their tokens.
 CHUNK_QUERIES = 2048
 CHUNK_CHARS = 600_000
 #: One more index token for so many tokens of a set; linked sets share as many of them.
@@ -76,9 +78,12 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
         held: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
-            # a document's tokens are distinct, so equal ones here are from different documents
+            # a document's tokens are distinct, so equal ones here are from different documents; beyond COMMON
+            # of them more say nothing new
             prints = np.sort(np.concatenate(held))
             held.clear()
+            if len(prints) > COMMON:
+                prints = prints[np.append(np.full(COMMON, True), prints[COMMON:] != prints[:-COMMON])]
             cuts = np.searchsorted(prints, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
             # the bucket says the highest bits
             five = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -180,12 +185,12 @@ def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
                 digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
                 index = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[chosen].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(counts), digest, pa.array(group), index],
-                    ["id", "n", "digest", "grp", "index"],
+                    [batch.column("id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(counts), digest, pa.array(group), index],
+                    ["id", "text_hash", "n", "digest", "grp", "index"],
                 )
         pa.default_memory_pool().release_unused()
 
-    return texts.mapInArrow(sign, f"id {id_type}, n long, digest binary, grp long, index array<long>")
+    return texts.mapInArrow(sign, f"id {id_type}, text_hash long, n long, digest binary, grp long, index array<long>")
 
 
 def id_map(ids: DataFrame) -> BitMap:
@@ -252,32 +257,43 @@ class Group:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(query) - both))
 
 
-def _open_group(batches: Iterator[pa.RecordBatch], percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect what is linked: members with one another, and queries with members."""
+def _open_group(batches: Iterator[pa.RecordBatch], percent: int, first: bool) -> tuple[list[tuple[bytes, bytes]], dict[bytes, int]]:
+    """Links that connect what is linked, and the links of each set, with the weights of the sets at their other ends.
+
+    Members are counted with one another in the first place of their chunk alone, and queries with members where they
+    meet: so every linked pair of sets is counted once.
+    """
     members: dict[bytes, np.ndarray] = {}
     queries: dict[bytes, np.ndarray] = {}
+    weight: dict[bytes, int] = {}
     for batch in batches:
-        for d, t, m in zip(*(batch.column(c).to_pylist() for c in ("digest", "tokens", "member")), strict=True):
+        for d, t, m, w in zip(*(batch.column(c).to_pylist() for c in ("digest", "tokens", "member", "weight")), strict=True):
             (members if m else queries)[d] = _widened(t, 6)
+            weight[d] = w
     if not members:
-        return []
+        return [], {}
     names = sorted(members)
     group = Group([members[d] for d in names])
-    part, links = np.arange(len(names)), []
-    for i, d in enumerate(names):
-        if not part.any():
-            break  # all are connected
-        for j in group.linked(members[d], percent).tolist():
+    weights = np.array([weight[d] for d in names], np.int64)
+    part, links, counts = np.arange(len(names)), [], np.zeros(len(names), np.int64)
+    asked: dict[bytes, int] = {}
+    for i, d in enumerate(names if first else []):
+        near = group.linked(members[d], percent)
+        counts[i] += weights[near].sum() - weights[i]
+        for j in near[np.unique(part[near], return_index=True)[1]].tolist():
             if part[i] != part[j]:
                 lo, hi = sorted((part[i], part[j]))
                 part[part == hi] = lo
                 links.append((d, names[j]))
     for d, tokens in queries.items():
         near = group.linked(tokens, percent)
+        if len(near):
+            asked[d] = int(weights[near].sum())
+            counts[near] += weight[d]
         # one link for each part of the group is enough
         for j in near[np.unique(part[near], return_index=True)[1]].tolist():
             links.append((d, names[j]))
-    return links
+    return links, asked | {names[i]: asked.get(names[i], 0) + int(counts[i]) for i in np.flatnonzero(counts)}
 
 
 def jaccard_components(
@@ -290,30 +306,38 @@ def jaccard_components(
     two groups that can, the smaller one's documents go as queries to the larger one. There a task stores
     the union of the members' tokens and bounds a query's overlap with every member by its overlap
     with the union; only if that reaches the threshold does it open the group and count exactly. A
-    large group is cut into chunks, so no task holds more than about ``GROUP_CHUNK`` sets and
-    ``CHUNK_QUERIES`` queries; equal sets count as one, and inside a group only links that join two parts are kept.
+    large group is cut into chunks, so no task holds more than about ``GROUP_CHUNK`` sets (or ``CHUNK_TOKENS`` tokens) and
+    ``CHUNK_QUERIES`` queries; equal sets count as one with a weight. Every linked pair of sets is found and counted
+    once; of the pairs themselves those that join two parts of a chunk are kept.
 
     What every task receives has a fixed size (``token_maps`` and the map of opened documents); what is
     joined is ids and groups, and token sets of documents in groups that can hold a link.
 
-    Returns one row per input row: id, ``n_shingles``, ``component_id`` (the smallest id that links reach,
-    its own included). A text that is null or has no words has no shingles and links with nothing; fewer
-    words than a shingle form one. Rows with a null id link with nothing. Repeated rows stay repeated. An
+    Returns one row per input row: id, ``n_shingles``, ``n_links`` (other rows linked directly), ``component_id``
+    (the smallest id that links reach, its own included). A text that is null or has no words has no shingles and links
+    with nothing; fewer words than a shingle form one. Rows with a null id link with nothing. Repeated rows stay
+    repeated and link with one another; rows that repeat an id with another text are documents of their own. An
     empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
+    return _linked(docs, id_col, text_col, words, percent).select(id_col, "n_shingles", "n_links", "component_id")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """As ``jaccard_components``, with ``set_digest``, ``text_hash`` and whether the row's set is the first of its component."""
+    spark, id_kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
     context = spark.sparkContext
     maps = context.broadcast(token_maps(texts, words, texts.count()))
     signed = checkpointed(signatures(texts, words, percent, maps))
     classes = checkpointed(
         signed.where("n > 0 and id is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"))
+        .agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("grp").alias("grp"))
     )
     groups = classes.groupBy("grp").agg(
-        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most")
+        F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("n").alias("least"), F.max("n").alias("most")
     )
     index = (
         signed.where("n > 0 and size(index) > 0")
@@ -343,7 +367,7 @@ def jaccard_components(
         & (F.col("hs.most") * 100 >= F.col("gs.least") * percent)
     )
     opens = F.struct(F.col("gs.size"), F.col("g")) > F.struct(F.col("hs.size"), F.col("h"))
-    chunks = lambda size: F.ceil(size / GROUP_CHUNK).cast("int")
+    chunks = F.ceil(F.greatest(F.col("size") / GROUP_CHUNK, F.col("mass") / CHUNK_TOKENS)).cast("int")
     pairs = checkpointed(
         pairs.join(groups.alias("gs"), F.col("g") == F.col("gs.grp"))
         .join(groups.alias("hs"), F.col("h") == F.col("hs.grp"))
@@ -352,37 +376,36 @@ def jaccard_components(
             F.when(opens, F.col("g")).otherwise(F.col("h")).alias("opened"),
             F.when(opens, F.col("h")).otherwise(F.col("g")).alias("asks"),
             F.when(opens, F.col("gs.size")).otherwise(F.col("hs.size")).alias("size"),
+            F.when(opens, F.col("gs.mass")).otherwise(F.col("hs.mass")).alias("mass"),
             F.when(opens, F.col("gs.least")).otherwise(F.col("hs.least")).alias("least"),
             F.when(opens, F.col("gs.most")).otherwise(F.col("hs.most")).alias("most"),
         )
     )
     own_chunk = F.pmod(F.xxhash64("digest"), F.col("n_chunks"))
-    candidates = pairs.select("opened", chunks(F.col("size")).alias("n_chunks")).union(
-        groups.where("size > 1").select("grp", chunks(F.col("size")))
-    )
+    candidates = pairs.select("opened", chunks.alias("n_chunks")).union(groups.where("size > 1").select("grp", chunks))
     members = classes.join(candidates.distinct(), F.col("grp") == F.col("opened")).select(
-        "opened", own_chunk.cast("int").alias("chunk"), "rep", "digest", "n_chunks"
+        "opened", own_chunk.cast("int").alias("chunk"), "rep", "digest", "weight", "n", "n_chunks"
     )
     queries = (
         pairs.join(classes, F.col("asks") == F.col("grp"))
         .where((F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
-        .select("opened", F.explode(F.sequence(F.lit(0), chunks(F.col("size")) - 1)).alias("chunk"), "rep", "digest")
+        .select("opened", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep", "digest", "weight", "n")
     )
     across = members.where("chunk + 1 < n_chunks").select(
-        "opened", F.explode(F.expr("sequence(chunk + 1, n_chunks - 1)")).alias("chunk"), "rep", "digest"
+        "opened", F.explode(F.expr("sequence(chunk + 1, n_chunks - 1)")).alias("chunk"), "rep", "digest", "weight", "n"
     )
     # a chunk with many queries is opened in several places, each with its share of them
     asking = checkpointed(queries.union(across))
     places = asking.groupBy(F.col("opened").alias("o"), F.col("chunk").alias("c")).agg(
-        F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("n_places")
+        F.ceil(F.greatest(F.count("*") / CHUNK_QUERIES, F.sum("n") / (2 * CHUNK_TOKENS))).cast("int").alias("n_places")
     )
     at_place = (F.col("opened") == F.col("o")) & (F.col("chunk") == F.col("c"))
     spread = members.join(places, at_place, "left").select(
-        "opened", "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("n_places", F.lit(1)) - 1)).alias("place"), "rep", "digest",
+        "opened", "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("n_places", F.lit(1)) - 1)).alias("place"), "rep", "digest", "weight",
         F.lit(True).alias("member"),
     )
     dealt = asking.join(places, at_place).select(
-        "opened", "chunk", F.pmod(F.xxhash64("digest", F.lit("place")), F.col("n_places")).cast("int").alias("place"), "rep", "digest",
+        "opened", "chunk", F.pmod(F.xxhash64("digest", F.lit("place")), F.col("n_places")).cast("int").alias("place"), "rep", "digest", "weight",
         F.lit(False).alias("member"),
     )
     sent = checkpointed(spread.union(dealt))
@@ -390,40 +413,61 @@ def jaccard_components(
     sets = opened_sets(texts, words, opened)
     placed = sent.join(
         sets, (F.col("rep") == F.col("id")) & (sent["digest"] == sets["digest"])
-    ).select("opened", "chunk", "place", "member", sent["digest"].alias("digest"), "tokens")
+    ).select("opened", "chunk", "place", "member", "weight", sent["digest"].alias("digest"), "tokens")
 
     def link(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = _open_group(batches, percent)
+        links, counts = _open_group(batches, percent, key[2].as_py() == 0)
+        ones, others = [x for x, _ in links] + list(counts), [y for _, y in links] + [None] * len(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["x", "y"]
+            [pa.array(ones, pa.binary()), pa.array(others, pa.binary()), pa.array([0] * len(links) + list(counts.values()), pa.int64())], ["x", "y", "n"]
         )
 
-    links = checkpointed(placed.groupBy("opened", "chunk", "place").applyInArrow(link, "x binary, y binary").distinct())
-    reps = classes.select("digest", "rep")
-    by_rep = links.join(reps.select(F.col("digest").alias("x"), F.col("rep").alias("a")), "x").join(
-        reps.select(F.col("digest").alias("y"), F.col("rep").alias("b")), "y"
+    found = checkpointed(placed.groupBy("opened", "chunk", "place").applyInArrow(link, "x binary, y binary, n long"))
+    # a set is named by its smallest id, then its digest: the smallest name of a component begins with its smallest id
+    named = classes.select("digest", "weight", F.concat(sortable(F.col("rep"), id_kind), F.hex("digest")).alias("name"))
+    links = found.where("y is not null").select("x", "y").distinct()
+    by_name = links.join(named.select(F.col("digest").alias("x"), F.col("name").alias("a")), "x").join(
+        named.select(F.col("digest").alias("y"), F.col("name").alias("b")), "y"
     )
-    found = connected_components(by_rep.select("a", "b"))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component")
+    parts = connected_components(by_name.select("a", "b"))
+    first_name = F.coalesce("component", "name")
+    counts = found.where("y is null").groupBy(F.col("x").alias("counted")).agg(F.sum("n").alias("links"))
+    sets = (
+        named.join(parts, F.col("name") == F.col("node"), "left")
+        .join(counts, F.col("digest") == F.col("counted"), "left")
+        .select(
+            F.col("digest").alias("of"),
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            unsorted(first_name if id_kind == "string" else F.substring(first_name, 1, 20), id_kind).alias("component"),
+            F.coalesce(F.col("component") == F.col("name"), F.lit(True)).alias("is_first"),
+        )
     )
-    return signed.join(named, (F.col("digest") == F.col("of")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left").select(
+    has_set = (F.col("digest") == F.col("of")) & (F.col("n") > 0) & F.col("id").isNotNull()
+    return signed.join(sets, has_set, "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
+        F.col("digest").alias("set_digest"),
+        "text_hash",
+        F.coalesce("is_first", F.lit(True)).alias("is_first"),
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that stand for their group of near duplicates, with all their columns.
 
-    A group keeps the row with its smallest id; of rows that repeat that id one stays. Rows with a null id
-    stay.
+    A group keeps the row with its smallest id. Where an id is repeated, rows with the same words count as copies and
+    one stays (of texts that differ in other than words, the one with the smallest hash); rows with other words are
+    documents of their own. Rows with a null id stay.
     """
-    parts = jaccard_components(docs, id_col=id_col, **options)
-    kept = checkpointed(parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct())
-    stays = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-    return stays.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    text = options.get("text_col", "text")
+    found = _linked(docs, id_col, text, options.get("words", SHINGLE_WORDS), options.get("percent", 75))
+    firsts = found.where(F.col("is_first") & (F.col(id_col) == F.col("component_id"))).groupBy(F.col(id_col).alias("__kept"), "set_digest")
+    kept = checkpointed(firsts.agg(F.min("text_hash").alias("__text")).select("__kept", "__text"))
+    hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    stays = docs.join(kept, (docs[id_col] == kept["__kept"]) & (hashed == kept["__text"]), "left_semi").withColumn("__text", F.xxhash64(F.coalesce(text, F.lit(""))))
+    return stays.dropDuplicates([id_col, "__text"]).drop("__text").union(docs.where(F.col(id_col).isNull()))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,23 @@ CATALOGUE = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 ]
 
+#: SHA-256 of the canonical form of long licences, whole as their stewards publish them.
+DIGESTS = {
+    "Apache-2.0": "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2-only": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3-only": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0-only": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0-only": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0-only": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0-only": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1-only": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0-only": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
 #: A line that only names the holder of a copyright.
 COPYRIGHT_LINE = (
     r"(?m)^[ \t*#/;-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9<\[])[^\n]*|©[^\n]*|all rights reserved[.]?[ \t\r]*)$"
@@ -151,12 +168,12 @@ def canonical(text: Column) -> Column:
 
 
 def scan_licences(
-    docs: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, catalogue: DataFrame, digests: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Say of every whole text which known licence it is.
 
     Texts and the ``catalogue`` (licence, text) pass through ``canonical`` and are joined by the SHA-256
-    of the result, so two texts match when they differ in case, punctuation, spacing, copyright lines or
+    of the result; ``digests`` (licence, digest) are known beside the catalogue's. So two texts match when they differ in case, punctuation, spacing, copyright lines or
     equivalent spellings alone. If two licences share a canonical text, the first name in order wins.
     Nothing is hinted: Spark broadcasts the catalogue where its size allows and splits hot digests else.
 
@@ -164,12 +181,11 @@ def scan_licences(
     unknown). Null and empty texts match nothing, nor do empty catalogue texts. Repeated rows stay
     repeated, an empty table gives an empty result, and other columns are ignored.
     """
-    known = (
-        catalogue.select("licence", canonical(F.col("text")).alias("canon"))
-        .where("canon <> ''")
-        .groupBy(F.sha2(F.col("canon").cast("binary"), 256).alias("known_digest"))
-        .agg(F.min("licence").alias("licence"))
-    )
+    texts = catalogue.select("licence", canonical(F.col("text")).alias("canon")).where("canon <> ''")
+    listed = texts.select("licence", F.sha2(F.col("canon").cast("binary"), 256).alias("known_digest"))
+    if digests is not None:
+        listed = listed.union(digests.select("licence", F.col("digest").alias("known_digest")).where("digest is not null"))
+    known = listed.groupBy("known_digest").agg(F.min("licence").alias("licence"))
     canon = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon"))
     digests = canon.select(
         "id", F.when(F.col("canon") != "", F.sha2(F.col("canon").cast("binary"), 256)).alias("digest")
@@ -181,7 +197,12 @@ def scan_licences(
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(CATALOGUE, "licence string, text string")
-    return scan_licences(table(spark, sf_dir, "documents"), known)
+    return scan_licences(table(spark, sf_dir, "documents"), known, known_digests(spark))
+
+
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(licence, digest) of the long licences."""
+    return spark.createDataFrame(list(DIGESTS.items()), "licence string, digest string")
 
 
 def _quoted(text: str) -> str:
@@ -203,6 +224,7 @@ with known as (
   from (select licence, {_canonical_sql('body')} as canon
         from (values {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in CATALOGUE)}) as t(licence, body))
   where canon <> '' group by 1
+  union all select unnest({[d for d in DIGESTS.values()]}), unnest({list(DIGESTS)})
 ), docs as (
   select doc_id, case when canon <> '' then sha256(canon) end as digest
   from (select doc_id, {_canonical_sql('text')} as canon from documents)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import encoder
-from siftwork.llm.common import small_batches, table
+from siftwork.llm.common import checkpointed, small_batches, table
 
 #: Lengths of one band are summed together; bands of a corpus are few, as texts are finite.
 BAND = 1024
@@ -41,7 +41,8 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     Null lengths count as 0. An empty table gives no rows.
     """
     n = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    hist = (
+    # read for the lengths and again for the bands: one row per length, written once
+    hist = checkpointed(
         lengths.groupBy(n.alias("n_tokens"))
         .agg(F.count("*").alias("docs"))
         .select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.expr(f"n_tokens div {BAND}").alias("band"))

@@ -6,19 +6,21 @@ import numpy as np
 
 #: Tokens that one window scores, and tokens before them that it also sees.
 SCORED = 16
-BEFORE = 12
+BEFORE = 4
 WIDTH = 16
 #: Coordinates that describe a subword; the model sees these and a constant.
-FEATURES = 24
+FEATURES = 23
 #: Subwords fall into so many classes, and each class into so many parts; the model predicts both in turn.
 CLASSES = 24
 PARTS = 24
+#: What stands before an id is told apart by its class and one of so many groups of the class's parts.
+GROUPS = 4
 #: Frequent subwords with an input row of their own; the others use their part's.
 OWN_ROWS = 2048
 #: The most frequent subwords, which count as neighbours of their own.
 COMMON = 128
 LEARNING_RATE = 0.01
-WINDOWS_A_STEP = 256
+WINDOWS_A_STEP = 1024
 CAP = np.float32(40.0)
 
 
@@ -41,24 +43,44 @@ class Subwords:
     """What is known of each id before training: input row, class, part, and each input row's coordinates.
 
     ``first`` (rows x classes) and ``second`` (rows * classes x parts) are log probabilities of what follows a
-    row, from the counts of all training texts; training adds what the window says to them. ``emit`` (classes x
-    ids) is the log probability of an id given its part and the class before.
+    row, from the counts of all training texts; training adds what the window says to them. ``emit`` (groups x
+    ids) is the log probability of an id given its part and the group before.
     """
 
     def __init__(self, row: np.ndarray, of: np.ndarray, part: np.ndarray, points: np.ndarray):
         self.row, self.of, self.part = row.astype(np.int32), of.astype(np.int16), part.astype(np.int16)
+        self.group = (of * GROUPS + part % GROUPS).astype(np.int32)
         self.points = np.ascontiguousarray(points, np.float32)
         self.rows = len(points)
         self.first = np.full((self.rows, CLASSES), -np.log(CLASSES), np.float32)
         self.second = np.full((self.rows * CLASSES, PARTS), -np.log(PARTS), np.float32)
-        self.emit = np.zeros((CLASSES, len(row)), np.float32)
+        self.emit = np.zeros((CLASSES * GROUPS, len(row)), np.float32)
 
     def emitted(self, ids: np.ndarray) -> np.ndarray:
         """``emit`` of each id after the one before it."""
-        at = self.of[ids[:-1]].astype(np.int64) * self.emit.shape[1] + ids[1:]
+        at = np.take(self.group, ids[:-1]).astype(np.int64) * self.emit.shape[1] + ids[1:]
         return np.concatenate([np.zeros(1, np.float32), np.take(self.emit.ravel(), at)])
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix of a stack transposed, in memory too: products with it are faster."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y for tall matrices, as a sum over slices, which is faster."""
+    cut = len(x) // 64 * 64
+    whole = np.matmul(x[:cut].reshape(-1, 64, x.shape[1]).transpose(0, 2, 1), y[:cut].reshape(-1, 64, y.shape[1])).sum(0)
+    return whole + x[cut:].T @ y[cut:]
+
+
+def _powers(x: np.ndarray) -> np.ndarray:
+    """exp of x in place; exponents are capped, not shifted, as those of a trained model are small."""
+    if x.size and x.max() > CAP:
+        np.minimum(x, CAP, out=x)
+    return np.exp(x, out=x)
+
+
 class Attention:
     """One layer: attention over the window's rows, added to what the last row alone says of the next token.
 
@@ -87,19 +109,19 @@ class Attention:
             setattr(self, n, np.array(w, np.float32))
         self._adam = None
 
-    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Attention of each scored place to all it may see, and the mean of the values.
+    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Powers of the attention of each scored place to all it may see, their sums, and the mean of the values.
 
-        Exponents are capped, not shifted: those of a trained model are small. What lies beyond the end of a
-        sequence is seen by no token that counts.
+        What lies beyond the end of a sequence is seen by no token that counts.
         """
-        score = np.matmul(q, k.transpose(0, 2, 1))
+        score = np.matmul(q, _turned(k))
         score += np.where(self.hidden, np.float32(-1e9), np.take(self.near, self.distance))
         score[first, :, :BEFORE] = -1e9
-        np.minimum(score, CAP, out=score)
-        np.exp(score, out=score)
-        score /= np.einsum("bij->bi", score)[:, :, None]
-        return score, np.matmul(score, v).reshape(-1, WIDTH)
+        _powers(score)
+        total = np.einsum("bij->bi", score)[:, :, None]
+        mean = np.matmul(score, v)
+        mean /= total
+        return score, total, mean.reshape(-1, WIDTH)
 
     def _head(self, u: np.ndarray, last: np.ndarray, of: np.ndarray, part: np.ndarray, weight: np.ndarray | None = None):
         """Natural log probability of each target; with ``weight`` also the slopes of the weighted loss."""
@@ -107,10 +129,8 @@ class Attention:
         at = np.arange(n)
         one = np.take(w.first, last, 0)
         one += u @ self.first
-        np.minimum(one, CAP, out=one)
-        chosen = np.take(one.ravel(), at * CLASSES + of)
-        np.exp(one, out=one)
-        total = one @ np.ones(CLASSES, np.float32)
+        chosen = np.minimum(np.take(one.ravel(), at * CLASSES + of), CAP)
+        total = _powers(one) @ np.ones(CLASSES, np.float32)
         log_prob = chosen - np.log(total)
         # targets of one class stand together, so each class is one product
         order = np.argsort(of, kind="stable")
@@ -120,10 +140,8 @@ class Attention:
         runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < b]
         for c, run in runs:
             two[run] += u_of[run] @ self.second[c]
-        np.minimum(two, CAP, out=two)
-        chosen = np.take(two.ravel(), at * PARTS + parts_of)
-        np.exp(two, out=two)
-        total_two = two @ np.ones(PARTS, np.float32)
+        chosen = np.minimum(np.take(two.ravel(), at * PARTS + parts_of), CAP)
+        total_two = _powers(two) @ np.ones(PARTS, np.float32)
         log_prob[order] += chosen - np.log(total_two)
         if weight is None:
             return log_prob
@@ -140,7 +158,7 @@ class Attention:
         back = np.empty(n, np.int64)
         back[order] = at
         d_u += np.take(d_two, back, 0)
-        return log_prob, d_u, u.T @ one, d_second
+        return log_prob, d_u, _outer(u, one), d_second
 
     def step(self, rows: np.ndarray, first: np.ndarray, of: np.ndarray, part: np.ndarray, valid: np.ndarray, rate: float) -> float:
         """One Adam step on a batch of windows; returns the mean loss."""
@@ -148,21 +166,23 @@ class Attention:
         x = np.take(self.subwords.points, rows.ravel(), 0)
         xl = x.reshape(b, seen, -1)[:, BEFORE:].reshape(b * SCORED, -1)
         q, kv = (xl @ self.q).reshape(b, SCORED, WIDTH), (x @ self.kv).reshape(b, seen, 2 * WIDTH)
-        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
-        a, u = self._attend(q, k, v, first)
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        a, total, u = self._attend(q, k, v, first)
         weight = valid.ravel() / np.float32(max(1, valid.sum()))
         log_prob, d_u, d_first, d_second = self._head(u, rows[:, BEFORE:].ravel(), of.ravel(), part.ravel(), weight)
+        # the powers are not divided by their sums, so the slopes are
+        d_u /= total.reshape(-1, 1)
         mean = np.einsum("nw,nw->n", d_u, u).reshape(b, SCORED, 1)
         d_u = d_u.reshape(b, SCORED, WIDTH)
         d_kv = np.empty_like(kv)
         d_kv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), d_u)
-        d_s = np.matmul(d_u, v.transpose(0, 2, 1))
+        d_s = np.matmul(d_u, _turned(v))
         d_s -= mean
         d_s *= a
         d_kv[:, :, :WIDTH] = np.matmul(d_s.transpose(0, 2, 1), q)
         d_near = np.bincount(self.distance.ravel(), np.einsum("bij->ij", d_s).ravel(), len(self.near)).astype(np.float32)
         d_q = np.matmul(d_s, k).reshape(-1, WIDTH)
-        self._update([xl.T @ d_q, x.T @ d_kv.reshape(-1, 2 * WIDTH), d_near, d_first, d_second], rate)
+        self._update([_outer(xl, d_q), _outer(x, d_kv.reshape(-1, 2 * WIDTH)), d_near, d_first, d_second], rate)
         return -float(log_prob @ weight)
 
     def _update(self, slopes: list[np.ndarray], rate: float) -> None:
@@ -200,7 +220,7 @@ class Attention:
                 done += 1
         return loss
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 1024) -> np.ndarray:
         """Natural log probability of each sequence after its start."""
         starts, sizes, first, of_window = windows(lengths)
         points, totals = self.subwords.points, np.zeros(len(starts))
@@ -210,7 +230,7 @@ class Attention:
         scored = np.arange(1, SCORED + 1)
         for run, rows, of, part in self._batches(ids, starts, at_once):
             last = rows[:, BEFORE:]
-            _, u = self._attend(np.take(q, last, 0), np.take(k, rows, 0), np.take(v, rows, 0), first[run])
+            _, _, u = self._attend(np.take(q, last, 0), np.take(k, rows, 0), np.take(v, rows, 0), first[run])
             found = self._head(u, last.ravel(), of.ravel(), part.ravel()).reshape(-1, SCORED)
             found += np.take(emitted, starts[run, None] + scored)
             totals[run] = np.einsum("ij,ij->i", found, (np.arange(SCORED) < sizes[run][:, None]).astype(np.float32))
@@ -271,9 +291,9 @@ def describe_subwords(points: np.ndarray, counts: np.ndarray) -> Subwords:
 def following(subwords: Subwords, followed: np.ndarray, emissions: np.ndarray, prior: float = 20.0, emit_prior: float = 5.0) -> None:
     """Set the log probabilities of ``subwords`` from the counts of all training texts.
 
-    ``followed`` counts (row, part that follows), ``emissions`` (class before, id). A row's share counts for
+    ``followed`` counts (row, part that follows), ``emissions`` (group before, id). A row's share counts for
     ``prior`` tokens beside that of its part, and a part's beside that of all; an id's share in its part for
-    ``emit_prior`` beside the counts after one class. So nothing is impossible.
+    ``emit_prior`` beside the counts after one group. So nothing is impossible.
     """
     parts = CLASSES * PARTS
     part_of = subwords.of.astype(np.int64) * PARTS + subwords.part
@@ -290,6 +310,6 @@ def following(subwords: Subwords, followed: np.ndarray, emissions: np.ndarray, p
     subwords.second = np.log(share / of_class[:, :, None]).astype(np.float32).reshape(-1, PARTS)
     alone = emissions.sum(0) + 0.1
     in_part = alone / np.bincount(part_of, alone, parts)[part_of]
-    for c in range(CLASSES):
+    for c in range(len(emissions)):
         whole = np.bincount(part_of, emissions[c], parts)[part_of]
         subwords.emit[c] = np.log((emissions[c] + emit_prior * in_part) / (whole + emit_prior))

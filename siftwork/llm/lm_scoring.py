@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.attention import (
-    CLASSES, COMMON, FEATURES, LEARNING_RATE, PARTS, Attention, Subwords, describe_subwords, following, neighbour_keys,
+    CLASSES, COMMON, FEATURES, GROUPS, LEARNING_RATE, PARTS, Attention, Subwords, describe_subwords, following, neighbour_keys,
 )
-from siftwork.llm.bpe import encoder, in_chunks, ragged
+from siftwork.llm.bpe import in_chunks, ragged
 from siftwork.llm.common import checkpointed, small_batches, table, train_split, written
 from siftwork.llm.shingles import mix, word_hashes
 
@@ -22,7 +24,7 @@ FIT_TOKENS = 1_000_000
 TRAINER_TOKENS = 4_000_000
 TASKS = 20_000
 TRAINED_AT_ONCE = 200_000
-RATE = 0.002
+RATE = 0.003
 #: Subwords whose neighbourhood is summed in one group.
 BUCKETS = 8
 #: Word counts that every task gets: those of the most frequent words, this many at most (16 MB).
@@ -37,8 +39,12 @@ class Words:
     """Splits texts into words and gives each word's hash and subword ids; remembers distinct words."""
 
     def __init__(self, path: str, pattern: str):
-        self.codec = encoder(path, pattern)
-        self.end = len(self.codec.vocabulary.by_id)
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.codec = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.end = max(ranks.values()) + 1
+        self.spaced = np.zeros(self.end, bool)  # ids that begin with a blank
+        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -76,19 +82,14 @@ class Words:
 
     def _learn(self, words: list[bytes], keys: np.ndarray, first: np.ndarray, at: np.ndarray) -> None:
         """Encode the words at ``first`` and remember them under their keys."""
-        found = [words[i] for i in first.tolist()]
-        pieces, per_word = [], np.ones(len(found), np.int64)
-        for i, (raw, word) in enumerate(zip(found, b" ".join(found).decode("utf-8", "surrogatepass").split(" "), strict=True)):
-            if word.isalpha():  # letters alone are one match
-                pieces.append(b" " + raw)
-            else:
-                matches = self.codec.pattern.findall(" " + word)
-                per_word[i] = len(matches)
-                pieces += [m.encode("utf-8", "surrogatepass") for m in matches]
-        ids, n = self.codec.vocabulary.encode_pieces(pieces)
-        sums = np.concatenate([[0], np.cumsum(n)])
-        ends = np.cumsum(per_word)
-        sizes = sums[ends] - sums[ends - per_word]
+        found = [words[i].decode("utf-8", "surrogatepass") for i in first.tolist()]
+        ids = np.array(self.codec.encode_ordinary(" " + " ".join(found)), np.int32)
+        begins = np.flatnonzero(self.spaced[ids])  # a blank stands before each word and nowhere else
+        if len(begins) != len(found):
+            each = [self.codec.encode_ordinary(" " + w) for w in found]
+            ids = np.array([i for e in each for i in e], np.int32)
+            begins = np.cumsum([0, *map(len, each)])[:-1]
+        sizes = np.diff(np.append(begins, len(ids)))
         number = len(self.starts) + np.arange(len(found), dtype=np.int32)
         self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.counts = np.concatenate([self.counts, sizes.astype(np.int32)])
@@ -139,11 +140,13 @@ def tokenised(train: DataFrame, path: str, pattern: str) -> DataFrame:
     """Everything that is learnt from, after one pass over the training texts, written and read again.
 
     Rows of kind 0 are texts: ``at`` (a hash of the id), ``ids`` (packed subword ids, start and end included) and
-    ``n`` of them. Rows of kind 1 count a word in a part of the texts: ``at`` (its hash) and ``n``.
+    ``n`` of them. Rows of kind 1 count a word in a part of the texts: ``at`` (its hash) and ``n``; rows of kind 2 a
+    subword: ``at`` (its id) and ``n``.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counter, docs = words_of(path, pattern), Counter(), 0
+        subwords = np.zeros(words.end + 1, np.int64)
 
         def packed(kind: int, at, n, ids=None) -> pa.RecordBatch:
             ids = pa.nulls(len(at), pa.binary()) if ids is None else ids
@@ -160,12 +163,14 @@ def tokenised(train: DataFrame, path: str, pattern: str) -> DataFrame:
                 blobs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 yield packed(0, at[lo:hi], lengths, blobs)
                 docs += hi - lo
+                subwords += np.bincount(ids, minlength=len(subwords))
                 full = counter.add(distinct.view(np.int64), np.bincount(place, minlength=len(distinct)))
                 if full is not None:
                     yield packed(1, *full)
         yield packed(1, *counter.total())
         if docs:
             yield packed(1, [END_HASH], [docs])
+            yield packed(2, np.flatnonzero(subwords), subwords[subwords > 0])
 
     at = F.xxhash64("id", F.lit("lm"))
     return written(train.select(at.alias("at"), "text").mapInArrow(split, "kind byte, at long, n long, ids binary"))
@@ -213,32 +218,34 @@ def _dense(counted: DataFrame, size: int) -> np.ndarray:
 
 
 def _following_keys(ids: np.ndarray, lengths: np.ndarray, subwords: Subwords) -> np.ndarray:
-    """Keys of (row, part that follows), and behind them of (class before, id)."""
+    """Keys of (row, part that follows), and behind them of (group before, id)."""
     inner = np.ones(len(ids), bool)
     inner[np.cumsum(lengths) - lengths] = False  # starts are not predicted
     left, right = ids[:-1][inner[1:]], ids[1:][inner[1:]]
     part = np.take(subwords.of, right).astype(np.int64) * PARTS + np.take(subwords.part, right)
     pairs = np.take(subwords.row, left).astype(np.int64) * (CLASSES * PARTS) + part
     behind = subwords.rows * CLASSES * PARTS
-    return np.concatenate([pairs, behind + np.take(subwords.of, left).astype(np.int64) * len(subwords.row) + right])
+    return np.concatenate([pairs, behind + np.take(subwords.group, left).astype(np.int64) * len(subwords.row) + right])
 
 
-def learnt_subwords(texts: DataFrame, end: int, dtype: type) -> Subwords:
+def learnt_subwords(parts: DataFrame, end: int, dtype: type) -> Subwords:
     """Classes, parts, rows and what follows them, from the neighbours of each id in all training texts.
 
     The driver gets one matrix of neighbours by neighbours (a few 100 KB) summed over buckets of ids, the
     coordinates, and the counts of what follows a row: all bounded by the vocabulary and the model.
     """
-    context, size = texts.sparkSession.sparkContext, end + 1
-    counts = _dense(_counted(texts, lambda ids, lengths: ids, size, dtype), size)
+    context, size = parts.sparkSession.sparkContext, end + 1
+    texts = parts.where("kind = 0")
+    counts = _dense(parts.where("kind = 2").groupBy(F.col("at").alias("key")).agg(F.sum("n").alias("n")), size)
     if not counts.any():
         counts[end] = 2
     points = spectral_points(texts, counts, dtype)
     subwords = describe_subwords(points, counts)
     shared = context.broadcast(subwords)
     behind = subwords.rows * CLASSES * PARTS
-    found = _dense(_counted(texts, lambda i, n: _following_keys(i, n, shared.value), behind + CLASSES * size, dtype), behind + CLASSES * size)
-    following(subwords, found[:behind].reshape(subwords.rows, -1), found[behind:].reshape(CLASSES, size))
+    whole = behind + CLASSES * GROUPS * size
+    found = _dense(_counted(texts, lambda i, n: _following_keys(i, n, shared.value), whole, dtype, 1_200_000), whole)
+    following(subwords, found[:behind].reshape(subwords.rows, -1), found[behind:].reshape(-1, size))
     return subwords
 
 
@@ -373,7 +380,7 @@ def score_texts(
 
     The model reads the subword ids of each lower-cased word in turn. It predicts the class of the next id, its
     part of the class, and the id: class and part by what follows the last id (counted over all training texts)
-    and one layer of causal attention over a window, the id by its share of its part after the class before.
+    and one layer of causal attention over a window, the id by its share of its part after the group before.
     Windows overlap: each scores ``SCORED`` ids and sees ``BEFORE`` more, so every id is scored once. Classes and
     coordinates of ids come from their neighbours in all training texts. One trainer fits the weights that all
     start with; then trainers of about ``TRAINER_TOKENS`` train on all training texts and the weights are
@@ -399,7 +406,7 @@ def score_texts(
     words = words_of(path, pattern)
     parts = tokenised(rows.where("train"), path, pattern)
     texts = parts.where("kind = 0").select("at", "n", "ids")
-    model = trained(texts, learnt_subwords(texts, words.end, _id_type(words)), _id_type(words))
+    model = trained(texts, learnt_subwords(parts, words.end, _id_type(words)), _id_type(words))
     word_counts = checkpointed(parts.where("kind = 1").groupBy(F.col("at").alias("key")).agg(F.sum("n").alias("n")))
     n_words, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ladder = word_counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()

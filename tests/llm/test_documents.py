@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,7 +16,7 @@ from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from siftwork.llm import bpe, jaccard, language, licences, lm_scoring, mixing, registry, sharding, token_counts
-from siftwork.llm.attention import Attention, windows
+from siftwork.llm.attention import BEFORE, CLASSES, FEATURES, GROUPS, PARTS, SCORED, Attention, describe_subwords, following, windows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,8 +139,10 @@ def test_a_heavy_group_is_cut_and_a_light_one_stays_whole(spark):
     assert all(len(s) == 1 for s in by_text.values())
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, "d": 1.0}, {"a": 0.0}])
-def test_mixing_stays_within_a_block_of_the_target(spark, weights):
+@pytest.mark.parametrize("piece", [2048, 7])
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, "d": 1.0}, {"a": 0.0}, {"a": 0.7071, "b": 0.0, "c": 0.0003}])
+def test_mixing_stays_within_a_block_of_the_weights(spark, monkeypatch, weights, piece):
+    monkeypatch.setattr(mixing, "PIECE", piece)
     counts = {"a": 400, "b": 90, "c": 33, "d": 1, None: 20}
     data = [(i, s) for s, n in counts.items() for i in range(n)]
     df = spark.createDataFrame(data, "doc_id long, source string")
@@ -148,20 +151,27 @@ def test_mixing_stays_within_a_block_of_the_target(spark, weights):
     blocks = {r["slot"]: r for r in found}
     assert sorted(blocks) == list(range(len(blocks)))
     assert all(b["release"] <= b["slot"] < b["deadline"] for b in blocks.values())
-    # a source is never a whole block away from its fluid share while all sources last
-    quota = {r["source_key"]: r["quota"] for r in rows(mixing.source_plan(df, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), None if weights is None else {f"={k}": w for k, w in weights.items()}, 0.5, 4))}
-    left = {k: -(-counts[k[1:] if k else None] // 4) for k in quota}
+    # against the weights themselves, while all weighted sources last; the others come after them
+    weight = {s: n**0.5 for s, n in counts.items()} if weights is None else {s: w for s, w in weights.items() if w and s in counts}
+    left = {s: -(-counts[s] // 4) for s in weight}
     done, at = Counter(), 0
-    total = sum(quota.values())
-    while all(done[k] < left[k] for k in left):
-        b = blocks[at]
-        done["" if b["source"] is None else f"={b['source']}"] += 1
+    while weight and all(done[s] < left[s] for s in left):
+        done[blocks[at]["source"]] += 1
         at += 1
-        if all(done[k] < left[k] for k in left):
-            assert all(abs(done[k] - at * quota[k] / total) < 1 + 1e-9 for k in left)
+        if all(done[s] < left[s] for s in left):
+            assert set(done) <= set(weight)
+            assert all(abs(done[s] - at * weight[s] / sum(weight.values())) < 1 + 1e-9 for s in left)
+    last_weighted = max((b["slot"] for b in blocks.values() if b["source"] in weight), default=-1)
+    assert last_weighted + 1 == sum(left.values())
     assert sorted(r["seq"] for r in found if r["slot"] == 0) == list(range(sum(r["slot"] == 0 for r in found)))
 
 
+def test_mixing_of_many_sources_keeps_their_windows(spark):
+    data = [(i, f"s{i % 3000 if i % 3 else 0}") for i in range(9000)]
+    found = rows(mixing.mix_sources(spark.createDataFrame(data, "doc_id long, source string"), block_rows=100))
+    assert len(found) == len(data) and all(r["release"] <= r["slot"] < r["deadline"] for r in found)
+
+
 def test_mixing_traps(docs):
     assert mixing.mix_sources(docs).count() == docs.count()
     assert mixing.mix_sources(docs.limit(0)).count() == 0
@@ -169,6 +179,8 @@ def test_mixing_traps(docs):
     assert laid.columns == docs.columns and laid.count() == docs.count()
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, {"a": -1.0})
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, {"a": float("nan")})
 
 
 def test_licences(docs, spark):
@@ -185,10 +197,36 @@ def test_licences(docs, spark):
     ]
     found = {r["doc_id"]: r["licence"] for r in rows(licences.scan_licences(spark.createDataFrame(texts, "doc_id long, text string"), catalogue))}
     assert found == {1: None, 2: "MIT", 3: "MIT", 4: None, 5: None, 6: None, 7: "MIT"}
+    extra = spark.createDataFrame([("Own", next(r["digest"] for r in rows(licences.scan_licences(spark.createDataFrame([(1, "our own terms")], "doc_id long, text string"), catalogue)))), ("None", None)], "licence string, digest string")
+    own = licences.scan_licences(spark.createDataFrame([(1, "OUR own, terms!")], "doc_id long, text string"), catalogue, extra)
+    assert rows(own)[0]["licence"] == "Own"
     assert licences.scan_licences(docs, catalogue).count() == docs.count()
     assert licences.scan_licences(docs.limit(0), catalogue).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_licences_are_known_by_digest(spark, tmp_path):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {}
+    for name, licence in files.items():
+        with open(f"/usr/share/common-licenses/{name}") as f:
+            texts[licence] = f.read()
+    data = [(licence, x) for licence, t in texts.items() for x in (t, t.upper().replace("\n", "\r\n  "), "Copyright (c) 2021 Some Body\n" + t)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)] + [(99, texts["MPL-2.0"] + " more")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["licence"] for r in rows(licences.op8_licences(spark, str(tmp_path)))}
+    assert found == {i: licence for i, (licence, _) in enumerate(data)} | {99: None}
+    assert_same(licences.op8_licences(spark, str(tmp_path)), licences.OP8_SQL, connect_folder(tmp_path))
+
+
+def connect_folder(path):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    return c
+
+
 def brute_components(texts, percent=75):
     """Union-find over all pairs that share a shingle; null ids and empty sets stay alone."""
     sets = {}
@@ -202,29 +240,43 @@ def brute_components(texts, percent=75):
             i = parent[i]
         return i
 
-    holders = defaultdict(list)
+    links, holders = Counter(), defaultdict(list)
     for i in sorted(i for i in sets if i is not None):
         shared = Counter(j for s in sets[i] for j in holders[s])
         for s in sets[i]:
             holders[s].append(i)
         for j, n in shared.items():
             if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    return {i: (len(s), root(i), links[i]) for i, s in sets.items()}
 
 
 def test_jaccard_traps(docs):
     want = brute_components([(r["doc_id"], r["text"]) for r in rows(docs.select("doc_id", "text"))])
     found = rows(jaccard.jaccard_components(docs))
     assert len(found) == docs.count()
-    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in found)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]][:2] for r in found)
+    # the row that stands twice links with itself and counts for the others
+    assert {r["doc_id"]: r["n_links"] for r in found if r["doc_id"] in (1, 2, 3, 4, 10)} == {1: 2, 2: 2, 3: 0, 4: 0, 10: 1}
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in rows(kept)) == Counter(i for i, (_, c) in want.items() if i == c)
+    assert Counter(r["doc_id"] for r in rows(kept)) == Counter(i for i, (_, c, _) in want.items() if i == c)
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_a_repeated_id_with_other_words_is_a_document_of_its_own(spark):
+    first, second = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey"
+    texts = [(1, first), (1, second), (1, second), (1, second.upper()), (2, second), (3, first), ("x", None)]
+    for kind, data in (("long", texts[:-1]), ("string", [(f"d{i}", t) for i, t in texts])):
+        df = spark.createDataFrame(data, f"doc_id {kind}, text string")
+        kept = rows(jaccard.one_of_each(df))
+        assert sorted(r["text"].lower() for r in kept if r["text"]) == sorted([first, second])
+        assert len(kept) == len({t.lower() for _, t in data if t}) + sum(t is None for _, t in data)
+
+
 def test_jaccard_near_the_threshold(spark, monkeypatch):
     rng = np.random.default_rng(5)
     passage = [f"p{i}" for i in range(40)]
@@ -240,13 +292,15 @@ def test_jaccard_near_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "GROUP_CHUNK", chunk)
         monkeypatch.setattr(jaccard, "CHUNK_QUERIES", 2 * chunk)
         monkeypatch.setattr(jaccard, "COMMON", common)
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.jaccard_components(df))} == want
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows(jaccard.jaccard_components(df))} == want
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 500)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows(jaccard.jaccard_components(df))} == want
 
 
 def test_jaccard_query(spark, sf_dir):
     texts = [(r["doc_id"], r["text"]) for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))]
     want = brute_components(texts)
-    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in rows(jaccard.op9_jaccard(spark, sf_dir)))
+    assert all((r["n_shingles"], r["component_id"], r["n_links"]) == want[r["doc_id"]] for r in rows(jaccard.op9_jaccard(spark, sf_dir)))
 
 
 def test_language(docs, spark, sf_dir):
@@ -292,6 +346,53 @@ def test_context_trees_are_distributions_and_exact():
     assert np.allclose(trees.code_lengths([text, "", "a"])[0], want, rtol=1e-5)
 
 
+def plain_bits(texts, text):
+    """Bits of a text under a byte model of one language, from its definition."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        raw = bytes(language.ORDER) + t.encode()
+        for i in range(language.ORDER, len(raw)):
+            for k in range(language.ORDER + 1):
+                counts[raw[i - k : i]][raw[i]] += 1
+    return counts, bytes(language.ORDER) + text.encode()
+
+
+def plain_code_length(texts, text, alphabet):
+    counts, raw = plain_bits(texts, text)
+
+    def row(context):
+        own = counts[context] if context in counts else Counter()
+        n, q = sum(own.values()), len(own)
+        if context and n < language.LEAST_SEEN:
+            return row(context[1:])
+        shorter = row(context[1:]) if context else {b: 1 / 256 for b in range(256)}
+        if not n:
+            return shorter
+        left = sum(p for b, p in shorter.items() if b not in own)
+        return {b: own[b] / (n + q if left > 0 else n) if b in own else p / left * q / (n + q) for b, p in shorter.items()}
+
+    # bytes that no text has are one symbol in a context
+    fold = lambda c: bytes(b if b in alphabet else 0 for b in c)
+    return -sum(math.log2(row(fold(raw[i - language.ORDER : i]))[raw[i]]) for i in range(language.ORDER, len(raw)))
+
+
+def test_language_scores_equal_plain_partial_matching(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:24]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0][:6]
+    lines = {"aa": "the cat sat on the mat and the rat ran at that", "bb": "el gato se sento en la mesa y la rata se fue a casa"}
+    texts = {lang: [" ".join(np.random.default_rng(k).permutation(line.split())) for k in range(12)] for lang, line in lines.items()}
+    data = [(i, t, lang) for i, (lang, t) in zip(ids, [(lang, t) for lang in texts for t in texts[lang]])]
+    probes = ["the rat", "la mesa", "qu\u00e9 the gato", "x", "that that", "zz top la"]
+    data += [(i, t, None) for i, t in zip(held, probes)]
+    found = {r["doc_id"]: r for r in rows(language.identify_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")))}
+    alphabet = set("".join(t for ts in texts.values() for t in ts).encode())
+    for i, t in zip(held, probes):
+        bits = {lang: plain_code_length(ts, t, alphabet) for lang, ts in texts.items()}
+        best = min(bits, key=lambda x: (bits[x], x))
+        assert found[i]["lang_pred"] == best
+        assert found[i]["score"] == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-3)
+
+
 def test_language_model(docs, spark, sf_dir):
     for df in (docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         found = rows(lm_scoring.score_texts(df, VOCABULARY, public_tokenizers.PATTERN))
@@ -314,51 +415,117 @@ def test_language_model(docs, spark, sf_dir):
     assert lm_scoring.score_texts(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
-def test_language_model_learns_from_all_training_texts(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "FIT_BYTES", 0)
+def test_language_model_scores_do_not_depend_on_partitions_and_gain(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TRAINER_TOKENS", 150_000)
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, two = (
+        {r["doc_id"]: r for r in rows(lm_scoring.score_texts(x, VOCABULARY, public_tokenizers.PATTERN))} for x in (df.coalesce(1), df.repartition(9, "text"))
+    )
+    for i, r in one.items():
+        assert two[i]["score"] == pytest.approx(r["score"], rel=1e-5)
+        assert two[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+    held = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_every_training_text_moves_the_weights(spark):
     texts = [(i, f"{a} was {b} when {a} met {b}") for i, (a, b) in enumerate([("winter", "lonely"), ("sommer", "einsam"), ("verano", "solitario")])]
     train = spark.createDataFrame(texts, "id long, text string")
-    model = lm_scoring.first_fit(train, VOCABULARY, public_tokenizers.PATTERN)
-    *_, ids, _ = lm_scoring.words_of(VOCABULARY, public_tokenizers.PATTERN).split([t for _, t in texts])
-    assert (model.of[ids] < model.classes - 1).all()
-    assert len(set(model.of[ids])) > 2
+    learnt = lm_scoring.tokenised(train, VOCABULARY, public_tokenizers.PATTERN)
+    parts = learnt.where("kind = 0").select("at", "n", "ids")
+    words_ = lm_scoring.words_of(VOCABULARY, public_tokenizers.PATTERN)
+    kind = lm_scoring._id_type(words_)
+    subwords = lm_scoring.learnt_subwords(learnt, words_.end, kind)
+    *_, ids, _ = words_.split([t for _, t in texts])
+    # a class and a part were learnt for each of them: ids that the texts lack share the last ones
+    assert not ((subwords.of[ids] == CLASSES - 1) & (subwords.part[ids] == PARTS - 1)).any()
+    model = Attention(subwords)
     before = [w.copy() for w in model.weights()]
-    for i, _ in texts:
-        model.set_weights([w.copy() for w in before])
-        after = lm_scoring.trained(train.where(F.col("id") == i), model, VOCABULARY, public_tokenizers.PATTERN).weights()
+    for r in parts.collect():
+        after = lm_scoring._trainers(parts.where(F.col("at") == r["at"]), 1, model, kind, 0.01, 1, False)
         assert any((a != b).any() for a, b in zip(before, after, strict=True))
 
 
-def test_windows_score_each_token_once_and_see_no_later_one():
+def _subwords(n, rng):
+    counts = rng.integers(1, 50, n)
+    out = describe_subwords(rng.normal(size=(n, FEATURES)), counts)
+    pairs = rng.integers(0, 3, (out.rows, CLASSES * PARTS)).astype(float)
+    following(out, pairs, rng.integers(0, 3, (CLASSES * GROUPS, n)).astype(float))
+    return out
+
+
+def test_windows_score_each_token_once():
     lengths = np.array([1, 2, 17, 40, 33])
-    seen, scored, of, inside = windows(lengths)
-    assert sorted(scored[scored >= 0].tolist()) == sorted(set(range(lengths.sum())) - set((np.cumsum(lengths) - lengths).tolist()))
+    starts, sizes, first, of = windows(lengths)
+    scored = np.concatenate([s + 1 + np.arange(n) for s, n in zip(starts, sizes)])
+    assert sorted(scored) == sorted(set(range(lengths.sum())) - set(np.cumsum(lengths) - lengths))
+    assert (np.isin(starts, np.cumsum(lengths) - lengths) == first).all() and len(of) == len(starts)
+
+
+def test_scores_equal_a_plain_token_by_token_attention():
     rng = np.random.default_rng(2)
-    ids = rng.integers(0, 50, lengths.sum())
-    model = Attention(np.arange(50), rng.integers(0, 5, 50))
-    emit = np.zeros((5, 50), np.float32)
-    whole = model.score(ids, lengths, emit)
-    changed = ids.copy()
-    changed[-1] = (ids[-1] + 1) % 50
-    again = model.score(changed, lengths, emit)
-    assert np.allclose(whole[:-1], again[:-1])
-    # all continuations of the last token together have probability 1
-    last = []
-    for c in range(5):
-        changed[-1] = np.flatnonzero(model.of == c)[0]
-        last.append(model.score(changed[-33:], lengths[-1:], emit)[0])
-    before = model.score(ids[-33:-1], np.array([32]), emit)[0]
-    assert np.exp(np.array(last) - before).sum() == pytest.approx(1, rel=1e-4)
+    w = _subwords(300, rng)
+    model = Attention(w)
+    lengths = np.array([1, 2, 17, 60, 33])
+    ids = rng.integers(0, 300, lengths.sum())
+    found = model.score(ids, lengths, at_once=3)
+    k, v = np.split(w.points.astype(float) @ model.kv, 2, axis=1)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for s, (lo, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths)):
+        total, own = 0.0, ids[lo : lo + n]
+        for t in range(1, n):
+            last = w.row[own[t - 1]]
+            least = max(0, (t - 1) // SCORED * SCORED - BEFORE)
+            rows_seen = w.row[own[least:t]]
+            near = model.near[(t - 1) - np.arange(least, t)]
+            a = softmax(k[rows_seen] @ (w.points[last].astype(float) @ model.q) + near)
+            u = a @ v[rows_seen]
+            c, p = w.of[own[t]], w.part[own[t]]
+            total += np.log(softmax(w.first[last] + u @ model.first)[c])
+            total += np.log(softmax(w.second[last * CLASSES + c] + u @ model.second[c])[p])
+            total += w.emit[w.group[own[t - 1]], own[t]]
+        assert found[s] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_all_ids_together_have_probability_one():
+    rng = np.random.default_rng(3)
+    w = _subwords(200, rng)
+    model = Attention(w)
+    start = rng.integers(0, 200, 30)
+    before = model.score(start, np.array([30]))[0]
+    each = [model.score(np.append(start, i), np.array([31]))[0] for i in range(200)]
+    # parts that no id has keep a little
+    assert 0.8 < np.exp(np.array(each) - before).sum() < 1 + 1e-4
 
 
 def test_attention_learns():
-    ids = np.tile(np.arange(10), 400)
-    model = Attention(np.arange(10), np.arange(10))
-    first = model.step(*_batch(model, ids), rate=0.01)
-    assert model.train(ids, np.array([4000]), passes=200) < 0.3 * first
+    rng = np.random.default_rng(4)
+    w = _subwords(40, rng)
+    ids = np.tile(rng.integers(0, 40, 25), 160)
+    model = Attention(w)
+    first = model.train(ids, np.array([4000]), rate=0.0)
+    assert model.train(ids, np.array([4000]), passes=60) < 0.6 * first
 
 
-def _batch(model, ids):
-    seen, scored, _, inside = windows(np.array([len(ids)]))
-    return model.row[ids[np.maximum(seen, 0)]], inside, model.of[ids[np.maximum(scored, 0)]], (scored >= 0).astype(np.float32)
-
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    model = Attention(_subwords(60, rng))
+    lengths = np.array([30, 12])
+    ids = rng.integers(0, 60, 42)
+    starts, sizes, first, _ = windows(lengths)
+    (_, seen, of, part), = model._batches(ids, starts, 99)
+    valid = (np.arange(SCORED) < sizes[:, None]).astype(np.float32)
+    slopes = []
+    model._update = lambda found, rate: slopes.append(found)
+    loss = lambda: model.step(seen, first, of, part, valid, 0)
+    loss()
+    for name, slope in zip(model.NAMES, slopes[0], strict=True):
+        weight = getattr(model, name)
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        old, step = weight[at], 1e-2
+        weight[at] = old + step
+        up = loss()
+        weight[at] = old - step
+        down = loss()
+        weight[at] = old
+        assert (up - down) / (2 * step) == pytest.approx(slope[at], rel=0.05, abs=1e-4)

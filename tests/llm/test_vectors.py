@@ -173,6 +173,58 @@ def test_topk_is_exact_beyond_doubles(spark):
     assert found == brute_top(data)
 
 
+def test_phase_three_resolves_few_products():
+    rng = np.random.default_rng(8)
+    c = np.floor(256 * rng.normal(size=(4000, 64))).astype(np.int64)
+    c[1000:1040] = c[:40] + rng.integers(-3, 4, (40, 64))
+    q, q_ids, c_ids = c[:40], np.arange(40), np.arange(4000)
+    found, totals, tops = topk.gather(q_ids, q, c_ids, c, 5)
+    exact = q @ c.T
+    for i in range(40):
+        assert totals[i, : len(found[i])].tolist() == exact[i, found[i]].tolist()
+    cutoff = totals[:, 4]
+    row, col, score, products = topk.resolve(q, c, cutoff, tops, [f.tolist() for f in found])
+    assert products < 0.1 * exact.size
+    assert score.tolist() == exact[row, col].tolist()
+    for i in range(40):
+        near = set(np.flatnonzero(exact[i] >= cutoff[i])) - {i}
+        assert near == set(found[i][totals[i, : len(found[i])] >= cutoff[i]].tolist()) | set(col[row == i].tolist()) - {i}
+
+
+def test_sparse_links_are_audited(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x[7] = x[2001] + 1e-4
+    data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(near_vectors.near_vectors(df))}
+    assert found == {i: (1, 7) if i in (7, 2001) else (0, i) for i in range(3000)}
+    classes = df.select(F.lit("32|1").alias("space"), F.col("vec_id").cast("string").alias("rep"), F.lit(1).cast("long").alias("weight"), "embedding")
+    one_end = spark.createDataFrame([("7", 1), ("2001", 0)], "rep string, n_links long")
+    assert near_vectors._audit(classes, one_end, 0.98) < near_vectors.RECALL
+
+
+def test_ids_of_any_kind_and_negative_ones(spark):
+    v, other = [1.0, 2.0], [2.0, -1.0]
+    data = [(-5, v), (3, v), (12, other), (-7, other), (100, [1.0, 1.0])]
+    ids = spark.createDataFrame([(i, e, 1) for i, e in data], "vec_id long, embedding array<float>, label int")
+    want = {-5: -5, 3: -5, 12: -7, -7: -7, 100: 100}
+    assert {r["vec_id"]: r["component_id"] for r in rows(near_vectors.near_vectors(ids))} == want
+    names = ids.withColumn("vec_id", F.concat(F.lit("n"), F.col("vec_id").cast("string")))
+    found = {r["vec_id"]: r["component_id"] for r in rows(near_vectors.near_vectors(names))}
+    assert found == {"n-5": "n-5", "n3": "n-5", "n12": "n-7", "n-7": "n-7", "n100": "n100"}
+
+
+def test_the_query_on_vectors_equals_brute_force(spark, sf_dir):
+    data = [(r["vec_id"], r["embedding"], r["label"]) for r in rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))]
+    links, root = brute_links(data)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(near_vectors.op4_near_vectors(spark, sf_dir))}
+    assert all(n <= links[k] for k, (i, _, _) in enumerate(data) for n in [found[i][0]])
+    assert sum(n for n, _ in found.values()) >= near_vectors.RECALL * sum(links.values())
+    same = sum(found[i][1] == root(i) for i, _, _ in data)
+    assert same >= near_vectors.RECALL * len(data)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (200, 200), (None, 3)]
     found = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(chain, "a long, b long")))}

@@ -24,7 +24,7 @@ ADDRESS = (
 PROMO_URL = r"(?i)https?://|www\.|t\.me/|wa\.me/|bit\.ly|tinyurl|short\.url|link\.tree|linktr\.ee"
 QUALITY_URL = r"https?://|www\."
 HASHTAG = r"#[\p{L}\p{N}_]+"
-PROMO_PHONE = r"((\+91|0091|0)[\s-]?)?[6-9][0-9]{9}|\+91[\s-]?[0-9]{5}[\s-]?[0-9]{5}"
+PROMO_PHONE = r"((\+91|0091|0)[\s-]?)?[6-9][0-9]{9}(?![\p{L}\p{N}_])|\+91[\s-]?[0-9]{5}[\s-]?[0-9]{5}"
 HANDLE = r"@[A-Za-z0-9_.]{3,30}"
 LINK = r"""(?i)https?://[^\s)>'"]+"""
 SOCIAL_LINK = (
@@ -79,6 +79,25 @@ def pii_flags(text: Column) -> dict[str, Column]:
     }
 
 
+# Kinds of named entities and the personal data that they stand for.
+ENTITY_FLAGS = {
+    "EMAIL_ADDRESS": "email",
+    "PHONE_NUMBER": "phone",
+    "IN_AADHAAR": "aadhaar",
+    "IN_PAN": "pan",
+    "IN_PASSPORT": "passport",
+    "IBAN_CODE": "bank",
+    "CREDIT_CARD": "bank",
+    "LOCATION": "address",
+}
+
+
+def with_entities(flags: dict[str, Column], entities: Column) -> dict[str, Column]:
+    """The flags, raised also by the kinds of entities (array of names, or null) that a provider found."""
+    kinds = {f: [k for k, flag in ENTITY_FLAGS.items() if flag == f] for f in flags}
+    return {f: c | F.coalesce(F.exists(entities, lambda e: e.isin(*kinds[f])), F.lit(False)) if kinds[f] else c for f, c in flags.items()}
+
+
 def pii_score(flags: dict[str, Column]) -> Column:
     total: Column = F.lit(0.0)
     for name, weight in PII_WEIGHTS:
@@ -137,6 +156,17 @@ def script_language(text: Column) -> Column:
     return F.when(best["n"] > 3, F.element_at(names, 1 - best["i"]))
 
 
+#: Characters without which a language is not told.
+SHORTEST_TOLD = 10
+
+
+def detected_language(text: Column, told: Column | None = None) -> Column:
+    """English for a text too short to tell, else what a provider told, else the script's language, else English."""
+    short = F.coalesce(F.length(F.trim(text)), F.lit(0)) < SHORTEST_TOLD
+    by_script = F.coalesce(*([told] if told is not None else []), script_language(text), F.lit("en"))
+    return F.when(short, "en").otherwise(by_script)
+
+
 def blocked(text: Column) -> Column:
     """True if a normalised text must be refused outright: a phrase, a word, or a violent word near a community."""
     words = tokens(text)

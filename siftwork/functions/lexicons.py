@@ -380,3 +380,13 @@ LANGUAGE_NAMES = {
     "sd": "Sindhi",
     "ar": "Arabic",
 }
+
+# Labels of prompts that stand for each kind of promotion.
+ADVERTISING_PROMPTS = (
+    *ADVERTISING_PHRASES, "marketing", "business promotion", "product advertisement", "course advertisement",
+)
+AFFILIATE_PROMPTS = (*AFFILIATE_PHRASES, "affiliate marketing", "referral marketing")
+SOCIAL_MEDIA_PROMPTS = (
+    *SOCIAL_MEDIA_PHRASES, "social media promotion", "telegram promotion", "whatsapp promotion", "discord promotion",
+    "instagram promotion", "youtube promotion",
+)

@@ -42,13 +42,25 @@ def words_array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once a row, however often it is used or whatever lambda uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
+    """The phrases that occur in the text as substrings, each once."""
+    words = words_array(tuple(dict.fromkeys(phrases)))
+    return once(text, lambda t: F.filter(words, lambda p: F.contains(t, p)))
+
+
 def phrase_count(text: Column, phrases: Sequence[str]) -> Column:
     """How many of the phrases occur in the text, each counted once, as substrings."""
-    return F.size(F.filter(words_array(tuple(dict.fromkeys(phrases))), lambda p: F.contains(text, p)))
+    return F.size(phrases_in(text, phrases))
 
 
 def has_any(text: Column, phrases: Sequence[str]) -> Column:
-    return F.exists(words_array(tuple(dict.fromkeys(phrases))), lambda p: F.contains(text, p))
+    words = words_array(tuple(dict.fromkeys(phrases)))
+    return once(text, lambda t: F.exists(words, lambda p: F.contains(t, p)))
 
 
 def linear_score(count: Column, base: float) -> Column:

@@ -119,6 +119,70 @@ CASCADE = (
 )
 
 
+# What is said of each rule's decision; R31 to R33 say two things.
+REASONS = {
+    "R01": "Rejected: explicit pornographic content detected with high confidence.",
+    "R02": "Rejected: adult content combined with high-risk signal (violence, weapon, or child safety).",
+    "R03": "Rejected: high-confidence violent content detected.",
+    "R04": "Rejected: graphic gore or blood content detected.",
+    "R05": "Rejected: dangerous weapon content detected with high confidence.",
+    "R06": "Rejected: combined weapon and violence signals exceed safe thresholds.",
+    "R07": "Rejected: combined weapon and gore signals exceed safe thresholds.",
+    "R08": "Rejected: combined violence and gore signals exceed safe thresholds.",
+    "R09": "Rejected: animal cruelty or abuse content detected.",
+    "R10": "Rejected: content depicting murder, execution, or lethal human violence.",
+    "R11": "Rejected: self-harm content detected with high confidence.",
+    "R12": "Rejected: high-confidence promotional or spam content detected.",
+    "R13": "Rejected: social media follow/subscribe solicitation detected.",
+    "R14": "Rejected: multiple marketing or commercial keywords detected.",
+    "R15": "Rejected: paid course or class marketing content detected.",
+    "R16": "Rejected: political campaign, vote-solicitation, or party promotion detected.",
+    "R17": "Rejected: phone number detected — promotional or spam content.",
+    "R18": "Rejected: social media handle (@username) detected — promotional content.",
+    "R19": "Rejected: external URL detected in image.",
+    "R20": "Rejected: QR code detected — likely links to external promotion or payment.",
+    "R21": "Rejected: ML model detected hate speech or community targeting with high confidence.",
+    "R22": "Rejected: ML model detected highly toxic content.",
+    "R23": "Flagged for review: elevated hate speech signal detected by ML model.",
+    "R24": "Rejected: rule-based hate speech detection — religious, racial, or ethnic hatred.",
+    "R25": "Rejected: {percent} of video frames contain unsafe content (threshold 15%).",
+    "R26": "Rejected: {run} consecutive unsafe frames detected (threshold 3).",
+    "R27": "Child safety risk requires manual review.",
+    "R28": "Rejected because drug trafficking content exceeded the allowed threshold.",
+    "R29": "Rejected because human trafficking content exceeded the allowed threshold.",
+    "R30": "Rejected because terrorism or illegal-content risk exceeded the allowed threshold.",
+    "R31 HERITAGE_REVIEW": "Heritage content with elevated self-harm signal requires manual review.",
+    "R31": "Rejected because self-harm risk exceeded the allowed threshold.",
+    "R32 HERITAGE_REVIEW": "Heritage content with elevated violence signal requires manual review.",
+    "R32": "Rejected because violence risk exceeded the allowed threshold.",
+    "R33 HERITAGE_REVIEW": "Heritage content with elevated weapon signal requires manual review.",
+    "R33": "Rejected because weapon-content risk exceeded the allowed threshold.",
+    "R34": "Rejected because adult-content risk exceeded the allowed threshold without sufficient heritage relevance.",
+    "R35": "Privacy or personally identifiable information risk requires manual review.",
+    "R36": "Rejected because fraud or scam risk exceeded the allowed threshold.",
+    "R37": "Rejected because hate-speech risk exceeded the allowed threshold.",
+    "R38": "Rejected because harassment or targeted-abuse risk exceeded the allowed threshold.",
+    "R39": "Promotion or advertising risk exceeded the automatic approval threshold.",
+    "R40": "Content quality risk exceeded the automatic approval threshold.",
+    "R41": "Combined model risk score is elevated; routed for human review.",
+    "R42": "High model uncertainty detected; routed for human review.",
+    "R43": "Elevated risk signal alongside high heritage score indicates ambiguous cultural content; routed for human review.",
+    "R44": "Adult-content risk detected alongside strong heritage relevance; routed for heritage exception review.",
+    "R45": "One or more signals are elevated but below hard-reject; routed for human review.",
+    "R46": "Low model confidence — routed for human review rather than automatic approval.",
+    "R47": "Approved: all safety, promotion, hate speech, and quality checks passed.",
+}
+
+
+def reason_text() -> Column:
+    """What is said of a decision, from ``rule``, ``code`` and the video scores; shares and runs are rounded half to even."""
+    table = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    said = F.coalesce(F.try_element_at(table, F.concat_ws(" ", "rule", "code")), F.try_element_at(table, F.col("rule")))
+    whole = lambda x: F.bround(x, 0).cast("long").cast("string")
+    filled = F.replace(said, F.lit("{percent}"), F.concat(whole(F.col("video_unsafe_frame_ratio") * 100), F.lit("%")))
+    return F.replace(filled, F.lit("{run}"), whole(F.col("video_consecutive_unsafe_frames")))
+
+
 def cascade_sql(pick: str) -> str:
     """The cascade as one CASE; ``pick`` is 'rule', 'decision' or 'code'."""
     at = {"rule": 0, "decision": 2, "code": 3}[pick]
@@ -136,8 +200,9 @@ def with_scores(df: DataFrame, keys: tuple[str, ...] = CASCADE_KEYS) -> DataFram
 
 
 def decide_cascade(df: DataFrame) -> DataFrame:
-    """Add ``rule``, ``decision`` and ``code`` of the first rule that holds."""
-    return with_scores(df).withColumns({p: F.expr(cascade_sql(p)) for p in ("rule", "decision", "code")})
+    """Add ``rule``, ``decision`` and ``code`` of the first rule that holds, and ``reason``, the words for it."""
+    decided = with_scores(df).withColumns({p: F.expr(cascade_sql(p)) for p in ("rule", "decision", "code")})
+    return decided.withColumn("reason", reason_text())
 
 
 def percent(c: Column) -> Column:

@@ -113,6 +113,24 @@ def promotion_support(detections: Column) -> Column:
     return best_of(detections, lex.PROMOTION_OBJECTS) * 0.25
 
 
+def prompt_label_best(prompts: Column, labels: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
+    """Highest score of the prompts that are one of the labels; labels of ``but`` belong to an earlier list."""
+    own = [x for x in normal_labels(labels) if x not in normal_labels(but)]
+    return clamp(F.array_max(F.map_values(F.map_filter(prompts, lambda k, _: label_norm(k).isin(*own)))))
+
+
+def promotion_scores(texts: dict[str, Column], prompts: Column, detections: Column) -> dict[str, Column]:
+    """Advertising, affiliate and social media scores from texts, prompts and objects, and the largest of them."""
+    lists = (("advertising_score", lex.ADVERTISING_PROMPTS), ("affiliate_score", lex.AFFILIATE_PROMPTS), ("social_media_score", lex.SOCIAL_MEDIA_PROMPTS))
+    before: tuple[str, ...] = ()
+    out = {}
+    for name, labels in lists:
+        parts = [texts[name], prompt_label_best(prompts, labels, before)]
+        out[name] = noisy_or(*parts, *([promotion_support(detections)] if name == "advertising_score" else []))
+        before += labels
+    return out | {"promotion_score": F.greatest(*out.values())}
+
+
 def first_of_each(items: Column) -> Column:
     """Trimmed, non-blank items without repeats in any case; the first spelling stays."""
     trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")

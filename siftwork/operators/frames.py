@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators.decision import CASCADE_KEYS
+
 RISKS = ("adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score")
 UNSAFE = 0.55
 
@@ -39,22 +41,25 @@ def summarise(frames: DataFrame, key: str = "video", order: str = "frame") -> Da
 
 
 def merge_transcript(videos: DataFrame, transcripts: DataFrame, key: str = "video") -> DataFrame:
-    """The larger of frame and transcript score for each risk; the ensemble is 1.5 times the unsafe share at least."""
-    spoken = transcripts.withColumnsRenamed({c: f"t_{c}" for c in transcripts.columns})
-    joined = videos.join(spoken, F.col(key) == F.col(f"t_{key}"), "left")
-    merged = {
-        k: F.greatest(F.col(k), F.coalesce(F.col(f"t_{k}"), F.lit(0.0))) if f"t_{k}" in joined.columns else F.col(k)
-        for k in RISKS
-    }
-    said = F.coalesce(F.col("t_ensemble_risk_score"), F.lit(0.0))
-    return joined.select(
-        key,
-        *[v.alias(k) for k, v in merged.items()],
-        merged["adult_score"].alias("nsfw_score"),
-        F.greatest(said, F.least(F.lit(1.0), F.col("unsafe_ratio") * 1.5)).alias("ensemble_risk_score"),
-        F.col("unsafe_ratio").alias("video_unsafe_frame_ratio"),
-        F.col("longest_run").cast("double").alias("video_consecutive_unsafe_frames"),
-    )
+    """The larger of frame and transcript score for every score that the cascade reads, 0 where neither has it.
+
+    The explicit score is the adult one, the unsafe share and run are those of the frames, and the ensemble is
+    1.5 times the unsafe share at least.
+    """
+    spoken = transcripts.select(F.col(key).alias("__key"), *[F.col(c).alias(f"t_{c}") for c in transcripts.columns if c != key])
+    joined = videos.join(spoken, F.col(key) == F.col("__key"), "left")
+    there = set(joined.columns)
+
+    def larger(k: str) -> Column:
+        parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (k, f"t_{k}") if c in there]
+        return F.greatest(F.lit(0.0), F.lit(0.0), *parts)
+
+    merged = {k: larger(k) for k in CASCADE_KEYS}
+    merged["nsfw_score"] = merged["adult_score"]
+    merged["ensemble_risk_score"] = F.greatest(merged["ensemble_risk_score"], F.least(F.lit(1.0), F.col("unsafe_ratio") * 1.5))
+    merged["video_unsafe_frame_ratio"] = F.col("unsafe_ratio")
+    merged["video_consecutive_unsafe_frames"] = F.col("longest_run").cast("double")
+    return joined.select(key, *[v.alias(k) for k, v in merged.items()])
 
 
 def snapshots(frames: DataFrame, key: str = "video", order: str = "frame") -> DataFrame:

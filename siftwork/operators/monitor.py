@@ -74,3 +74,16 @@ def breaker(log: DataFrame, key: str, order: list[str], failed: Column, most: in
     return runs.where(F.col("failures") >= most).select(
         key, "failures", F.col(f"__first.{order[0]}").alias("first_at"), F.col(f"__last.{order[0]}").alias("last_at")
     )
+
+
+def by_kind(log: DataFrame, kind: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Rows of each kind, 0 for kinds without any: (counter, name, total). Other kinds are left out."""
+    named = log.sparkSession.createDataFrame([(k,) for k in kinds], "name string")
+    counts = log.groupBy(F.col(kind).alias("of")).agg(F.count("*").alias("n"))
+    return named.join(counts, F.col("name") == F.col("of"), "left").select(F.lit(kind).alias("counter"), "name", F.coalesce("n", F.lit(0)).alias("total"))
+
+
+def category_flags(reports: DataFrame, categories: tuple[str, ...], above: float = 50.0) -> DataFrame:
+    """How many reports have each category above a percentage: (counter, name, total)."""
+    counts = reports.agg(*[F.count_if(F.col(c) > above).alias(c) for c in categories])
+    return counts.unpivot([], list(categories), "name", "total").select(F.lit("category_flag").alias("counter"), "name", "total")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,29 +68,136 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def best_match(items: DataFrame, cache: DataFrame, item: str, item_vector: str, cached: str, cache_vector: str, within: list[str], least: float = 0.93) -> DataFrame:
-    """The cached vector with the highest inner product for each item, if it reaches ``least``.
+#: Vectors of the cache that stand for its cells, at most, and how many cached vectors share one, about.
+PIVOTS, CELL = 4096, 512
+#: Rows of each side that meet in one group, about.
+GROUP_ROWS = 4096
+ROUNDING = 1e-9
+
 
-    Only rows that agree in the columns ``within`` meet (a label, a tenant, a coarse cell), so the work
-    follows the size of these groups. Ties go to the smaller key.
+def best_match(items: DataFrame, cache: DataFrame, item: str, item_vector: str, cached: str, cache_vector: str, least: float = 0.93) -> DataFrame:
+    """The unit vector of the whole cache with the highest inner product for each unit item, if it reaches ``least``.
+
+    A bounded sample of the cache gives pivots; a cached vector belongs to its nearest pivot's cell, and the cell
+    knows its widest angle. An item's match lies within the angle whose cosine is ``least``, so it asks a cell only if
+    its angle to the pivot is no more than the widest and that angle together: no match is missed, whatever the data,
+    and the work follows how well cells part them. Cells and items meet in groups of a bounded size. Ties (of the
+    product rounded to 12 places) go to the smaller key. Null vectors match nothing.
     """
-    renamed = cache.withColumnsRenamed({c: f"c_{c}" for c in within})
-    on = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in within]
-    scored = items.join(renamed, on).withColumn("similarity", inner_product(F.col(item_vector), F.col(cache_vector)))
-    best = scored.where(F.col("similarity") >= least).groupBy(item).agg(
-        F.min_by(F.struct(F.col(cached), F.col("similarity")), F.struct(-F.col("similarity"), F.col(cached))).alias("best")
+    item_kind, cached_kind = items.schema[item].dataType.simpleString(), cache.schema[cached].dataType.simpleString()
+    known = cache.where(F.col(cache_vector).isNotNull()).select(F.col(cached).alias("key"), F.col(cache_vector).cast("array<double>").alias("v"))
+    asked = items.where(F.col(item_vector).isNotNull()).select(F.col(item).alias("key"), F.col(item_vector).cast("array<double>").alias("v"))
+    rate = min(1.0 / CELL, PIVOTS / 2 / max(1, known.count()))
+    dice = F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1_000_000)) / 1_000_000
+    sample = known.where(dice < rate).select("v").limit(PIVOTS).toArrow().column("v").to_pylist()
+    empty = items.limit(0).select(F.col(item), F.lit(None).cast(cached_kind).alias(cached), F.lit(0.0).alias("similarity"))
+    if not sample:
+        sample = known.select("v").limit(1).toArrow().column("v").to_pylist()
+    if not sample:
+        return empty
+    context = items.sparkSession.sparkContext
+    pivots = context.broadcast(np.array(sample))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                near = _rows(batch.column("v")) @ pivots.value.T
+                cell = near.argmax(1)
+                angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(angle)], ["key", "v", "cell", "angle"])
+
+    dealt = known.mapInArrow(nearest, f"key {cached_kind}, v array<double>, cell int, angle double")
+    cells = dealt.groupBy("cell").agg(F.max("angle").alias("widest"), F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    widest = np.full(len(sample), -np.inf)
+    for r in cells.collect():  # one row for each pivot
+        widest[r["cell"]] = r["widest"]
+    reach = context.broadcast(widest + np.arccos(least) + ROUNDING)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                angle = np.arccos(np.clip(_rows(batch.column("v")) @ pivots.value.T, -1, 1))
+                row, cell = np.nonzero(angle <= reach.value)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell.astype(np.int32))], ["key", "v", "cell"])
+
+    asking = asked.mapInArrow(ask, f"key {item_kind}, v array<double>, cell int")
+    chunks = asking.groupBy(F.col("cell").alias("a_cell")).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("chunks"))
+    # a cell's number of parts and chunks: one row for each pivot
+    sizes = F.broadcast(cells.join(chunks, F.col("cell") == F.col("a_cell")).select(F.col("cell").alias("of"), "parts", "chunks"))
+    part = lambda n: F.pmod(F.xxhash64("key", F.lit("part")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = dealt.join(sizes, F.col("cell") == F.col("of")).select("cell", part("parts").alias("part"), every("chunks").alias("chunk"), F.col("key").alias(cached), "v")
+    met = asking.join(sizes, F.col("cell") == F.col("of")).select("cell", every("parts").alias("part"), part("chunks").alias("chunk"), F.col("key").alias(item), "v")
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(left) and len(right):
+            queries, members = _rows(left.column("v").combine_chunks()), _rows(right.column("v").combine_chunks())
+            keys = right.column(cached).to_pylist()
+            for lo in range(0, len(queries), 512):
+                near = queries[lo : lo + 512] @ members.T
+                best = near.max(1)
+                for i in np.flatnonzero(best >= least - ROUNDING).tolist():
+                    ties = np.flatnonzero(near[i] >= best[i] - 1e-12)
+                    j = min(ties.tolist(), key=lambda t: keys[t])
+                    found.append((left.column(item)[lo + i].as_py(), keys[j], float(near[i, j])))
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.table([pa.array(columns[0], left.schema.field(item).type), pa.array(columns[1], right.schema.field(cached).type), pa.array(columns[2], pa.float64())], [item, cached, "similarity"])
+
+    pairs = met.groupBy("cell", "part", "chunk").cogroup(held.groupBy("cell", "part", "chunk")).applyInArrow(
+        match, f"{item} {item_kind}, {cached} {cached_kind}, similarity double"
     )
+    order = F.struct(-F.round("similarity", 12), F.col(cached))
+    best = pairs.where(F.col("similarity") >= least).groupBy(item).agg(F.min_by(F.struct(cached, "similarity"), order).alias("best"))
     return best.select(item, F.col(f"best.{cached}").alias(cached), F.col("best.similarity").alias("similarity"))
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def keep_newest(cache: DataFrame, most: int, order: list[Column]) -> DataFrame:
     """The ``most`` newest entries: a limit is the feature, taken with a partial sort in every task."""
     return cache.orderBy(*order).limit(most)
 
 
-def trim_oldest(cache: DataFrame, size: int, share: float, most: int, order: list[str]) -> DataFrame:
-    """Drop the oldest ``share`` of the entries (one at least) when there are more than ``most``."""
-    if size <= most:
-        return cache
-    oldest = cache.orderBy(*order).limit(max(1, int(size * share)))
-    return cache.join(oldest.select(*order), order, "left_anti")
+def trim_oldest(cache: DataFrame, share: float, most: int, order: str, buckets: int = 1024, ranked: int = 100_000) -> DataFrame:
+    """Drop the oldest ``share`` of the entries (one at least) by a numeric ``order`` when there are more than ``most``.
+
+    The entries are counted in buckets of equal width; the bucket with the cut is cut into buckets of its own until it
+    holds ``ranked`` entries at most, which are ranked. Entries of equal order are dropped while there is something left to drop (in no order).
+    """
+    left, kept, low, high = None, [], None, None
+    while True:
+        first = cache if low is None else cache.where((F.col(order) >= low) & (F.col(order) <= high))
+        size, least, largest = first.agg(F.count("*"), F.min(order), F.max(order)).first()
+        if left is None:
+            if size <= most:
+                return cache
+            left = max(1, int(size * share))
+        if size <= left:
+            return _all_of(kept, cache)
+        if least == largest or size <= ranked:
+            break
+        width = (largest - least) / buckets
+        bucket = F.least(F.floor((F.col(order) - least) / width), F.lit(buckets - 1))
+        counts = {r["b"]: r["n"] for r in first.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # one row for each bucket
+        at, gone = 0, 0
+        while gone + counts.get(at, 0) <= left:
+            gone += counts.get(at, 0)
+            at += 1
+        own = F.col(order) >= least if low is None else (F.col(order) >= low) & (F.col(order) <= high)
+        kept.append(cache.where(own & (bucket > at)))
+        inside = first.where(bucket == at).agg(F.min(order), F.max(order)).first()
+        left, low, high = left - gone, inside[0], inside[1]
+    # few entries, or entries of equal order: a ranking of those alone
+    place = F.row_number().over(Window.orderBy(order))
+    kept.append(first.withColumn("__place", place).where(F.col("__place") > left).drop("__place"))
+    return _all_of(kept, cache)
+
+
+def _all_of(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.limit(0)
+    for p in parts:
+        out = out.union(p.select(*like.columns))
+    return out

@@ -72,22 +72,22 @@ def hash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select a.vec_id as item, a.label, list_transform(list_zip(a.e, b.e), lambda z: z[1] + (case when a.vec_id % 2 = 0 then 0.1::double else 0.6::double end) * z[2]) as q "
-    "from v a join v b on b.vec_id = a.vec_id + 1), u as (select item, label, list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))) as q from n), "
-    "s as (select item, vec_id, list_inner_product(q, e) as sim from u join v on u.label = v.label), "
-    "k as (select *, row_number() over (partition by item order by sim desc, vec_id) as n from s where sim >= 0.93) select item, vec_id as cached_id, round(sim, 6) as similarity from k where n = 1"
+    "with v as (select vec_id, embedding::double[] as e from embeddings), n as (select a.vec_id as item, list_transform(list_zip(a.e, b.e), lambda z: z[1] + (case when a.vec_id % 2 = 0 then 0.1::double else 0.6::double end) * z[2]) as q "
+    "from v a join v b on b.vec_id = a.vec_id + 1), u as (select item, list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))) as q from n), "
+    "c as (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v), s as (select item, vec_id, list_inner_product(q, e) as sim from u, c), "
+    "k as (select *, row_number() over (partition by item order by round(sim, 12) desc, vec_id) as n from s where sim >= 0.93) select item, vec_id as cached_id, round(sim, 6) as similarity from k where n = 1"
 )
 def embed_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cached vector of the same label most like each query, from an inner product of 0.93."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    """The vector of the whole cache most like each query, from an inner product of 0.93."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     after = v.select((F.col("vec_id") - 1).alias("before"), F.col("embedding").alias("e2"))
     step = F.when(F.col("vec_id") % 2 == 0, 0.1).otherwise(0.6)
     moved = F.zip_with("embedding", "e2", lambda x, y: x.cast("double") + F.col("step") * y.cast("double"))
     asked = v.join(after, F.col("vec_id") == F.col("before")).withColumn("step", step).select(
-        F.col("vec_id").alias("item"), "label", similarity.unit(moved).alias("q")
+        F.col("vec_id").alias("item"), similarity.unit(moved).alias("q")
     )
-    known = v.select(F.col("vec_id").alias("cached_id"), "label", F.col("embedding").alias("e"))
-    best = similarity.best_match(asked, known, "item", "q", "cached_id", "e", ["label"])
+    known = v.select(F.col("vec_id").alias("cached_id"), similarity.unit(F.col("embedding")).alias("e"))
+    best = similarity.best_match(asked, known, "item", "q", "cached_id", "e")
     return best.select("item", "cached_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -115,18 +115,36 @@ def video_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.summarise(frame_view(spark, sf_dir))
 
 
-@query(
-    f"with {_RUNS}, said as (select video, ((video * 7) % 101)::double / 100.0::double as a, ((video * 11) % 101)::double / 100.0::double as e from videos where video % 3 = 0) "
-    "select v.video, greatest(adult_score, coalesce(a, 0)) as adult_score, violence_self_harm_score, weapon_score, blood_score, child_safety_score, greatest(adult_score, coalesce(a, 0)) as nsfw_score, "
-    "greatest(coalesce(e, 0), least(1.0::double, unsafe_ratio * 1.5::double)) as ensemble_risk_score, unsafe_ratio as video_unsafe_frame_ratio, longest_run::double as video_consecutive_unsafe_frames from videos v left join said s on v.video = s.video"
-)
+# what is said in every third video: scores that frames have too, and some that they lack
+SAID = {"adult_score": 7, "ensemble_risk_score": 11, "hate_speech_score": 13, "terrorism_score": 17, "fraud_score": 19, "promotion_score": 23}
+_SAID = ", ".join(f"((video * {m}) % 101)::double / 100.0::double as s_{k}" for k, m in SAID.items())
+_FRAME_KEYS = ("adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score")
+
+
+def _larger_sql(k: str) -> str:
+    parts = ["0.0::double", *([k] if k in _FRAME_KEYS else []), *([f"coalesce(s_{k}, 0.0::double)"] if k in SAID else [])]
+    return f"greatest({', '.join(parts)})"
+
+
+_VIDEO_SQL = {k: _larger_sql(k) for k in decision.CASCADE_KEYS} | {
+    "nsfw_score": _larger_sql("adult_score"),
+    "ensemble_risk_score": f"greatest({_larger_sql('ensemble_risk_score')}, least(1.0::double, unsafe_ratio * 1.5::double))",
+    "video_unsafe_frame_ratio": "unsafe_ratio",
+    "video_consecutive_unsafe_frames": "longest_run::double",
+}
+_WITH_SAID = f"{_RUNS}, spoken as (select video, {_SAID} from videos where video % 3 = 0), heard as (select v.*, s.* exclude (video) from videos v left join spoken s on v.video = s.video)"
+_VIDEO_COLS = ", ".join(f"{v} as {k}" for k, v in _VIDEO_SQL.items())
+
+
+def _said(videos: DataFrame) -> DataFrame:
+    v = F.col("video")
+    return videos.where(v % 3 == 0).select("video", *[(((v * m) % 101) / 100.0).alias(k) for k, m in SAID.items()])
+
+
+@query(f"with {_WITH_SAID} select video, {_VIDEO_COLS} from heard")
 def video_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = frames.summarise(frame_view(spark, sf_dir))
-    v = F.col("video")
-    said = videos.where(v % 3 == 0).select(
-        "video", (((v * 7) % 101) / 100.0).alias("adult_score"), (((v * 11) % 101) / 100.0).alias("ensemble_risk_score")
-    )
-    return frames.merge_transcript(videos, said)
+    return frames.merge_transcript(videos, _said(videos))
 
 
 @query(f"with {FRAMES_SQL} select video, frame, round(adult_score, 4) as adult_score, round(violence_self_harm_score, 4) as violence_self_harm_score, round(weapon_score, 4) as weapon_score, round(blood_score, 4) as blood_score, round(child_safety_score, 4) as child_safety_score, round({_RISK}, 4) as risk, {_RISK} >= 0.55 as unsafe from frames")
@@ -154,6 +172,22 @@ def mon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KINDS = ("image", "video", "pdf", "docx", "text", "audio")
+_FLAGS = ("adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score")
+
+
+@query(
+    f"with {_LOG}, named as (select unnest({listed(_KINDS)}) as kind), n as (select content_type, count(*) as c from log group by content_type), {FRAMES_SQL}, "
+    "shares as (unpivot (select " + ", ".join(f"{k} * 100 as {k}" for k in _FLAGS) + " from frames) on * into name kind value p) "
+    "select 'content_type' as counter, kind as name, coalesce(c, 0) as total from named left join n on kind = content_type "
+    "union all select 'category_flag', kind, count(*) filter (p > 50) from shares group by kind"
+)
+def mon_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every content type, those without any as 0, and how often each category was above 50 percent."""
+    shown = frame_view(spark, sf_dir).select(*[(F.col(k) * 100).alias(k) for k in _FLAGS])
+    return monitor.by_kind(log(spark, sf_dir), "content_type", _KINDS).union(monitor.category_flags(shown, _FLAGS))
+
+
 def _rates(seconds: int) -> str:
     return f"(select count(*) from log, (select max(ts) as now from log) where epoch(now)::bigint - epoch(ts)::bigint < {seconds})"
 
@@ -224,8 +258,7 @@ def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select vec_id, label from embeddings where vec_id not in (select vec_id from embeddings order by vec_id limit (select greatest(1, (count(*) * 0.1)::bigint) from embeddings))")
 def cache_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return similarity.trim_oldest(cache, cache.count(), 0.1, 100, ["vec_id"])
+    return similarity.trim_oldest(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 0.1, 100, "vec_id")
 
 
 _N = count_sql(lex.PROMOTIONAL_PHRASES + lex.SPAM_PHRASES)
@@ -315,18 +348,11 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-_MERGED = (
-    f"{_RUNS}, zero as (select video as v_id, adult_score as nsfw_score, adult_score, violence_self_harm_score, weapon_score, blood_score, child_safety_score, "
-    "least(1.0::double, unsafe_ratio * 1.5::double) as ensemble_risk_score, unsafe_ratio as video_unsafe_frame_ratio, longest_run::double as video_consecutive_unsafe_frames from videos)"
-)
-_READ = ("nsfw_score", "adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score", "ensemble_risk_score", "video_unsafe_frame_ratio", "video_consecutive_unsafe_frames")
-_ALL = ", ".join(k if k in _READ else f"0.0::double as {k}" for k in decision.CASCADE_KEYS)
-
-
-@query(f"with {_MERGED}, scored as (select v_id, {_ALL} from zero) select v_id as video, {decision.cascade_sql('rule')} as rule, {decision.cascade_sql('decision')} as decision, {decision.cascade_sql('code')} as code from scored")
+@query(f"with {_WITH_SAID}, scored as (select video, {_VIDEO_COLS} from heard) select video, {decision.cascade_sql('rule')} as rule, {decision.cascade_sql('decision')} as decision, {decision.cascade_sql('code')} as code from scored")
 def video_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "video long, adult_score double, ensemble_risk_score double")
-    return moderation.moderate_videos(frame_view(spark, sf_dir), none).select("video", "rule", "decision", "code")
+    shots = frame_view(spark, sf_dir)
+    said = _said(shots.select("video").distinct())
+    return moderation.moderate_videos(shots, said).select("video", "rule", "decision", "code")
 
 
 @query(f"with {_LOG}, n as (select count(*)::double as requests, count(*) filter (event_type = 'error')::double as failed, max(value)::double as slowest from log) unpivot n on requests, failed, slowest into name metric value value")

@@ -10,6 +10,8 @@ from siftwork.functions.text import joined, normalise
 from siftwork.operators import decision, frames, fusion
 from siftwork.operators import detections as det
 
+#: What a document's report shows of its text and links.
+PREVIEW, SHOWN_LINKS = 2000, 50
 #: Columns that a toxicity provider may add; those missing read as 0.
 TOXICITY = ("toxicity", "severe_toxicity", "obscene", "identity_attack", "insult", "threat", "sexual_explicit")
 
@@ -50,7 +52,10 @@ def moderate_text(posts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def moderate_documents(docs: DataFrame, text_col: str = "text", images_col: str | None = None) -> DataFrame:
-    """Report extracted documents: link, lexical and personal data scores count towards the overall one."""
+    """Report extracted documents: link, lexical and personal data scores count towards the overall one.
+
+    Adds ``preview`` (the first ``PREVIEW`` characters) and ``first_links`` (``SHOWN_LINKS`` at most).
+    """
     text = normalise(F.col(text_col))
     found = docs.withColumn("links", detectors.links(F.coalesce(F.col(text_col), F.lit("")))).withColumn("norm", text)
     images = F.col(images_col) if images_col else F.lit(0)
@@ -64,7 +69,10 @@ def moderate_documents(docs: DataFrame, text_col: str = "text", images_col: str
             "financial_information_score", "identity_document_score", "barcode_score",
         )
     )
-    return decision.report(scored, keys, F.col("norm") == "", more)
+    reported = decision.report(scored, keys, F.col("norm") == "", more)
+    return reported.withColumns(
+        {"preview": F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, PREVIEW), "first_links": F.slice("links", 1, SHOWN_LINKS)}
+    )
 
 
 def moderate_images(images: DataFrame) -> DataFrame:
@@ -78,15 +86,15 @@ def moderate_images(images: DataFrame) -> DataFrame:
     harm = det.safety_scores(F.col("seen"), F.col("prompts")) | det.child_scores(F.col("seen"), F.col("prompts"))
     df = df.withColumns(harm)
     df = df.withColumns(fusion.protected({k: F.col(k) for k in harm}, F.col("heritage_score"), text))
-    promo = detectors.promo_scores(F.col("norm"))
-    promo["advertising_score"] = det.noisy_or(promo["advertising_score"], det.promotion_support(F.col("seen")))
+    df = df.withColumns({f"read_{k}": v for k, v in detectors.promo_scores(F.col("norm")).items()})
+    read = {k: F.col(f"read_{k}") for k in ("advertising_score", "affiliate_score", "social_media_score")}
+    promo = det.promotion_scores(read, F.col("prompts"), F.col("seen"))
     with_codes = normalise(joined(F.col("ocr_text"), F.col("caption"), F.col("code_text")))
     contact = detectors.contact_signals(text, with_codes)
     contact |= {"marketing_keyword_count": contact.pop("marketing_words"), "course_promotion_score": contact.pop("course_score")}
     df = df.withColumns(promo | contact | fusion.safety_text_scores(F.col("norm")))
     df = df.withColumns(
         {
-            "promotion_score": F.greatest("advertising_score", "affiliate_score", "social_media_score"),
             "pii_score": detectors.pii_score(detectors.pii_flags(F.col("norm"))),
             "content_quality_score": detectors.quality_score(F.col("norm")),
             "qr_code_score": detectors.code_class(F.col("code_text"))["qr_code_score"],
@@ -102,9 +110,9 @@ def moderate_images(images: DataFrame) -> DataFrame:
             ),
         }
     )
-    keys = [c for c in df.columns if c.endswith("_score")]
+    keys = [c for c in df.columns if c.endswith("_score") and not c.startswith("read_")]
     reported = decision.report(df, keys).withColumnRenamed("decision", "report_decision")
-    return decision.decide_cascade(reported).drop("norm", "seen")
+    return decision.decide_cascade(reported).drop("norm", "seen", *[c for c in df.columns if c.startswith("read_")])
 
 
 def moderate_videos(shots: DataFrame, transcripts: DataFrame, key: str = "video") -> DataFrame:

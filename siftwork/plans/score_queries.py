@@ -11,6 +11,7 @@ from siftwork.operators import detections as det
 from siftwork.plans import moderation
 from siftwork.plans.text_queries import clamp_sql
 from siftwork.plans.views import DETECTIONS_SQL, GRID_SQL, SPACE_SQL, detections, quoted, score_grid, table
+from siftwork.sources import images
 from siftwork.sources.uploads import batch_size, frame_rate, upload_status
 
 QUERIES: dict = {}
@@ -148,6 +149,37 @@ def cascade_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.decide_cascade(score_grid(spark, sf_dir)).groupBy("decision", "code").agg(F.count("*").alias("items"))
 
 
+def _bround(x: str) -> str:
+    """SQL of a rounding half to even."""
+    return f"(case when abs({x} - floor({x}) - 0.5) < 1e-9 then 2 * round({x} / 2) else round({x}) end)::bigint"
+
+
+def _reason_sql() -> str:
+    """One CASE over the rules and codes, with the two that name a number written out."""
+    share = f"'Rejected: ' || {_bround('video_unsafe_frame_ratio * 100')} || '% of video frames contain unsafe content (threshold 15%).'"
+    run = f"'Rejected: ' || {_bround('video_consecutive_unsafe_frames')} || ' consecutive unsafe frames detected (threshold 3).'"
+    whens = [f"when rule = 'R25' then {share}", f"when rule = 'R26' then {run}"]
+    for name, said in sorted(decision.REASONS.items(), key=lambda x: -len(x[0])):
+        if name not in ("R25", "R26"):
+            rule, _, code = name.partition(" ")
+            whens.append(f"when rule = '{rule}'" + (f" and code = '{code}'" if code else "") + f" then {quoted(said)}")
+    return f"case {' '.join(whens)} end"
+
+
+_VIDEO_KEYS = ("video_unsafe_frame_ratio", "video_consecutive_unsafe_frames")
+_FILM = ", ".join(k if k not in _VIDEO_KEYS else f"{k} * {10 if k == _VIDEO_KEYS[1] else 1} as {k}" for k in decision.CASCADE_KEYS)
+
+
+@query(
+    f"with {GRID_SQL}, film as (select item, {_FILM} from grid), decided as (select *, {decision.cascade_sql('rule')} as rule, {decision.cascade_sql('code')} as code from film) "
+    f"select item, rule, code, {_reason_sql()} as reason from decided"
+)
+def decide_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words for each decision; runs of unsafe frames are ten times the grid's scores."""
+    film = score_grid(spark, sf_dir).withColumn(_VIDEO_KEYS[1], F.col(_VIDEO_KEYS[1]) * 10)
+    return decision.decide_cascade(film).select("item", "rule", "code", "reason")
+
+
 _P = lambda k: f"round(greatest(0.0::double, least(case when {k} <= 1.0 then {k} * 100.0::double else {k} end, 100.0::double)), 1)"
 _KNOWN = set(decision.CASCADE_KEYS)
 _CAT = {
@@ -290,6 +322,60 @@ def promo_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("image", F.round(fused, 12).alias("advertising_score"))
 
 
+PROMOTION_PROMPTS = ("sponsored", "Product-Advertisement", "affiliate marketing", "referral_marketing", "telegram promotion", "follow us", "a quiet lake")
+_PROMO_SCORE = {p: f"((image * {11 + j} + {j}) % 101)::double / 100.0::double" for j, p in enumerate(PROMOTION_PROMPTS)}
+
+
+def _promo_sql(labels, but) -> str:
+    own = {x.lower().replace("-", " ").replace("_", " ") for x in labels} - {x.lower() for x in but}
+    hits = [s for p, s in _PROMO_SCORE.items() if p.lower().replace("-", " ").replace("_", " ") in own]
+    return f"greatest(0.0::double, {', '.join(hits) or '0.0::double'})"
+
+
+def _or_sql(*parts: str) -> str:
+    none = " * ".join(f"(1.0::double - {p})" for p in parts)
+    return clamp_sql(f"greatest({', '.join(parts)}, (1.0::double - {none}) * 0.85::double)")
+
+
+@query(
+    f"with {SAFETY_CTE}, p as (select image, y_promo * 0.25::double as o, ((image * 3) % 101)::double / 200.0::double as t_ad, ((image * 5) % 101)::double / 200.0::double as t_af, ((image * 13) % 101)::double / 200.0::double as t_sm, "
+    f"{_promo_sql(lex.ADVERTISING_PROMPTS, ())} as c_ad, {_promo_sql(lex.AFFILIATE_PROMPTS, lex.ADVERTISING_PROMPTS)} as c_af, "
+    f"{_promo_sql(lex.SOCIAL_MEDIA_PROMPTS, lex.ADVERTISING_PROMPTS + lex.AFFILIATE_PROMPTS)} as c_sm from both_), "
+    f"f as (select image, {_or_sql('t_ad', 'c_ad', 'o')} as ad, {_or_sql('t_af', 'c_af')} as af, {_or_sql('t_sm', 'c_sm')} as sm from p) "
+    "select image, round(ad, 9) as advertising_score, round(af, 9) as affiliate_score, round(sm, 9) as social_media_score, round(greatest(ad, af, sm), 9) as promotion_score from f"
+)
+def promo_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion from texts, prompts by their label, and objects."""
+    i = F.col("image")
+    entries = F.array(*[F.struct(F.lit(p), ((i * (11 + j) + j) % 101) / 100.0) for j, p in enumerate(PROMOTION_PROMPTS)])
+    texts = {k: ((i * m) % 101) / 200.0 for k, m in (("advertising_score", 3), ("affiliate_score", 5), ("social_media_score", 13))}
+    df = detections(spark, sf_dir).withColumn("prompts", F.map_from_entries(entries))
+    found = det.promotion_scores(texts, F.col("prompts"), F.col("detections"))
+    return df.select("image", *[F.round(v, 9).alias(k) for k, v in found.items()])
+
+
+_SIDE, _SHARP = "(image * 7) % 90", "((image * 13) % 101)::double"
+_DENSE, _VARIED = "((image * 3) % 11)::double / 500.0::double", "((image * 5) % 13)::double / 120.0::double"
+
+
+@query(
+    f"with {DETECTIONS_SQL}, m as (select image, case when image % 17 = 0 then null else {_SIDE} end as w, {_SIDE} + 5 as h, case when image % 19 = 0 then null else {_SHARP} end as sharp, "
+    f"{_DENSE} as dense, {_VARIED} as varied, list_transform(detections, lambda d: lower(d.class)) as classes from dets) select image, "
+    "case when w is null or sharp is null then 'CORRUPT' when least(w, h) < 32 then 'LOW_RES' when sharp < 40 then 'BLUR' else 'OK' end as quality, "
+    "list_has_any(classes, ['book', 'cell phone', 'tv', 'laptop', 'stop sign', 'person']) or dense > 0.01 or varied > 0.05 as read_text from m"
+)
+def image_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an image can be judged, and whether its text is worth reading, from its measures and objects."""
+    i = F.col("image")
+    side, sharp = (i * 7) % 90, ((i * 13) % 101).cast("double")
+    classes = F.transform("detections", lambda d: d["class"])
+    return detections(spark, sf_dir).select(
+        "image",
+        images.quality_gate(F.when(i % 17 != 0, side), side + 5, F.when(i % 19 != 0, sharp)).alias("quality"),
+        images.text_gate(classes, ((i * 3) % 11) / 500.0, ((i * 5) % 13) / 120.0).alias("read_text"),
+    )
+
+
 @query(
     f"with {DETECTIONS_SQL}, ranked as (select image, class, confidence, row_number() over (partition by image order by confidence desc, class) as n from det) "
     "select image, class as top_class, confidence from ranked where n = 1"

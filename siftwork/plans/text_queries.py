@@ -122,6 +122,8 @@ def text_heritage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(normed(spark, sf_dir), {"heritage_score": fusion.heritage_text_score(F.col("t"))})
 
 
+# written out here, not taken from the detectors: RE2 has word ends of its own
+_PHONES = r"(?:(?:\+91|0091|0)[\s-]?)?[6-9]\d{9}\b|\+91[\s-]?\d{5}[\s-]?\d{5}"
 _URLS, _TAGS = hits_sql(detectors.PROMO_URL), hits_sql(detectors.HASHTAG)
 
 
@@ -136,7 +138,7 @@ def promo_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {NORM_SQL} select doc_id, least({hits_sql(detectors.PROMO_PHONE, 'text')} * 0.40::double, 0.80::double) as phone_number_score, "
+    f"with {NORM_SQL} select doc_id, least({hits_sql(_PHONES)} * 0.40::double, 0.80::double) as phone_number_score, "
     f"least({hits_sql(detectors.HANDLE, 'text')} * 0.30::double, 0.75::double) as social_handle_score, "
     f"least({_URLS} * 0.35::double, 0.80::double) as url_score, "
     f"len(list_filter(list_distinct(string_split(t, ' ')), lambda w: list_contains({listed(lex.MARKETING_WORDS)}, w)))::double as marketing_words, "
@@ -160,16 +162,14 @@ _NEAR_SQL = (
 )
 def hard_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a post is refused outright; of several phrases the first by name is given."""
-    t = F.col("t")
-    words = text.tokens(t)
-    hits = F.filter(text.words_array(lex.BLOCKED_PHRASES), lambda p: F.contains(t, p))
-    return normed(spark, sf_dir).select(
+    found = normed(spark, sf_dir).withColumn("words", text.tokens(F.col("t")))
+    words = F.col("words")
+    return found.select(
         "doc_id",
-        text.has_any(t, lex.BLOCKED_PHRASES).alias("by_phrase"),
         F.arrays_overlap(words, text.words_array(lex.BLOCKED_WORDS)).alias("by_word"),
         detectors.near(words, lex.VIOLENCE_WORDS, lex.COMMUNITY_WORDS, 4).alias("by_proximity"),
-        F.array_min(hits).alias("reason"),
-    )
+        F.array_min(text.phrases_in(F.col("t"), lex.BLOCKED_PHRASES)).alias("reason"),
+    ).select("doc_id", F.col("reason").isNotNull().alias("by_phrase"), "by_word", "by_proximity", "reason")
 
 
 def _aadhaar_sql(x: str) -> str:
@@ -179,12 +179,14 @@ def _aadhaar_sql(x: str) -> str:
 
 _FOUND = lambda p: f"regexp_matches(c, {quoted(p)})"
 PII_SQL = {
-    "aadhaar": f"len(list_filter(regexp_extract_all(c, '[0-9][0-9 \\t-]*[0-9]'), lambda r: regexp_full_match(r, {quoted(detectors.AADHAAR)}) and {_aadhaar_sql('r')})) > 0",
-    "pan": _FOUND(detectors.PAN),
-    "passport": _FOUND(detectors.PASSPORT),
-    "phone": _FOUND(detectors.PHONE),
-    "email": _FOUND(detectors.EMAIL),
-    "bank": f"({_FOUND(detectors.UPI)} or {_FOUND(detectors.IFSC)} or len(list_filter(regexp_extract_all(c, '[0-9]+'), lambda d: length(d) between 9 and 18 and not {_aadhaar_sql('d')})) > 0)",
+    # RE2 looks neither back nor ahead: with every other sign doubled, a number takes one on each side and leaves one
+    "aadhaar": "len(list_filter(regexp_extract_all(regexp_replace(c, '([^0-9])', '\\1\\1', 'g'), "
+    f"'(?:^|[^0-9])([0-9]{{4}}(?:  |--)?[0-9]{{4}}(?:  |--)?[0-9]{{4}})(?:$|[^0-9])', 1), lambda r: {_aadhaar_sql('r')})) > 0",
+    "pan": _FOUND(r"(?i)\b[A-Z]{5}\d{4}[A-Z]\b"),
+    "passport": _FOUND(r"(?i)\b[A-Z]\d{7}\b"),
+    "phone": _FOUND(r"(?:^|\D)(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}(?:$|\D)"),
+    "email": _FOUND(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+    "bank": f"({_FOUND(r'(?i)\b[A-Z0-9._-]{2,}@[A-Z]{2,}\b')} or {_FOUND(r'(?i)\b[A-Z]{4}0[A-Z0-9]{6}\b')} or len(list_filter(regexp_extract_all(c, '[0-9]+'), lambda d: length(d) between 9 and 18 and not {_aadhaar_sql('d')})) > 0)",
     "address": f"({_FOUND(detectors.ADDRESS)} and regexp_matches(c, '[0-9]'))",
 }
 _COLLAPSED = f"{POSTS_SQL}, collapsed as (select *, trim(regexp_replace(coalesce(text, ''), '{SPACE_SQL}', ' ', 'g')) as c from posts)"
@@ -193,11 +195,32 @@ _PII_SCORE = clamp_sql(" + ".join(f"case when {n} then {w}::double else 0.0::dou
 
 @query(f"with {_COLLAPSED}, flags as (select doc_id, {as_columns(PII_SQL)} from collapsed) select *, {_PII_SCORE} as pii_score from flags")
 def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.pii_flags(text.collapse(F.col("text")))
-    df = posts(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in found.items()])
+    found = detectors.pii_flags(F.col("c"))
+    df = posts(spark, sf_dir).select("doc_id", text.collapse(F.col("text")).alias("c")).select("doc_id", *[v.alias(k) for k, v in found.items()])
     return df.withColumn("pii_score", detectors.pii_score({k: F.col(k) for k in found}))
 
 
+_ENTITIES = ("LOCATION", "PERSON", "CREDIT_CARD", "IN_PAN", "PHONE_NUMBER")
+_RAISED = {
+    k: f"({v} or coalesce(list_has_any(found, {listed(kinds)}), false))" if (kinds := [e for e, f in detectors.ENTITY_FLAGS.items() if f == k]) else v
+    for k, v in PII_SQL.items()
+}
+
+
+@query(
+    f"with {_COLLAPSED}, named as (select *, case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then [] else [{', '.join(quoted(e) for e in _ENTITIES)}][doc_id % 5 + 1:doc_id % 5 + 1] end as found from collapsed), "
+    f"flags as (select doc_id, {as_columns(_RAISED)} from named) select *, {_PII_SCORE} as pii_score from flags"
+)
+def pii_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of personal data raised by what a provider of named entities found."""
+    i = F.col("doc_id")
+    one = F.array(F.element_at(text.words_array(_ENTITIES), (i % 5 + 1).cast("int")))
+    entities = F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, F.array().cast("array<string>")).otherwise(one)
+    df = posts(spark, sf_dir).select("doc_id", text.collapse(F.col("text")).alias("c"), entities.alias("found"))
+    flags = detectors.with_entities(detectors.pii_flags(F.col("c")), F.col("found"))
+    return df.select("doc_id", *[v.alias(k) for k, v in flags.items()]).withColumn("pii_score", detectors.pii_score({k: F.col(k) for k in flags}))
+
+
 _QUALITY = [(lex.SPAM_PHRASES, 0.2), (lex.SCAM_PHRASES, 0.35), (lex.PROMOTIONAL_PHRASES, 0.2), (lex.FAKE_HISTORY_PHRASES, 0.35)]
 _QURL = hits_sql(detectors.QUALITY_URL)
 _QUALITY_SQL = clamp_sql(
@@ -233,6 +256,19 @@ def lang_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"with {POSTS_SQL}, cut as (select doc_id, case when doc_id % 7 = 0 then left(text, 12) when doc_id % 7 = 1 then right(text, 9) when doc_id % 7 = 2 then '' else right(text, 40) end as text, "
+    f"case when doc_id % 2 = 0 then lang end as told from posts), counted as (select doc_id, text, told, {_SCRIPT_COLS} from cut) "
+    f"select doc_id, case when length(trim(text)) < 10 then 'en' else coalesce(told, case when {_SCRIPT_MAX} <= 3 then null {_SCRIPT_CASE} end, 'en') end as language from counted"
+)
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of short and long pieces, where a provider tells it and where it does not."""
+    i, t = F.col("doc_id"), F.col("text")
+    piece = F.when(i % 7 == 0, F.left(t, F.lit(12))).when(i % 7 == 1, F.right(t, F.lit(9))).when(i % 7 == 2, "").otherwise(F.right(t, F.lit(40)))
+    df = posts(spark, sf_dir).select("doc_id", piece.alias("text"), F.when(i % 2 == 0, F.col("lang")).alias("told"))
+    return df.select("doc_id", detectors.detected_language(F.col("text"), F.col("told")).alias("language"))
+
+
 @query(f"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{SPACE_SQL}', ' ', 'g')) as plain from pages")
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
@@ -258,12 +294,16 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PAGE_LINKS = f"list_sort(list_distinct(regexp_extract_all(html, {quoted(detectors.LINK)})))"
+# the pages hold no addresses, so each gets its own, twice on every third
+_ANCHORED = "html || ' <a href=\"' || url || '\">more</a>' || case when page_id % 3 = 0 then ' (' || url || '/x.exe?q=1) ' || url else '' end"
+_PAGE_LINKS = f"list_sort(list_distinct(regexp_extract_all({_ANCHORED}, '(?i)https?://[^\\s)>''\"]+')))"
 
 
 @query(f"select page_id, link from (select page_id, unnest({_PAGE_LINKS}) as link from pages)")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(detectors.links(F.col("html"))).alias("link"))
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" ("), "url", F.lit("/x.exe?q=1) "), "url")).otherwise("")
+    html = F.concat("html", F.lit(' <a href="'), "url", F.lit('">more</a>'), more)
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(detectors.links(html)).alias("link"))
 
 
 @query(

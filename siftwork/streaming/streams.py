@@ -43,16 +43,20 @@ def with_cached(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return df.join(cache, key, "left")
 
 
-def circuit_breaker(df: DataFrame, key: str, failed: str, ts: str = "ts", most: int = 5, cooldown_s: int = 60) -> DataFrame:
+def circuit_breaker(df: DataFrame, key: str, failed: str, ts: str = "ts", most: int = 5, cooldown_s: int = 60, forget_s: int = 3600, late: str = LATE) -> DataFrame:
     """State of each key's circuit after every row of a stream: failures in a row, and open or closed.
 
     ``most`` failures in a row open the circuit for ``cooldown_s`` seconds of event time; a success, or the
-    end of that time, closes it.
+    end of that time, closes it. The state of a key that is silent for ``forget_s`` seconds of event time is dropped,
+    as the watermark passes it, so states do not outnumber the keys in use.
     """
     key_type = df.schema[key].dataType.simpleString()
     state_type = "failures int, opened double"
 
     def step(names: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, opened = state.get if state.exists else (0, -1.0)
         rows = []
         for batch in batches:
@@ -68,13 +72,14 @@ def circuit_breaker(df: DataFrame, key: str, failed: str, ts: str = "ts", most:
                         opened = now
                 rows.append((names[0], at, failures, opened >= 0))
         state.update((failures, opened))
+        state.setTimeoutTimestamp(max(int(1000 * (rows[-1][1].timestamp() + forget_s)), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, ts, "failures", "is_open"])
 
     return (
-        df.select(key, ts, failed)
+        _timed(df.select(key, ts, failed), ts, late)
         .groupBy(key)
         .applyInPandasWithState(
-            step, f"{key} {key_type}, {ts} timestamp, failures int, is_open boolean", state_type, "append", GroupStateTimeout.NoTimeout
+            step, f"{key} {key_type}, {ts} timestamp, failures int, is_open boolean", state_type, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

@@ -1,4 +1,5 @@
 import io
+import math
 import struct
 import zipfile
 
@@ -7,6 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.operators import similarity
+from siftwork.plans import moderation
 from siftwork.sources import documents, images, providers, sinks, uploads
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -52,10 +55,94 @@ def test_image_headers(spark):
     }
 
 
+def plain_measures(x):
+    """The same measures pixel by pixel."""
+    h, w = len(x), len(x[0])
+    at = lambda i, n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    laplace = [[x[at(i - 1, h)][j] + x[at(i + 1, h)][j] + x[i][at(j - 1, w)] + x[i][at(j + 1, w)] - 4 * x[i][j] for j in range(w)] for i in range(h)]
+    flat = [v for r in laplace for v in r]
+    mean = sum(flat) / len(flat)
+    strokes = [x[i][j] // 8 for i in range(h) for j in range(w) if abs(laplace[i][j]) > 30]
+    shares = [strokes.count(b) / len(strokes) for b in set(strokes)]
+    return {
+        "sharpness": sum((v - mean) ** 2 for v in flat) / len(flat),
+        "text_density": sum(abs(v) > 50 for v in flat) / len(flat),
+        "entropy": -sum(p * math.log2(p) for p in shares) / 5 if strokes else 0.0,
+    }
+
+
 def test_grey_measures():
     flat = images.grey_measures(np.full((8, 8), 7))
-    assert flat["sharpness"] == 0 and flat["entropy"] == 0
-    assert images.grey_measures(np.arange(256).reshape(16, 16))["entropy"] == pytest.approx(1.0)
+    assert flat == {"sharpness": 0.0, "text_density": 0.0, "edge_density": 0.0, "entropy": 0.0}
+    rng = np.random.default_rng(1)
+    for size in ((9, 13), (2, 2), (30, 17)):
+        x = rng.integers(0, 256, size)
+        want = plain_measures(x.tolist())
+        found = images.grey_measures(x)
+        assert {k: found[k] for k in want} == pytest.approx(want)
+        assert 0 <= found["edge_density"] <= 1
+    # a step has one line of edges
+    step = np.zeros((20, 20))
+    step[:, 10:] = 200
+    assert images.edges(step).sum(1).tolist() == [1] * 20
+    assert images.grey_measures(np.zeros((0, 0)))["entropy"] == 0.0
+    assert images.grey_measures(np.ones((1, 5)))["sharpness"] == 0.0
+
+
+def test_measures_and_gates_of_a_table(spark):
+    x = np.random.default_rng(2).integers(0, 256, (6, 7)).astype(np.uint8)
+    df = spark.createDataFrame([(1, 7, bytearray(x.tobytes())), (2, 7, bytearray(b"12345")), (3, 7, None), (4, 0, bytearray(b"1"))], "image long, width int, pixels binary")
+    found = {r["image"]: r for r in images.measured(df).collect()}
+    assert found[1]["text_density"] == pytest.approx(images.grey_measures(x)["text_density"])
+    assert all(found[i]["entropy"] is None for i in (2, 3, 4))
+    gates = spark.createDataFrame([(["Book"], None, None), ([], 0.02, 0.0), ([], 0.0, 0.06), ([], 0.0, 0.0), (None, None, None)], "c array<string>, d double, e double")
+    assert [r[0] for r in gates.select(images.text_gate(F.col("c"), F.col("d"), F.col("e"))).collect()] == [True, True, True, False, False]
+    sizes = spark.createDataFrame([(31, 90, 99.0), (32, 90, 39.0), (32, 90, 40.0), (None, 90, 40.0)], "w int, h int, s double")
+    assert [r[0] for r in sizes.select(images.quality_gate(F.col("w"), F.col("h"), F.col("s"))).collect()] == ["LOW_RES", "BLUR", "OK", "CORRUPT"]
+
+
+def test_files_and_pages(spark, tmp_path):
+    (tmp_path / "safe").mkdir()
+    (tmp_path / "safe" / "a.png").write_bytes(b"1")
+    (tmp_path / "b.txt").write_bytes(b"22")
+    files = uploads.read_files(spark, str(tmp_path), "*.png").collect()
+    assert [(r["path"].rsplit("/", 2)[-2], r["length"]) for r in files] == [("safe", 1)]
+    pages = spark.createDataFrame([(80, False), (81, False), (1, True)], "n int, locked boolean")
+    assert [r[0] for r in pages.select(documents.pages_status(F.col("n"), F.col("locked"))).collect()] == ["ok", "too_many_pages", "encrypted"]
+
+
+def test_a_document_shows_its_first_text_and_links(spark):
+    text = "see " + " ".join(f"https://a.b/{i:03d}" for i in range(60)) + " x" * 3000
+    row = moderation.moderate_documents(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert row[0]["preview"] == text[:2000] and len(row[0]["first_links"]) == 50 and row[1]["preview"] == ""
+
+
+def test_best_match_of_the_whole_cache(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cache = unit(rng.normal(size=(700, 12)))
+    cache[300:320] = cache[5]
+    asked = unit(np.concatenate([cache[:150] + rng.normal(scale=0.05, size=(150, 12)), rng.normal(size=(50, 12))]))
+    near = np.round(asked @ cache.T, 12)
+    want = {i: int(near[i].argmax()) for i in range(len(asked)) if near[i].max() >= 0.93}
+    frame = lambda rows, k, v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)] + [(9999, None)], f"{k} long, {v} array<double>")
+    for rows, cell in ((4096, 512), (60, 20)):
+        monkeypatch.setattr(similarity, "GROUP_ROWS", rows)
+        monkeypatch.setattr(similarity, "CELL", cell)
+        found = similarity.best_match(frame(asked, "item", "q"), frame(cache, "key", "v"), "item", "q", "key", "v").collect()
+        assert {r["item"]: r["key"] for r in found} == want
+    nothing = similarity.best_match(frame(asked, "item", "q"), frame(cache, "key", "v").where("key < 0"), "item", "q", "key", "v")
+    assert nothing.count() == 0 and nothing.columns == ["item", "key", "similarity"]
+
+
+@pytest.mark.parametrize("n, share, most", [(1000, 0.1, 100), (1000, 0.95, 100), (50, 0.1, 100), (300, 0.0, 100)])
+def test_trim_oldest(spark, monkeypatch, n, share, most):
+    keys = np.random.default_rng(4).permutation(n * 3)[:n].tolist()
+    left = similarity.trim_oldest(spark.createDataFrame([(k, "x") for k in keys], "k long, v string"), share, most, "k", buckets=7, ranked=20)
+    gone = max(1, int(n * share)) if n > most else 0
+    assert sorted(r["k"] for r in left.collect()) == sorted(keys)[gone:]
+    equal = similarity.trim_oldest(spark.createDataFrame([(5, "x")] * 30, "k long, v string"), 0.5, 10, "k")
+    assert equal.count() == 15
 
 
 @pytest.mark.parametrize(

@@ -36,3 +36,40 @@ def test_circuit_breaker(spark, tmp_path):
     stream = spark.readStream.schema("k string, t string, failed boolean, ts timestamp").parquet(str(tmp_path / "in"))
     out = drained(streams.circuit_breaker(stream, "k", "failed", most=3), tmp_path, "breaker").orderBy("ts").collect()
     assert [(r["failures"], r["is_open"]) for r in out] == [(1, False), (2, False), (3, True), (0, False), (1, False), (2, False)]
+
+
+def test_sliding_windows_join_the_cache_and_count(spark, sf_dir, tmp_path):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    wide = lambda df: streams.sliding(df, "2 hours", "1 hour", late="0 seconds")
+    got = {(r["start"], r["requests"]) for r in drained(wide(source(spark, sf_dir)), tmp_path, "sliding").collect()}
+    assert got <= {(r["start"], r["requests"]) for r in wide(batch).collect()}
+    cache = spark.createDataFrame([("view", "APPROVED")], "event_type string, decision string")
+    joined = drained(streams.with_cached(source(spark, sf_dir), cache, "event_type"), tmp_path, "joined")
+    assert joined.where("event_type = 'view' and decision is null").count() == 0
+    assert joined.count() == batch.count() and joined.where("event_type <> 'view' and decision is not null").count() == 0
+
+
+def test_counters_outlive_a_restart(spark, tmp_path):
+    folder, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    totals = {}
+
+    def keep(df, _):
+        totals.update({r["kind"]: r["total"] for r in df.collect()})
+
+    for kinds in (["a", "a", "b"], ["a", "c"]):
+        spark.createDataFrame([(k,) for k in kinds], "kind string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("kind string").parquet(folder)
+        counted = streams.counters(stream, ["kind"]).writeStream.outputMode("update").option("checkpointLocation", mark).foreachBatch(keep)
+        counted.trigger(availableNow=True).start().awaitTermination(120)
+    assert totals == {"a": 3, "b": 1, "c": 1}
+
+
+def test_an_open_circuit_expires(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", True), ("a", "2024-01-01 00:00:01", True), ("b", "2024-01-01 06:00:00", False), ("a", "2024-01-01 06:00:01", True)]
+    for i, row in enumerate(rows):
+        one = spark.createDataFrame([row], "k string, t string, failed boolean").withColumn("ts", F.col("t").cast("timestamp"))
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, t string, failed boolean, ts timestamp").parquet(str(tmp_path / "in"))
+        out = drained(streams.circuit_breaker(stream, "k", "failed", most=3), tmp_path, "breaker").orderBy("ts").collect()
+    # the two failures of the morning were forgotten by the evening
+    assert [r["failures"] for r in out] == [1, 2, 0, 1]

@@ -1,6 +1,7 @@
 """Word lists and tables of the moderation rules."""
 
-# Every list below is data that results depend on word for word.
+# Every list below is data that results depend on word for word. The rupee sign in "earn ₹" is written as
+# such throughout, as texts have it, also where a list's source holds it in a broken encoding.
 
 MARKETING_PHRASES = (
     "buy now", "limited offer", "discount", "sale today", "join now", "click link", "click here", "register now",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
 from siftwork.functions.text import clamp, label_norm, words_array
+from siftwork.operators.fusion import OBJECT_TEMPERATURE, calibrated
 
 #: Detector classes that count as another.
 REMAPPED = {"knife": "weapon", "scissors": "weapon", "gun": "weapon", "pistol": "weapon", "rifle": "weapon", "sword": "weapon"}
@@ -131,6 +132,18 @@ def promotion_scores(texts: dict[str, Column], prompts: Column, detections: Colu
     return out | {"promotion_score": F.greatest(*out.values())}
 
 
+#: How much a detected class counts towards the objects' risk.
+RISK_WEIGHTS = {"weapon": 0.90, "blood": 0.80, "fire": 0.40, "gun": 0.90, "knife": 0.70}
+
+
+def object_risk(detections: Column) -> Column:
+    """Largest weighted and calibrated confidence of the classes that count, 0 if there is none."""
+    table = F.create_map(*[F.lit(x) for pair in RISK_WEIGHTS.items() for x in pair])
+    weight = lambda d: F.coalesce(F.try_element_at(table, F.lower(d["class"])), F.lit(0.0))
+    risks = F.transform(detections, lambda d: weight(d) * calibrated(F.coalesce(d["confidence"], F.lit(0.0)), OBJECT_TEMPERATURE))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.array_max(risks), F.lit(0.0))))
+
+
 def first_of_each(items: Column) -> Column:
     """Trimmed, non-blank items without repeats in any case; the first spelling stays."""
     trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")

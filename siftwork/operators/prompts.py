@@ -59,6 +59,12 @@ def merge_fragments(fragments: Column) -> Column:
     return collapse(F.array_join(first_of_each(fragments), " "))
 
 
+def captions_of(answers: Column, most: int = 3) -> Column:
+    """The first ``most`` answers of a caption model, trimmed, without blanks and without those that repeat to the letter."""
+    trimmed = F.transform(F.slice(answers, 1, most), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(trimmed, lambda x: x != ""))
+
+
 def abuse_score(label: Column, score: Column) -> Column:
     return F.round(F.when(F.lower(label) == "abusive", score).otherwise(F.lit(1.0) - score), 4)
 

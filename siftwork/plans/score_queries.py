@@ -342,7 +342,7 @@ def _or_sql(*parts: str) -> str:
     f"{_promo_sql(lex.ADVERTISING_PROMPTS, ())} as c_ad, {_promo_sql(lex.AFFILIATE_PROMPTS, lex.ADVERTISING_PROMPTS)} as c_af, "
     f"{_promo_sql(lex.SOCIAL_MEDIA_PROMPTS, lex.ADVERTISING_PROMPTS + lex.AFFILIATE_PROMPTS)} as c_sm from both_), "
     f"f as (select image, {_or_sql('t_ad', 'c_ad', 'o')} as ad, {_or_sql('t_af', 'c_af')} as af, {_or_sql('t_sm', 'c_sm')} as sm from p) "
-    "select image, round(ad, 9) as advertising_score, round(af, 9) as affiliate_score, round(sm, 9) as social_media_score, round(greatest(ad, af, sm), 9) as promotion_score from f"
+    "select image, round(ad, 12) as advertising_score, round(af, 12) as affiliate_score, round(sm, 12) as social_media_score, round(greatest(ad, af, sm), 12) as promotion_score from f"
 )
 def promo_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promotion from texts, prompts by their label, and objects."""
@@ -351,7 +351,33 @@ def promo_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = {k: ((i * m) % 101) / 200.0 for k, m in (("advertising_score", 3), ("affiliate_score", 5), ("social_media_score", 13))}
     df = detections(spark, sf_dir).withColumn("prompts", F.map_from_entries(entries))
     found = det.promotion_scores(texts, F.col("prompts"), F.col("detections"))
-    return df.select("image", *[F.round(v, 9).alias(k) for k, v in found.items()])
+    return df.select("image", *[F.round(v, 12).alias(k) for k, v in found.items()])
+
+
+_RISKS = " ".join(f"when '{k}' then {w}::double" for k, w in det.RISK_WEIGHTS.items())
+
+
+@query(
+    f"with {DETECTIONS_SQL}, k as (select image, case lower(class) {_RISKS} else 0.0::double end as w, 1.0::double / (1.0::double + exp(-confidence / 1.4::double)) as conf from det) "
+    "select image, round(least(1.0::double, max(w * conf)), 6) as object_risk from k group by image"
+)
+def object_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).select("image", F.round(det.object_risk(F.col("detections")), 6).alias("object_risk"))
+
+
+_ANSWERS = ("a temple", "a temple ", "", "two people", "A temple")
+
+
+@query(
+    f"with a as (select page_id, list_transform(range(0, 4), lambda j: [{', '.join(quoted(a) for a in _ANSWERS)}][(page_id + j * (1 + page_id % 2)) % 5 + 1]) as s from pages), "
+    "t as (select page_id, list_filter(list_transform(s[1:3], lambda x: trim(x)), lambda x: x <> '') as s from a) "
+    "select page_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), '|') as captions from t"
+)
+def image_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captions that stay of a model's answers."""
+    i, answers = F.col("page_id"), F.array(*[F.lit(a) for a in _ANSWERS])
+    given = F.array(*[F.element_at(answers, ((i + j * (1 + i % 2)) % 5 + 1).cast("int")) for j in range(4)])
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(prompts.captions_of(given), "|").alias("captions"))
 
 
 _SIDE, _SHARP = "(image * 7) % 90", "((image * 13) % 101)::double"

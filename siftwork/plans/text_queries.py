@@ -365,6 +365,12 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"with {POSTS_SQL}, linked as (select *, {_LINKS} as links from posts) select doc_id, left(coalesce(text, ''), 2000) as preview, array_to_string(links[1:50], ' ') as first_links from linked")
+def document_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = moderation.moderate_documents(posts(spark, sf_dir))
+    return shown.select("doc_id", "preview", F.array_join("first_links", " ").alias("first_links"))
+
+
 _FLAT = {**SAFETY_SQL, **{f"p_{k}": v for k, v in PROMOTION_SQL.items()}, **VIOLENCE_SQL}
 _STRONGEST = (
     "greatest(harassment_score * 0.60::double, hate_speech_score, harassment_score, terrorism_score * 1.10::double, fraud_score, self_harm_text_score)"

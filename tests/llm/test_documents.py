@@ -417,7 +417,8 @@ def test_language_model(docs, spark, sf_dir):
 
 def test_language_model_scores_do_not_depend_on_partitions_and_gain(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lm_scoring, "TRAINER_TOKENS", 150_000)
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    df = spark.read.parquet(f"{larger if os.path.isdir(larger) else sf_dir}/documents.parquet").select("doc_id", "text")
     one, two = (
         {r["doc_id"]: r for r in rows(lm_scoring.score_texts(x, VOCABULARY, public_tokenizers.PATTERN))} for x in (df.coalesce(1), df.repartition(9, "text"))
     )
@@ -442,14 +443,17 @@ def test_every_training_text_moves_the_weights(spark):
     model = Attention(subwords)
     before = [w.copy() for w in model.weights()]
     for r in parts.collect():
-        after = lm_scoring._trainers(parts.where(F.col("at") == r["at"]), 1, model, kind, 0.01, 1, False)
+        after = lm_scoring._trainers(parts.where(F.col("at") == r["at"]), 1, model, kind, 0.01, 1, 64, 1000)
         assert any((a != b).any() for a, b in zip(before, after, strict=True))
 
 
 def _subwords(n, rng):
     counts = rng.integers(1, 50, n)
     out = describe_subwords(rng.normal(size=(n, FEATURES)), counts)
-    pairs = rng.integers(0, 3, (out.rows, CLASSES * PARTS)).astype(float)
+    # what follows is a part that has ids
+    pairs = np.zeros((out.rows, CLASSES * PARTS))
+    there = np.unique(out.of.astype(int) * PARTS + out.part)
+    pairs[:, there] = rng.integers(10, 90, (out.rows, len(there)))
     following(out, pairs, rng.integers(0, 3, (CLASSES * GROUPS, n)).astype(float))
     return out
 

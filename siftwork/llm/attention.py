@@ -7,7 +7,7 @@ import numpy as np
 #: Tokens that one window scores, and tokens before them that it also sees.
 SCORED = 16
 BEFORE = 4
-WIDTH = 16
+WIDTH = 12
 #: Coordinates that describe a subword; the model sees these and a constant.
 FEATURES = 23
 #: Subwords fall into so many classes, and each class into so many parts; the model predicts both in turn.
@@ -74,11 +74,12 @@ def _outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return whole + x[cut:].T @ y[cut:]
 
 
-def _powers(x: np.ndarray) -> np.ndarray:
-    """exp of x in place; exponents are capped, not shifted, as those of a trained model are small."""
-    if x.size and x.max() > CAP:
-        np.minimum(x, CAP, out=x)
-    return np.exp(x, out=x)
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """x within ``CAP`` of 0, in place, so that its powers neither overflow nor all vanish: they are not shifted, as those of
+    a trained model are small."""
+    if x.size and (x.max() > CAP or x.min() < -CAP):
+        np.clip(x, -CAP, CAP, out=x)
+    return x
 
 
 class Attention:
@@ -114,10 +115,10 @@ class Attention:
 
         What lies beyond the end of a sequence is seen by no token that counts.
         """
-        score = np.matmul(q, _turned(k))
+        score = _bounded(np.matmul(q, _turned(k)))
         score += np.where(self.hidden, np.float32(-1e9), np.take(self.near, self.distance))
         score[first, :, :BEFORE] = -1e9
-        _powers(score)
+        np.exp(score, out=score)
         total = np.einsum("bij->bi", score)[:, :, None]
         mean = np.matmul(score, v)
         mean /= total
@@ -128,9 +129,10 @@ class Attention:
         n, w = len(u), self.subwords
         at = np.arange(n)
         one = np.take(w.first, last, 0)
-        one += u @ self.first
-        chosen = np.minimum(np.take(one.ravel(), at * CLASSES + of), CAP)
-        total = _powers(one) @ np.ones(CLASSES, np.float32)
+        one += _bounded(u @ self.first)
+        chosen = np.take(one.ravel(), at * CLASSES + of)
+        np.exp(one, out=one)
+        total = one @ np.ones(CLASSES, np.float32)
         log_prob = chosen - np.log(total)
         # targets of one class stand together, so each class is one product
         order = np.argsort(of, kind="stable")
@@ -139,9 +141,10 @@ class Attention:
         two = np.take(w.second, np.take(last * CLASSES + of, order), 0)
         runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < b]
         for c, run in runs:
-            two[run] += u_of[run] @ self.second[c]
-        chosen = np.minimum(np.take(two.ravel(), at * PARTS + parts_of), CAP)
-        total_two = _powers(two) @ np.ones(PARTS, np.float32)
+            two[run] += _bounded(u_of[run] @ self.second[c])
+        chosen = np.take(two.ravel(), at * PARTS + parts_of)
+        np.exp(two, out=two)
+        total_two = two @ np.ones(PARTS, np.float32)
         log_prob[order] += chosen - np.log(total_two)
         if weight is None:
             return log_prob
@@ -206,14 +209,18 @@ class Attention:
             target = at + scored
             yield slice(lo, lo + at_once), np.take(rows, at + seen), np.take(of, target), np.take(part, target)
 
-    def train(self, ids: np.ndarray, lengths: np.ndarray, rate: float = LEARNING_RATE, passes: int = 1, seed: int = 1, falling: bool = True) -> float:
-        """Passes over sequences in a shuffled order of windows; returns the last loss."""
+    def train(
+        self, ids: np.ndarray, lengths: np.ndarray, rate: float = LEARNING_RATE, passes: int = 1, seed: int = 1, falling: bool = True,
+        a_step: int | None = None,
+    ) -> float:
+        """Passes over sequences in a shuffled order of windows, ``a_step`` of them in one step; returns the last loss."""
+        a_step = a_step or WINDOWS_A_STEP
         starts, sizes, first, _ = windows(lengths)
         rng, loss, done = np.random.default_rng(seed), 0.0, 0
-        total = max(1, passes * -(-len(starts) // WINDOWS_A_STEP))
+        total = max(1, passes * -(-len(starts) // a_step))
         for _ in range(passes):
             order = rng.permutation(len(starts))
-            for run, rows, of, part in self._batches(ids, starts[order], WINDOWS_A_STEP):
+            for run, rows, of, part in self._batches(ids, starts[order], a_step):
                 pick = order[run]
                 valid = (np.arange(SCORED) < sizes[pick][:, None]).astype(np.float32)
                 loss = self.step(rows, first[pick], of, part, valid, rate * (1 - 0.9 * done / total) if falling else rate)

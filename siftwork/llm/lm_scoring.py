@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.attention import (
-    CLASSES, COMMON, FEATURES, GROUPS, LEARNING_RATE, PARTS, Attention, Subwords, describe_subwords, following, neighbour_keys,
+    CLASSES, COMMON, FEATURES, GROUPS, LEARNING_RATE, PARTS, WINDOWS_A_STEP, Attention, Subwords, describe_subwords, following, neighbour_keys,
 )
 from siftwork.llm.bpe import in_chunks, ragged
-from siftwork.llm.common import checkpointed, small_batches, table, train_split, written
+from siftwork.llm.common import small_batches, table, train_split, written
 from siftwork.llm.shingles import mix, word_hashes
 
 #: Tokens of the training texts from which one trainer takes the weights that all trainers start with, about.
@@ -48,8 +48,22 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted by key
-        self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        # keys of remembered words are sorted; those learnt of late stand apart until they are many, so that learning a
+        # few words does not move all the others
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.late, self.late_number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.flat, self.starts, self.counts = Growing(np.int32), Growing(np.int64), Growing(np.int64)
+
+    def _numbers(self, distinct: np.ndarray) -> np.ndarray:
+        """Number of each sorted key, -1 where the word is not remembered."""
+        out = np.full(len(distinct), -1, np.int32)
+        for keys, number in ((self.keys, self.number), (self.late, self.late_number)):
+            if len(keys):
+                at = np.searchsorted(keys, distinct)
+                at[at == len(keys)] = 0
+                known = keys[at] == distinct
+                out[known] = number[at[known]]
+        return out
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct word hashes, the place of each word among them, words of each text, ids (start and end
@@ -57,21 +71,15 @@ class Words:
         raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes: A-Z alone
         hashes, counts = word_hashes(raw)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) + len(self.late) > REMEMBERED:
             self._forget()
-        if len(distinct):
-            at = np.searchsorted(self.keys, distinct)
-            known = np.zeros(len(distinct), bool)
-            inside = at < len(self.keys)
-            known[inside] = self.keys[at[inside]] == distinct[inside]
-            if not known.all():
-                self._learn(b" ".join(raw).split(), distinct[~known], first[~known], at[~known])
-                at = np.searchsorted(self.keys, distinct)
-            at = self.number[at][inverse]
-        else:
-            at = np.empty(0, np.int32)
-        sizes = self.counts[at].astype(np.int64)
-        ids = ragged(self.flat, self.starts[at].astype(np.int64), sizes)
+        numbers = self._numbers(distinct)
+        new = numbers < 0
+        if new.any():
+            numbers[new] = self._learn(b" ".join(raw).split(), distinct[new], first[new])
+        at = numbers[inverse]
+        sizes = np.take(self.counts.held, at)
+        ids = ragged(self.flat.held, np.take(self.starts.held, at), sizes)
         sums = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum(counts)
         lengths = sums[ends] - sums[ends - counts]
@@ -80,8 +88,8 @@ class Words:
         out[np.arange(len(ids)) + shift] = ids
         return distinct, inverse, counts, out, lengths + 2
 
-    def _learn(self, words: list[bytes], keys: np.ndarray, first: np.ndarray, at: np.ndarray) -> None:
-        """Encode the words at ``first`` and remember them under their keys."""
+    def _learn(self, words: list[bytes], keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Encode the words at ``first``, remember them under their keys, and return their numbers."""
         found = [words[i].decode("utf-8", "surrogatepass") for i in first.tolist()]
         ids = np.array(self.codec.encode_ordinary(" " + " ".join(found)), np.int32)
         begins = np.flatnonzero(self.spaced[ids])  # a blank stands before each word and nowhere else
@@ -90,11 +98,36 @@ class Words:
             ids = np.array([i for e in each for i in e], np.int32)
             begins = np.cumsum([0, *map(len, each)])[:-1]
         sizes = np.diff(np.append(begins, len(ids)))
-        number = len(self.starts) + np.arange(len(found), dtype=np.int32)
-        self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
-        self.counts = np.concatenate([self.counts, sizes.astype(np.int32)])
-        self.flat = np.concatenate([self.flat, ids])
-        self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, number)
+        number = self.starts.size + np.arange(len(found), dtype=np.int32)
+        self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
+        self.counts.add(sizes)
+        self.flat.add(ids)
+        at = np.searchsorted(self.late, keys)
+        self.late, self.late_number = np.insert(self.late, at, keys), np.insert(self.late_number, at, number)
+        if len(self.late) > 50_000 + len(self.keys) // 8:
+            at = np.searchsorted(self.keys, self.late)
+            self.keys, self.number = np.insert(self.keys, at, self.late), np.insert(self.number, at, self.late_number)
+            self.late, self.late_number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        return number
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.room, self.size = np.empty(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            room = np.empty(max(3 * len(self.room) // 2, self.size + len(values)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.size]
 
 
 _words: dict[tuple[str, str], Words] = {}
@@ -257,7 +290,7 @@ def spectral_points(texts: DataFrame, counts: np.ndarray, dtype: type) -> np.nda
     wide, context = 2 * (COMMON + 1), texts.sparkSession.sparkContext
     shared = context.broadcast((column, counts))
     keys_of = lambda ids, lengths: neighbour_keys(ids, lengths, shared.value[0])
-    near = checkpointed(
+    near = written(
         _counted(texts, keys_of, len(counts) * wide, dtype, 1_200_000).select(
             F.expr(f"cast(key div {wide} as int)").alias("id"), F.expr(f"cast(key % {wide} as int)").alias("side"), "n"
         )
@@ -295,7 +328,7 @@ def spectral_points(texts: DataFrame, counts: np.ndarray, dtype: type) -> np.nda
     return points
 
 
-def _trainers(texts: DataFrame, trainers: int, model: Attention, dtype: type, rate: float, passes: int, falling: bool) -> list[np.ndarray] | None:
+def _trainers(texts: DataFrame, trainers: int, model: Attention, dtype: type, rate: float, passes: int, a_step: int, at_once: int) -> list[np.ndarray] | None:
     """Train from the model's weights in ``trainers`` trainers and average their weights by tokens; None without texts.
 
     A text's trainer and its place there follow from a hash of its id, so the result does not depend on how the
@@ -312,7 +345,7 @@ def _trainers(texts: DataFrame, trainers: int, model: Attention, dtype: type, ra
         def some() -> None:
             nonlocal held, size, seen
             if held:
-                own.train(np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held)), rate, passes, falling=falling)
+                own.train(np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held)), rate, passes, falling=passes > 1, a_step=a_step)
                 seen, held, size = seen + size, [], 0
 
         def close() -> None:
@@ -330,7 +363,7 @@ def _trainers(texts: DataFrame, trainers: int, model: Attention, dtype: type, ra
                     own.set_weights(start)
                 held.append(np.frombuffer(blob, dtype))
                 size += len(held[-1])
-                if size >= TRAINED_AT_ONCE:
+                if size >= at_once:
                     some()
         close()
         if tokens:
@@ -366,8 +399,10 @@ def trained(texts: DataFrame, subwords: Subwords, dtype: type) -> Attention:
     model = Attention(subwords)
     tokens = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     start = F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < F.lit(1_000_000 * FIT_TOKENS / max(1, tokens))
-    for part, trainers, rate, passes in ((texts.where(start), 1, LEARNING_RATE, 2), (texts, -(-tokens // TRAINER_TOKENS), RATE, 1)):
-        weights = _trainers(part, max(1, trainers), model, dtype, rate, passes, falling=passes > 1)
+    fit = (texts.where(start), 1, LEARNING_RATE, 3, 256, 2 * FIT_TOKENS)
+    rest = (texts, max(1, -(-tokens // TRAINER_TOKENS)), RATE, 1, WINDOWS_A_STEP, TRAINED_AT_ONCE)
+    for part, trainers, *how in (fit, rest):
+        weights = _trainers(part, trainers, model, dtype, *how)
         if weights is not None:
             model.set_weights(weights)
     return model
@@ -407,9 +442,10 @@ def score_texts(
     parts = tokenised(rows.where("train"), path, pattern)
     texts = parts.where("kind = 0").select("at", "n", "ids")
     model = trained(texts, learnt_subwords(parts, words.end, _id_type(words)), _id_type(words))
-    word_counts = checkpointed(parts.where("kind = 1").groupBy(F.col("at").alias("key")).agg(F.sum("n").alias("n")))
-    n_words, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ladder = word_counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()
+    word_counts = written(parts.where("kind = 1").groupBy(F.col("at").alias("key")).agg(F.sum("n").alias("n")))
+    power_of = F.floor(F.log2("n")).cast("int").alias("power")
+    ladder = word_counts.groupBy(power_of).agg(F.count("*").alias("count"), F.sum("n").alias("n")).collect()  # a row for each power of two
+    n_words, distinct = sum(r["n"] for r in ladder), sum(r["count"] for r in ladder)
     power, held = max((r["power"] for r in ladder), default=0), 0
     for r in sorted(ladder, key=lambda r: -r["power"]):
         if held + r["count"] > SHARED_WORDS:
@@ -456,7 +492,7 @@ def score_texts(
     scored = rows.mapInArrow(
         score, f"id {id_type}, train boolean, n_tokens long, n_hit long, base double, score double, rare array<long>"
     )
-    scored = checkpointed(scored.withColumn("place", F.monotonically_increasing_id()))
+    scored = written(scored.withColumn("place", F.monotonically_increasing_id()))
     ends = word_counts.where(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rare = scored.select("place", F.explode("rare").alias("word")).groupBy("place", "word").agg(F.count("*").alias("times"))
     looked_up = (

@@ -77,7 +77,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 
     A slot depends on those before it, so one task folds over the slots of all blocks and keeps the next block of
     each source after every ``PIECE`` slots; the pieces are then folded out beside one another. The first fold
-    takes some microseconds a block for twenty sources: beyond 10^8 blocks take more rows a block.
+    takes about 0.2 ms a block for twenty sources: take rows a block so that there are about 10^6 blocks.
     """
     tiers = plan.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("source_key", "n_blocks", "units"))).alias("src"))
     # two rows at most, with one entry for each source

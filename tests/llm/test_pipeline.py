@@ -16,7 +16,7 @@ from siftwork.llm.common import written
 def test_run(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
     clear = [(i, t) for i, t in docs.items() if t and any(c.isalpha() for c in t)]
-    kept = {i for i, (_, c) in brute_components(clear).items() if i == c}
+    kept = {i for i, (_, c, _) in brute_components(clear).items() if i == c}
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -47,6 +47,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[1].startswith("siftwork-"):
+            raise ValueError(f"{folder} was not written by this library")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def train_split(doc_id: Column, folds: int) -> Column:
     """True where the row may be learnt from: crc32 of the decimal id modulo ``folds`` is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0

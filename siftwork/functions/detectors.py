@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
-from siftwork.functions.text import capped_score, clamp, has_any, normalise, phrase_count, tokens, words_array
+from siftwork.functions.text import Searched, capped_score, clamp, has_any, normalise, phrase_count, text_of, tokens, words_array
 
 # The patterns below decide what counts as a match.
 EMAIL = r"(?i)(^|[^\p{L}\p{N}_])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}($|[^\p{L}\p{N}_])"
@@ -105,9 +105,9 @@ def pii_score(flags: dict[str, Column]) -> Column:
     return clamp(total)
 
 
-def promo_scores(text: Column) -> dict[str, Column]:
+def promo_scores(text: Column | Searched) -> dict[str, Column]:
     """Advertising, affiliate and social media scores of a normalised text."""
-    urls, tags = F.regexp_count(text, F.lit(PROMO_URL)), F.regexp_count(text, F.lit(HASHTAG))
+    urls, tags = F.regexp_count(text_of(text), F.lit(PROMO_URL)), F.regexp_count(text_of(text), F.lit(HASHTAG))
     advertising = capped_score(phrase_count(text, lex.ADVERTISING_PHRASES))
     social = capped_score(phrase_count(text, lex.SOCIAL_MEDIA_PHRASES))
     return {
@@ -119,22 +119,22 @@ def promo_scores(text: Column) -> dict[str, Column]:
     }
 
 
-def contact_signals(raw: Column, text: Column) -> dict[str, Column]:
+def contact_signals(raw: Column, text: Column | Searched) -> dict[str, Column]:
     """Phones and handles of the raw text; links, marketing words and courses of the normalised one."""
     phones, handles = F.regexp_count(raw, F.lit(PROMO_PHONE)), F.regexp_count(raw, F.lit(HANDLE))
-    words = F.array_distinct(tokens(text))
+    words = F.array_distinct(tokens(text_of(text)))
     return {
         "phone_number_score": F.least(phones * 0.40, F.lit(0.80)),
         "social_handle_score": F.least(handles * 0.30, F.lit(0.75)),
-        "url_score": F.least(F.regexp_count(text, F.lit(PROMO_URL)) * 0.35, F.lit(0.80)),
+        "url_score": F.least(F.regexp_count(text_of(text), F.lit(PROMO_URL)) * 0.35, F.lit(0.80)),
         "marketing_words": F.size(F.array_intersect(words, words_array(lex.MARKETING_WORDS))).cast("double"),
         "course_score": capped_score(phrase_count(text, lex.COURSE_PROMOTION_PHRASES)),
     }
 
 
-def quality_score(text: Column) -> Column:
+def quality_score(text: Column | Searched) -> Column:
     """Spam, scam, promotion and fake history in a normalised text."""
-    urls = F.regexp_count(text, F.lit(QUALITY_URL))
+    urls = F.regexp_count(text_of(text), F.lit(QUALITY_URL))
     total = F.when(urls >= 3, 0.4).when(urls >= 1, 0.2).otherwise(0.0)
     for phrases, weight in (
         (lex.SPAM_PHRASES, 0.2),
@@ -144,7 +144,7 @@ def quality_score(text: Column) -> Column:
     ):
         n = phrase_count(text, phrases)
         total = total + F.when(n > 0, F.least(n * weight, F.lit(weight + 0.15))).otherwise(0.0)
-    hashes = F.length(text) - F.length(F.replace(text, F.lit("#"), F.lit("")))
+    hashes = F.length(text_of(text)) - F.length(F.replace(text_of(text), F.lit("#"), F.lit("")))
     return clamp(total + F.when(hashes >= 8, 0.2).otherwise(0.0))
 
 
@@ -167,9 +167,9 @@ def detected_language(text: Column, told: Column | None = None) -> Column:
     return F.when(short, "en").otherwise(by_script)
 
 
-def blocked(text: Column) -> Column:
+def blocked(text: Column | Searched) -> Column:
     """True if a normalised text must be refused outright: a phrase, a word, or a violent word near a community."""
-    words = tokens(text)
+    words = tokens(text_of(text))
     return (
         has_any(text, lex.BLOCKED_PHRASES)
         | F.arrays_overlap(words, words_array(lex.BLOCKED_WORDS))
@@ -189,7 +189,7 @@ def links(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), F.lit(0))))
 
 
-def link_scores(text: Column, found: Column) -> dict[str, Column]:
+def link_scores(text: Column | Searched, found: Column) -> dict[str, Column]:
     """Phishing and malware scores of a normalised text and its links."""
     suffix = "(" + "|".join(s.replace(".", r"\.") for s in lex.EXECUTABLE_SUFFIXES) + ")$"
     runs = F.exists(found, lambda u: F.lower(F.split_part(u, F.lit("?"), F.lit(1))).rlike(suffix))
@@ -212,7 +212,7 @@ def code_class(decoded: Column) -> dict[str, Column]:
     }
 
 
-def document_scores(text: Column, n_images: Column, n_codes: Column) -> dict[str, Column]:
+def document_scores(text: Column | Searched, n_images: Column, n_codes: Column) -> dict[str, Column]:
     """Lexical scores of an extracted document's normalised text."""
     def hit(terms: tuple[str, ...], score: float) -> Column:
         return F.when(has_any(text, terms), score).otherwise(0.0)

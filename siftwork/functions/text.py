@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,18 +48,42 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
+@dataclass(frozen=True)
+class Searched:
+    """A text column beside the column of those of the known phrases that occur in it; it stands for the text where phrases are counted."""
+
+    text: Column
+    found: Column
+    known: frozenset[str]
+
+    def among(self, phrases: Iterable[str]) -> Column:
+        """Those of the phrases that occur."""
+        wanted = tuple(dict.fromkeys(phrases))
+        if unknown := [p for p in wanted if p not in self.known]:
+            raise ValueError(f"phrases that the text was not searched for: {unknown[:3]}")
+        return F.filter(self.found, lambda p: p.isin(*wanted))
+
+
+def text_of(text: Column | Searched) -> Column:
+    return text.text if isinstance(text, Searched) else text
+
+
+def phrases_in(text: Column | Searched, phrases: Sequence[str]) -> Column:
     """The phrases that occur in the text as substrings, each once."""
+    if isinstance(text, Searched):
+        return text.among(phrases)
     words = words_array(tuple(dict.fromkeys(phrases)))
     return once(text, lambda t: F.filter(words, lambda p: F.contains(t, p)))
 
 
-def phrase_count(text: Column, phrases: Sequence[str]) -> Column:
+def phrase_count(text: Column | Searched, phrases: Sequence[str]) -> Column:
     """How many of the phrases occur in the text, each counted once, as substrings."""
     return F.size(phrases_in(text, phrases))
 
 
-def has_any(text: Column, phrases: Sequence[str]) -> Column:
+def has_any(text: Column | Searched, phrases: Sequence[str]) -> Column:
+    if isinstance(text, Searched):
+        return F.size(text.among(phrases)) > 0
     words = words_array(tuple(dict.fromkeys(phrases)))
     return once(text, lambda t: F.exists(words, lambda p: F.contains(t, p)))
 
@@ -73,7 +98,7 @@ def capped_score(count: Column) -> Column:
     return F.when(count == 0, 0.0).otherwise(clamp(F.lit(0.35) + F.least(count - 1, F.lit(3)) * 0.15))
 
 
-def grouped_score(text: Column, rules: Sequence[tuple[float, Sequence[str]]]) -> Column:
+def grouped_score(text: Column | Searched, rules: Sequence[tuple[float, Sequence[str]]]) -> Column:
     """Sum over rules of weight plus 0.1 for each phrase after the first, 0.3 more at most."""
     total: Column | None = None
     for weight, phrases in rules:

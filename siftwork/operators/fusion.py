@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
-from siftwork.functions.text import clamp, grouped_score, has_any, linear_score, phrase_count, step_score
+from siftwork.functions.text import Searched, clamp, grouped_score, has_any, linear_score, phrase_count, step_score
 
 #: Weights of the ensembles.
 PRE_WEIGHTS = (0.30, 0.25, 0.18, 0.12, 0.10, 0.05)
@@ -102,12 +102,12 @@ def uncertainty(signals: list[Column], caption_similarity: Column, decision: Col
     )
 
 
-def safety_text_scores(text: Column) -> dict[str, Column]:
+def safety_text_scores(text: Column | Searched) -> dict[str, Column]:
     """The eight rule scores of a normalised text."""
     return {key: grouped_score(text, rules) for key, rules in lex.SAFETY_RULES.items()}
 
 
-def promotion_text_scores(text: Column) -> dict[str, Column]:
+def promotion_text_scores(text: Column | Searched) -> dict[str, Column]:
     marketing = phrase_count(text, lex.MARKETING_PHRASES).cast("double")
     course = linear_score(phrase_count(text, lex.COURSE_PHRASES), 0.55)
     return {
@@ -119,14 +119,14 @@ def promotion_text_scores(text: Column) -> dict[str, Column]:
     }
 
 
-def violence_text_scores(text: Column) -> dict[str, Column]:
+def violence_text_scores(text: Column | Searched) -> dict[str, Column]:
     return {
         "animal_cruelty_text_score": linear_score(phrase_count(text, lex.ANIMAL_CRUELTY_PHRASES), 0.55),
         "human_killing_text_score": linear_score(phrase_count(text, lex.HUMAN_KILLING_PHRASES), 0.50),
     }
 
 
-def heritage_text_score(text: Column) -> Column:
+def heritage_text_score(text: Column | Searched) -> Column:
     return step_score(phrase_count(text, lex.HERITAGE_KEYWORDS))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import detectors
+from siftwork.functions.phrases import searched, whole_lexicon
 from siftwork.functions.text import joined, normalise
 from siftwork.operators import decision, frames, fusion
 from siftwork.operators import detections as det
@@ -24,11 +25,12 @@ def text_scores(posts: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("verdict") if "verdict" in posts.columns else F.lit(None).cast("string"),
         F.col("confidence") if "confidence" in posts.columns else F.lit(None).cast("double"),
     )
-    # each source in a projection of its own, so no phrase list is searched twice
-    df = df.withColumns({f"rule_{k}": v for k, v in fusion.safety_text_scores(F.col("norm")).items()})
-    df = df.withColumns({f"promo_{k}": v for k, v in fusion.promotion_text_scores(F.col("norm")).items()})
-    df = df.withColumns({f"harm_{k}": v for k, v in fusion.violence_text_scores(F.col("norm")).items()})
-    df = df.withColumn("heritage_found", fusion.heritage_text_score(F.col("norm")))
+    # the text is searched once for all phrases; each source has a projection of its own
+    df, norm = searched(df, "norm", whole_lexicon())
+    df = df.withColumns({f"rule_{k}": v for k, v in fusion.safety_text_scores(norm).items()})
+    df = df.withColumns({f"promo_{k}": v for k, v in fusion.promotion_text_scores(norm).items()})
+    df = df.withColumns({f"harm_{k}": v for k, v in fusion.violence_text_scores(norm).items()})
+    df = df.withColumn("heritage_found", fusion.heritage_text_score(norm))
     rules = {c[5:]: F.col(c) for c in df.columns if c.startswith("rule_")}
     promotion = {c[6:]: F.col(c) for c in df.columns if c.startswith("promo_")}
     violence = {c[5:]: F.col(c) for c in df.columns if c.startswith("harm_")}
@@ -37,8 +39,8 @@ def text_scores(posts: DataFrame, text_col: str = "text") -> DataFrame:
     )
     empty = F.col("norm") == ""
     scored = df.withColumns({k: F.when(empty, 0.0).otherwise(v) for k, v in scores.items()})
-    scored = scored.withColumn("pipeline_error", empty).withColumn("blocked", detectors.blocked(F.col("norm")))
-    drop = [c for c in scored.columns if c.split("_")[0] in ("rule", "promo", "harm")] + ["heritage_found"]
+    scored = scored.withColumn("pipeline_error", empty).withColumn("blocked", detectors.blocked(norm))
+    drop = [c for c in scored.columns if c.split("_")[0] in ("rule", "promo", "harm")] + ["heritage_found", "found"]
     return scored.drop(*drop)
 
 
@@ -59,7 +61,8 @@ def moderate_documents(docs: DataFrame, text_col: str = "text", images_col: str
     text = normalise(F.col(text_col))
     found = docs.withColumn("links", detectors.links(F.coalesce(F.col(text_col), F.lit("")))).withColumn("norm", text)
     images = F.col(images_col) if images_col else F.lit(0)
-    scores = detectors.link_scores(F.col("norm"), F.col("links")) | detectors.document_scores(F.col("norm"), images, F.lit(0))
+    found, norm = searched(found, "norm", whole_lexicon())
+    scores = detectors.link_scores(norm, F.col("links")) | detectors.document_scores(norm, images, F.lit(0))
     scored = found.withColumns(scores).withColumn("pii_score", detectors.pii_score(detectors.pii_flags(F.col("norm"))))
     keys = [*scores, "pii_score"]
     more = tuple(
@@ -69,7 +72,7 @@ def moderate_documents(docs: DataFrame, text_col: str = "text", images_col: str
             "financial_information_score", "identity_document_score", "barcode_score",
         )
     )
-    reported = decision.report(scored, keys, F.col("norm") == "", more)
+    reported = decision.report(scored, keys, F.col("norm") == "", more).drop("found")
     return reported.withColumns(
         {"preview": F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, PREVIEW), "first_links": F.slice("links", 1, SHOWN_LINKS)}
     )
@@ -83,20 +86,21 @@ def moderate_images(images: DataFrame) -> DataFrame:
     """
     text = joined(F.col("ocr_text"), F.col("caption"))
     df = images.withColumn("norm", normalise(text)).withColumn("seen", det.remapped(F.col("detections")))
+    df, norm = searched(df, "norm", whole_lexicon())
     harm = det.safety_scores(F.col("seen"), F.col("prompts")) | det.child_scores(F.col("seen"), F.col("prompts"))
     df = df.withColumns(harm)
     df = df.withColumns(fusion.protected({k: F.col(k) for k in harm}, F.col("heritage_score"), text))
-    df = df.withColumns({f"read_{k}": v for k, v in detectors.promo_scores(F.col("norm")).items()})
+    df = df.withColumns({f"read_{k}": v for k, v in detectors.promo_scores(norm).items()})
     read = {k: F.col(f"read_{k}") for k in ("advertising_score", "affiliate_score", "social_media_score")}
     promo = det.promotion_scores(read, F.col("prompts"), F.col("seen"))
     with_codes = normalise(joined(F.col("ocr_text"), F.col("caption"), F.col("code_text")))
     contact = detectors.contact_signals(text, with_codes)
     contact |= {"marketing_keyword_count": contact.pop("marketing_words"), "course_promotion_score": contact.pop("course_score")}
-    df = df.withColumns(promo | contact | fusion.safety_text_scores(F.col("norm")))
+    df = df.withColumns(promo | contact | fusion.safety_text_scores(norm))
     df = df.withColumns(
         {
             "pii_score": detectors.pii_score(detectors.pii_flags(F.col("norm"))),
-            "content_quality_score": detectors.quality_score(F.col("norm")),
+            "content_quality_score": detectors.quality_score(norm),
             "qr_code_score": detectors.code_class(F.col("code_text"))["qr_code_score"],
             "nsfw_score": F.col("adult_score"),
         }
@@ -112,7 +116,7 @@ def moderate_images(images: DataFrame) -> DataFrame:
     )
     keys = [c for c in df.columns if c.endswith("_score") and not c.startswith("read_")]
     reported = decision.report(df, keys).withColumnRenamed("decision", "report_decision")
-    return decision.decide_cascade(reported).drop("norm", "seen", *[c for c in df.columns if c.startswith("read_")])
+    return decision.decide_cascade(reported).drop("norm", "seen", "found", *[c for c in df.columns if c.startswith("read_")])
 
 
 def moderate_videos(shots: DataFrame, transcripts: DataFrame, key: str = "video") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import detectors, text
 from siftwork.functions import lexicons as lex
+from siftwork.functions.phrases import searched, whole_lexicon
 from siftwork.operators import fusion
 from siftwork.plans import moderation
 from siftwork.plans.views import NORM_SQL, POSTS_SQL, SPACE_SQL, listed, norm_sql, posts, quoted, table
@@ -29,6 +30,10 @@ def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).withColumn("t", text.normalise(F.col("text")))
 
 
+def searched_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, text.Searched]:
+    return searched(normed(spark, sf_dir), "t", whole_lexicon())
+
+
 # The same formulas in SQL.
 def count_sql(words, t: str = "t") -> str:
     return f"len(list_filter({listed(words)}, lambda p: contains({t}, p)))"
@@ -89,8 +94,8 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {NORM_SQL} select doc_id, {count_sql(lex.MARKETING_PHRASES)} as marketing, {count_sql(lex.HERITAGE_KEYWORDS)} as heritage, {count_sql(lex.BLOCKED_PHRASES)} as blocked from normed")
 def text_phrase_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("t")
-    return normed(spark, sf_dir).select(
+    df, t = searched_posts(spark, sf_dir)
+    return df.select(
         "doc_id",
         text.phrase_count(t, lex.MARKETING_PHRASES).alias("marketing"),
         text.phrase_count(t, lex.HERITAGE_KEYWORDS).alias("heritage"),
@@ -104,22 +109,26 @@ def _scores(df: DataFrame, found: dict) -> DataFrame:
 
 @query(f"with {NORM_SQL} select doc_id, {as_columns(SAFETY_SQL)} from normed")
 def text_safety_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(normed(spark, sf_dir), fusion.safety_text_scores(F.col("t")))
+    df, t = searched_posts(spark, sf_dir)
+    return _scores(df, fusion.safety_text_scores(t))
 
 
 @query(f"with {NORM_SQL} select doc_id, {as_columns(PROMOTION_SQL)} from normed")
 def text_promotion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(normed(spark, sf_dir), fusion.promotion_text_scores(F.col("t")))
+    df, t = searched_posts(spark, sf_dir)
+    return _scores(df, fusion.promotion_text_scores(t))
 
 
 @query(f"with {NORM_SQL} select doc_id, {as_columns(VIOLENCE_SQL)} from normed")
 def text_violence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(normed(spark, sf_dir), fusion.violence_text_scores(F.col("t")))
+    df, t = searched_posts(spark, sf_dir)
+    return _scores(df, fusion.violence_text_scores(t))
 
 
 @query(f"with {NORM_SQL} select doc_id, {HERITAGE_SQL} as heritage_score from normed")
 def text_heritage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(normed(spark, sf_dir), {"heritage_score": fusion.heritage_text_score(F.col("t"))})
+    df, t = searched_posts(spark, sf_dir)
+    return _scores(df, {"heritage_score": fusion.heritage_text_score(t)})
 
 
 # written out here, not taken from the detectors: RE2 has word ends of its own
@@ -134,7 +143,8 @@ _URLS, _TAGS = hits_sql(detectors.PROMO_URL), hits_sql(detectors.HASHTAG)
     f"greatest({capped_sql(lex.SOCIAL_MEDIA_PHRASES)}, case when {_TAGS} >= 6 then 0.35::double else 0 end) as social_media_score from normed"
 )
 def promo_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(normed(spark, sf_dir), detectors.promo_scores(F.col("t")))
+    df, t = searched_posts(spark, sf_dir)
+    return _scores(df, detectors.promo_scores(t))
 
 
 @query(
@@ -162,13 +172,13 @@ _NEAR_SQL = (
 )
 def hard_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a post is refused outright; of several phrases the first by name is given."""
-    found = normed(spark, sf_dir).withColumn("words", text.tokens(F.col("t")))
+    df, t = searched_posts(spark, sf_dir)
     words = F.col("words")
-    return found.select(
+    return df.withColumn("words", text.tokens(F.col("t"))).select(
         "doc_id",
         F.arrays_overlap(words, text.words_array(lex.BLOCKED_WORDS)).alias("by_word"),
         detectors.near(words, lex.VIOLENCE_WORDS, lex.COMMUNITY_WORDS, 4).alias("by_proximity"),
-        F.array_min(text.phrases_in(F.col("t"), lex.BLOCKED_PHRASES)).alias("reason"),
+        F.array_min(text.phrases_in(t, lex.BLOCKED_PHRASES)).alias("reason"),
     ).select("doc_id", F.col("reason").isNotNull().alias("by_phrase"), "by_word", "by_proximity", "reason")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.operators.decision import CASCADE_KEYS
 
@@ -24,11 +25,19 @@ def longest_run(frames: DataFrame, key: str, order: str, flag: Column) -> DataFr
     return runs.groupBy(key).agg(F.max(F.when(F.col("__on"), F.col("__n")).otherwise(0)).alias("longest_run"))
 
 
+def score_columns(frames: DataFrame, key: str, order: str) -> list[str]:
+    """The columns of numbers beside the key and the order: whatever a frame was scored for."""
+    return [f.name for f in frames.schema if f.name not in (key, order) and isinstance(f.dataType, T.NumericType)]
+
+
 def summarise(frames: DataFrame, key: str = "video", order: str = "frame") -> DataFrame:
-    """One row a video: maxima, frames, unsafe frames and share, longest unsafe run."""
+    """One row a video: the maximum of every score of its frames (0 at least; null and what is no number count as 0), frames,
+    unsafe frames and share, longest unsafe run."""
+    scores = score_columns(frames, key, order)
+    frames = frames.withColumns({k: F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.col(k).cast("double"), F.lit(0.0)), F.lit(0.0))) for k in scores})
     unsafe = frame_risk() >= UNSAFE
     totals = frames.groupBy(key).agg(
-        *[F.max(k).alias(k) for k in RISKS],
+        *[F.max(k).alias(k) for k in scores],
         F.count("*").alias("n_frames"),
         F.sum(unsafe.cast("long")).alias("n_unsafe"),
     )
@@ -41,7 +50,7 @@ def summarise(frames: DataFrame, key: str = "video", order: str = "frame") -> Da
 
 
 def merge_transcript(videos: DataFrame, transcripts: DataFrame, key: str = "video") -> DataFrame:
-    """The larger of frame and transcript score for every score that the cascade reads, 0 where neither has it.
+    """The larger of frame and transcript score for every score that the cascade reads or either side has, 0 where neither has it.
 
     The explicit score is the adult one, the unsafe share and run are those of the frames, and the ensemble is
     1.5 times the unsafe share at least.

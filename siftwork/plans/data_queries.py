@@ -67,8 +67,7 @@ def hash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     flips = F.expr("shiftleft(1L, cast(item % 8 as int)) - 1L")
     asked = items.select("item", similarity.hash_bits(F.col("h")).bitwiseXOR(flips).alias("q_bits"))
     known = cache.select("cached_id", similarity.hash_bits(F.col("c_h")).alias("c_bits_all"))
-    pairs = similarity.hamming_join(asked, known, "q_bits", "c_bits_all")
-    return similarity.first_match(pairs, "item", ["cached_id"]).select("item", "cached_id", "distance")
+    return similarity.first_within(asked, known, "item", "q_bits", "cached_id", "c_bits_all")
 
 
 @query(
@@ -106,6 +105,8 @@ _RUNS = (
     f"{FRAMES_SQL}, flagged as (select *, {_RISK} >= 0.55 as unsafe from frames), islands as (select video, unsafe, row_number() over (partition by video order by frame) - row_number() over (partition by video, unsafe order by frame) as isl from flagged), "
     "runs as (select video, unsafe, isl, count(*) as n from islands group by all), longest as (select video, max(case when unsafe then n else 0 end) as longest_run from runs group by video), "
     "totals as (select video, max(adult_score) as adult_score, max(violence_self_harm_score) as violence_self_harm_score, max(weapon_score) as weapon_score, max(blood_score) as blood_score, max(child_safety_score) as child_safety_score, "
+    "max(qr_code_score) as qr_code_score, max(promotion_score) as promotion_score, max(heritage_score) as heritage_score, max(hate_speech_score) as hate_speech_score, "
+    "max(marketing_keyword_count) as marketing_keyword_count, max(pii_score) as pii_score, "
     "count(*) as n_frames, sum(unsafe::int)::bigint as n_unsafe from flagged group by video), videos as (select *, n_unsafe::double / n_frames::double as unsafe_ratio from totals join longest using (video))"
 )
 
@@ -118,7 +119,10 @@ def video_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # what is said in every third video: scores that frames have too, and some that they lack
 SAID = {"adult_score": 7, "ensemble_risk_score": 11, "hate_speech_score": 13, "terrorism_score": 17, "fraud_score": 19, "promotion_score": 23}
 _SAID = ", ".join(f"((video * {m}) % 101)::double / 100.0::double as s_{k}" for k, m in SAID.items())
-_FRAME_KEYS = ("adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score")
+_FRAME_KEYS = (
+    "adult_score", "violence_self_harm_score", "weapon_score", "blood_score", "child_safety_score",
+    "qr_code_score", "promotion_score", "heritage_score", "hate_speech_score", "marketing_keyword_count", "pii_score",
+)
 
 
 def _larger_sql(k: str) -> str:

@@ -122,7 +122,8 @@ DETECTIONS_SQL = (
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frames of videos: video, frame, five scores."""
+    """Events as frames of videos: video, frame, five risks, and what is seen now and then: a code, a promotion, a
+    monument, hate, marketing words."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
@@ -136,9 +137,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (score(41, 7) * 0.6).alias("weapon_score"),
         (score(53, 5) * 0.6).alias("blood_score"),
         (score(61, 2) * 0.6).alias("child_safety_score"),
+        *[F.when(F.col("event_id") % every == 0, score(a, b)).otherwise(0.0).alias(k) for k, every, a, b in SEEN],
     )
 
 
+#: Scores that few frames have: name, one frame in so many, and the factors of its value.
+SEEN = (
+    ("qr_code_score", 37, 19, 60), ("promotion_score", 23, 31, 9), ("heritage_score", 29, 43, 11), ("hate_speech_score", 211, 47, 1),
+    ("marketing_keyword_count", 31, 3, 5), ("pii_score", 53, 13, 21),
+)
 FRAMES_SQL = (
     "frames as (select user_id as video, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, "
     + ", ".join(
@@ -148,5 +155,6 @@ FRAMES_SQL = (
             ("child_safety_score", 61, 2),
         )
     )
+    + "".join(f", case when event_id % {every} = 0 then ((event_id * {a} + {b}) % 101)::double / 100.0::double else 0.0::double end as {k}" for k, every, a, b in SEEN)
     + " from events)"
 )

@@ -100,7 +100,7 @@ def test_personal_data(spark, value, kind, expected):
         ("1345 6789 0123 2", False),
     ],
 )
-def test_aadhaar_beside_other_numbers(spark, value, expected):
+def test_aadhaar_in_a_row_of_numbers(spark, value, expected):
     assert one(spark, lambda c: detectors.pii_flags(c)["aadhaar"], value) is expected
 
 

@@ -117,24 +117,6 @@ def test_a_document_shows_its_first_text_and_links(spark):
     assert row[0]["preview"] == text[:2000] and len(row[0]["first_links"]) == 50 and row[1]["preview"] == ""
 
 
-def test_best_match_of_the_whole_cache(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    cache = unit(rng.normal(size=(700, 12)))
-    cache[300:320] = cache[5]
-    asked = unit(np.concatenate([cache[:150] + rng.normal(scale=0.05, size=(150, 12)), rng.normal(size=(50, 12))]))
-    near = np.round(asked @ cache.T, 12)
-    want = {i: int(near[i].argmax()) for i in range(len(asked)) if near[i].max() >= 0.93}
-    frame = lambda rows, k, v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)] + [(9999, None)], f"{k} long, {v} array<double>")
-    for rows, cell in ((4096, 512), (60, 20)):
-        monkeypatch.setattr(similarity, "GROUP_ROWS", rows)
-        monkeypatch.setattr(similarity, "CELL", cell)
-        found = similarity.best_match(frame(asked, "item", "q"), frame(cache, "key", "v"), "item", "q", "key", "v").collect()
-        assert {r["item"]: r["key"] for r in found} == want
-    nothing = similarity.best_match(frame(asked, "item", "q"), frame(cache, "key", "v").where("key < 0"), "item", "q", "key", "v")
-    assert nothing.count() == 0 and nothing.columns == ["item", "key", "similarity"]
-
-
 @pytest.mark.parametrize("n, share, most", [(1000, 0.1, 100), (1000, 0.95, 100), (50, 0.1, 100), (300, 0.0, 100)])
 def test_trim_oldest(spark, monkeypatch, n, share, most):
     keys = np.random.default_rng(4).permutation(n * 3)[:n].tolist()

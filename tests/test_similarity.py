@@ -128,4 +128,4 @@ def test_a_code_in_one_frame_reaches_the_decision(spark):
     said = spark.sql("select 1L as video, 0.2D as hate_speech_score")
     calm = {r["video"]: r for r in moderation.moderate_videos(shots.withColumn("marketing_keyword_count", F.lit(0)), said).collect()}
     assert calm[0]["qr_code_score"] == 0.95 and calm[1]["hate_speech_score"] == 0.2
-    assert calm[0]["decision"] != "APPROVED" and calm[1]["decision"] == "APPROVED"
+    assert calm[0]["decision"] == "REJECTED" and calm[0]["code"] != calm[1]["code"], (calm[0]["rule"], calm[1]["rule"], calm[1]["reason"])

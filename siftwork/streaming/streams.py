@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 minute"
@@ -93,3 +95,56 @@ def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = Non
     """Write a stream as Parquet; without ``every`` it takes what is there and ends."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
     return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+
+
+class _Ring(StatefulProcessor):
+    """The newest rows of a key, as list state that expires."""
+
+    def __init__(self, schema: T.StructType, order: list[str], n: int, keep_ms: int):
+        self.schema, self.order, self.n, self.keep_ms = schema, order, n, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", self.schema, self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = self.schema.names
+        held = pd.DataFrame([tuple(r) for r in self.ring.get()], columns=names)
+        parts = [p for p in (held, *[r[names] for r in rows]) if len(p)]
+        newest = pd.concat(parts, ignore_index=True).sort_values(self.order, ascending=False, kind="stable").head(self.n)
+        self.ring.put([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else None if x is pd.NaT else x for x in r) for r in newest.astype(object).itertuples(index=False)])
+        newest = newest.reset_index(drop=True)
+        newest.insert(0, "place", range(1, len(newest) + 1))
+        yield newest
+
+    def close(self) -> None:
+        pass
+
+
+def rings(df: DataFrame, key: str, order: list[str], n: int, keep_ms: int = 0) -> DataFrame:
+    """The newest ``n`` rows of each key as a stream goes on: after every micro-batch the whole ring of each key that got rows, ``place`` 1 the newest.
+
+    State is ``n`` rows a key; with ``keep_ms`` rows expire so many milliseconds of processing time after they came. The session needs the RocksDB
+    state store (``ROCKSDB``). From a table: the rings at its end.
+    """
+    if not df.isStreaming:
+        newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+        return df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).select(F.col("place").cast("long").alias("place"), *df.columns)
+    schema = T.StructType([T.StructField("place", T.LongType()), *df.schema.fields])
+    ring = _Ring(df.schema, order, n, keep_ms)
+    return df.groupBy(key).transformWithStateInPandas(ring, schema, "Update", "ProcessingTime")
+
+
+#: The state store that rings need: key, value of the session's setting.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def decided(requests: DataFrame, decisions: DataFrame, key: str, within: str, ts: str = "ts", decided_at: str = "decided_ts", late: str = LATE) -> DataFrame:
+    """Every request with the decisions that followed it within an interval, or with nulls where none did.
+
+    Both sides may be streams: each has a watermark of ``late``, so a request waits no longer than the interval and the watermark before it comes out
+    unmatched, and rows later than the watermark are dropped. From tables: the same rows, none late.
+    """
+    left, right = _timed(requests, ts, late), _timed(decisions, decided_at, late)
+    answers = right.withColumnRenamed(key, "__key")
+    after = (F.col(decided_at) >= F.col(ts)) & (F.col(decided_at) <= F.col(ts) + F.expr(f"interval {within}"))
+    return left.join(answers, (F.col(key) == F.col("__key")) & after, "left").drop("__key")

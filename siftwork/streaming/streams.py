@@ -104,7 +104,7 @@ class _Ring(StatefulProcessor):
         self.schema, self.order, self.n, self.keep_ms = schema, order, n, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", self.schema, self.keep_ms)
+        self.ring = handle.getListState("ring", self.schema, self.keep_ms or None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = self.schema.names
@@ -123,7 +123,8 @@ class _Ring(StatefulProcessor):
 def rings(df: DataFrame, key: str, order: list[str], n: int, keep_ms: int = 0) -> DataFrame:
     """The newest ``n`` rows of each key as a stream goes on: after every micro-batch the whole ring of each key that got rows, ``place`` 1 the newest.
 
-    State is ``n`` rows a key; with ``keep_ms`` rows expire so many milliseconds of processing time after they came. The session needs the RocksDB
+    State is ``n`` rows a key; with ``keep_ms`` rows expire so many milliseconds of processing time after they came (such a stream has batches without
+    data too, so it runs until it is stopped). The session needs the RocksDB
     state store (``ROCKSDB``). From a table: the rings at its end.
     """
     if not df.isStreaming:
@@ -131,7 +132,7 @@ def rings(df: DataFrame, key: str, order: list[str], n: int, keep_ms: int = 0) -
         return df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).select(F.col("place").cast("long").alias("place"), *df.columns)
     schema = T.StructType([T.StructField("place", T.LongType()), *df.schema.fields])
     ring = _Ring(df.schema, order, n, keep_ms)
-    return df.groupBy(key).transformWithStateInPandas(ring, schema, "Update", "ProcessingTime")
+    return df.groupBy(key).transformWithStateInPandas(ring, schema, "Update", "ProcessingTime" if keep_ms else "None")
 
 
 #: The state store that rings need: key, value of the session's setting.

@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def light_batches(spark: SparkSession, size: int = 16 * 2**20) -> None:
+    """Let the session's Arrow batches hold fewer bytes too, for rows that travel to Python whole and back. A setting of the session's own stays."""
+    small_batches(spark)
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 * 2**20
+    if spark.conf.get(key).rstrip("b") == str(usual):
+        spark.conf.set(key, str(size))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import in_chunks
-from siftwork.llm.common import small_batches, table, train_split
+from siftwork.llm.common import light_batches, table, train_split
 
 #: Contexts reach back so many bytes.
 ORDER = 3
@@ -238,24 +239,26 @@ def identify_rows(
 
     ``letter`` tells whether the text holds one: where nothing could be learnt, such a text is ``und`` too.
     """
-    small_batches(docs.sparkSession)
+    light_batches(docs.sparkSession)
     trees = fit(docs, id_col, text_col, lang_col, folds, fit_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    names = list(columns or docs.columns)
+    inside = text_col in names  # a text travels once
     source = docs.select(
-        F.col(text_col).alias("__text"),
+        *([] if inside else [F.col(text_col).alias("__text")]),
         F.coalesce(~train_split(F.col(id_col), folds), F.lit(True)).alias("held_out"),
-        F.struct(*[F.col(c) for c in columns or docs.columns]).alias("row"),
+        F.struct(*[F.col(c) for c in names]).alias("row"),
     )
     row_type = source.schema["row"].dataType.simpleString()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            names, scores = model.predict(texts)
+            texts = (pc.struct_field(batch.column("row"), [names.index(text_col)]) if inside else batch.column("__text")).to_pylist()
+            langs, scores = model.predict(texts)
             letters = [bool(t and _LETTER.search(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+                [batch.column("row"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
                 ["row", "held_out", "lang_pred", "score", "letter"],
             )
         pa.default_memory_pool().release_unused()

@@ -133,7 +133,8 @@ def text_heritage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # written out here, not taken from the detectors: RE2 has word ends of its own
 _PHONES = r"(?:(?:\+91|0091|0)[\s-]?)?[6-9]\d{9}\b|\+91[\s-]?\d{5}[\s-]?\d{5}"
-_URLS, _TAGS = hits_sql(detectors.PROMO_URL), hits_sql(detectors.HASHTAG)
+_URLS = hits_sql(r"(?i)http(?:s)?://|www[.]|(?:t|wa)[.]me/|bit[.]ly|tinyurl|short[.]url|link[.]tree|linktr[.]ee")
+_TAGS = hits_sql(r"#[_\p{L}\p{N}]+")
 
 
 @query(
@@ -149,7 +150,7 @@ def promo_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with {NORM_SQL} select doc_id, least({hits_sql(_PHONES)} * 0.40::double, 0.80::double) as phone_number_score, "
-    f"least({hits_sql(detectors.HANDLE, 'text')} * 0.30::double, 0.75::double) as social_handle_score, "
+    f"least({hits_sql(r'@[\w.]{3,30}', 'text')} * 0.30::double, 0.75::double) as social_handle_score, "
     f"least({_URLS} * 0.35::double, 0.80::double) as url_score, "
     f"len(list_filter(list_distinct(string_split(t, ' ')), lambda w: list_contains({listed(lex.MARKETING_WORDS)}, w)))::double as marketing_words, "
     f"{capped_sql(lex.COURSE_PROMOTION_PHRASES)} as course_score from normed"
@@ -187,6 +188,9 @@ def _aadhaar_sql(x: str) -> str:
     return f"(length({d}) = 12 and left({d}, 1) not in ('0', '1') and replace({d}, left({d}, 1), '') <> '')"
 
 
+_PLACES = (
+    "house", "flat", "apt", "apartment", "door", "plot", "street", "road", "lane", "nagar", "colony", "sector", "village", "district", "pin", "pincode",
+)
 _FOUND = lambda p: f"regexp_matches(c, {quoted(p)})"
 PII_SQL = {
     # RE2 looks neither back nor ahead: with every other sign doubled, a number takes one on each side and leaves one
@@ -197,7 +201,10 @@ PII_SQL = {
     "phone": _FOUND(r"(?:^|\D)(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}(?:$|\D)"),
     "email": _FOUND(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
     "bank": f"({_FOUND(r'(?i)\b[A-Z0-9._-]{2,}@[A-Z]{2,}\b')} or {_FOUND(r'(?i)\b[A-Z]{4}0[A-Z0-9]{6}\b')} or len(list_filter(regexp_extract_all(c, '[0-9]+'), lambda d: length(d) between 9 and 18 and not {_aadhaar_sql('d')})) > 0)",
-    "address": f"({_FOUND(detectors.ADDRESS)} and regexp_matches(c, '[0-9]'))",
+    "address": (
+        f"((list_has_any(regexp_extract_all(lower(c), '[_\\p{{L}}\\p{{N}}]+'), {listed(_PLACES)}) "
+        "or regexp_matches(lower(c), '(^|[^_\\p{L}\\p{N}])postal code($|[^_\\p{L}\\p{N}])')) and regexp_matches(c, '[0-9]'))"
+    ),
 }
 _COLLAPSED = f"{POSTS_SQL}, collapsed as (select *, trim(regexp_replace(coalesce(text, ''), '{SPACE_SQL}', ' ', 'g')) as c from posts)"
 _PII_SCORE = clamp_sql(" + ".join(f"case when {n} then {w}::double else 0.0::double end" for n, w in detectors.PII_WEIGHTS))
@@ -232,7 +239,7 @@ def pii_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUALITY = [(lex.SPAM_PHRASES, 0.2), (lex.SCAM_PHRASES, 0.35), (lex.PROMOTIONAL_PHRASES, 0.2), (lex.FAKE_HISTORY_PHRASES, 0.35)]
-_QURL = hits_sql(detectors.QUALITY_URL)
+_QURL = hits_sql("https://|http://|www[.]")
 _QUALITY_SQL = clamp_sql(
     f"case when {_QURL} >= 3 then 0.4::double when {_QURL} >= 1 then 0.2::double else 0.0::double end + "
     + " + ".join(f"case when {count_sql(p)} > 0 then least({count_sql(p)} * {w}::double, {w + 0.15}::double) else 0.0::double end" for p, w in _QUALITY)
@@ -245,9 +252,12 @@ def text_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normed(spark, sf_dir).select("doc_id", F.round(detectors.quality_score(F.col("t")), 6).alias("quality_score"))
 
 
-_SCRIPT_COLS = ", ".join(f"len(regexp_extract_all(text, {quoted(p)})) as n_{lang}" for lang, p in detectors.SCRIPTS)
-_SCRIPT_MAX = "greatest(" + ", ".join(f"n_{lang}" for lang, _ in detectors.SCRIPTS) + ")"
-_SCRIPT_CASE = " ".join(f"when n_{lang} = {_SCRIPT_MAX} then '{lang}'" for lang, _ in detectors.SCRIPTS)
+_RANGES = {
+    "hi": (0x900, 0x97F), "ur": (0x600, 0x6FF), "bn": (0x980, 0x9FF), "ta": (0xB80, 0xBFF), "te": (0xC00, 0xC7F), "kn": (0xC80, 0xCFF), "gu": (0xA80, 0xAFF), "pa": (0xA00, 0xA7F),
+}
+_SCRIPT_COLS = ", ".join(f"len(list_filter(string_split(text, ''), lambda c: unicode(c) between {lo} and {hi})) as n_{lang}" for lang, (lo, hi) in _RANGES.items())
+_SCRIPT_MAX = "greatest(" + ", ".join(f"n_{lang}" for lang in _RANGES) + ")"
+_SCRIPT_CASE = " ".join(f"when n_{lang} = {_SCRIPT_MAX} then '{lang}'" for lang in _RANGES)
 
 
 @query(
@@ -286,7 +296,8 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LINKS = f"list_sort(list_distinct(regexp_extract_all(text, {quoted(detectors.LINK)})))"
+_LINK = r"""(?i)http(?:s)?://[^ \t\n\f\r)>'"]+"""
+_LINKS = f"list_sort(list_distinct(regexp_extract_all(text, {quoted(_LINK)})))"
 _SUFFIX = "(" + "|".join(s.replace(".", r"\.") for s in lex.EXECUTABLE_SUFFIXES) + ")$"
 
 
@@ -330,13 +341,17 @@ def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CODES = f"codes as (select doc_id, case when doc_id % 5 = 0 then null else right(text, 60) end as d from posts), coded as (select doc_id, {norm_sql('d')} as t from codes)"
-_M = lambda p: f"regexp_matches(t, {quoted(p)})"
+_HOSTS = (
+    "t.me", "wa.me", "instagram.com", "youtube.com", "facebook.com", "twitter.com", "x.com", "whatsapp.com", "tiktok.com", "snapchat.com", "linkedin.com",
+)
+_ANY = lambda words: f"(len(list_filter({listed(words)}, lambda p: contains(t, p))) > 0)"
+_SOCIAL, _PAYS, _URL = _ANY(_HOSTS), _ANY(("upi", "phonepe", "gpay", "paytm", "razorpay", "bhim")), _ANY(("http://", "https://", "www."))
 
 
 @query(
-    f"with {POSTS_SQL}, {_CODES} select doc_id, case when t = '' then 0.0::double when {_M(detectors.TELEGRAM)} or {_M(detectors.SOCIAL_LINK)} then 0.95::double "
-    f"when {_M(detectors.PAYMENT)} then 0.85::double when {_M(detectors.QUALITY_URL)} then 0.80::double else 0.55::double end as qr_code_score, "
-    f"t <> '' and {_M(detectors.QUALITY_URL)} as qr_contains_url, t <> '' and {_M(detectors.SOCIAL_LINK)} as qr_contains_social, t <> '' and {_M(detectors.PAYMENT)} as qr_contains_payment from coded"
+    f"with {POSTS_SQL}, {_CODES} select doc_id, case when t = '' then 0.0::double when {_SOCIAL} then 0.95::double "
+    f"when {_PAYS} then 0.85::double when {_URL} then 0.80::double else 0.55::double end as qr_code_score, "
+    f"t <> '' and {_URL} as qr_contains_url, t <> '' and {_SOCIAL} as qr_contains_social, t <> '' and {_PAYS} as qr_contains_payment from coded"
 )
 def qr_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.right("text", F.lit(60)))

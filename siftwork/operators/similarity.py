@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.functions.text import once
 from siftwork.operators.lineage import checkpointed
 
 BITS = 64
@@ -77,8 +78,12 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    """The vector at length 1, null for a zero one; vector and length are computed once, not for each component."""
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+        return once(norm, lambda n: F.when(n > 0, F.transform(x, lambda c: c.cast("double") / n)))
+
+    return once(v, scaled)
 
 
 #: Tables of random hyperplanes to begin with, and at most; buckets that an item asks in each.
@@ -149,8 +154,10 @@ def best_match(
     match nothing and hide nothing; vectors of different lengths do not meet.
     """
     item_kind, cached_kind = "bigint", cache.schema[cached].dataType.simpleString()
-    clean = lambda df, key, v: df.select(F.col(key).alias("key"), F.col(v).cast("array<double>").alias("v")).where(sound(F.col("v")))
-    said = clean(items, item, item_vector)
+    # the filter sees the vector once, whatever it is computed from
+    kept = lambda v: once(v.cast("array<double>"), lambda x: F.when(sound(x), x))
+    clean = lambda df, key, v: df.select(F.col(key).alias("key"), kept(F.col(v)).alias("v")).where(F.col("v").isNotNull())
+    said = checkpointed(clean(items, item, item_vector))
     known = checkpointed(clean(cache, cached, cache_vector).groupBy("v").agg(F.min("key").alias("key")))
     asked = checkpointed(said.select("v").distinct().withColumn("key", F.monotonically_increasing_id()))
     size = known.count()

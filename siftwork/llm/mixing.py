@@ -9,8 +9,10 @@ from siftwork.llm.common import table, with_offsets
 
 #: Weights are kept in so many parts of their sum.
 WEIGHT_UNITS = 1 << 30
-#: Slots whose blocks one row folds out; the states between such pieces are found first.
+#: Slots whose blocks one row folds out, beside the others, once the states at the borders of such pieces are known.
 PIECE = 2048
+#: Entries of a source and a border that one task folds over: pieces are longer where there would be more. A fold keeps them in chunks.
+BORDERS, CHUNK = 1 << 21, 256
 BLOCK_ROWS = 16
 #: Rows of a source are ranked in so many buckets, so a hot source is not one task.
 RANK_DIGITS = 3
@@ -42,10 +44,13 @@ def source_plan(docs: DataFrame, source: Column, weights: dict[str, float] | Non
     return tiered.join(F.broadcast(total), F.col("tier") == F.col("of_tier")).select("source_key", "n_rows", "n_blocks", "tier", units.alias("units"))
 
 
-_SUM = "aggregate({}, 0L, (sum_so_far, term) -> sum_so_far + term)"
 _NEVER = "9223372036854775807L"
 
 
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0L, (sum_so_far, term) -> sum_so_far + term)"
+
+
 def _let(name: str, value: str, body: str) -> str:
     """SQL that evaluates ``value`` once and calls it ``name`` in ``body``."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -53,7 +58,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _fluid(s: str, i: str) -> str:
     """SQL of units[s] times the slots that the fluid schedule needs until source s has emitted i blocks."""
-    return _SUM.format(f"transform(n, (n_j, j) -> least(n_j * u[{s}], ({i}) * u[j]))")
+    return _sum(f"transform(n, (n_j, j) -> least(n_j * u[{s}], ({i}) * u[j]))")
 
 
 def _head(s: str, i: str) -> str:
@@ -62,6 +67,69 @@ def _head(s: str, i: str) -> str:
     return f"if({i} > n[{s}], named_struct('i', {i}, 'release', {_NEVER}, 'deadline', {_NEVER}), {window})"
 
 
+def _at(name: str, t: str, body: str) -> str:
+    """SQL of ``body``, in which ``name`` tells the fluid schedule at slot t: blocks of the sources that ran out, units of the others."""
+    gone = _sum(f"transform(n, (n_j, j) -> if(ends[j] <= {t} * u[j], n_j, 0L))")
+    wide = _sum(f"transform(u, (u_j, j) -> if(ends[j] > {t} * u_j, u_j, 0L))")
+    return _let(name, f"named_struct('t', {t}, 'gone', {gone}, 'wide', greatest(1L, {wide}))", body)
+
+
+def _ended(s: str, at: str) -> str:
+    """SQL of the blocks of source s that the fluid schedule has ended by then."""
+    return f"if(ends[{s}] <= {at}.t * u[{s}], n[{s}], u[{s}] * ({at}.t - {at}.gone) div {at}.wide)"
+
+
+def _started(s: str, at: str) -> str:
+    """SQL of the blocks of source s that the fluid schedule has started by then."""
+    return f"if(ends[{s}] <= {at}.t * u[{s}], n[{s}], (u[{s}] * ({at}.t - {at}.gone) + {at}.wide - 1L) div {at}.wide)"
+
+
+def _border() -> str:
+    """SQL of what one border between pieces, ``below`` to ``upto``, asks of the blocks under way at its end.
+
+    ``need`` of them have a slot before the end. ``runners`` are these blocks by deadline, then source; a runner is
+    old when it was under way at the piece's start as well. ``limits``: of the runners released at ``level`` or
+    later, not more than ``room`` have a slot before the end, as the blocks due by then fill the others.
+    """
+    runner = (
+        f"transform(array({_head('s', 'ended[s] + 1L')}), h -> named_struct('deadline', h.deadline, 's', s, 'old', was[s] > ended[s], 'release', h.release))[0]"
+    )
+    runners = f"array_sort(filter(transform(n, (n_s, s) -> if({_started('s', 'fin')} > ended[s], {runner}, null)), r -> r is not null))"
+    levels = "array_sort(array_distinct(transform(filter(runners, r -> not r.old and r.release > below), r -> r.release)))"
+    taken_up = _sum(f"transform(n, (n_s, s) -> greatest(0L, ended[s] - {_started('s', 'now')}))")
+    rooms = f"if(size(levels) = 0, cast(array() as array<bigint>), transform(sequence(below + 1L, element_at(levels, -1)), t -> {_at('now', 't', f'upto - t - {taken_up}')}))"
+    limit = (
+        "transform(levels, (l, x) -> named_struct('level', l, 'room', array_min(slice(rooms, "
+        "cast(if(x = 0, below, levels[x - 1]) - below + 1L as int), cast(l - if(x = 0, below, levels[x - 1]) as int)))))"
+    )
+    limits = f"filter({limit}, q -> q.room < size(filter(runners, r -> not r.old and r.release >= q.level)))"
+    asked = f"named_struct('need', cast(upto - {_sum('ended')} as int), 'runners', runners, 'limits', limits)"
+    asked = _let("runners", runners, _let("levels", levels, _let("rooms", rooms, _let("limits", limits, asked))))
+    was = _at("ini", "below", f"transform(n, (n_s, s) -> {_started('s', 'ini')})")
+    return _let("was", was, _at("fin", "upto", _let("ended", f"transform(n, (n_s, s) -> {_ended('s', 'fin')})", asked)))
+
+
+def _ahead() -> str:
+    """SQL of the sources whose block under way has its slot already, at the start of every piece: a fold over the borders.
+
+    Earliest deadline first gives a runner a slot before the border exactly if one is left beside the runners due
+    before it, so runners are taken by deadline as long as ``need`` and ``limits`` allow.
+    """
+    took = (
+        "named_struct('taken', concat(st.taken, array(r.s)), "
+        "'limits', if(r.old, st.limits, transform(st.limits, q -> named_struct('level', q.level, 'room', q.room - cast(q.level <= r.release as bigint)))))"
+    )
+    full = "size(st.taken) >= border.need or (r.old and array_contains(st.taken, r.s)) or (not r.old and exists(st.limits, q -> q.level <= r.release and q.room <= 0L))"
+    kept = "transform(filter(border.runners, r -> r.old and array_contains(prior, r.s)), r -> r.s)"
+    step = f"aggregate(border.runners, named_struct('taken', {kept}, 'limits', border.limits), (st, r) -> if({full}, st, {took}), st -> st.taken)"
+    # a chunk's states are put together first, as every concat copies what it extends
+    step = f"concat(part, array({_let('prior', 'element_at(part, -1)', step)}))"
+    chunk = f"aggregate(slice(borders, c * {CHUNK} + 1, {CHUNK}), array(reached), (part, border) -> {step})"
+    chunk = _let("reached", "element_at(element_at(done, -1), -1)", f"slice({chunk}, 2, {CHUNK})")
+    first = "array(array(cast(array() as array<int>)))"
+    return f"flatten(aggregate(sequence(0, (size(borders) - 1) div {CHUNK}), {first}, (done, c) -> concat(done, array({chunk}))))"
+
+
 #: SQL of the source whose head takes slot ``t``: the earliest deadline among the released heads, ties to the first source.
 _PICK = "array_min(filter(transform(heads, (h, x) -> if(h.release <= t, named_struct('d', h.deadline, 'x', x), null)), y -> y is not null)).x"
 _AFTER = f"transform(heads, (h, x) -> if(x = p, {_head('x', 'h.i + 1')}, h))"
@@ -75,9 +143,11 @@ def schedule(plan: DataFrame) -> DataFrame:
     when it ends it. Earliest deadline first among released blocks (ties: first source in order) gives each
     block a slot in its window, so no source is ever a whole block away from its share. All is exact in 64-bit integers.
 
-    A slot depends on those before it, so one task folds over the slots of all blocks and keeps the next block of
-    each source after every ``PIECE`` slots; the pieces are then folded out beside one another. The first fold
-    takes about 0.2 ms a block for twenty sources: take rows a block so that there are about 10^6 blocks.
+    The slots are cut into pieces of ``PIECE`` (longer ones where there would be over ``BORDERS`` entries of a source and
+    a border). At a border each source has at most one block under way; all blocks due before have their slots. Which blocks
+    under way have theirs too follows from what was so a border earlier and from counts over the windows in the
+    piece (``_border``). The counts are taken piece by piece in parallel, one task folds over the borders
+    (``_ahead``), and then the slots of all pieces are dealt in parallel.
     """
     tiers = plan.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("source_key", "n_blocks", "units"))).alias("src"))
     # two rows at most, with one entry for each source
@@ -86,27 +156,33 @@ def schedule(plan: DataFrame) -> DataFrame:
         F.transform("src", lambda x: x["units"]).alias("u"),
     )
     before = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
-    tiers = tiers.withColumn("stop", F.expr(_SUM.format("n"))).withColumn("base", F.coalesce(F.sum("stop").over(before), F.lit(0)).cast("long"))
-    slot = _let("heads", "st", _let("p", _PICK, _AFTER))
-    states = (
-        f"aggregate(sequence(1L, greatest(1L, (stop - 1) div {PIECE}L)), array(transform(n, (n_s, s) -> {_head('s', '1L')})), (all, k) -> concat(all, array("
-        f"aggregate(sequence((k - 1) * {PIECE}L, least(stop, k * {PIECE}L) - 1), element_at(all, -1), (st, t) -> {slot}))))"
+    tiers = tiers.withColumn("stop", F.expr(_sum("n"))).withColumn("base", F.coalesce(F.sum("stop").over(before), F.lit(0)).cast("long"))
+    tiers = tiers.select(
+        "*", F.expr(f"greatest({PIECE}L, (stop * size(n)) div {BORDERS}L + 1L)").alias("piece"),
+        F.expr(f"transform(n, (n_s, s) -> {_fluid('s', 'n_s')})").alias("ends"),
     )
-    pieces = tiers.select("base", "keys", "n", "u", "stop", F.posexplode_outer(F.expr(states)).alias("k", "heads")).where(f"k * {PIECE}L < stop")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of partitions keeps small rows of much work apart
+    pieces = tiers.select("*", F.expr("explode(sequence(0L, (stop - 1L) div piece)) as k")).repartition(parts, "tier", "k")
+    borders = pieces.select("*", F.expr("k * piece as below"), F.expr("(k + 1L) * piece as upto")).where("upto < stop")
+    met = borders.select("tier", "k", F.expr(_border()).alias("border")).groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("k", "border"))).alias("met"))
+    # outer: the filter that a plain explode implies would be pushed below and repeat the folds inside it
+    states = met.select(F.col("tier").alias("of_tier"), F.posexplode_outer(F.expr(_let("borders", "transform(met, x -> x.border)", _ahead()))).alias("of_k", "taken"))
+    begun = pieces.join(states, (F.col("tier") == F.col("of_tier")) & (F.col("k") == F.col("of_k")), "left")
+    begun = begun.select("base", "keys", "n", "u", "ends", F.expr("k * piece as below"), F.expr("least(stop, (k + 1L) * piece) as upto"), "taken")
+    next_block = f"{_ended('s', 'ini')} + if(array_contains(coalesce(taken, cast(array() as array<int>)), s), 2L, 1L)"
+    heads = _at("ini", "below", f"transform(n, (n_s, s) -> {_let('i', next_block, _head('s', 'i'))})")
     taken = _let(
         "heads", "st.heads",
         _let("p", _PICK, f"named_struct('heads', {_AFTER}, 'out', concat(st.out, array(named_struct('x', p, 'h', heads[p]))))"),
     )
     out = "cast(array() as array<struct<x:int,h:struct<i:bigint,release:bigint,deadline:bigint>>>)"
-    fold = (
-        f"aggregate(sequence(k * {PIECE}L, least(stop, (k + 1) * {PIECE}L) - 1), named_struct('heads', heads, 'out', {out}), (st, t) -> {taken}, st -> st.out)"
-    )
-    folded = pieces.repartition("k").select("base", "keys", "k", F.expr(fold).alias("slots"))
-    # outer: the filter that a plain explode implies would be pushed below and repeat the fold inside it
-    slots = folded.select("base", "keys", "k", F.posexplode_outer("slots").alias("at", "block"))
+    fold = f"aggregate(sequence(below, upto - 1L), named_struct('heads', {heads}, 'out', {out}), (st, t) -> {taken}, st -> st.out)"
+    folded = begun.select("base", "keys", "below", F.expr(fold).alias("slots"))
+    slots = folded.select("base", "keys", "below", F.posexplode_outer("slots").alias("at", "block"))
     return slots.select(
         F.expr("keys[block.x]").alias("of_source"), (F.col("block.h.i") - 1).alias("of_block"), (F.col("base") + F.col("block.h.release")).alias("release"),
-        (F.col("base") + F.col("block.h.deadline")).alias("deadline"), (F.col("base") + F.col("k") * PIECE + F.col("at")).alias("slot"),
+        (F.col("base") + F.col("block.h.deadline")).alias("deadline"), (F.col("base") + F.col("below") + F.col("at")).alias("slot"),
     )
 
 

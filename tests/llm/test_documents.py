@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -166,6 +167,35 @@ def test_mixing_stays_within_a_block_of_the_weights(spark, monkeypatch, weights,
     assert sorted(r["seq"] for r in found if r["slot"] == 0) == list(range(sum(r["slot"] == 0 for r in found)))
 
 
+def earliest_deadline_first(n, u):
+    """(source, block, release, deadline, slot) of a plain fold over all slots."""
+    fluid = lambda s, i: sum(min(n[j] * u[s], i * u[j]) for j in range(len(n)))
+    head = lambda s, i: (fluid(s, i) // u[s], -(-fluid(s, i + 1) // u[s]))
+    at, out = [0] * len(n), []
+    for t in range(sum(n)):
+        heads = [(*head(s, at[s]), s) for s in range(len(n)) if at[s] < n[s]]
+        release, deadline, s = min((h for h in heads if h[0] <= t), key=lambda h: h[1:])
+        out.append((s, at[s], release, deadline, t))
+        at[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece, chunk, borders", [(1, 2, 1 << 21), (3, 256, 1 << 21), (8, 1, 1 << 21), (1, 256, 40)])
+def test_mixing_in_pieces_equals_one_fold_over_all_slots(spark, monkeypatch, piece, chunk, borders):
+    for name, value in {"PIECE": piece, "CHUNK": chunk, "BORDERS": borders}.items():
+        monkeypatch.setattr(mixing, name, value)
+    # rare sources beside frequent ones, equal weights, sources that run out early; one plan in each tier
+    rng = random.Random(piece)
+    plans = [([3, 9, 40, 1, 2, 1, 1], [5, 1, 997, 2, 2, 1, 1]), ([rng.choice([1, 2, 9, 30]) for _ in range(9)], [rng.choice([1, 2, 5, 311, 1000]) for _ in range(9)])]
+    data = [(f"s{s}", 0, n[s], tier, u[s]) for tier, (n, u) in enumerate(plans) for s in range(len(n))]
+    found = mixing.schedule(spark.createDataFrame(data, "source_key string, n_rows long, n_blocks long, tier int, units long"))
+    first = earliest_deadline_first(*plans[0])
+    want = first + [(s, i, r + len(first), d + len(first), t + len(first)) for s, i, r, d, t in earliest_deadline_first(*plans[1])]
+    assert sorted((r["slot"], r["of_source"], r["of_block"], r["release"], r["deadline"]) for r in found.collect()) == [
+        (t, f"s{s}", i, r, d) for s, i, r, d, t in want
+    ]
+
+
 def test_mixing_of_many_sources_keeps_their_windows(spark):
     data = [(i, f"s{i % 3000 if i % 3 else 0}") for i in range(9000)]
     found = rows(mixing.mix_sources(spark.createDataFrame(data, "doc_id long, source string"), block_rows=100))

@@ -15,9 +15,12 @@ from siftwork.llm.vectors import finite
 SCALE = 256
 #: A vector's components are dealt to so many lists; each list scores a vector by its own components.
 LISTS = 4
-#: Queries and candidates meet in blocks of at most so many rows.
-QUERY_BLOCK = 512
+#: Queries and candidates meet in blocks of about so many rows, fewer where their integers would take over so many bytes.
+QUERY_BLOCK = 16_384
 ROW_BLOCK = 4096
+BLOCK_BYTES = 8 << 20
+#: Queries of a block that are multiplied at once.
+QUERY_SLICE = 512
 #: Blocks of rows that meet a block of queries in one task, about.
 SPREAD = 32
 #: Once so few of a block's entries are left, their scores are resolved one by one.
@@ -27,7 +30,7 @@ SPARSE = 0.1
 def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
     """Rows packed into blocks: (``name``, dim, ids, values). A block holds vectors of one length."""
     size = rows.groupBy("dim").agg(F.count("*").alias("n"))
-    count = size.select(F.col("dim").alias("of_dim"), F.ceil(F.col("n") / most).cast("int").alias("n_blocks"))
+    count = size.select(F.col("dim").alias("of_dim"), F.ceil(F.col("n") / F.expr(f"greatest(1, least({most}, {BLOCK_BYTES} div (8 * dim)))")).cast("int").alias("n_blocks"))
     dealt = rows.join(F.broadcast(count), F.col("dim") == F.col("of_dim")).select(
         "dim", F.pmod(F.xxhash64("id", F.lit(name)), F.col("n_blocks")).cast("int").alias(name), "id", "ints"
     )
@@ -50,6 +53,13 @@ def _narrow(ints: np.ndarray) -> np.ndarray:
     return ints.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= ints.min(initial=0) and ints.max(initial=0) <= np.iinfo(t).max))
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of the batches, of which one is unpacked at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _slices(dim: int) -> list[slice]:
     edges = np.linspace(0, dim, min(LISTS, dim) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
@@ -167,16 +177,17 @@ def top_k(
     copies = _copies(packed, asked)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
-                c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
+        for r in _one_by_one(batches):
+            all_ids, all_q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
+            c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
+            for lo in range(0, len(all_ids), QUERY_SLICE):
+                q_ids, q = all_ids[lo : lo + QUERY_SLICE], all_q[lo : lo + QUERY_SLICE]
                 found, totals, tops = gather(q_ids, q, c_ids, c, k)
                 n = len(q_ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, r["dim"], np.int32)), pa.array(np.full(n, r["c"], np.int32)), pa.array(np.full(n, r["q"], np.int32)),
-                        pa.array(range(n), pa.int32()), pa.array(q_ids), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
+                        pa.array(range(lo, lo + n), pa.int32()), pa.array(q_ids), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
                         pa.array([c_ids[f].tolist() for f in found], pa.list_(pa.int64())),
                         pa.array([t[: len(f)].tolist() for f, t in zip(found, totals, strict=True)], pa.list_(pa.int64())),
                         pa.array(tops.tolist(), pa.list_(pa.int64())),
@@ -208,13 +219,14 @@ def top_k(
     )
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
-                c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
-                some = np.array([x["row"] for x in r["open"]])
-                cutoff, tops = np.array([x["cutoff"] for x in r["open"]]), np.array([x["tops"] for x in r["open"]])
-                row, col, score, _ = resolve(q[some], c, cutoff, tops, [x["taken"] for x in r["open"]])
+        for r in _one_by_one(batches):
+            q_ids, q = _unpack(r["q_ids"], r["q_ints"], r["dim"])
+            c_ids, c = _unpack(r["c_ids"], r["c_ints"], r["dim"])
+            for lo in range(0, len(r["open"]), QUERY_SLICE):
+                part = r["open"][lo : lo + QUERY_SLICE]
+                some = np.array([x["row"] for x in part])
+                cutoff, tops = np.array([x["cutoff"] for x in part]), np.array([x["tops"] for x in part])
+                row, col, score, _ = resolve(q[some], c, cutoff, tops, [x["taken"] for x in part])
                 other = q_ids[some[row]] != c_ids[col]
                 row, col, score = row[other], col[other], score[other]
                 # the k best of the block are enough

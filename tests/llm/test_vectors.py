@@ -157,6 +157,7 @@ def test_topk_traps(traps):
 def test_topk_matches_brute_force_with_ties_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "ROW_BLOCK", block)
     monkeypatch.setattr(topk, "QUERY_BLOCK", max(3, block // 100))
+    monkeypatch.setattr(topk, "QUERY_SLICE", max(2, block // 600))
     rng = np.random.default_rng(4)
     x = rng.integers(-2, 3, (600, 6)) / 4
     x[200:400] = x[200]
@@ -166,6 +167,13 @@ def test_topk_matches_brute_force_with_ties_and_blocks(spark, monkeypatch, block
     assert found == brute_top([(i, np.float64(e)) for i, e in data])
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 4 * 50)
+    data = [(i, 4, [i, 1, 2, 3]) for i in range(1000)]
+    blocks = topk._blocks(spark.createDataFrame(data, "id long, dim int, ints array<long>"), "q", 4096).collect()
+    assert len(blocks) == 20 and sum(len(b["q_ids"]) for b in blocks) == 8000
+
+
 def test_topk_is_exact_beyond_doubles(spark):
     data = [(i, [float(2**19 + i), float(2**19 - 3 * i)]) for i in range(0, 200, 10)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")

@@ -21,8 +21,8 @@ ROW_BLOCK = 4096
 BLOCK_BYTES = 8 << 20
 #: Queries of a block that are multiplied at once.
 QUERY_SLICE = 512
-#: Blocks of rows that meet a block of queries in one task, about.
-SPREAD = 32
+#: Blocks of rows that meet one copy of a block of queries: together about as large as that copy.
+SPREAD = 4
 #: Once so few of a block's entries are left, their scores are resolved one by one.
 SPARSE = 0.1
 
@@ -214,9 +214,7 @@ def top_k(
         {"dim": "o_dim", "c": "o_c", "q": "o_q"}
     )
     with_rows = opened.join(packed, (F.col("o_dim") == F.col("dim")) & (F.col("o_c") == F.col("c"))).drop("o_dim", "o_c")
-    pairs = with_rows.join(copies, _beside("o_q")).select(
-        "dim", "q_ids", "q_ints", "c_ids", "c_ints", "open"
-    )
+    pairs = _beside(with_rows, "o_q", copies).select("dim", "q_ids", "q_ints", "c_ids", "c_ints", "open")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _one_by_one(batches):
@@ -258,11 +256,15 @@ def _met(packed: DataFrame, asked: DataFrame, copies: DataFrame) -> DataFrame:
     grid = packed.join(F.broadcast(n_asked), F.col("dim") == F.col("of_dim")).select(
         "dim", "c", "c_ids", "c_ints", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at")
     )
-    return grid.join(copies, _beside("at")).select("dim", "c", "c_ids", "c_ints", "q", "q_ids", "q_ints")
+    return _beside(grid, "at", copies).select("dim", "c", "c_ids", "c_ints", "q", "q_ids", "q_ints")
 
 
-def _beside(at: str):
-    return (F.col("dim") == F.col("q_dim")) & (F.col(at) == F.col("q")) & (F.expr(f"c div {SPREAD}") == F.col("run"))
+def _beside(rows: DataFrame, at: str, copies: DataFrame) -> DataFrame:
+    """Blocks of rows with the block of queries that column ``at`` names. Blocks are few and much work, so a number of partitions keeps them apart."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("of_run", F.expr(f"c div {SPREAD}")).repartition(parts, "dim", at, "of_run")
+    right = copies.repartition(parts, "q_dim", "q", "run")
+    return left.join(right, (F.col("dim") == F.col("q_dim")) & (F.col(at) == F.col("q")) & (F.col("of_run") == F.col("run")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

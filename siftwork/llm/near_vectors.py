@@ -31,6 +31,8 @@ SLACK = 0.02
 AUDITED = 256
 AUDITED_LINKS = 1000
 AUDITED_MOST = 16_384
+#: Bytes of vectors that are taken to the driver and broadcast as pivots, and as an audit's sample.
+SAMPLE_BYTES = 64 << 20
 RECALL = 0.9
 #: Either links of ``rep`` within a group; or a node ``root`` that it is connected with; or a pair, which may repeat,
 #: of ``rep`` and the larger ``pair``, with the links that it gives each.
@@ -163,10 +165,12 @@ def _unit(column) -> np.ndarray:
 
 def _choose_pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """A bounded sample of the distinct vectors, by a hash of their ids, for each label and length."""
-    total = classes.count()
-    rate = min(1.0 / SHARD, PIVOTS / 2 / max(1, total))
+    width = F.size("embedding").cast("long") * 8
+    total, size = classes.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    rate = min(1.0 / SHARD, PIVOTS / 2 / max(1, total), SAMPLE_BYTES / 2 / max(1, size))
     dice = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1_000_000_007)) / 1_000_000_007
-    sample = classes.where(dice < rate).select("space", "embedding").limit(PIVOTS).toArrow()
+    # no vector weighs much of the bound, so the sample stays near half of it; spaces without pivots are one shard
+    sample = classes.where((dice < rate) & (width <= SAMPLE_BYTES // 256)).select("space", "embedding").limit(PIVOTS).toArrow()
     pivots: dict[tuple[str, int], list] = {}
     spaces = sample.column("space").to_pylist()
     for i, space in enumerate(spaces):
@@ -377,18 +381,20 @@ def _exact_links(classes: DataFrame, least: float) -> DataFrame:
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
     """Share found of the links, against all vectors for two bounded samples: any vectors, and vectors with links found.
 
-    The first grows until ``AUDITED_LINKS`` true links are in it or ``AUDITED_MOST`` vectors are asked; its linked vectors
+    The first grows until ``AUDITED_LINKS`` true links are in it or ``AUDITED_MOST`` vectors (or ``SAMPLE_BYTES`` of them) are asked; its linked vectors
     also give the mean of their shares. Where links are sparse it may hold few or none, so the second says how many
     links a vector with some has, and the true links are estimated over both kinds of vectors. The lowest of these
     counts. Only if no link was found anywhere and none is in the first sample is the recall taken to be 1.
     """
-    asked = AUDITED
+    widest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    most = max(1, min(AUDITED_MOST, SAMPLE_BYTES // (8 * widest)))
+    asked = min(AUDITED, most)
     while True:
         true, got = _audited(classes, counted, least, asked)
         total = sum(true.values())
-        if total >= AUDITED_LINKS or len(true) < asked or asked >= AUDITED_MOST:
+        if total >= AUDITED_LINKS or len(true) < asked or asked >= most:
             break
-        asked = min(4 * asked, AUDITED_MOST)
+        asked = min(4 * asked, most)
     found = 1.0
     if total:
         shares = [min(got.get(r, 0), n) / n for r, n in true.items() if n]
@@ -398,7 +404,7 @@ def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
     linked = counted.where("n_links > 0").select(F.col("rep").alias("l_rep"))
     n_linked, n_all = linked.count(), classes.count()
     if n_linked:
-        some, got_some = _audited(classes.join(linked, F.col("rep") == F.col("l_rep"), "left_semi"), counted, least, 4 * AUDITED, classes)
+        some, got_some = _audited(classes.join(linked, F.col("rep") == F.col("l_rep"), "left_semi"), counted, least, min(4 * AUDITED, most), classes)
         without = [n for r, n in true.items() if not got.get(r, 0)]
         missed = (n_all - n_linked) * (sum(without) / len(without) if without else 0.0)
         true_a_linked = sum(some.values()) / len(some)

@@ -199,6 +199,16 @@ def test_phase_three_resolves_few_products():
         assert near == set(found[i][totals[i, : len(found[i])] >= cutoff[i]].tolist()) | set(col[row == i].tolist()) - {i}
 
 
+def test_pivots_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "SHARD", 1)
+    rows = [(f"{i:04}", "8|a", [float(i + 1)] * 8) for i in range(2000)] + [("wide", "9000|a", [1.0] * 9000)]
+    df = spark.createDataFrame(rows, "rep string, space string, embedding array<double>")
+    monkeypatch.setattr(near_vectors, "SAMPLE_BYTES", 256 * 100)
+    pivots = near_vectors._choose_pivots(df)
+    assert set(pivots) <= {"8|a"} and sum(p.nbytes for p in pivots.values()) <= 256 * 100
+    assert near_vectors._choose_pivots(df.limit(0)) == {}
+
+
 def test_sparse_links_are_audited(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 32))

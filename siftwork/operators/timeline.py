@@ -25,7 +25,8 @@ def with_ordinal(df: DataFrame, name: str = "ordinal", settled: bool = False) ->
     """Number the rows 0, 1, 2, ... in the order in which they come: partition after partition, row after row.
 
     Partitions are counted, their counts summed to offsets, and each row adds its place in its partition; no row is moved. The rows
-    are checkpointed first so that both passes see the same ones in the same places; ``settled`` tells that they do anyway (a read of files).
+    are checkpointed first so that both passes see the same ones in the same places; ``settled`` tells that they do anyway. The order of a read of files is
+    another: Spark deals files to partitions by size, so those rows are numbered by ``with_file_ordinal``.
     """
     rows = (df if settled else checkpointed(df)).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
@@ -36,6 +37,20 @@ def with_ordinal(df: DataFrame, name: str = "ordinal", settled: bool = False) ->
     return joined.select(*df.columns, (F.col("offset") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
+def with_file_ordinal(read: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Number the rows of a read of Parquet files 0, 1, 2, ... in the order of the files by path, and in a file from its first row to its last.
+
+    It depends on no partition: the rows of each file are counted, the counts summed to offsets, and each row adds its place in its file.
+    """
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    rows = read.select("*", path.alias("__path"), place.alias("__place"))
+    # one row for each file
+    counts = rows.groupBy(F.col("__path").alias("path")).agg(F.count("*").alias("n")).withColumn("of_all", F.lit(0))
+    offsets = before(counts, "of_all", "path", "n", "offset").select(F.col("path").alias("of"), "offset")
+    joined = rows.join(F.broadcast(offsets), F.col("__path") == F.col("of"))
+    return joined.select(*read.columns, (F.col("offset") + F.col("__place")).alias(name))
+
+
 def trailing_counts(log: DataFrame, key: str, seconds: list[int], ts: str = "ts", cell_seconds: int = 1, span: int = 86_400) -> DataFrame:
     """How many rows lie in the ``seconds`` up to each row's own time (ties included): adds ``last_<seconds>`` columns.
 

@@ -138,7 +138,7 @@ def decision_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, row_number() over () - 1 as position from documents")
 def batch_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each document in the table, by which results are given back."""
-    return timeline.with_ordinal(table(spark, sf_dir, "documents").select("doc_id"), "position", settled=True)
+    return timeline.with_file_ordinal(table(spark, sf_dir, "documents").select("doc_id"), "position")
 
 
 @query(f"with {GRID_SQL} select item, {decision.cascade_sql('rule')} as rule, {decision.cascade_sql('decision')} as decision, {decision.cascade_sql('code')} as code from grid")

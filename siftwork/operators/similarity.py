@@ -7,6 +7,7 @@ import itertools
 import math
 import operator
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -328,9 +329,11 @@ def keep_newest(cache: DataFrame, most: int, order: list[Column]) -> DataFrame:
     return cache.orderBy(*order).limit(most)
 
 
-def trim_oldest(cache: DataFrame, share: float, most: int, order: str, buckets: int = 1024, ranked: int = 100_000) -> DataFrame:
+def trim_oldest(cache: DataFrame, share: float, most: int, order: str, buckets: int = 1024, ranked: int = 100_000, nearest: bool = False) -> DataFrame:
     """Drop the oldest ``share`` of the entries (one at least) by a numeric ``order`` when there are more than ``most``.
 
+    A share that is no whole number of entries is cut down to one, or goes to the nearest (halves up) if ``nearest``.
+
     Entries without an order (null or NaN) are the oldest. Of entries of equal order those with the smallest hash of their columns are dropped first. The entries are counted in
     buckets of equal width; the bucket with the cut is cut into buckets of its own until it holds ``ranked`` entries at most, which are ranked.
     """
@@ -338,7 +341,7 @@ def trim_oldest(cache: DataFrame, share: float, most: int, order: str, buckets:
     size, unknown = cache.agg(F.count("*"), F.count_if(without)).first()
     if size <= most:
         return cache
-    left = max(1, int(size * share))
+    left = max(1, int((size * Decimal(str(share))).to_integral_value(ROUND_HALF_UP)) if nearest else int(size * share))
     if unknown > left:
         return cache.where(~without).union(_without_lowest(cache.where(without), None, left, buckets, ranked))
     return _without_lowest(cache.where(~without), order, left - unknown, buckets, ranked)

@@ -262,7 +262,7 @@ def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select vec_id, label from embeddings where vec_id not in (select vec_id from embeddings order by vec_id limit (select greatest(1, (count(*) * 0.1)::bigint) from embeddings))")
 def cache_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.trim_oldest(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 0.1, 100, "vec_id")
+    return similarity.trim_oldest(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 0.1, 100, "vec_id", nearest=True)
 
 
 _N = count_sql(lex.PROMOTIONAL_PHRASES + lex.SPAM_PHRASES)

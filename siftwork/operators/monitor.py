@@ -14,6 +14,11 @@ def latest(log: DataFrame, ts: str = "ts") -> DataFrame:
     return log.agg(F.max(ts).alias("now"))
 
 
+def whole_seconds(ts: Column) -> Column:
+    """Seconds since 1970, to the nearest one (halves to the even one)."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 def trailing_rate(log: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
     """Requests and rate over the trailing window."""
     age = F.unix_timestamp("now") - F.unix_timestamp(ts)
@@ -23,7 +28,7 @@ def trailing_rate(log: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
 
 def history(log: DataFrame, width: int, buckets: int = 60, ts: str = "ts") -> DataFrame:
     """Counts of the last ``buckets`` windows, oldest first, empty ones as 0."""
-    at = F.floor((F.unix_timestamp("now") - F.unix_timestamp(ts)) / width)
+    at = F.floor((whole_seconds(F.col("now")) - whole_seconds(F.col(ts))) / width)
     counts = (
         log.join(F.broadcast(latest(log, ts)))
         .select(at.alias("back"))

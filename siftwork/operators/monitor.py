@@ -20,8 +20,8 @@ def whole_seconds(ts: Column) -> Column:
 
 
 def trailing_rate(log: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
-    """Requests and rate over the trailing window."""
-    age = F.unix_timestamp("now") - F.unix_timestamp(ts)
+    """Requests and rate over the trailing window, ages in whole seconds."""
+    age = whole_seconds(F.col("now")) - whole_seconds(F.col(ts))
     inside = log.join(F.broadcast(latest(log, ts))).agg(F.count(F.when(age < seconds, 1)).alias("requests"))
     return inside.select("requests", (F.col("requests") / float(seconds)).alias("per_second"))
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import SparkSession
 
-from siftwork.operators.decision import CASCADE_KEYS, cascade_sql
+from siftwork.operators.decision import CASCADE_KEYS, cascade_sql, small_methods
 
 
 def _scores() -> str:
@@ -40,6 +40,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     ``decide_rule``, ``decide_decision``, ``decide_code`` give one part of ``decide``; ``normalise_text``, ``hash_distance``, ``clean_score`` are the functions of the same
     meaning. Returns the names.
     """
+    small_methods(spark)
     found = definitions()
     for definition in found.values():
         spark.sql(f"create or replace temporary function {definition}")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import operator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import lexicons as lex
-from siftwork.functions.text import clamp, label_norm, words_array
+from siftwork.functions.text import clamp, label_norm, once
 from siftwork.operators.fusion import OBJECT_TEMPERATURE, calibrated
 
 #: Detector classes that count as another.
@@ -51,31 +55,73 @@ def with_crowd(detections: Column, people: int = 5) -> Column:
     return F.when(F.size(persons) >= people, F.concat(detections, F.array(crowd))).otherwise(detections)
 
 
-def best_of(detections: Column, labels: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
-    """Highest confidence of the labels, 0 if there is none; labels of ``but`` belong to an earlier bucket."""
-    own = [x for x in normal_labels(labels) if x not in normal_labels(but)]
-    hits = F.filter(detections, lambda d: label_norm(d["class"]).isin(*own))
-    return F.coalesce(F.array_max(F.transform(hits, lambda d: clamp(d["confidence"]))), F.lit(0.0))
-
-
-def bucket_scores(detections: Column) -> dict[str, Column]:
-    """One score a bucket; a label counts in the first bucket that has it."""
+def _earlier_apart(lists: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The normal labels of each list but for those that an earlier list has."""
     before: tuple[str, ...] = ()
     out = {}
-    for name, labels in BUCKETS.items():
-        out[name] = best_of(detections, labels, before)
-        before += labels
+    for name, labels in lists.items():
+        out[name] = tuple(x for x in normal_labels(labels) if x not in before)
+        before += normal_labels(labels)
     return out
 
 
-def prompt_best(prompts: Column, terms: tuple[str, ...]) -> Column:
-    """Highest score of the prompts that hold a term as a substring."""
-    held = F.map_filter(prompts, lambda k, _: F.exists(words_array(normal_labels(terms)), lambda t: F.contains(label_norm(k), t)))
-    return clamp(F.array_max(F.map_values(held)))
+#: Labels of detections by the score that they count in; a label counts in the first bucket that has it.
+LABELS = _earlier_apart(BUCKETS) | {
+    "child": normal_labels(lex.CHILD_LABELS + lex.CHILD_ALIASES), "person": normal_labels(lex.PERSON_LABELS), "objects": normal_labels(lex.PROMOTION_OBJECTS),
+}
+#: Terms that a prompt's name holds, and names that a prompt has, by the score that it counts in.
+TERMS = {name: normal_labels(labels + PROMPT_EXTRAS[name]) for name, labels in BUCKETS.items()} | {"child": normal_labels(lex.CHILD_TERMS)}
+PROMOTING = _earlier_apart({"advertising_score": lex.ADVERTISING_PROMPTS, "affiliate_score": lex.AFFILIATE_PROMPTS, "social_media_score": lex.SOCIAL_MEDIA_PROMPTS})
+
+
+@dataclass(frozen=True)
+class Bests:
+    """A column of the best score of each list; it stands for the detections or prompts that these were taken from."""
+
+    found: Column
+
+
+def label_bests(detections: Column | Bests, *names: str) -> Column:
+    """A struct of the highest confidence of each list of labels, 0 if there is none; a label is normalised once for all lists."""
+    if isinstance(detections, Bests):
+        return detections.found
+    items = F.transform(detections, lambda d: F.struct(label_norm(d["class"]).alias("name"), clamp(d["confidence"]).alias("score")))
+    score = lambda x: x["score"]
+    best = lambda xs, own: F.coalesce(F.array_max(F.transform(F.filter(xs, lambda x: x["name"].isin(*own)), score)), F.lit(0.0))
+    return once(items, lambda xs: F.struct(*[best(xs, LABELS[k]).alias(k) for k in names or LABELS]))
+
 
+def prompt_bests(prompts: Column | Bests, *names: str) -> Column:
+    """A struct of the highest score of the prompts of each list, 0 if there is none; a prompt's name is normalised once for all lists."""
+    if isinstance(prompts, Bests):
+        return prompts.found
 
-def prompt_buckets(prompts: Column) -> dict[str, Column]:
-    return {name: prompt_best(prompts, labels + PROMPT_EXTRAS[name]) for name, labels in BUCKETS.items()}
+    def belongs(name: Column, k: str) -> Column:
+        if k in PROMOTING:
+            return name.isin(*PROMOTING[k])
+        return functools.reduce(operator.or_, [F.contains(name, F.lit(t)) for t in TERMS[k]])
+
+    items = F.transform(F.map_entries(prompts), lambda e: F.struct(label_norm(e["key"]).alias("name"), e["value"].alias("score")))
+    score = lambda x: x["score"]
+    best = lambda xs, k: clamp(F.array_max(F.transform(F.filter(xs, lambda x: belongs(x["name"], k)), score)))
+    return once(items, lambda xs: F.struct(*[best(xs, k).alias(k) for k in names or (*TERMS, *PROMOTING)]))
+
+
+def with_bests(df: DataFrame, detections: Column, prompts: Column) -> tuple[DataFrame, Bests, Bests]:
+    """The rows with the best scores of all lists in columns of their own, and what stands for detections and prompts where scores are made."""
+    return df.withColumns({"label_bests": label_bests(detections), "prompt_bests": prompt_bests(prompts)}), Bests(F.col("label_bests")), Bests(F.col("prompt_bests"))
+
+
+def bucket_scores(detections: Column | Bests) -> dict[str, Column]:
+    """One score a bucket; a label counts in the first bucket that has it."""
+    found = label_bests(detections, *BUCKETS)
+    return {name: found[name] for name in BUCKETS}
+
+
+def prompt_buckets(prompts: Column | Bests) -> dict[str, Column]:
+    """Highest score of the prompts that hold a term of each bucket as a substring."""
+    found = prompt_bests(prompts, *BUCKETS)
+    return {name: found[name] for name in BUCKETS}
 
 
 def fuse_pair(seen: Column, read: Column) -> Column:
@@ -84,17 +130,16 @@ def fuse_pair(seen: Column, read: Column) -> Column:
     return clamp(F.greatest(seen * 0.85, read * 0.60, both * 0.95))
 
 
-def safety_scores(detections: Column, prompts: Column) -> dict[str, Column]:
+def safety_scores(detections: Column | Bests, prompts: Column | Bests) -> dict[str, Column]:
     seen, read = bucket_scores(detections), prompt_buckets(prompts)
     out = {f"{name}_score": fuse_pair(seen[name], read[name]) for name in ("weapon", "blood", "self_harm")}
     violence = fuse_pair(seen["violence"], read["violence"])
     return out | {"violence_self_harm_score": F.greatest(violence, *out.values())}
 
 
-def child_scores(detections: Column, prompts: Column) -> dict[str, Column]:
-    child = best_of(detections, lex.CHILD_LABELS + lex.CHILD_ALIASES)
-    person = best_of(detections, lex.PERSON_LABELS)
-    read = prompt_best(prompts, lex.CHILD_TERMS)
+def child_scores(detections: Column | Bests, prompts: Column | Bests) -> dict[str, Column]:
+    found = label_bests(detections, "child", "person")
+    child, person, read = found["child"], found["person"], prompt_bests(prompts, "child")["child"]
     weak = F.when((person > FLOOR) & (read > FLOOR), F.least(person, read) * 0.15).otherwise(0.0)
     return {
         "child_presence_score": clamp(F.greatest(child, read, person * 0.25)),
@@ -110,25 +155,16 @@ def noisy_or(*scores: Column) -> Column:
     return clamp(F.greatest(*[clamp(s) for s in scores], (F.lit(1.0) - none) * 0.85) if scores else F.lit(0.0))
 
 
-def promotion_support(detections: Column) -> Column:
-    return best_of(detections, lex.PROMOTION_OBJECTS) * 0.25
-
+def promotion_support(detections: Column | Bests) -> Column:
+    return label_bests(detections, "objects")["objects"] * 0.25
 
-def prompt_label_best(prompts: Column, labels: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
-    """Highest score of the prompts that are one of the labels; labels of ``but`` belong to an earlier list."""
-    own = [x for x in normal_labels(labels) if x not in normal_labels(but)]
-    return clamp(F.array_max(F.map_values(F.map_filter(prompts, lambda k, _: label_norm(k).isin(*own)))))
 
-
-def promotion_scores(texts: dict[str, Column], prompts: Column, detections: Column) -> dict[str, Column]:
+def promotion_scores(texts: dict[str, Column], prompts: Column | Bests, detections: Column | Bests) -> dict[str, Column]:
     """Advertising, affiliate and social media scores from texts, prompts and objects, and the largest of them."""
-    lists = (("advertising_score", lex.ADVERTISING_PROMPTS), ("affiliate_score", lex.AFFILIATE_PROMPTS), ("social_media_score", lex.SOCIAL_MEDIA_PROMPTS))
-    before: tuple[str, ...] = ()
+    read = prompt_bests(prompts, *PROMOTING)
     out = {}
-    for name, labels in lists:
-        parts = [texts[name], prompt_label_best(prompts, labels, before)]
-        out[name] = noisy_or(*parts, *([promotion_support(detections)] if name == "advertising_score" else []))
-        before += labels
+    for name in PROMOTING:
+        out[name] = noisy_or(texts[name], read[name], *([promotion_support(detections)] if name == "advertising_score" else []))
     return out | {"promotion_score": F.greatest(*out.values())}
 
 

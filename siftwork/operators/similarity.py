@@ -96,6 +96,8 @@ REGION, GROUP_ROWS = 4096, 4096
 #: Items whose match is looked for in the whole cache to measure recall, and the recall below which all are.
 SAMPLE, RECALL = 256, 0.9
 ROUNDING = 1e-9
+#: Vectors that a task hands to Spark at once, in bytes.
+SLICE_BYTES = 16 * 2**20
 
 
 def sound(v: Column) -> Column:
@@ -188,12 +190,15 @@ def best_match(
     return said.join(named, F.col("v") == F.col("of_v")).select(F.col("key").alias(item), F.col("cached").alias(cached), "similarity")
 
 
-def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """The rows of each length of vectors, and their matrix."""
+def _by_length(batch: pa.RecordBatch, copies: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of each length of vectors, and their matrix; no more rows at once than fit ``SLICE_BYTES`` if each leaves in so many ``copies``."""
     lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
     for dim in np.unique(lengths).tolist():
-        part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
-        yield part, _rows(part.column("v"))
+        rows = np.flatnonzero(lengths == dim)
+        most = max(1, SLICE_BYTES // (8 * copies * dim))
+        for lo in range(0, len(rows), most):
+            part = batch.take(pa.array(rows[lo : lo + most]))
+            yield part, _rows(part.column("v"))
 
 
 def _by_tables(asked: DataFrame, known: DataFrame, item_kind: str, cached_kind: str, planes: Planes, least: float, size: int) -> DataFrame:
@@ -202,14 +207,15 @@ def _by_tables(asked: DataFrame, known: DataFrame, item_kind: str, cached_kind:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, v in _by_length(batch):
+            for part, v in _by_length(batch, planes.tables):
                 bucket = planes.buckets(planes.sides(v))
                 row, table = (x.ravel() for x in np.indices(bucket.shape))
                 yield _dealt(part, row, v.shape[1], table, bucket.ravel() >> inside, pa.array(bucket.ravel()[:, None].tolist(), pa.list_(pa.int64())))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, v in _by_length(batch):
+            # an item leaves once for each region that it asks, of which a larger cache has more
+            for part, v in _by_length(batch, planes.tables * PROBES):
                 probes = planes.probes(planes.sides(v))
                 row, table, _ = (x.ravel() for x in np.indices(probes.shape))
                 bucket = probes.ravel()

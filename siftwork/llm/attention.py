@@ -62,18 +62,6 @@ class Subwords:
         return np.concatenate([np.zeros(1, np.float32), np.take(self.emit.ravel(), at)])
 
 
-def _turned(x: np.ndarray) -> np.ndarray:
-    """Each matrix of a stack transposed, in memory too: products with it are faster."""
-    return np.ascontiguousarray(x.transpose(0, 2, 1))
-
-
-def _outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x.T @ y for tall matrices, as a sum over slices, which is faster."""
-    cut = len(x) // 64 * 64
-    whole = np.matmul(x[:cut].reshape(-1, 64, x.shape[1]).transpose(0, 2, 1), y[:cut].reshape(-1, 64, y.shape[1])).sum(0)
-    return whole + x[cut:].T @ y[cut:]
-
-
 def _bounded(x: np.ndarray) -> np.ndarray:
     """x within ``CAP`` of 0, in place, so that its powers neither overflow nor all vanish: they are not shifted, as those of
     a trained model are small."""
@@ -115,7 +103,7 @@ class Attention:
 
         What lies beyond the end of a sequence is seen by no token that counts.
         """
-        score = _bounded(np.matmul(q, _turned(k)))
+        score = _bounded(np.matmul(q, k.transpose(0, 2, 1)))
         score += np.where(self.hidden, np.float32(-1e9), np.take(self.near, self.distance))
         score[first, :, :BEFORE] = -1e9
         np.exp(score, out=score)
@@ -128,8 +116,11 @@ class Attention:
         """Natural log probability of each target; with ``weight`` also the slopes of the weighted loss."""
         n, w = len(u), self.subwords
         at = np.arange(n)
+        # no product is larger than the lengths of what is multiplied, so most batches need no other bound
+        longest = max(np.einsum("wc,wc->c", self.first, self.first).max(), np.einsum("cwp,cwp->cp", self.second, self.second).max())
+        bounded = _bounded if n and np.einsum("nw,nw->n", u, u).max() * longest > CAP**2 else np.asarray
         one = np.take(w.first, last, 0)
-        one += _bounded(u @ self.first)
+        one += bounded(u @ self.first)
         chosen = np.take(one.ravel(), at * CLASSES + of)
         np.exp(one, out=one)
         total = one @ np.ones(CLASSES, np.float32)
@@ -141,7 +132,7 @@ class Attention:
         two = np.take(w.second, np.take(last * CLASSES + of, order), 0)
         runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < b]
         for c, run in runs:
-            two[run] += _bounded(u_of[run] @ self.second[c])
+            two[run] += bounded(u_of[run] @ self.second[c])
         chosen = np.take(two.ravel(), at * PARTS + parts_of)
         np.exp(two, out=two)
         total_two = two @ np.ones(PARTS, np.float32)
@@ -161,14 +152,14 @@ class Attention:
         back = np.empty(n, np.int64)
         back[order] = at
         d_u += np.take(d_two, back, 0)
-        return log_prob, d_u, _outer(u, one), d_second
+        return log_prob, d_u, u.T @ one, d_second
 
     def step(self, rows: np.ndarray, first: np.ndarray, of: np.ndarray, part: np.ndarray, valid: np.ndarray, rate: float) -> float:
         """One Adam step on a batch of windows; returns the mean loss."""
         b, seen = rows.shape
-        x = np.take(self.subwords.points, rows.ravel(), 0)
-        xl = x.reshape(b, seen, -1)[:, BEFORE:].reshape(b * SCORED, -1)
-        q, kv = (xl @ self.q).reshape(b, SCORED, WIDTH), (x @ self.kv).reshape(b, seen, 2 * WIDTH)
+        points, seen_rows = self.subwords.points, rows.ravel()
+        kv = np.take(points @ self.kv, seen_rows, 0).reshape(b, seen, 2 * WIDTH)
+        q = np.take(points @ self.q, rows[:, BEFORE:], 0)
         k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
         a, total, u = self._attend(q, k, v, first)
         weight = valid.ravel() / np.float32(max(1, valid.sum()))
@@ -179,13 +170,14 @@ class Attention:
         d_u = d_u.reshape(b, SCORED, WIDTH)
         d_kv = np.empty_like(kv)
         d_kv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), d_u)
-        d_s = np.matmul(d_u, _turned(v))
+        d_s = np.matmul(d_u, v.transpose(0, 2, 1))
         d_s -= mean
         d_s *= a
         d_kv[:, :, :WIDTH] = np.matmul(d_s.transpose(0, 2, 1), q)
         d_near = np.bincount(self.distance.ravel(), np.einsum("bij->ij", d_s).ravel(), len(self.near)).astype(np.float32)
-        d_q = np.matmul(d_s, k).reshape(-1, WIDTH)
-        self._update([_outer(xl, d_q), _outer(x, d_kv.reshape(-1, 2 * WIDTH)), d_near, d_first, d_second], rate)
+        x, d_q = np.take(points, seen_rows, 0), np.zeros((b, seen, WIDTH), np.float32)
+        d_q[:, BEFORE:] = np.matmul(d_s, k)
+        self._update([x.T @ d_q.reshape(-1, WIDTH), x.T @ d_kv.reshape(-1, 2 * WIDTH), d_near, d_first, d_second], rate)
         return -float(log_prob @ weight)
 
     def _update(self, slopes: list[np.ndarray], rate: float) -> None:

@@ -16,7 +16,7 @@ from siftwork.llm.attention import (
 )
 from siftwork.llm.bpe import in_chunks, ragged
 from siftwork.llm.common import small_batches, table, train_split, written
-from siftwork.llm.shingles import mix, word_hashes
+from siftwork.llm.shingles import hashes_of_spans, mix, word_spans
 
 #: Tokens of the training texts from which one trainer takes the weights that all trainers start with, about.
 FIT_TOKENS = 1_000_000
@@ -31,6 +31,8 @@ BUCKETS = 8
 SHARED_WORDS = 1 << 20
 REMEMBERED = 2_000_000
 CHUNK_CHARS = 800_000
+#: Tokens whose keys are made at once, where pairs are counted.
+COUNTED_AT_ONCE = 200_000
 END_HASH = int(mix(np.array([0x454E44], np.uint64)).view(np.int64)[0])
 LOG10 = float(np.log(10))
 
@@ -69,14 +71,24 @@ class Words:
         """Distinct word hashes, the place of each word among them, words of each text, ids (start and end
         around each text), ids of each text."""
         raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes: A-Z alone
-        hashes, counts = word_hashes(raw)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        flat, begins, stops, bounds = word_spans(raw)
+        hashes, counts = hashes_of_spans(flat, begins, stops), np.diff(bounds)
+        # equal hashes stand together in this order; any of the words that share one will do
+        order = np.argsort(hashes)
+        ordered = np.take(hashes, order)
+        fresh = np.ones(len(ordered), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+        distinct, some = ordered[fresh], order[fresh]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
         if len(self.keys) + len(self.late) > REMEMBERED:
             self._forget()
         numbers = self._numbers(distinct)
         new = numbers < 0
         if new.any():
-            numbers[new] = self._learn(b" ".join(raw).split(), distinct[new], first[new])
+            text, where = flat.tobytes(), some[new]
+            spans = zip(begins[where].tolist(), stops[where].tolist(), strict=True)
+            numbers[new] = self._learn([text[a:b] for a, b in spans], distinct[new])
         at = numbers[inverse]
         sizes = np.take(self.counts.held, at)
         ids = ragged(self.flat.held, np.take(self.starts.held, at), sizes)
@@ -88,9 +100,9 @@ class Words:
         out[np.arange(len(ids)) + shift] = ids
         return distinct, inverse, counts, out, lengths + 2
 
-    def _learn(self, words: list[bytes], keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Encode the words at ``first``, remember them under their keys, and return their numbers."""
-        found = [words[i].decode("utf-8", "surrogatepass") for i in first.tolist()]
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """Encode the words, remember them under their keys, and return their numbers."""
+        found = [w.decode("utf-8", "surrogatepass") for w in words]
         ids = np.array(self.codec.encode_ordinary(" " + " ".join(found)), np.int32)
         begins = np.flatnonzero(self.spaced[ids])  # a blank stands before each word and nowhere else
         if len(begins) != len(found):
@@ -209,7 +221,7 @@ def tokenised(train: DataFrame, path: str, pattern: str) -> DataFrame:
     return written(train.select(at.alias("at"), "text").mapInArrow(split, "kind byte, at long, n long, ids binary"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], dtype: type, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], dtype: type, most: int = COUNTED_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed ids unpacked, in runs of about ``most`` tokens whatever the batches are."""
     held, size = [], 0
     for batch in batches:
@@ -223,17 +235,17 @@ def _runs(batches: Iterator[pa.RecordBatch], dtype: type, most: int = 400_000) -
         yield np.concatenate(held).astype(np.int32), np.fromiter(map(len, held), np.int64, len(held))
 
 
-def _counted(texts: DataFrame, keys_of, size: int, dtype: type, most: int = 400_000) -> DataFrame:
+def _counted(texts: DataFrame, keys_of, size: int, dtype: type) -> DataFrame:
     """(key, n) over all texts: how often ``keys_of(ids, lengths)`` names each key below ``size``.
 
-    A task adds up its texts in one array of that size, so what it emits is bounded by the size.
+    A task adds up its texts in one array of that size, in place, so what it emits is bounded by the size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for ids, lengths in _runs(batches, dtype, most):
-            found = np.bincount(keys_of(ids, lengths), minlength=size)
-            total = found.astype(np.int32) if total is None else np.add(total, found, out=total, casting="unsafe")
+        for ids, lengths in _runs(batches, dtype):
+            total = np.zeros(size, np.int32) if total is None else total
+            np.add.at(total, keys_of(ids, lengths), np.int32(1))
         if total is not None:
             some = np.flatnonzero(total)
             for lo in range(0, len(some), 100_000):
@@ -277,7 +289,7 @@ def learnt_subwords(parts: DataFrame, end: int, dtype: type) -> Subwords:
     shared = context.broadcast(subwords)
     behind = subwords.rows * CLASSES * PARTS
     whole = behind + CLASSES * GROUPS * size
-    found = _dense(_counted(texts, lambda i, n: _following_keys(i, n, shared.value), whole, dtype, 1_200_000), whole)
+    found = _dense(_counted(texts, lambda i, n: _following_keys(i, n, shared.value), whole, dtype), whole)
     following(subwords, found[:behind].reshape(subwords.rows, -1), found[behind:].reshape(-1, size))
     return subwords
 
@@ -291,7 +303,7 @@ def spectral_points(texts: DataFrame, counts: np.ndarray, dtype: type) -> np.nda
     shared = context.broadcast((column, counts))
     keys_of = lambda ids, lengths: neighbour_keys(ids, lengths, shared.value[0])
     near = written(
-        _counted(texts, keys_of, len(counts) * wide, dtype, 1_200_000).select(
+        _counted(texts, keys_of, len(counts) * wide, dtype).select(
             F.expr(f"cast(key div {wide} as int)").alias("id"), F.expr(f"cast(key % {wide} as int)").alias("side"), "n"
         )
     )

@@ -37,19 +37,31 @@ class Powers:
 _powers = Powers()
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (runs without white space, A-Z lower-cased), and how many each text has."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts' bytes end to end, begins and ends of the words in them, bounds of each text's words).
+
+    Words are runs without white space.
+    """
     flat = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     space = _SPACE[flat]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
+    return flat, starts, ends, np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+
+
+def hashes_of_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each slice of bytes, A-Z lower-cased."""
     _powers.reach(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(_BYTE[flat] * _powers.up[: len(flat)], out=sums[1:])
     words = (sums[ends] - sums[starts]) * _powers.down[starts]
-    words = mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return words, np.diff(np.searchsorted(starts, bounds))
+    return mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (runs without white space, A-Z lower-cased), and how many each text has."""
+    flat, starts, ends, bounds = word_spans(texts)
+    return hashes_of_spans(flat, starts, ends), np.diff(bounds)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import tiktoken
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, jaccard, language, licences, lm_scoring, mixing, registry, sharding, token_counts
+from siftwork.llm import attention, bpe, jaccard, language, licences, lm_scoring, mixing, registry, sharding, token_counts
 from siftwork.llm.attention import BEFORE, CLASSES, FEATURES, GROUPS, PARTS, SCORED, Attention, describe_subwords, following, windows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -563,3 +563,46 @@ def test_slopes_are_those_of_the_loss():
         down = loss()
         weight[at] = old
         assert (up - down) / (2 * step) == pytest.approx(slope[at], rel=0.05, abs=1e-4)
+
+
+def test_pairs_are_counted_in_place_and_few_at_a_time(spark):
+    most, size = lm_scoring.COUNTED_AT_ONCE, 1000
+    each = [np.random.default_rng(i).integers(0, size, 30_000).astype(np.uint16) for i in range(20)]
+    texts = spark.createDataFrame([(i.tobytes(),) for i in each], "ids binary").coalesce(1)
+
+    def keys_of(ids, lengths):
+        assert len(ids) < most + 30_000 and lengths.sum() == len(ids)
+        return ids.astype(np.int64)
+
+    found = lm_scoring._dense(lm_scoring._counted(texts, keys_of, size, np.uint16), size)
+    assert (found == np.bincount(np.concatenate(each), minlength=size)).all()
+
+
+def test_only_words_not_seen_before_are_cut_out_and_encoded(monkeypatch):
+    words_, learnt = lm_scoring.Words(VOCABULARY, public_tokenizers.PATTERN), []
+    learn = lm_scoring.Words._learn
+    monkeypatch.setattr(lm_scoring.Words, "_learn", lambda self, words, *rest: learnt.append(sorted(words)) or learn(self, words, *rest))
+    one = words_.split(["The cat\tsat", "", " the CAT  \u00e9t\u00e9"])
+    two = words_.split(["the dog sat", "cat"])
+    assert learnt == [sorted([b"the", b"cat", b"sat", "\u00e9t\u00e9".encode()]), [b"dog"]]
+    for (distinct, place, counts, ids, lengths), texts in ((one, ["the cat sat", "", "the cat \u00e9t\u00e9"]), (two, ["the dog sat", "cat"])):
+        assert counts.tolist() == [len(t.split()) for t in texts] and (np.diff(distinct.astype(object)) > 0).all()
+        plain = [[words_.end, *(words_.codec.encode_ordinary(" " + t) if t else []), words_.end] for t in texts]
+        assert ids.tolist() == sum(plain, []) and lengths.tolist() == [len(x) for x in plain]
+        same = [w for t in texts for w in t.split()]
+        assert all((place[i] == place[j]) == (same[i] == same[j]) for i in range(len(same)) for j in range(len(same)))
+
+
+def test_products_are_searched_for_large_values_only_where_they_may_have_some(monkeypatch):
+    rng = np.random.default_rng(6)
+    w = _subwords(200, rng)
+    ids, lengths, searched = rng.integers(0, 200, 90), np.array([90]), []
+    monkeypatch.setattr(attention, "_bounded", lambda x, plain=attention._bounded: searched.append(x.shape) or plain(x))
+    model = Attention(w)
+    model.score(ids, lengths)
+    assert len(searched) == 1  # the attention's; no class's
+    for heads in (model.first, model.second):
+        heads *= 1e5
+    searched.clear()
+    assert np.isfinite(model.score(ids, lengths)).all()
+    assert len(searched) > 2

@@ -11,17 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import in_chunks, ragged
-from siftwork.llm.common import checkpointed, small_batches, sortable, table, unsorted
+from siftwork.llm.common import checkpointed, removed, shuffles_dropped, small_batches, sortable, table, unsorted, written
 from siftwork.llm.components import connected_components
-from siftwork.llm.shingles import set_digests, shingle_sets
+from siftwork.llm.shingles import mix, set_digests, shingle_sets
 
 SHINGLE_WORDS = 5
 #: A token in so many documents or more is common: it stands last in the order of tokens.
 COMMON = 32
-#: Bits of the maps that every task gets: tokens of two documents or more (16 MB), common tokens (2 MB), opened documents.
+#: Bits of the maps that every task gets: tokens of two documents or more (16 to 64 MB), common tokens (2 MB), opened documents.
 MAP_BITS = 27
+MOST_MAP_BITS = 29
 COMMON_BITS = 24
 OPEN_BITS = 26
+#: Documents to which the smallest map of repeated tokens is dealt, about: with more it doubles, so it does not fill up.
+MAP_DOCS = 1 << 18
+#: Bits of a token's hash that are counted, and those that the index holds.
+COUNT_BITS = 40
+INDEX_BITS = 48
+#: Index tokens that a task holds before it sends them on.
+INDEX_HELD = 600_000
 #: Documents whose tokens are counted in one bucket, about.
 BUCKET_DOCS = 1024
 #: Sets of one group that one task opens.
@@ -36,7 +44,7 @@ EVIDENCE = 10
 
 
 class BitMap:
-    """Bits of a fixed number; it travels compressed, as most are alike."""
+    """Bits of a fixed number, a power of 2; it travels compressed, as most are alike."""
 
     def __init__(self, raw: np.ndarray):
         self.raw = raw
@@ -50,6 +58,10 @@ class BitMap:
     def has(self, at: np.ndarray) -> np.ndarray:
         return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def has_hash(self, hashes: np.ndarray) -> np.ndarray:
+        """The bit that the highest bits of each 64-bit hash say."""
+        return self.has(hashes >> np.uint64(65 - (8 * len(self.raw)).bit_length()))
+
 
 def _token_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     texts = batch.column("text").to_pylist()
@@ -65,14 +77,53 @@ def _widened(raw: bytes, width: int) -> np.ndarray:
     return eight.view("<u8").ravel()
 
 
+def _bytes_of(values: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` little-endian bytes for each integer."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _as_gaps(values: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ascending integers as gaps of ``width`` bytes, end to end, and the bounds of the runs in these.
+
+    A run's first gap is from 0. A gap of all ones stands for itself and is no value's end: larger gaps take several.
+    """
+    most = np.uint64((1 << 8 * width) - 1)
+    gaps = np.diff(values, prepend=values[:1])
+    gaps[starts] = values[starts]
+    more = (gaps // most).astype(np.int64)
+    ends = np.cumsum(more + 1)
+    out = np.full(ends[-1], most, np.uint64)
+    out[ends - 1] = gaps % most
+    return _bytes_of(out, width), np.append((ends - more - 1)[starts], ends[-1])
+
+
+def _from_gaps(runs: list[bytes], width: int) -> np.ndarray:
+    """The values of runs that ``_as_gaps`` made, run by run."""
+    gaps = _widened(b"".join(runs), width)
+    lengths = np.array([len(r) // width for r in runs], np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gaps)])
+    values = sums[1:] - np.repeat(sums[np.cumsum(lengths) - lengths], lengths)
+    return values[gaps != np.uint64((1 << 8 * width) - 1)]
+
+
+def _bucket_bits(n_docs: int) -> int:
+    """Bits of a token's hash that say its bucket, so that a bucket gets a bounded number of documents' tokens."""
+    return int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 8, COMMON_BITS - 3))
+
+
+def _map_bits(n_docs: int) -> int:
+    return int(np.clip(MAP_BITS + np.ceil(np.log2(max(1, n_docs / MAP_DOCS))), MAP_BITS, MOST_MAP_BITS))
+
+
 def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMap]:
     """Two bit maps over all token hashes: in two documents or more, and common.
 
-    Every token is counted over all documents, by 48 bits of its hash, in buckets of a
-    bounded number of documents. The maps have a fixed size; where tokens share a bit the bit is set if
+    Every token is counted over all documents, by 40 bits of its hash, in buckets of a
+    bounded number of documents. The maps have a bounded size; where tokens share a bit the bit is set if
     it is for either. Both maps only order and thin the index: any maps give the same links.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, n_docs / BUCKET_DOCS))), 8, COMMON_BITS - 3))
+    bits, map_bits = _bucket_bits(n_docs), _map_bits(n_docs)
+    low = np.uint64(COUNT_BITS - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -84,17 +135,17 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
             held.clear()
             if len(prints) > COMMON:
                 prints = prints[np.append(np.full(COMMON, True), prints[COMMON:] != prints[:-COMMON])]
-            cuts = np.searchsorted(prints, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
             # the bucket says the highest bits
-            five = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [five[5 * cuts[b] : 5 * cuts[b + 1]] for b in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "prints"])
+            bucket = prints >> low
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            three, cuts = _as_gaps(prints & ((np.uint64(1) << low) - np.uint64(1)), starts, 3)
+            blobs = [three[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "prints"])
 
         n = 0
         for batch in batches:
             for _, _, flat, _ in _token_sets(batch, words):
-                held.append(flat >> np.uint64(16))
+                held.append(flat >> np.uint64(64 - COUNT_BITS))
                 n += len(held[-1])
                 if n > 800_000:
                     yield packed()
@@ -104,16 +155,14 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
         pa.default_memory_pool().release_unused()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(x for b in batches for x in b.column("prints").to_pylist())
-        prints = _widened(raw, 5) & np.uint64((1 << (48 - bits)) - 1)
-        prints |= np.uint64(key[0].as_py()) << np.uint64(48 - bits)
+        prints = _from_gaps([x for b in batches for x in b.column("prints").to_pylist()], 3)
         prints.sort()
         first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
         df = np.diff(np.append(first, len(prints)))
         maps = []
-        for least, size in ((2, MAP_BITS), (COMMON, COMMON_BITS)):
+        for least, size in ((2, map_bits), (COMMON, COMMON_BITS)):
             on = np.zeros(1 << (size - bits), bool)
-            on[(prints[first[df >= least]] >> np.uint64(48 - size)).astype(np.int64) - key[0].as_py() * len(on)] = True
+            on[prints[first[df >= least]] >> np.uint64(COUNT_BITS - size)] = True
             maps.append(pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *maps], ["bucket", "repeated", "common"])
 
@@ -123,8 +172,8 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
         .groupBy("bucket")
         .applyInArrow(count, "bucket int, repeated binary, common binary")
     )
-    whole = {"repeated": np.zeros(1 << (MAP_BITS - 3), np.uint8), "common": np.zeros(1 << (COMMON_BITS - 3), np.uint8)}
-    found = counted.toArrow()  # two maps of a fixed size, cut into slices
+    whole = {"repeated": np.zeros(1 << (map_bits - 3), np.uint8), "common": np.zeros(1 << (COMMON_BITS - 3), np.uint8)}
+    found = counted.toArrow()  # two maps of a bounded size, cut into slices
     for name, bitmap in whole.items():
         for b, part in zip(found.column("bucket").to_pylist(), found.column(name).to_pylist(), strict=True):
             bitmap[b * len(part) : (b + 1) * len(part)] = np.frombuffer(part, np.uint8)
@@ -133,7 +182,7 @@ def token_maps(texts: DataFrame, words: int, n_docs: int) -> tuple[BitMap, BitMa
 
 def _ordered(flat: np.ndarray, counts: np.ndarray, common: BitMap) -> np.ndarray:
     """Each token's rank in its own document: common tokens last, then by hash."""
-    last = common.has(flat >> np.uint64(64 - COMMON_BITS))
+    last = common.has_hash(flat)
     ends = np.cumsum(counts)
     starts = ends - counts
     n_last = np.concatenate([[0], np.cumsum(last)])
@@ -143,54 +192,135 @@ def _ordered(flat: np.ndarray, counts: np.ndarray, common: BitMap) -> np.ndarray
     return np.where(last, usual + before_last, place - before_last)
 
 
-def _groups(flat: np.ndarray, counts: np.ndarray, repeated: BitMap) -> np.ndarray:
-    """The group of each set that is not empty: its smallest token, which similar sets often have in common.
+def _groups(flat: np.ndarray, counts: np.ndarray, repeated: BitMap, common: BitMap) -> np.ndarray:
+    """The group of each set that is not empty: its smallest token of a kind that similar sets often have in common.
 
-    Of a set that shares most of its tokens with other documents it is the smallest shared one, so an edit
-    to one of many near copies does not make a group of its own.
+    Of a set of mostly common tokens it is the smallest common one, so large clusters of near copies stay together. Other
+    sets are not grouped by a common token: a passage that documents share would gather them all, however little else they
+    share, and a group costs the square of its sets. If most of their other tokens are repeated it is the smallest
+    repeated one, so an edit to one of some near copies does not make a group of its own.
     """
-    own = repeated.has(flat >> np.uint64(64 - MAP_BITS))
     starts = (np.cumsum(counts) - counts)[counts > 0]
     if not len(starts):
         return flat[:0]
-    first = np.minimum.reduceat(np.where(own, flat, np.uint64(2**64 - 1)), starts)
-    shared = np.add.reduceat(own.astype(np.int64), starts)
-    return np.where(10 * shared >= 6 * counts[counts > 0], first, flat[starts])
+    usual, own = ~common.has_hash(flat), repeated.has_hash(flat)
 
+    def smallest(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum.reduceat(np.where(kind, flat, np.uint64(2**64 - 1)), starts), np.add.reduceat(kind.astype(np.int64), starts)
 
-def signatures(texts: DataFrame, words: int, percent: int, maps) -> DataFrame:
-    """Per row: id, set size, set digest, group, and the index tokens.
+    n = counts[counts > 0]
+    (first_common, _), (first_usual, n_usual), (first_own, n_own) = smallest(~usual), smallest(usual), smallest(usual & own)
+    return np.where(10 * n_usual <= 4 * n, first_common, np.where(10 * n_own >= 6 * n_usual, first_own, first_usual))
+
+
+def signatures(texts: DataFrame, words: int, maps) -> DataFrame:
+    """Per row: id, hash of the text, set size, set digest and group (40 bits of a hash; sets whose groups share them form one)."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, common = maps.value
+        for batch in batches:
+            for lo, hi, flat, counts in _token_sets(batch, words):
+                group = np.zeros(hi - lo, np.int64)
+                group[counts > 0] = (mix(_groups(flat, counts, repeated, common)) >> np.uint64(24)).view(np.int64)
+                digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(counts), digest, pa.array(group)],
+                    ["id", "text_hash", "n", "digest", "grp"],
+                )
+        pa.default_memory_pool().release_unused()
+
+    return texts.mapInArrow(sign, f"id {id_type}, text_hash long, n long, digest binary, grp long")
+
+
+def group_index(texts: DataFrame, words: int, percent: int, maps, classes, n_docs: int) -> DataFrame:
+    """(grp, token, least, most): the index tokens that two groups or more have, and bounds of the sizes of a group's sets with one.
 
     The index tokens of a set of n are its first n - ceil(percent n / 100) + e in one order of all tokens,
     with e = 1 + n // EVIDENCE. Of the tokens that two linked sets share, fewer than percent n / 100 - e + 1
     stand behind these, so the first e shared tokens are index tokens of the set; linked sets share the
     smaller e of the two. Tokens that the map knows to be in one document alone are left out, as they
-    join nothing.
+    join nothing, and so are rows that are not in the map of ``classes``, whose sets another row has.
+
+    A token travels as 48 bits of its hash in buckets, 11 bytes with its group and its set's size; sizes from
+    65,535 count as any size from there.
     """
-    id_type = texts.schema["id"].dataType.simpleString()
+    bits = _bucket_bits(n_docs)
+    low = np.uint64(INDEX_BITS - bits)
+    marked = texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << OPEN_BITS))).select("at", "text")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, common = maps.value
+        reps = classes.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            token, grp, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(token, kind="stable")
+            token, grp, n = token[order], grp[order], n[order]
+            bucket = token >> low
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            four, cuts = _as_gaps(token & ((np.uint64(1) << low) - np.uint64(1)), starts, 4)
+            own, sizes, ends = _bytes_of(grp, 5), n.astype("<u2"), np.append(starts[1:], len(token))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[starts].astype(np.int32)),
+                    pa.array([four[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    pa.array([own[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([sizes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                ],
+                ["bucket", "tokens", "groups", "sizes"],
+            )
+
+        size = 0
         for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.uint64)
+            batch = batch.filter(pa.array(reps.has(at)))
             for lo, hi, flat, counts in _token_sets(batch, words):
                 rank = _ordered(flat, counts, common)
                 most = counts - -(-counts * percent // 100) + 1 + counts // EVIDENCE
-                chosen = rank < np.repeat(most, counts)
                 # what one document alone has joins nothing
-                chosen &= repeated.has(flat >> np.uint64(64 - MAP_BITS))
-                per_doc = np.bincount(np.repeat(np.arange(hi - lo), counts)[chosen], minlength=hi - lo)
-                ends = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
-                group = np.zeros(hi - lo, np.int64)
-                group[counts > 0] = _groups(flat, counts, repeated).view(np.int64)
-                digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
-                index = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[chosen].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(counts), digest, pa.array(group), index],
-                    ["id", "text_hash", "n", "digest", "grp", "index"],
+                chosen = (rank < np.repeat(most, counts)) & repeated.has_hash(flat)
+                group = np.zeros(hi - lo, np.uint64)
+                group[counts > 0] = mix(_groups(flat, counts, repeated, common)) >> np.uint64(24)
+                held.append(
+                    (flat[chosen] >> np.uint64(64 - INDEX_BITS), np.repeat(group, counts)[chosen], np.repeat(np.minimum(counts, 65535), counts)[chosen])
                 )
+                size += len(held[-1][0])
+                if size > INDEX_HELD:
+                    yield packed()
+                    size = 0
+        if size:
+            yield packed()
         pa.default_memory_pool().release_unused()
 
-    return texts.mapInArrow(sign, f"id {id_type}, text_hash long, n long, digest binary, grp long, index array<long>")
+    def shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[bytes]] = [[], [], []]
+        for batch in batches:
+            for column, name in zip(columns, ("tokens", "groups", "sizes"), strict=True):
+                column += batch.column(name).to_pylist()
+        token, grp = _from_gaps(columns[0], 4), _widened(b"".join(columns[1]), 5)
+        n = np.frombuffer(b"".join(columns[2]), "<u2").astype(np.int64)
+        order = np.lexsort((grp, token))
+        token, grp, n = token[order], grp[order], n[order]
+        fresh = np.append(True, token[1:] != token[:-1])
+        first = np.flatnonzero(fresh | np.append(True, grp[1:] != grp[:-1]))
+        least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+        most[most == 65535] = np.iinfo(np.int32).max
+        token, grp, fresh = token[first], grp[first], fresh[first]
+        several = ~(fresh & np.append(fresh[1:], True))
+        token |= np.uint64(key[0].as_py()) << low
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grp[several].view(np.int64)), pa.array(token[several].view(np.int64)), pa.array(least[several]), pa.array(most[several])],
+            ["grp", "token", "least", "most"],
+        )
+
+    return (
+        marked.mapInArrow(emit, "bucket int, tokens binary, groups binary, sizes binary")
+        .groupBy("bucket")
+        .applyInArrow(shared, "grp long, token long, least long, most long")
+    )
 
 
 def id_map(ids: DataFrame) -> BitMap:
@@ -222,7 +352,7 @@ def opened_sets(texts: DataFrame, words: int, opened) -> DataFrame:
             batch = batch.filter(pa.array(bitmap.has(at)))
             for lo, hi, flat, counts in _token_sets(batch, words):
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 6]).astype(np.int32))
-                six = (flat >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                six = _bytes_of(flat >> np.uint64(16), 6).tobytes()
                 tokens = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(six)])
                 digest = pa.array([d.tobytes() for d in set_digests(flat, counts)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -301,7 +431,7 @@ def jaccard_components(
 ) -> DataFrame:
     """Connect the documents whose shingle sets have 100 |A n B| >= percent |A u B|; no link is missed.
 
-    Documents with the same smallest token (see ``_groups``) form a group of a token-group matrix. The index holds, for
+    Documents with the same smallest token of a kind (see ``_groups``) form a group of a token-group matrix. The index holds, for
     each group, the union of its members' index tokens; two groups that share too few cannot hold a link. Of
     two groups that can, the smaller one's documents go as queries to the larger one. There a task stores
     the union of the members' tokens and bounds a query's overlap with every member by its overlap
@@ -319,7 +449,8 @@ def jaccard_components(
     repeated and link with one another; rows that repeat an id with another text are documents of their own. An
     empty table gives an empty result; other columns are ignored.
     """
-    return _linked(docs, id_col, text_col, words, percent).select(id_col, "n_shingles", "n_links", "component_id")
+    with shuffles_dropped(docs.sparkSession):
+        return _linked(docs, id_col, text_col, words, percent).select(id_col, "n_shingles", "n_links", "component_id")
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -329,8 +460,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     body = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
     context = spark.sparkContext
-    maps = context.broadcast(token_maps(texts, words, texts.count()))
-    signed = checkpointed(signatures(texts, words, percent, maps))
+    n_docs = texts.count()
+    maps = context.broadcast(token_maps(texts, words, n_docs))
+    signed = checkpointed(signatures(texts, words, maps))
     classes = checkpointed(
         signed.where("n > 0 and id is not null")
         .groupBy("digest")
@@ -339,14 +471,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     groups = classes.groupBy("grp").agg(
         F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    index = (
-        signed.where("n > 0 and size(index) > 0")
-        .select("grp", F.explode("index").alias("token"), F.col("n").cast("int").alias("n"))
-        # dealt by token once: the grouping and the join below need no other shuffle
-        .repartition("token")
-        .groupBy("grp", "token")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    )
+    reps = context.broadcast(id_map(classes.select("rep")))
+    index = written(group_index(texts, words, percent, maps, reps, n_docs))
     pairs = (
         index.alias("x")
         .join(
@@ -381,6 +507,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             F.when(opens, F.col("gs.most")).otherwise(F.col("hs.most")).alias("most"),
         )
     )
+    removed(index)
     own_chunk = F.pmod(F.xxhash64("digest"), F.col("n_chunks"))
     candidates = pairs.select("opened", chunks.alias("n_chunks")).union(groups.where("size > 1").select("grp", chunks))
     members = classes.join(candidates.distinct(), F.col("grp") == F.col("opened")).select(
@@ -462,9 +589,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     documents of their own. Rows with a null id stay.
     """
     text = options.get("text_col", "text")
-    found = _linked(docs, id_col, text, options.get("words", SHINGLE_WORDS), options.get("percent", 75))
-    firsts = found.where(F.col("is_first") & (F.col(id_col) == F.col("component_id"))).groupBy(F.col(id_col).alias("__kept"), "set_digest")
-    kept = checkpointed(firsts.agg(F.min("text_hash").alias("__text")).select("__kept", "__text"))
+    with shuffles_dropped(docs.sparkSession):
+        found = _linked(docs, id_col, text, options.get("words", SHINGLE_WORDS), options.get("percent", 75))
+        firsts = found.where(F.col("is_first") & (F.col(id_col) == F.col("component_id"))).groupBy(F.col(id_col).alias("__kept"), "set_digest")
+        kept = checkpointed(firsts.agg(F.min("text_hash").alias("__text")).select("__kept", "__text"))
     hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     stays = docs.join(kept, (docs[id_col] == kept["__kept"]) & (hashed == kept["__text"]), "left_semi").withColumn("__text", F.xxhash64(F.coalesce(text, F.lit(""))))
     return stays.dropDuplicates([id_col, "__text"]).drop("__text").union(docs.where(F.col(id_col).isNull()))
